@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 from tidemark.operators.staging import stage_stock_prices, stage_symbol_reference
 from tidemark.plans import marts as M
 from tidemark.plans import queries as Q
-from tidemark.sources.fixtures import load_stock_prices, load_watchlists
+from tidemark.operators.validation import dead_letters, split_valid, validate_events
+from tidemark.sources.fixtures import load_raw_messages, load_stock_prices, load_watchlists
+from tidemark.sources.sinks import EVENT_COLUMNS, append_events
 from tidemark.sources.symbols import symbol_reference
 
 # Fixed "now" of every registered query (no wall-clock time in a registered query).
@@ -63,6 +65,10 @@ class Ctx:
     def hourly(self) -> DataFrame:
         return M.intraday_stock_rollup(self.stg, self.sym)
 
+    @property
+    def checked(self) -> DataFrame:
+        return validate_events(load_raw_messages(self.spark, self.sf_dir))
+
     @property
     def watch(self) -> DataFrame:
         return load_watchlists(self.spark, self.sf_dir)
@@ -250,3 +256,22 @@ def _q_ticker_trend(c: Ctx):
 @register("watchlist_state")
 def _q_watchlist_state(c: Ctx):
     return Q.watchlist_state(c.watch, c.daily)
+
+
+# ------------------------------------------------------------------ ingest
+@register("validate_events_valid")
+def _q_valid(c: Ctx):
+    valid, _ = split_valid(c.checked)
+    return valid.select("topic", "partition", "offset", *EVENT_COLUMNS)
+
+
+@register("validate_events_invalid")
+def _q_invalid(c: Ctx):
+    _, invalid = split_valid(c.checked)
+    return dead_letters(invalid)
+
+
+@register("append_events")
+def _q_append(c: Ctx):
+    valid, _ = split_valid(c.checked)
+    return append_events(valid, None).select(*EVENT_COLUMNS)

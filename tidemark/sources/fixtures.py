@@ -93,3 +93,73 @@ def watchlists_from_customers(customer: DataFrame, created_at: str = "2024-01-01
 
 def load_watchlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watchlists_from_customers(read_table(spark, sf_dir, "customer", ["c_custkey"]))
+
+
+# Session names of the calendar mapped to the validator's vocabulary.
+SESSION_TO_VALIDATOR = {"premarket": "pre", "after_hours": "post", "regular": "regular", "closed": "closed"}
+
+
+def _q(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def raw_messages_from_events(events: DataFrame) -> DataFrame:
+    """events → JSON messages of the price topic with injected faults (FIXTURES.md 2.2).
+
+    Fault kind by ``event_id % 50``: 1 missing price · 2 empty ticker · 3 12-letter ticker ·
+    4 price −1 · 5 price "NaN" · 6 price "12.345" (valid) · 7 volume −5 · 8 volume "12.5" ·
+    9 volume 12.7 (valid) · 10 time without offset · 11 time "yesterday" · 12 time with Z (valid) ·
+    13 unknown kind · 14 interval "1h" · 15 session "premarket" · 16 high < close · 17 low > open ·
+    18 only open present (valid) · 19 not an object · 20 broken JSON · 21 message delivered twice ·
+    22 source "" (valid) · 23 ticker null · 24 volume "Infinity".
+    Returns (topic, partition, offset, value, timestamp) like a Kafka source.
+    """
+    sp = stock_prices_from_events(events)
+    k = F.pmod(F.col("id"), F.lit(50))
+    price = F.col("price").cast("string")
+    plus = lambda d: (F.col("price") + F.lit(d).cast("decimal(4,2)")).cast("string")
+    iso = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    has = F.col("open_price").isNotNull()
+    sess_map = F.create_map(*[F.lit(x) for kv in SESSION_TO_VALIDATOR.items() for x in kv])
+    fields = [
+        ("ticker", F.when(k == 2, F.lit('""')).when(k == 3, F.lit('"ABCDEFGHIJKL"')).when(k == 23, F.lit("null"))
+         .otherwise(_q(F.col("ticker"))), None),
+        ("price", F.when(k == 4, F.lit("-1")).when(k == 5, F.lit('"NaN"')).when(k == 6, F.lit('"12.345"'))
+         .otherwise(price), k == 1),
+        ("volume", F.when(k == 7, F.lit("-5")).when(k == 8, F.lit('"12.5"')).when(k == 9, F.lit("12.7"))
+         .when(k == 24, F.lit('"Infinity"')).otherwise(F.col("volume").cast("string")), None),
+        ("event_time", F.when(k == 10, _q(iso)).when(k == 11, F.lit('"yesterday"'))
+         .when(k == 12, _q(F.concat(iso, F.lit("Z")))).otherwise(_q(F.concat(iso, F.lit("+00:00")))), None),
+        ("source", F.when(k == 22, F.lit('""')).otherwise(F.lit('"fixture"')), None),
+        ("open_price", F.when(k.isin(16, 17, 18), price).when(has, price).otherwise(F.lit("null")), None),
+        ("high_price", F.when(k == 16, plus("-0.50")).when(k == 17, plus("0.50")).when(has, plus("0.05"))
+         .otherwise(F.lit("null")), k == 18),
+        ("low_price", F.when(k == 16, plus("-0.60")).when(k == 17, plus("0.10")).when(has, plus("-0.05"))
+         .otherwise(F.lit("null")), k == 18),
+        ("close_price", F.when(k.isin(16, 17), price).when(has, price).otherwise(F.lit("null")), k == 18),
+        ("event_kind", F.when(k == 13, F.lit('"tick"')).otherwise(F.lit('"live_snapshot"')), None),
+        ("bar_interval", F.when(k == 14, F.lit('"1h"')).otherwise(F.lit('"snapshot"')), None),
+        ("market_session", F.when(k == 15, F.lit('"premarket"'))
+         .otherwise(_q(F.element_at(sess_map, F.col("market_session")))), None),
+    ]
+    parts = []
+    for name, val, omit in fields:
+        pair = F.concat(F.lit(f'"{name}": '), val)
+        parts.append(F.when(omit, F.lit(None)).otherwise(pair) if omit is not None else pair)
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    value = (F.when(k == 19, F.lit("[1]"))
+             .when(k == 20, F.concat(F.lit('{"ticker": "'), F.col("ticker"), F.lit('", "price": ')))
+             .otherwise(body))
+    copies = F.explode(F.when(k == 21, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return sp.select("id", "event_time", value.alias("value"), copies.alias("_copy")).select(
+        F.lit("stock_prices").alias("topic"),
+        F.pmod(F.col("id"), F.lit(4)).cast("int").alias("partition"),
+        (F.col("id") * 2 + F.col("_copy")).alias("offset"),
+        "value",
+        (F.col("event_time") + F.expr("INTERVAL 1 SECOND")).alias("timestamp"),
+    )
+
+
+def load_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value", "props"])
+    return raw_messages_from_events(ev)
