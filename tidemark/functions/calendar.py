@@ -129,17 +129,20 @@ def is_early_close(day: Column) -> Column:
             | ((m == 7) & (dom == 3) & (wd < 4)))
 
 
-def previous_trading_day(day: Column) -> Column:
-    # Good Friday never lies within a week of a year boundary: one Easter per row suffices.
+def _nearest_trading_day(day: Column, step: int) -> Column:
+    """First trading day among day ± 1…7 (a higher-order function: the rule is written once)."""
+    # Good Friday never lies within a week of a year boundary: one Easter lookup per row suffices.
     gf = good_friday(F.year(day))
-    cands = [F.date_sub(day, k) for k in range(1, _SEARCH_DAYS + 1)]
-    return F.coalesce(*[F.when(is_trading_day(c, gf), c) for c in cands])
+    cands = F.transform(F.sequence(F.lit(1), F.lit(_SEARCH_DAYS)), lambda k: F.date_add(day, k * step))
+    return F.element_at(F.filter(cands, lambda c: is_trading_day(c, gf)), 1)
+
+
+def previous_trading_day(day: Column) -> Column:
+    return _nearest_trading_day(day, -1)
 
 
 def next_trading_day(day: Column) -> Column:
-    gf = good_friday(F.year(day))
-    cands = [F.date_add(day, k) for k in range(1, _SEARCH_DAYS + 1)]
-    return F.coalesce(*[F.when(is_trading_day(c, gf), c) for c in cands])
+    return _nearest_trading_day(day, 1)
 
 
 def ny_local(ts: Column) -> Column:
@@ -184,29 +187,33 @@ def infer_session(ts: Column) -> Column:
             .otherwise("closed"))
 
 
-def calendar_columns(day: Column) -> dict[str, Column]:
-    """CAL-1 columns for a day column (names of the calendar dimension)."""
-    trading = is_trading_day(day)
-    early = is_early_close(day)
-    reg_close = F.when(early, EARLY_REGULAR_CLOSE_MIN).otherwise(REGULAR_CLOSE_MIN)
-    ah_close = F.when(early, EARLY_AFTER_HOURS_CLOSE_MIN).otherwise(AFTER_HOURS_CLOSE_MIN)
-    return {
+def with_calendar(df: DataFrame, day_col: str = "day") -> DataFrame:
+    """CAL-1: attach calendar columns to a frame of days.
+
+    Computed in stages (flags, then boundaries and neighbours) so that each intermediate is a
+    column evaluated once per row rather than an expression tree repeated in every consumer.
+    """
+    day = F.col(day_col)
+    s1 = df.withColumns({
         "is_weekend": F.weekday(day) >= 5,
         "is_holiday": is_holiday(day),
-        "is_trading_day": trading,
-        "is_early_close": early,
+        "is_early_close": is_early_close(day),
+        "previous_trading_day": previous_trading_day(day),
+        "next_trading_day": next_trading_day(day),
+    }).withColumn("is_trading_day", ~F.col("is_weekend") & ~F.col("is_holiday"))
+    early = F.col("is_early_close")
+    reg_close = F.when(early, EARLY_REGULAR_CLOSE_MIN).otherwise(REGULAR_CLOSE_MIN)
+    ah_close = F.when(early, EARLY_AFTER_HOURS_CLOSE_MIN).otherwise(AFTER_HOURS_CLOSE_MIN)
+    out = s1.withColumns({
         "premarket_open_at": at_ny_clock(day, PREMARKET_OPEN_MIN),
         "regular_open_at": at_ny_clock(day, REGULAR_OPEN_MIN),
         "regular_close_at": at_ny_clock(day, reg_close),
         "after_hours_close_at": at_ny_clock(day, ah_close),
-        "previous_trading_day": previous_trading_day(day),
-        "next_trading_day": next_trading_day(day),
-    }
-
-
-def with_calendar(df: DataFrame, day_col: str = "day") -> DataFrame:
-    """Attach CAL-1 columns to a frame of days."""
-    return df.withColumns(calendar_columns(F.col(day_col)))
+    })
+    order = ["is_weekend", "is_holiday", "is_trading_day", "is_early_close", "premarket_open_at",
+             "regular_open_at", "regular_close_at", "after_hours_close_at", "previous_trading_day",
+             "next_trading_day"]
+    return out.select(*[c for c in df.columns if c not in order], *order)
 
 
 def trading_calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -220,48 +227,44 @@ def trading_calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
 def market_context(df: DataFrame, ts_col: str, prefix: str = "") -> DataFrame:
     """CAL-3: session context for each row's instant.
 
-    Adds session, is_trading_day, is_market_open, is_early_close, trading_date, next_open_at,
-    session_end_at, last_session_close_at, regular_open_at, regular_close_at.
+    Adds session, is_trading_day, is_early_close, trading_date, is_market_open, next_open_at,
+    session_end_at, last_session_close_at, regular_open_at, regular_close_at. Staged like
+    ``with_calendar``: day facts → session bounds → session → derived instants.
     """
-    ts = F.col(ts_col)
-    local = ny_local(ts)
-    day = F.to_date(local)
-    trading = is_trading_day(day)
-    early = is_early_close(day)
-    reg_close_min = F.when(early, EARLY_REGULAR_CLOSE_MIN).otherwise(REGULAR_CLOSE_MIN)
-    ah_close_min = F.when(early, EARLY_AFTER_HOURS_CLOSE_MIN).otherwise(AFTER_HOURS_CLOSE_MIN)
-    pre_open = at_ny_clock(day, PREMARKET_OPEN_MIN)
-    reg_open = at_ny_clock(day, REGULAR_OPEN_MIN)
-    reg_close = at_ny_clock(day, reg_close_min)
-    ah_close = at_ny_clock(day, ah_close_min)
-    nxt = next_trading_day(day)
-    prv = previous_trading_day(day)
-    next_pre_open = at_ny_clock(nxt, PREMARKET_OPEN_MIN)
-    prev_close = at_ny_clock(prv, F.when(is_early_close(prv), EARLY_AFTER_HOURS_CLOSE_MIN)
-                             .otherwise(AFTER_HOURS_CLOSE_MIN))
-    session = (F.when(~trading, "closed")
-               .when(ts < pre_open, "closed")
-               .when(ts < reg_open, "premarket")
-               .when(ts < reg_close, "regular")
-               .when(ts < ah_close, "after_hours")
-               .otherwise("closed"))
     p = prefix
-    out = df.withColumns({
-        f"{p}session": session,
-        f"{p}is_trading_day": trading,
-        f"{p}is_early_close": early,
-        f"{p}trading_date": day,
-    })
-    s = F.col(f"{p}session")
-    return out.withColumns({
-        f"{p}is_market_open": s != "closed",
-        f"{p}next_open_at": F.when(~trading, next_pre_open)
-                             .when(ts < pre_open, pre_open)
-                             .when(ts >= ah_close, next_pre_open),
-        f"{p}session_end_at": F.when(s == "premarket", reg_open)
-                               .when(s == "regular", reg_close)
-                               .when(s == "after_hours", ah_close),
-        f"{p}last_session_close_at": F.when(trading & (ts >= pre_open), ah_close).otherwise(prev_close),
-        f"{p}regular_open_at": F.when(trading, reg_open),
-        f"{p}regular_close_at": F.when(trading, reg_close),
+    ts = F.col(ts_col)
+    cols = df.columns
+    s1 = df.withColumn("_day", F.to_date(ny_local(ts)))
+    d = F.col("_day")
+    s2 = s1.withColumns({"_trading": is_trading_day(d), "_early": is_early_close(d),
+                         "_nxt": next_trading_day(d), "_prv": previous_trading_day(d)})
+    early, trading = F.col("_early"), F.col("_trading")
+    s3 = s2.withColumns({
+        "_pre_open": at_ny_clock(d, PREMARKET_OPEN_MIN),
+        "_reg_open": at_ny_clock(d, REGULAR_OPEN_MIN),
+        "_reg_close": at_ny_clock(d, F.when(early, EARLY_REGULAR_CLOSE_MIN).otherwise(REGULAR_CLOSE_MIN)),
+        "_ah_close": at_ny_clock(d, F.when(early, EARLY_AFTER_HOURS_CLOSE_MIN).otherwise(AFTER_HOURS_CLOSE_MIN)),
+        "_next_pre_open": at_ny_clock(F.col("_nxt"), PREMARKET_OPEN_MIN),
+        "_prev_close": at_ny_clock(F.col("_prv"), F.when(is_early_close(F.col("_prv")), EARLY_AFTER_HOURS_CLOSE_MIN)
+                                   .otherwise(AFTER_HOURS_CLOSE_MIN)),
     })
+    pre_open, reg_open, reg_close, ah_close = (F.col(c) for c in ("_pre_open", "_reg_open", "_reg_close", "_ah_close"))
+    session = (F.when(~trading, "closed").when(ts < pre_open, "closed").when(ts < reg_open, "premarket")
+               .when(ts < reg_close, "regular").when(ts < ah_close, "after_hours").otherwise("closed"))
+    s4 = s3.withColumn("_session", session)
+    sess = F.col("_session")
+    nxt_open = F.col("_next_pre_open")
+    return s4.select(
+        *cols,
+        sess.alias(f"{p}session"),
+        trading.alias(f"{p}is_trading_day"),
+        early.alias(f"{p}is_early_close"),
+        d.alias(f"{p}trading_date"),
+        (sess != "closed").alias(f"{p}is_market_open"),
+        F.when(~trading, nxt_open).when(ts < pre_open, pre_open).when(ts >= ah_close, nxt_open).alias(f"{p}next_open_at"),
+        F.when(sess == "premarket", reg_open).when(sess == "regular", reg_close)
+        .when(sess == "after_hours", ah_close).alias(f"{p}session_end_at"),
+        F.when(trading & (ts >= pre_open), ah_close).otherwise(F.col("_prev_close")).alias(f"{p}last_session_close_at"),
+        F.when(trading, reg_open).alias(f"{p}regular_open_at"),
+        F.when(trading, reg_close).alias(f"{p}regular_close_at"),
+    )

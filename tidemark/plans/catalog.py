@@ -275,3 +275,78 @@ def _q_invalid(c: Ctx):
 def _q_append(c: Ctx):
     valid, _ = split_valid(c.checked)
     return append_events(valid, None).select(*EVENT_COLUMNS)
+
+
+# ------------------------------------------------------------------ symbols and calendar
+from tidemark.functions import calendar as CAL  # noqa: E402
+from tidemark.functions import symbols as SYM  # noqa: E402
+from tidemark.sources.fixtures import load_bars, load_symbol_requests  # noqa: E402
+from tidemark.sources.tables import read_table  # noqa: E402
+
+
+@register("normalize_ticker")
+def _q_normalize(c: Ctx):
+    return SYM.normalize_ticker(load_symbol_requests(c.spark, c.sf_dir), "raw_symbol")
+
+
+@register("symbol_profile")
+def _q_profile(c: Ctx):
+    p = SYM.symbol_profile(load_symbol_requests(c.spark, c.sf_dir), "raw_symbol")
+    return p.withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@register("tracked_tickers")
+def _q_tracked(c: Ctx):
+    return SYM.tracked_tickers(c.watch, "principal_id", "price_alert_threshold", "ticker")
+
+
+@register("news_query_terms")
+def _q_terms(c: Ctx):
+    t = SYM.news_query_terms(load_symbol_requests(c.spark, c.sf_dir), "raw_symbol")
+    return t.select("c_custkey", "raw_symbol", F.posexplode("terms").alias("position", "term")) \
+        .withColumn("position", F.col("position") + 1)
+
+
+def _articles_min(c: Ctx) -> DataFrame:
+    from tidemark.sources.fixtures import FIXTURE_TICKERS, _pick
+    docs = read_table(c.spark, c.sf_dir, "documents", ["doc_id", "text"])
+    return docs.select("doc_id", _pick(FIXTURE_TICKERS[:20], F.pmod("doc_id", F.lit(20))).alias("ticker"), "text")
+
+
+@register("match_entities")
+def _q_match(c: Ctx):
+    m = SYM.match_entities(_articles_min(c), "text", "ticker")
+    return m.select("doc_id", "ticker", F.posexplode("canonical_entity_matches").alias("position", "entity")) \
+        .withColumn("position", F.col("position") + 1)
+
+
+def _calendar_days(c: Ctx) -> DataFrame:
+    """Days derived from the event table: every event's New York date and weekly steps for 3 years."""
+    ev = read_table(c.spark, c.sf_dir, "events", ["ts"])
+    d = ev.select(CAL.ny_date(F.col("ts").cast("timestamp")).alias("d")).distinct()
+    return d.select(F.explode(F.sequence("d", F.date_add("d", 3 * 366), F.expr("INTERVAL 7 DAYS"))).alias("day")) \
+        .distinct()
+
+
+@register("trading_calendar")
+def _q_calendar(c: Ctx):
+    return CAL.with_calendar(_calendar_days(c), "day")
+
+
+@register("infer_session")
+def _q_infer_session(c: Ctx):
+    ev = read_table(c.spark, c.sf_dir, "events", ["event_id", "ts"])
+    ts = F.col("ts").cast("timestamp")
+    return ev.select("event_id", ts.alias("event_time"), CAL.infer_session(ts).alias("session"))
+
+
+@register("market_context")
+def _q_market_context(c: Ctx):
+    ev = read_table(c.spark, c.sf_dir, "events", ["event_id", "ts"])
+    return CAL.market_context(ev.select("event_id", F.col("ts").cast("timestamp").alias("as_of")), "as_of")
+
+
+@register("bars_to_events")
+def _q_bars(c: Ctx):
+    from tidemark.sources.ingest import bars_to_events
+    return bars_to_events(load_bars(c.spark, c.sf_dir), AS_OF, 30, "1h")

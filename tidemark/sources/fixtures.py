@@ -163,3 +163,46 @@ def raw_messages_from_events(events: DataFrame) -> DataFrame:
 def load_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value", "props"])
     return raw_messages_from_events(ev)
+
+
+# Strings users type for symbols, plus three unknown ones (a rule over the symbol catalog).
+UNKNOWN_SYMBOLS = ["ZZY", "Unknown Holdings", ""]
+
+
+def symbol_requests(customer: DataFrame) -> DataFrame:
+    """customer → (c_custkey, raw_symbol): catalog strings in three spellings (as is, lower, padded)."""
+    from tidemark.functions.symbols import symbol_candidates
+    cands = symbol_candidates() + UNKNOWN_SYMBOLS
+    key = F.col("c_custkey")
+    x = _pick(cands, F.pmod(F.floor(key / 3), F.lit(len(cands))))
+    variant = F.pmod(key, F.lit(3))
+    raw = F.when(variant == 1, F.lower(x)).when(variant == 2, F.concat(F.lit("  "), x, F.lit(" "))).otherwise(x)
+    return customer.select(key, raw.alias("raw_symbol"))
+
+
+def load_symbol_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbol_requests(read_table(spark, sf_dir, "customer", ["c_custkey"]))
+
+
+def bars_from_events(events: DataFrame) -> DataFrame:
+    """events → daily OHLCV bars per ticker (UTC day, naive time), with faults (FIXTURES.md 2.4):
+    NULL close on days ≡ 0 mod 7, open 0 on days ≡ 0 mod 5, NULL volume on days ≡ 0 mod 6."""
+    sp = stock_prices_from_events(events)
+    day = F.to_date("event_time")
+    key = (F.unix_micros("event_time").cast("decimal(38,0)") * F.lit(str(10 ** 19)).cast("decimal(38,0)")
+           + F.col("id").cast("decimal(38,0)"))
+    b = sp.groupBy("ticker", day.alias("day")).agg(
+        F.min_by("price", key).alias("Open"), F.max("price").alias("High"), F.min("price").alias("Low"),
+        F.max_by("price", key).alias("Close"), F.sum("volume").alias("Volume"))
+    dom = F.dayofmonth("day")
+    return b.select(
+        "ticker", F.col("day").cast("timestamp_ntz").alias("ts"),
+        F.when(dom % 5 == 0, F.lit(0).cast("decimal(10,2)")).otherwise(F.col("Open")).alias("Open"),
+        "High", "Low",
+        F.when(dom % 7 == 0, F.lit(None).cast("decimal(10,2)")).otherwise(F.col("Close")).alias("Close"),
+        F.when(dom % 6 == 0, F.lit(None).cast("bigint")).otherwise(F.col("Volume")).alias("Volume"))
+
+
+def load_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value", "props"])
+    return bars_from_events(ev)
