@@ -350,3 +350,173 @@ def _q_market_context(c: Ctx):
 def _q_bars(c: Ctx):
     from tidemark.sources.ingest import bars_to_events
     return bars_to_events(load_bars(c.spark, c.sf_dir), AS_OF, 30, "1h")
+
+
+# ------------------------------------------------------------------ news, cache, quality, metrics
+from functools import reduce as _reduce  # noqa: E402
+
+from tidemark.operators import cache as CACHE  # noqa: E402
+from tidemark.operators import news as NEWS  # noqa: E402
+from tidemark.operators import quality as DQ  # noqa: E402
+from tidemark.sources.fixtures import (load_articles, metric_events_from_events,  # noqa: E402
+                                       request_logs_from_events)
+
+CACHE_AS_OF = ["2024-01-10 15:00:00", "2024-01-10 03:00:00", "2024-01-13 15:00:00", "2024-01-15 15:00:00"]
+INVALIDATE_TICKERS = ["AAPL", "MSFT", "NVDA"]
+
+
+def _articles(c: Ctx) -> DataFrame:
+    return NEWS.dedupe_articles(load_articles(c.spark, c.sf_dir))
+
+
+def _enriched(c: Ctx) -> DataFrame:
+    return NEWS.attach_cluster_counts(NEWS.enrich_articles(_articles(c)))
+
+
+def _cache(c: Ctx) -> DataFrame:
+    enriched = _enriched(c).drop("page_text")
+    keys = ["ticker", "cache_date"]
+    e2 = enriched.withColumn("cache_date", F.to_date("published_at"))
+    metrics = NEWS.news_metrics(e2, keys=keys)
+    summaries = NEWS.template_summary(metrics, NEWS.first_headlines(e2, 3, keys), keys=keys)
+    return CACHE.build_cache(enriched, c.raw, summaries)
+
+
+@register("article_dedupe")
+def _q_article_dedupe(c: Ctx):
+    return _articles(c).select("article_id", "fetch_batch", "article_key")
+
+
+@register("article_entities")
+def _q_article_entities(c: Ctx):
+    a = _articles(c).withColumn("entity_text", NEWS._joined_text("title", "description"))
+    return NEWS.top_entities(NEWS.entity_mentions(a, "entity_text"))
+
+
+@register("topic_cluster")
+def _q_topic_cluster(c: Ctx):
+    return _articles(c).select("article_id", NEWS.topic_cluster(NEWS._joined_text("title", "description"))
+                               .alias("cluster"))
+
+
+@register("source_quality")
+def _q_source_quality(c: Ctx):
+    return _articles(c).select("article_id", "url", "source_name",
+                               NEWS.source_quality(F.col("url"), F.col("source_name")).alias("source_quality_score"))
+
+
+@register("impact_score")
+def _q_impact(c: Ctx):
+    return _enriched(c).select("article_id", "ticker", "cluster", "cluster_article_count", "source_quality_score",
+                               "impact_score", "impact_label", F.size("entities").alias("entity_count"))
+
+
+@register("news_metrics")
+def _q_news_metrics(c: Ctx):
+    from tidemark.sources.fixtures import FIXTURE_TICKERS
+    tick = c.spark.createDataFrame([(t,) for t in FIXTURE_TICKERS], "ticker string")
+    return NEWS.news_metrics(_enriched(c), tick)
+
+
+@register("summary_job")
+def _q_summary_job(c: Ctx):
+    enriched = _enriched(c)
+    return NEWS.summary_job(NEWS.news_metrics(enriched), enriched)
+
+
+@register("sentiment_over_time")
+def _q_sentiment(c: Ctx):
+    return CACHE.sentiment_over_time(_cache(c), None, 30)
+
+
+@register("latest_cache_row")
+def _q_latest_cache(c: Ctx):
+    r = CACHE.latest_cache_row(_cache(c))
+    return r.select("ticker", "cache_date", "live_price", "live_volume", "live_event_time", "live_source",
+                    "live_expires_at", "live_updated_at", "news_expires_at", "news_updated_at", "updated_at",
+                    F.coalesce(F.size("news_articles"), F.lit(0)).alias("article_count"))
+
+
+@register("cache_status")
+def _q_cache_status(c: Ctx):
+    latest = CACHE.latest_cache_row(_cache(c)).drop("news_articles")
+    return CACHE.cache_status(latest, CACHE_AS_OF, list(CACHE.SCOPES))
+
+
+def _provider_quotes(c: Ctx) -> DataFrame:
+    """Provider answers for tickers whose last event id is even (the others 'fail')."""
+    from tidemark.plans.queries import latest_rows
+    last = latest_rows(c.raw.select("ticker", "id", "price", "volume", "event_time"), "ticker", ["event_time", "id"])
+    return last.filter(F.pmod("id", F.lit(2)) == 0).drop("id")
+
+
+@register("resolve_quotes")
+def _q_resolve(c: Ctx):
+    return CACHE.resolve_quotes(_provider_quotes(c), CACHE.latest_cache_row(_cache(c)))
+
+
+@register("upsert")
+def _q_upsert(c: Ctx):
+    q = _provider_quotes(c)
+    changes = q.select("ticker", F.to_date(F.lit(AS_OF)).alias("cache_date"), F.col("price").alias("live_price"),
+                       F.col("volume").alias("live_volume"), F.col("event_time").alias("live_event_time"),
+                       F.lit("yfinance_live_api").alias("live_source"),
+                       (F.lit(AS_OF).cast("timestamp") + F.expr("INTERVAL 15 MINUTES")).alias("live_expires_at"),
+                       F.lit(AS_OF).cast("timestamp").alias("live_updated_at"))
+    up = CACHE.upsert(_cache(c).drop("news_articles"), changes, CACHE.KEYS, CACHE.LIVE_COLUMNS, "updated_at", AS_OF)
+    return up.select("ticker", "cache_date", *CACHE.LIVE_COLUMNS, "news_updated_at", "updated_at")
+
+
+@register("invalidate")
+def _q_invalidate(c: Ctx):
+    t = c.spark.createDataFrame([(x,) for x in INVALIDATE_TICKERS], "ticker string")
+    inv = CACHE.invalidate(_cache(c).drop("news_articles"), t, ["live", "news_summary"], AS_OF)
+    return inv.select("ticker", "cache_date", *CACHE.LIVE_COLUMNS, "news_summary_expires_at", "news_updated_at",
+                      "updated_at", F.col("news_summary").isNull().alias("summary_cleared"))
+
+
+@register("dq_checks")
+def _q_dq(c: Ctx):
+    return DQ.run_checks(c.raw, c.daily, AS_OF)
+
+
+@register("dq_duplicates")
+def _q_dq_dups(c: Ctx):
+    valid, _ = split_valid(c.checked)
+    return DQ.duplicate_groups(valid)
+
+
+@register("lineage")
+def _q_lineage(c: Ctx):
+    daily = c.daily
+    marts = {"daily_stock_summary": daily, "intraday_stock_rollup": c.hourly,
+             "stock_drawdown_recovery": M.stock_drawdown_recovery(daily),
+             "stock_risk_indicators": M.stock_risk_indicators(daily),
+             "sector_daily_summary": M.sector_daily_summary(daily),
+             "benchmark_relative_strength": M.benchmark_relative_strength(daily),
+             "market_regime_summary": M.market_regime_summary(daily),
+             "stock_anomaly_history": M.stock_anomaly_history(daily),
+             "stock_signal_feature_store": M.signal_feature_store(daily, AS_OF)}
+    used = {}
+    for q, (src, mart, ts_col, date_col) in DQ.LINEAGE_BINDINGS.items():
+        used[mart] = (marts[mart], ts_col, date_col)
+    return DQ.lineage_many(c.raw, used, AS_OF, "stock_prices", {q: b[1] for q, b in DQ.LINEAGE_BINDINGS.items()})
+
+
+def _events(c: Ctx) -> DataFrame:
+    return read_table(c.spark, c.sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+
+
+@register("metrics_rollup")
+def _q_metrics(c: Ctx):
+    return DQ.rollup_metrics(metric_events_from_events(_events(c)))
+
+
+@register("request_log_metrics")
+def _q_request_logs(c: Ctx):
+    return DQ.rollup_metrics(DQ.request_log_metrics(request_logs_from_events(_events(c))))
+
+
+@register("metric_samples")
+def _q_metric_samples(c: Ctx):
+    return DQ.metric_samples(DQ.rollup_metrics(DQ.request_log_metrics(request_logs_from_events(_events(c)))))

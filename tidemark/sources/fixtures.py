@@ -206,3 +206,63 @@ def bars_from_events(events: DataFrame) -> DataFrame:
 def load_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value", "props"])
     return bars_from_events(ev)
+
+
+def articles_from_documents(documents: DataFrame) -> DataFrame:
+    """documents → news article rows (FIXTURES.md 2.3).
+
+    title = keyword + first 8 words, description = next 20 words, url on a rated / unrated /
+    missing domain, press-release source every 17th article, published over 30 days, a
+    deterministic sentiment; one fetch batch per (ticker, publication day), arrival = doc_id.
+    """
+    did = F.col("doc_id")
+    words = F.split(F.trim(F.coalesce(F.col("text"), F.lit(""))), r"\s+")
+    kw = _pick(ARTICLE_KEYWORDS, F.pmod(did, F.lit(len(ARTICLE_KEYWORDS))))
+    kw = F.when(kw == "none", F.lit(None)).otherwise(kw)
+    domain = _pick(ARTICLE_DOMAINS, F.pmod(did, F.lit(len(ARTICLE_DOMAINS))))
+    published = F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(13), F.lit(0), F.lit(0)) \
+        + F.make_interval(days=F.pmod(did, F.lit(30)).cast("int"))
+    ticker = _pick(FIXTURE_TICKERS[:20], F.pmod(did, F.lit(20)))
+    return documents.select(
+        did.alias("article_id"), ticker.alias("ticker"),
+        F.concat(ticker, F.lit(":"), F.date_format(published, "yyyy-MM-dd")).alias("fetch_batch"),
+        did.alias("position"),
+        F.concat_ws(" ", kw, F.array_join(F.slice(words, 1, 8), " ")).alias("title"),
+        F.array_join(F.slice(words, 9, 20), " ").alias("description"),
+        F.when(domain.isNotNull(), F.concat(F.lit("https://www."), domain, F.lit("/news/"), did.cast("string")))
+        .alias("url"),
+        published.alias("published_at"),
+        F.when(F.pmod(did, F.lit(17)) == 0, F.lit("Press Release Wire")).otherwise(F.col("source")).alias("source_name"),
+        F.round((F.pmod(did * 37, F.lit(201)) - 100) / 100, 2).alias("sentiment"),
+        F.col("text").alias("page_text"),
+    )
+
+
+def load_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    return articles_from_documents(docs)
+
+
+# Fixed rule: HTTP method per event type of the driver's event table (request-log fixture).
+EVENT_METHODS = {"view": "GET", "click": "POST", "purchase": "POST", "signup": "PUT", "error": "DELETE"}
+METRIC_KINDS = ["counter", "gauge", "timing"]
+
+
+def request_logs_from_events(events: DataFrame) -> DataFrame:
+    """events → structured request logs (FIXTURES.md 2.4): status 500 every 20th request."""
+    methods = F.create_map(*[F.lit(x) for kv in EVENT_METHODS.items() for x in kv])
+    return events.select(
+        F.col("event_id").alias("request_id"), F.coalesce(F.element_at(methods, F.col("event_type")), F.lit("GET"))
+        .alias("method"), F.concat(F.lit("/"), F.col("event_type")).alias("path"),
+        F.when(F.pmod("event_id", F.lit(20)) == 0, 500).otherwise(200).alias("status_code"),
+        F.col("value").alias("duration_ms"), F.col("user_id").cast("string").alias("client_host"),
+        F.col("ts").cast("timestamp").alias("ts"))
+
+
+def metric_events_from_events(events: DataFrame) -> DataFrame:
+    """events → metric events (name, kind, value, ts, seq): kind by event_id % 3."""
+    kind = _pick(METRIC_KINDS, F.pmod("event_id", F.lit(3)))
+    return events.select(
+        F.concat(F.lit("api.request."), F.col("event_type")).alias("name"), kind.alias("kind"),
+        F.when(kind == "counter", F.lit(1)).otherwise(F.round(F.col("value"), 2)).cast("decimal(20,2)").alias("value"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
