@@ -520,3 +520,36 @@ def _q_request_logs(c: Ctx):
 @register("metric_samples")
 def _q_metric_samples(c: Ctx):
     return DQ.metric_samples(DQ.rollup_metrics(DQ.request_log_metrics(request_logs_from_events(_events(c)))))
+
+
+# ------------------------------------------------------------------ streaming (run to completion)
+import uuid as _uuid  # noqa: E402
+
+from tidemark.session import scratch_path  # noqa: E402
+from tidemark.streaming import jobs as STREAM  # noqa: E402
+
+
+def _event_stream(c: Ctx) -> DataFrame:
+    from tidemark.sources.tables import table_path
+    schema = c.spark.read.parquet(table_path(c.sf_dir, "events")).schema
+    return c.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(c.sf_dir)
+
+
+@register("stream_ingest")
+def _q_stream_ingest(c: Ctx):
+    from tidemark.sources.fixtures import raw_messages_from_events
+    run = scratch_path(c.spark, f"stream-ingest-{_uuid.uuid4().hex}")
+    q = STREAM.ingest_stream(raw_messages_from_events(_event_stream(c)), f"{run}/events", f"{run}/dead",
+                             f"{run}/_checkpoint")
+    q.awaitTermination()
+    return c.spark.read.parquet(f"{run}/events").select(*EVENT_COLUMNS)
+
+
+@register("stream_hourly_bars")
+def _q_stream_bars(c: Ctx):
+    from tidemark.sources.fixtures import stock_prices_from_events
+    run = scratch_path(c.spark, f"stream-bars-{_uuid.uuid4().hex}")
+    ev = stage_stock_prices(stock_prices_from_events(_event_stream(c)))
+    q = STREAM.stream_hourly_bars(ev, f"{run}/bars", f"{run}/_checkpoint")
+    q.awaitTermination()
+    return STREAM.current_bars(c.spark, f"{run}/bars")
