@@ -85,8 +85,11 @@ def dedupe_articles(articles: DataFrame, batch_col: str = "fetch_batch", order_c
     """
     keyed = articles.withColumn("article_key", article_key(F.col("title"), F.col("description"))) \
         .filter(F.col("article_key") != "")
-    first = keyed.groupBy(batch_col, "article_key").agg(F.min(order_col).alias("_first"))
-    return keyed.join(first, [batch_col, "article_key"]).filter(F.col(order_col) == F.col("_first")).drop("_first")
+    # one aggregate with map-side combine: a key copied many times is reduced before the shuffle
+    cols = [c for c in keyed.columns if c not in (batch_col, "article_key")]
+    g = keyed.groupBy(batch_col, "article_key").agg(
+        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"))
+    return g.select(*[F.col(f"_r.{c}").alias(c) if c in cols else F.col(c) for c in keyed.columns])
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -94,6 +97,31 @@ def normalize_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x{1c}-\x{1f}]+", " "))
 
 
+def _mention_array(text_col: str, ticker_col: str) -> Column:
+    """All entity mentions of a row's (whitespace-normalised) text, in order: canonical matches of
+    the ticker's profile first, then capitalised phrases (stopwords dropped, ticker upper-cased)."""
+    raw = F.regexp_extract_all(F.col(text_col), F.lit(ENTITY_PATTERN), 0)
+    stop = F.array(*[F.lit(s) for s in STOPWORDS])
+    tk = F.upper(F.coalesce(F.col(ticker_col), F.lit("")))
+    mapped = F.filter(F.transform(raw, lambda e: F.when(F.upper(F.trim(e)) == tk, F.upper(F.trim(e)))
+                                  .when(F.array_contains(stop, F.lower(F.trim(e))), F.lit(None))
+                                  .otherwise(F.trim(e))), lambda e: e.isNotNull())
+    return F.when(F.col(text_col) == "", F.array().cast("array<string>")) \
+        .otherwise(F.concat(F.col("canonical_entity_matches"), mapped))
+
+
+def rank_mentions_inline(mentions: Column, n: int = TOP_ENTITIES_PER_ARTICLE) -> Column:
+    """Top-n (name, count) of a mention array inside the row: count desc, first mention asc.
+
+    Quadratic in the mentions of one row, so meant for short texts (titles + descriptions);
+    long texts go through ``entity_mentions`` + ``top_entities`` (grouped, linear)."""
+    keyed = F.transform(F.array_distinct(mentions), lambda x: F.struct(
+        (-F.size(F.filter(mentions, lambda y: y == x))).alias("nc"),
+        F.array_position(mentions, x).alias("pos"), x.alias("name")))
+    top = F.slice(F.array_sort(keyed), 1, n)
+    return F.transform(top, lambda e: F.struct(e["name"].alias("name"), (-e["nc"]).cast("bigint").alias("count")))
+
+
 def entity_mentions(articles: DataFrame, text_col: str = "entity_text", ticker_col: str = "ticker",
                     id_col: str = "article_id") -> DataFrame:
     """Every entity mention of every article with its position: canonical matches first (profile
@@ -103,15 +131,7 @@ def entity_mentions(articles: DataFrame, text_col: str = "entity_text", ticker_c
     """
     base = articles.select(id_col, ticker_col, normalize_whitespace(F.col(text_col)).alias("_text"))
     canon = match_entities(base, "_text", ticker_col).select(id_col, "canonical_entity_matches", ticker_col, "_text")
-    raw = F.regexp_extract_all(F.col("_text"), F.lit(ENTITY_PATTERN), 0)
-    stop = F.array(*[F.lit(s) for s in STOPWORDS])
-    tk = F.upper(F.coalesce(F.col(ticker_col), F.lit("")))
-    mapped = F.filter(F.transform(raw, lambda e: F.when(F.upper(F.trim(e)) == tk, F.upper(F.trim(e)))
-                                  .when(F.array_contains(stop, F.lower(F.trim(e))), F.lit(None))
-                                  .otherwise(F.trim(e))), lambda e: e.isNotNull())
-    allm = F.when(F.col("_text") == "", F.array().cast("array<string>")) \
-        .otherwise(F.concat(F.col("canonical_entity_matches"), mapped))
-    return canon.select(id_col, F.posexplode(allm).alias("pos", "name"))
+    return canon.select(id_col, F.posexplode(_mention_array("_text", ticker_col)).alias("pos", "name"))
 
 
 def top_entities(mentions: DataFrame, id_col: str = "article_id", n: int = TOP_ENTITIES_PER_ARTICLE,
@@ -127,8 +147,17 @@ def top_entities(mentions: DataFrame, id_col: str = "article_id", n: int = TOP_E
     return g.withColumn("rank", rk).filter(F.col("rank") <= n).select(id_col, "rank", "name", "count")
 
 
-def extract_entities(articles: DataFrame, text_col: str = "entity_text", id_col: str = "article_id") -> DataFrame:
-    """NWS-3: ``entities`` = top 6 (name, count) per article as ARRAY<STRUCT<name, count>>."""
+def extract_entities(articles: DataFrame, text_col: str = "entity_text", id_col: str = "article_id",
+                     long_text: bool = False) -> DataFrame:
+    """NWS-3: ``entities`` = top 6 (name, count) per article as ARRAY<STRUCT<name, count>>.
+
+    Short texts (default): ranked inside the row — no shuffle, no join. ``long_text=True``:
+    mentions are exploded and counted with a grouped aggregate, then joined back."""
+    if not long_text:
+        cols = articles.columns
+        base = articles.withColumn("_text", normalize_whitespace(F.col(text_col)))
+        prof = match_entities(base, "_text", "ticker")
+        return prof.select(*cols, rank_mentions_inline(_mention_array("_text", "ticker")).alias("entities"))
     top = top_entities(entity_mentions(articles, text_col, "ticker", id_col), id_col)
     packed = top.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("rank", "name", "count"))).alias("_e"))
@@ -382,18 +411,28 @@ def summary_job(metrics: DataFrame, articles: DataFrame,
                     .alias("fallback_reason"))
 
 
-def article_content(articles: DataFrame, pages: DataFrame | None = None, url_col: str = "url") -> DataFrame:
-    """NWS-16: content = fetched page text by URL when present, else title + description (or
-    description / title when there is no URL); entities refilled from content when empty."""
+def article_content(articles: DataFrame, pages: DataFrame | None = None, id_col: str = "article_id",
+                    page_id_col: str = "page_id") -> DataFrame:
+    """NWS-16: content = fetched page text when the article has a URL and a page was fetched,
+    else title + description; without a URL, description or title. Entities are refilled from the
+    content for articles whose entity list is empty (when ``entities`` is present)."""
     a = articles
     if pages is not None:
-        p = pages.select(F.col(url_col).alias("_url"), F.col("page_text").alias("_page"))
-        a = a.join(p, a[url_col] == p["_url"], "left").drop("_url")
+        p = pages.select(F.col(page_id_col).alias("_pid"), F.col("page_text").alias("_page"))
+        a = a.join(p, a[id_col] == p["_pid"], "left").drop("_pid")
     else:
         a = a.withColumn("_page", F.lit(None).cast("string"))
     fallback = F.trim(_joined_text("title", "description"))
     no_url = F.coalesce(F.when(F.col("description") != "", F.col("description")),
                         F.when(F.col("title") != "", F.col("title")), F.lit(""))
-    content = F.when(F.col(url_col).isNull() | (F.col(url_col) == ""), no_url) \
+    content = F.when(F.col("url").isNull() | (F.col("url") == ""), no_url) \
         .otherwise(F.coalesce(F.when(F.trim("_page") != "", F.trim("_page")), fallback))
-    return a.withColumn("content", content).drop("_page")
+    out = a.withColumn("content", content).drop("_page")
+    if "entities" in out.columns:
+        empty = out.filter(F.size("entities") == 0).drop("entities")
+        refilled = extract_entities(empty.withColumn("entity_text", F.col("content"))
+                                    .withColumn("ticker", F.lit("")), "entity_text", id_col, long_text=True) \
+            .drop("entity_text")
+        keep = out.filter(F.size("entities") > 0)
+        out = keep.unionByName(refilled.withColumn("ticker", F.col("ticker")), allowMissingColumns=True)
+    return out

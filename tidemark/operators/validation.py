@@ -66,7 +66,7 @@ def _float_parse(jtype: Column, text: Column, field: str) -> tuple[Column, Colum
     txt_ok = F.lower(text).rlike(FLOAT_TEXT)
     val = (F.when(is_num, text.cast("double"))
            .when(is_bool, F.when(text == "true", 1.0).otherwise(0.0))
-           .when((jtype == "STRING") & txt_ok, F.regexp_replace(F.trim(text), "_", "").cast("double")))
+           .when((jtype == "STRING") & txt_ok, F.translate(F.trim(text), "_", "").cast("double")))
     err = (F.when(jtype == "VOID", F.lit("float() argument must be a string or a real number, not 'NoneType'"))
            .when((jtype == "STRING") & ~txt_ok, F.concat(F.lit("could not convert string to float: "), _py_repr(text)))
            .when(jtype.startswith("OBJECT") | jtype.startswith("ARRAY"),
@@ -77,8 +77,9 @@ def _float_parse(jtype: Column, text: Column, field: str) -> tuple[Column, Colum
 
 def _price_value(jtype: Column, text: Column) -> Column:
     """Price rounded to 2 places (half up on the decimal text) as DECIMAL(10,2)."""
-    t = F.regexp_replace(F.trim(text), "_", "")
-    return F.round(t.try_cast("decimal(38,10)"), 2).try_cast(DEC)
+    # DECIMAL(18,8) keeps the arithmetic in 64-bit longs; anything wider overflows DECIMAL(10,2) anyway
+    t = F.translate(F.trim(text), "_", "")
+    return F.round(t.try_cast("decimal(18,8)"), 2).try_cast(DEC)
 
 
 def _finite_nonneg(d: Column) -> Column:
@@ -119,7 +120,7 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
     volume = (F.when(vol_is_int, vo_x.cast("bigint"))
               .when(vol_is_frac, F.when(vol_d.isNotNull() & ~F.isnan(vol_d) & (F.abs(vol_d) != float("inf")),
                                         vo_x.try_cast("decimal(38,10)").cast("bigint")))
-              .when((vo_t == "STRING") & vol_text_ok, F.regexp_replace(F.trim(vo_x), "_", "").try_cast("bigint"))
+              .when((vo_t == "STRING") & vol_text_ok, F.translate(F.trim(vo_x), "_", "").try_cast("bigint"))
               .when(vo_t == "BOOLEAN", F.when(vo_x == "true", 1).otherwise(0).cast("bigint")))
     vol_err = (F.when(vo_t == "VOID", F.lit("int() argument must be a string, a bytes-like object or a real number, "
                                             "not 'NoneType'"))
@@ -151,7 +152,7 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
         _price_value(c("_t_price"), c("_x_price")).alias("price"),
         volume.alias("volume"), vol_err.alias("_vol_err"),
         et_text.alias("_et_text"),
-        (et_x.rlike(ISO_DATETIME) & et_text.try_cast("timestamp").isNotNull()).alias("_iso_ok"),
+        F.when(et_x.rlike(ISO_DATETIME), et_text.try_cast("timestamp")).alias("_et_ts"),
         et_x.rlike(TZ_SUFFIX).alias("_has_tz"),
         F.coalesce(F.nullif(F.trim(c("_x_source")), F.lit("")), F.lit("unknown")).alias("source"),
         kind.alias("event_kind"), interval.alias("bar_interval"), session.alias("market_session"),
@@ -182,7 +183,7 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
         F.when(~_finite_nonneg(F.round(c("_price_d"), 2)), F.lit(MSG_PRICE)),
         c("_vol_err"),
         F.when(c("volume") < 0, F.lit(MSG_VOLUME)),
-        F.when(~c("_iso_ok"), F.concat(F.lit("Invalid isoformat string: "), _py_repr(c("_et_text")))),
+        F.when(c("_et_ts").isNull(), F.concat(F.lit("Invalid isoformat string: "), _py_repr(c("_et_text")))),
         F.when(~c("_has_tz"), F.lit(MSG_TZ)),
         one_of("event_kind", c("event_kind"), ALLOWED_EVENT_KINDS),
         one_of("bar_interval", c("bar_interval"), ALLOWED_BAR_INTERVALS),
@@ -191,7 +192,7 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
         F.when(all4 & (h < F.greatest(o, cl, lo)), F.lit(MSG_HIGH)),
         F.when(all4 & (lo > F.least(o, cl, h)), F.lit(MSG_LOW)),
     )
-    event_time = F.when(c("_iso_ok") & c("_has_tz"), c("_et_text").try_cast("timestamp"))
+    event_time = F.when(c("_has_tz"), c("_et_ts"))
     # ``_barrier`` (spark_partition_id(), non-deterministic) keeps filters on the result above this
     # projection as long as they reference it (see ``split_valid``): the rules are evaluated once per
     # row instead of being substituted into every predicate down to the scan.

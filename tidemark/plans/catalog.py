@@ -374,7 +374,7 @@ def _enriched(c: Ctx) -> DataFrame:
 
 
 def _cache(c: Ctx) -> DataFrame:
-    enriched = _enriched(c).drop("page_text")
+    enriched = _enriched(c)
     keys = ["ticker", "cache_date"]
     e2 = enriched.withColumn("cache_date", F.to_date("published_at"))
     metrics = NEWS.news_metrics(e2, keys=keys)
@@ -553,3 +553,11 @@ def _q_stream_bars(c: Ctx):
     q = STREAM.stream_hourly_bars(ev, f"{run}/bars", f"{run}/_checkpoint")
     q.awaitTermination()
     return STREAM.current_bars(c.spark, f"{run}/bars")
+
+
+
+@register("article_content")
+def _q_article_content(c: Ctx):
+    from tidemark.sources.fixtures import pages_text
+    pages = pages_text(read_table(c.spark, c.sf_dir, "pages", ["page_id", "html"]))
+    return NEWS.article_content(_articles(c), pages).select("article_id", "url", "content")

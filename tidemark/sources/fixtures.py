@@ -216,7 +216,10 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
     deterministic sentiment; one fetch batch per (ticker, publication day), arrival = doc_id.
     """
     did = F.col("doc_id")
-    words = F.split(F.trim(F.coalesce(F.col("text"), F.lit(""))), r"\s+")
+    # the first 28 words via an anchored match: the regex stops after them instead of splitting
+    # a text of up to 20,000 words
+    lead = F.regexp_extract(F.coalesce(F.col("text"), F.lit("")), r"^\s*((?:\S+\s+){0,27}\S+)", 1)
+    words = F.split(lead, r"\s+")
     kw = _pick(ARTICLE_KEYWORDS, F.pmod(did, F.lit(len(ARTICLE_KEYWORDS))))
     kw = F.when(kw == "none", F.lit(None)).otherwise(kw)
     domain = _pick(ARTICLE_DOMAINS, F.pmod(did, F.lit(len(ARTICLE_DOMAINS))))
@@ -234,7 +237,6 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
         published.alias("published_at"),
         F.when(F.pmod(did, F.lit(17)) == 0, F.lit("Press Release Wire")).otherwise(F.col("source")).alias("source_name"),
         F.round((F.pmod(did * 37, F.lit(201)) - 100) / 100, 2).alias("sentiment"),
-        F.col("text").alias("page_text"),
     )
 
 
@@ -243,6 +245,12 @@ def load_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles_from_documents(docs)
 
 
+def pages_text(pages: DataFrame) -> DataFrame:
+    """pages → (page_id, page_text): HTML without tags, whitespace collapsed (article bodies)."""
+    txt = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"<[^>]*>", " "), r"\s+", " ")
+    return pages.select("page_id", F.trim(txt).alias("page_text"))
+
+
 # Fixed rule: HTTP method per event type of the driver's event table (request-log fixture).
 EVENT_METHODS = {"view": "GET", "click": "POST", "purchase": "POST", "signup": "PUT", "error": "DELETE"}
 METRIC_KINDS = ["counter", "gauge", "timing"]
