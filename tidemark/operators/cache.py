@@ -220,3 +220,43 @@ def sentiment_over_time(cache: DataFrame, ticker: str | None = None, limit: int
         rk = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("cache_date")))
         g = g.withColumn("_r", rk).filter(F.col("_r") <= limit).drop("_r")
     return g
+
+
+def refresh(cache: DataFrame, tickers: DataFrame, scopes: list[str], as_of: str, provider_quotes: DataFrame | None = None,
+            provider_news: DataFrame | None = None, summaries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """FRS-4: refresh the requested scopes of the requested tickers.
+
+    live → provider quotes upserted into the live family (FRS-2 / MUT-1); news → provider
+    articles into the news family; news_summary → new summaries into the summary family. Returns
+    (new cache, one result row per (ticker, scope))."""
+    key_date = F.to_date(F.lit(as_of))
+    now = F.lit(as_of).cast("timestamp")
+    t = tickers.select("ticker").distinct()
+    out = cache
+    results = []
+    if "live" in scopes and provider_quotes is not None:
+        q = provider_quotes.join(t, "ticker", "left_semi")
+        ch = q.select("ticker", key_date.alias("cache_date"), F.col("price").alias("live_price"),
+                      F.col("volume").alias("live_volume"), F.col("event_time").alias("live_event_time"),
+                      F.lit("yfinance_live_api").alias("live_source"),
+                      (now + _minutes(LIVE_TTL_MIN)).alias("live_expires_at"), now.alias("live_updated_at"))
+        out = upsert(out, ch, KEYS, LIVE_COLUMNS, "updated_at", as_of)
+        results.append(q.select("ticker", F.lit("live").alias("scope")))
+    if "news" in scopes and provider_news is not None:
+        n = provider_news.join(t, "ticker", "left_semi")
+        ch = n.select("ticker", key_date.alias("cache_date"), "news_articles", now.alias("news_updated_at"),
+                      (now + _minutes(NEWS_TTL_MIN)).alias("news_expires_at"))
+        out = upsert(out, ch, KEYS, ["news_articles", "news_updated_at", "news_expires_at"], "updated_at", as_of)
+        results.append(n.select("ticker", F.lit("news").alias("scope")))
+    if "news_summary" in scopes and summaries is not None:
+        s = summaries.join(t, "ticker", "left_semi")
+        ch = s.select("ticker", key_date.alias("cache_date"), F.col("summary").alias("news_summary"),
+                      F.col("source").alias("summary_source"), F.col("model").alias("summary_model"),
+                      F.col("fallback_reason").alias("summary_fallback_reason"),
+                      (now + _minutes(SUMMARY_TTL_MIN)).alias("news_summary_expires_at"))
+        out = upsert(out, ch, KEYS, SUMMARY_COLUMNS, "updated_at", as_of)
+        results.append(s.select("ticker", F.lit("news_summary").alias("scope")))
+    from functools import reduce
+    res = reduce(DataFrame.unionByName, results) if results else t.select("ticker", F.lit(None).cast("string")
+                                                                                       .alias("scope"))
+    return out, res.withColumns({"refreshed": F.lit(True), "invalidated": F.lit(False)})

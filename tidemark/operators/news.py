@@ -436,3 +436,52 @@ def article_content(articles: DataFrame, pages: DataFrame | None = None, id_col:
         keep = out.filter(F.size("entities") > 0)
         out = keep.unionByName(refilled.withColumn("ticker", F.col("ticker")), allowMissingColumns=True)
     return out
+
+
+# NWS-13 (re-aimed): the reference calls an external scorer whose lexicon is not part of it.
+# This is our own small finance lexicon (word → valence); parity with that scorer is not claimed.
+OWN_LEXICON = {
+    "beat": 1.5, "beats": 1.5, "gain": 1.2, "gains": 1.2, "growth": 1.4, "record": 1.1, "strong": 1.6,
+    "surge": 1.8, "upgrade": 1.5, "profit": 1.3, "rally": 1.6, "rise": 1.0, "rises": 1.0, "up": 0.5,
+    "miss": -1.5, "misses": -1.5, "loss": -1.6, "losses": -1.6, "weak": -1.4, "drop": -1.2, "drops": -1.2,
+    "fall": -1.1, "falls": -1.1, "downgrade": -1.5, "lawsuit": -1.3, "fraud": -2.5, "crash": -2.4,
+    "down": -0.5, "risk": -0.8, "cut": -1.0, "cuts": -1.0,
+}
+SENTIMENT_ALPHA = 15
+
+
+def sentiment_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
+    """NWS-13: compound polarity in [-1, 1]: sum of token valences s, normalised s / sqrt(s² + 15).
+
+    Tokens are runs of ASCII letters of the lower-cased text; the lexicon is a literal map (its
+    size is fixed by the caller), so scoring stays inside the row — no join, no shuffle."""
+    lex = lexicon or OWN_LEXICON
+    m = F.create_map(*[x for k, v in lex.items() for x in (F.lit(k), F.lit(float(v)))])
+    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), 0)
+    s = F.aggregate(F.transform(toks, lambda t: F.coalesce(F.element_at(m, t), F.lit(0.0))), F.lit(0.0),
+                    lambda acc, x: acc + x)
+    return F.round(s / F.sqrt(s * s + F.lit(float(SENTIMENT_ALPHA))), 4)
+
+
+def resolve_news(provider: DataFrame, cache_latest: DataFrame, as_of: str) -> DataFrame:
+    """FRS-3: per ticker: fresh cached articles → 'daily_cache'; else provider articles →
+    'newsapi'; else stale cached articles → 'daily_cache_stale'; else an error row.
+
+    ``provider``: (ticker, article_count) of a successful fetch; ``cache_latest``: latest cache
+    row per ticker (with the news columns)."""
+    from tidemark.operators.cache import cache_status
+    st = cache_status(cache_latest, as_of, "news").select("ticker", "is_stale", "freshness_reason")
+    c = cache_latest.select("ticker", F.coalesce(F.size("news_articles"), F.lit(0)).alias("cached_articles")) \
+        .join(st, "ticker", "left")
+    p = provider.select("ticker", F.col("article_count").alias("fetched_articles"), F.lit(True).alias("_ok"))
+    j = c.join(p, "ticker", "full")
+    has_cache = F.coalesce(F.col("cached_articles"), F.lit(0)) > 0
+    fresh = has_cache & ~F.coalesce(F.col("is_stale"), F.lit(True))
+    ok = F.coalesce(F.col("_ok"), F.lit(False))
+    source = F.when(fresh, "daily_cache").when(ok, "newsapi").when(has_cache, "daily_cache_stale")
+    return j.select("ticker", source.alias("source"),
+                    F.when(fresh | (~ok & has_cache), F.col("cached_articles")).when(ok, F.col("fetched_articles"))
+                    .cast("bigint").alias("article_count"),
+                    F.when(~fresh & ~ok & has_cache,
+                           F.lit("Served stale cache because refresh failed")).alias("fallback_reason"),
+                    F.when(source.isNull(), F.lit("No news available")).alias("error"))

@@ -561,3 +561,84 @@ def _q_article_content(c: Ctx):
     from tidemark.sources.fixtures import pages_text
     pages = pages_text(read_table(c.spark, c.sf_dir, "pages", ["page_id", "html"]))
     return NEWS.article_content(_articles(c), pages).select("article_id", "url", "content")
+
+
+# ------------------------------------------------------------------ more operators
+@register("sentiment_score")
+def _q_sentiment_score(c: Ctx):
+    a = _articles(c)
+    return a.select("article_id", NEWS.sentiment_score(NEWS._joined_text("title", "description")).alias("score"))
+
+
+def _provider_news(c: Ctx) -> DataFrame:
+    """Provider fetch results: tickers whose index in the fixture list is odd answer."""
+    from tidemark.sources.fixtures import FIXTURE_TICKERS
+    ok = [t for i, t in enumerate(FIXTURE_TICKERS[:20]) if i % 2 == 1]
+    e = _enriched(c).filter(F.col("ticker").isin(*ok))
+    return e.groupBy("ticker").agg(F.count(F.lit(1)).alias("article_count"),
+                                   F.collect_list(F.struct("title", "url", "sentiment")).alias("news_articles"))
+
+
+@register("resolve_news")
+def _q_resolve_news(c: Ctx):
+    latest = CACHE.latest_cache_row(_cache(c))
+    return NEWS.resolve_news(_provider_news(c), latest, "2024-01-10 15:00:00")
+
+
+@register("refresh")
+def _q_refresh(c: Ctx):
+    t = c.spark.createDataFrame([(x,) for x in INVALIDATE_TICKERS], "ticker string")
+    cache = _cache(c).drop("news_articles")
+    new_cache, res = CACHE.refresh(cache, t, ["live"], AS_OF, provider_quotes=_provider_quotes(c))
+    return new_cache.select("ticker", "cache_date", *CACHE.LIVE_COLUMNS, "updated_at")
+
+
+@register("backfill")
+def _q_backfill(c: Ctx):
+    from tidemark.sources.ingest import backfill
+    return backfill(load_bars(c.spark, c.sf_dir), AS_OF, session_vocab="mapped")
+
+
+@register("snapshots_to_events")
+def _q_snapshots(c: Ctx):
+    from tidemark.sources.ingest import snapshots_to_events
+    q = c.raw.select("ticker", F.col("price").alias("last_price"), F.col("volume").alias("last_volume"), "event_time")
+    return snapshots_to_events(q)
+
+
+@register("search_rows")
+def _q_search(c: Ctx):
+    from tidemark.operators.staging import search_rows
+    return search_rows(c.daily, "tech", ["ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name",
+                                        "anomaly_flag"])
+
+
+@register("sort_rows")
+def _q_sort(c: Ctx):
+    return Q.sort_rows(Q.latest_by_ticker(c.daily), "volume_vs_avg_ratio", "desc", ["ticker"]).limit(10)
+
+
+@register("move_class")
+def _q_move_class(c: Ctx):
+    return c.daily.select("ticker", "trade_date", Q.move_class(F.col("price_change_pct")).alias("move_class"),
+                          Q.sentiment_label(F.col("relative_price_change_pct") / 10).alias("relative_label"))
+
+
+@register("triggered_alerts")
+def _q_triggered(c: Ctx):
+    return Q.triggered_alerts(Q.watchlist_state(c.watch, c.daily))
+
+
+@register("quick_tickers")
+def _q_quick(c: Ctx):
+    return Q.quick_tickers(c.daily, 5)
+
+
+@register("focus_ticker")
+def _q_focus(c: Ctx):
+    return Q.focus_ticker(M.stock_anomaly_history(c.daily), FOCUS_TICKER)
+
+
+@register("attach_symbol_meta")
+def _q_attach_meta(c: Ctx):
+    return SYM.attach_symbol_meta(c.raw.select("id", "ticker"), c.sym)

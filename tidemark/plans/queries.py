@@ -203,10 +203,10 @@ def watchlist_alerts(watch: DataFrame, daily: DataFrame, sym: DataFrame, princip
     ).orderBy(F.desc("trade_date"), F.abs("price_change_pct").desc(), "principal_id", "ticker").limit(limit)
 
 
-def sort_rows(df: DataFrame, col: str, direction: str = "asc") -> DataFrame:
-    """SRV-19: sort by a chosen column (binary collation), NULLs last."""
+def sort_rows(df: DataFrame, col: str, direction: str = "asc", tie_breakers: list[str] | None = None) -> DataFrame:
+    """SRV-19: sort by a chosen column (binary collation), NULLs last; optional tie-breakers."""
     c = F.col(col)
-    return df.orderBy(c.asc_nulls_last() if direction == "asc" else c.desc_nulls_last())
+    return df.orderBy(c.asc_nulls_last() if direction == "asc" else c.desc_nulls_last(), *(tie_breakers or []))
 
 
 # --------------------------------------------------------------------------- DSH
