@@ -41,3 +41,13 @@ def test_no_python_in_core_marts(spark):
     for df in (c.daily, c.hourly, M.market_regime_summary(c.daily)):
         p = _plan(df)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_pipeline_matches_lazy_marts(spark, tmp_path):
+    from tidemark.plans.pipeline import build_marts
+    c = Ctx(spark, SF)
+    t = build_marts(spark, c.stg, c.sym, str(tmp_path / "marts"), "2024-02-01 00:00:00", raw=c.raw)
+    assert "stock_signal_feature_store" in t
+    stored = spark.read.parquet(str(tmp_path / "marts" / "stock_signal_feature_store"))
+    lazy = M.signal_feature_store(c.daily, "2024-02-01 00:00:00")
+    assert stored.exceptAll(lazy).count() == 0 and lazy.exceptAll(stored).count() == 0

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import ny_date
 from tidemark.functions.numeric import cents, pct_change_2, pct_change_4, round_ratio_half_up
 from tidemark.operators.staging import coalesce_ohlc, drop_closed
-from tidemark.sources.symbols import benchmark_tickers
 
 # Anomaly, drawdown, volatility and regime thresholds; signal weights.
 ANOMALY_MOVE_PCT = 5
@@ -89,10 +88,16 @@ def benchmark_join(left: DataFrame, right: DataFrame, time_col: str, rows_bound:
         .drop("_bkey", "bm_time")
 
 
-def _benchmark_rows(df: DataFrame, sym: DataFrame) -> DataFrame:
-    bms = F.broadcast(sym.filter(F.col("benchmark_ticker").isNotNull())
-                      .select(F.col("benchmark_ticker").alias("ticker")).distinct())
-    return df.join(bms, "ticker", "left_semi")
+def benchmark_list(sym: DataFrame) -> list[str]:
+    """Distinct benchmark tickers of the dimension (a bounded reference table: 20 seed rows)."""
+    return sorted(r[0] for r in sym.filter(F.col("benchmark_ticker").isNotNull())
+                  .select("benchmark_ticker").distinct().collect())
+
+
+def _benchmark_rows(df: DataFrame, bms: list[str]) -> DataFrame:
+    """Rows of benchmark tickers only. A literal IN-list: pushed through the window and the
+    aggregate down to the scan, so the benchmark branch reads only benchmark tickers' events."""
+    return df.filter(F.col("ticker").isin(*bms))
 
 
 def daily_stock_summary(stg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
@@ -129,11 +134,12 @@ def daily_stock_summary(stg: DataFrame, sym: DataFrame, span_days: int = MAX_SPA
     final_base = enriched.withColumns({"price_change_pct": pct, "volume_vs_avg_ratio": ratio}) \
         .join(_meta(sym), "ticker", "left") \
         .withColumn("sector", F.coalesce("sector", F.lit("Other")))
-    bench = _benchmark_rows(final_base, sym).select(
+    bms = benchmark_list(sym)
+    bench = _benchmark_rows(final_base, bms).select(
         F.col("ticker").alias("bm_ticker"), F.col("trade_date").alias("bm_time"),
         F.col("close_price").alias("benchmark_close_price"),
         F.col("price_change_pct").alias("benchmark_price_change_pct"))
-    n_bm = max(len(benchmark_tickers()), 1)
+    n_bm = max(len(bms), 1)
     joined = benchmark_join(final_base, bench, "trade_date", n_bm * span_days)
     p, b = F.col("price_change_pct"), F.col("benchmark_price_change_pct")
     move = F.abs(F.coalesce(p - b, p))
@@ -178,11 +184,12 @@ def intraday_stock_rollup(stg: DataFrame, sym: DataFrame, span_days: int = MAX_S
         "previous_close_price": F.lag("close_price").over(w),
     }).withColumn("_change", change).join(_meta(sym), "ticker", "left") \
         .withColumn("sector", F.coalesce("sector", F.lit("Other")))
-    bench = _benchmark_rows(feats, sym).select(
+    bms = benchmark_list(sym)
+    bench = _benchmark_rows(feats, bms).select(
         F.col("ticker").alias("bm_ticker"), F.col("interval_start").alias("bm_time"),
         F.col("close_price").alias("benchmark_close_price"),
         F.col("_change").alias("benchmark_interval_change_pct"))
-    n_bm = max(len(benchmark_tickers()), 1)
+    n_bm = max(len(bms), 1)
     joined = benchmark_join(feats, bench, "interval_start", n_bm * span_days * 24)
     return joined.select(
         "ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name", "interval_start",
