@@ -39,7 +39,10 @@ def new_events(batch: DataFrame, target: DataFrame | None) -> DataFrame:
     rows = batch.withColumn("event_date", event_date())
     if target is None:
         return rows
-    keys = target.select(*IDENTITY, "event_date")
+    # only the partitions of the dates present in the batch are read (static partition pruning;
+    # the distinct dates of a batch are bounded by its time span)
+    dates = [r[0] for r in rows.select("event_date").distinct().collect()]
+    keys = target.filter(F.col("event_date").isin(*dates)).select(*IDENTITY, "event_date")
     return rows.join(keys, IDENTITY + ["event_date"], "left_anti")
 
 

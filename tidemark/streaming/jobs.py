@@ -50,8 +50,10 @@ def ingest_batch(batch: DataFrame, batch_id: int, events_path: str, dead_letter_
         fresh = dedupe_batch(valid).select(*EVENT_COLUMNS).withColumn("event_date", event_date())
         stored = _read_or_none(spark, events_path)
         if stored is not None:
-            touched = fresh.select("event_date").distinct()
-            keys = stored.join(touched, "event_date", "left_semi") \
+            # the dates a batch touches are few (bounded by its time span): a literal partition
+            # filter, so only those event_date partitions of the stored table are read
+            dates = [r[0] for r in fresh.select("event_date").distinct().collect()]
+            keys = stored.filter(F.col("event_date").isin(*dates)) \
                 .select("ticker", "event_time", "source", "event_kind", "bar_interval", "event_date")
             fresh = fresh.join(keys, ["ticker", "event_time", "source", "event_kind", "bar_interval", "event_date"],
                                "left_anti")
