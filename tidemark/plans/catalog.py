@@ -642,3 +642,38 @@ def _q_focus(c: Ctx):
 @register("attach_symbol_meta")
 def _q_attach_meta(c: Ctx):
     return SYM.attach_symbol_meta(c.raw.select("id", "ticker"), c.sym)
+
+
+@register("prune_retention")
+def _q_prune(c: Ctx):
+    from tidemark.sources.sinks import prune_retention
+    _, invalid = split_valid(c.checked)
+    return prune_retention(dead_letters(invalid), "created_at", 7, AS_OF)
+
+
+@register("invalidate_all")
+def _q_invalidate_all(c: Ctx):
+    t = c.spark.createDataFrame([(x,) for x in INVALIDATE_TICKERS], "ticker string")
+    inv = CACHE.invalidate(_cache(c).drop("news_articles"), t, list(CACHE.SCOPES), AS_OF)
+    return inv.select("ticker", "cache_date", "live_price", "news_updated_at", "updated_at")
+
+
+@register("dq_not_null")
+def _q_not_null(c: Ctx):
+    return DQ.not_null_counts(c.daily, Q.DAILY_COLUMNS)
+
+
+@register("stale_fallback_total")
+def _q_stale_total(c: Ctx):
+    return DQ.stale_fallback_total(DQ.rollup_metrics(metric_events_from_events(_events(c))))
+
+
+@register("latest_by_ticker")
+def _q_latest_by_ticker(c: Ctx):
+    return Q.latest_by_ticker(c.daily)
+
+
+@register("cluster_distribution")
+def _q_clusters(c: Ctx):
+    a = _articles(c).withColumn("cluster", NEWS.topic_cluster(NEWS._joined_text("title", "description")))
+    return NEWS.cluster_distribution(a, "fetch_batch")

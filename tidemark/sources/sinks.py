@@ -1,9 +1,8 @@
 """SNK-1…7: sinks. Every writer is idempotent or append-only with a natural key.
 
 * The event table is parquet partitioned by ``event_date`` (UTC date of the event). The
-  idempotent append (SNK-1) anti-joins a batch against the stored rows *including the
-  partition column in the key*, so dynamic partition pruning limits the read of the target to
-  the dates the batch touches.
+  idempotent append (SNK-1) anti-joins a batch against the stored rows of the dates the batch
+  touches only (a literal partition filter: the distinct dates of a batch are few).
 * Marts are rebuilt with dynamic partition overwrite by ``trade_date``.
 """
 
