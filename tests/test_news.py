@@ -91,3 +91,15 @@ def test_low_quality_summary(spark):
                                 ("MSFT", "Headline: x")], "ticker string, s string")
     got = [r[0] for r in df.select(N.low_quality_summary(F.col("s"), F.col("ticker"))).collect()]
     assert got == [True, True, False, True]
+
+
+def test_cache_article_arrays_for_one_ticker(spark):
+    from tidemark.operators import cache as C
+    from tidemark.plans.catalog import Ctx, _cache, _enriched
+    c = Ctx(spark, "/root/testdata/sf0.001")
+    children = C.cache_articles(_enriched(c))
+    rows = C.latest_cache_row(_cache(c)).filter(F.col("article_count") > 0).limit(1)
+    served = C.article_arrays(children, rows).collect()[0]
+    assert len(served["news_articles"]) == served["article_count"]
+    positions = [a["position"] for a in served["news_articles"]]
+    assert positions == sorted(positions)

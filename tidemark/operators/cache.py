@@ -17,7 +17,7 @@ from tidemark.functions.numeric import round_ratio_half_up
 # Cache time-to-live per family (minutes), column families.
 LIVE_TTL_MIN, NEWS_TTL_MIN, SUMMARY_TTL_MIN = 15, 180, 180
 LIVE_COLUMNS = ["live_price", "live_volume", "live_event_time", "live_source", "live_expires_at", "live_updated_at"]
-NEWS_COLUMNS = ["news_articles", "news_expires_at", "news_updated_at"]
+NEWS_COLUMNS = ["article_count", "news_expires_at", "news_updated_at"]
 SUMMARY_COLUMNS = ["news_summary", "summary_source", "summary_model", "summary_fallback_reason",
                    "news_summary_expires_at"]
 SCOPES = {"live": ("live_expires_at", "live_updated_at"),
@@ -30,23 +30,34 @@ def _minutes(m: int) -> Column:
     return F.make_interval(mins=F.lit(m))
 
 
-def build_cache(articles_enriched: DataFrame, events: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """Cache rows from enriched articles (news family) and stored events (live family).
+def cache_articles(articles_enriched: DataFrame) -> DataFrame:
+    """The cache's news articles as a child table keyed by (ticker, cache_date, position).
 
-    News: articles grouped by (ticker, publication date), ordered by arrival. Live: the last event
-    of the ticker's UTC day. Full outer join on (ticker, cache_date).
-    """
-    art_cols = [c for c in articles_enriched.columns if c not in ("fetch_batch",)]
-    news = articles_enriched.withColumn("cache_date", F.to_date("published_at")).groupBy("ticker", "cache_date").agg(
-        F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ["position"] + [c for c in art_cols
-                                                                                 if c != "position"]])))
-        .alias("_arts"),
-        F.max("published_at").alias("news_updated_at"))
-    news = news.select(
-        "ticker", "cache_date", F.transform("_arts", lambda a: a.dropFields("position")).alias("news_articles"),
-        "news_updated_at",
-        (F.col("news_updated_at") + _minutes(NEWS_TTL_MIN)).alias("news_expires_at"),
-        (F.col("news_updated_at") + _minutes(SUMMARY_TTL_MIN)).alias("news_summary_expires_at"))
+    The reference keeps them as a JSON array inside the cache row; here the array is a view over
+    this table (``article_arrays``), so no row ever has to hold an unbounded list."""
+    return articles_enriched.withColumn("cache_date", F.to_date("published_at")).drop("fetch_batch")
+
+
+def article_arrays(children: DataFrame, rows: DataFrame) -> DataFrame:
+    """ARRAY<STRUCT> of articles for a *bounded selection* of cache rows (e.g. one ticker's latest
+    row), ordered by arrival: the serving form of the news family."""
+    cols = [c for c in children.columns if c not in KEYS]
+    sel = children.join(rows.select(*KEYS), KEYS, "left_semi")
+    g = sel.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ["position"] + [
+        c for c in cols if c != "position"]]))).alias("news_articles"))
+    return rows.join(g, KEYS, "left")
+
+
+def build_cache(articles_enriched: DataFrame, events: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Cache rows (one per ticker × cache_date) from enriched articles and stored events.
+
+    News family: article count and times of the (ticker, publication date) group — the articles
+    themselves live in ``cache_articles``. Live family: the last event of the ticker's UTC day.
+    Full outer join on (ticker, cache_date)."""
+    news = cache_articles(articles_enriched).groupBy("ticker", "cache_date").agg(
+        F.count(F.lit(1)).alias("article_count"), F.max("published_at").alias("news_updated_at"))
+    news = news.withColumns({"news_expires_at": F.col("news_updated_at") + _minutes(NEWS_TTL_MIN),
+                             "news_summary_expires_at": F.col("news_updated_at") + _minutes(SUMMARY_TTL_MIN)})
     if summaries is not None:
         news = news.join(summaries.select("ticker", "cache_date", F.col("summary").alias("news_summary"),
                                           F.col("source").alias("summary_source"),
@@ -68,7 +79,7 @@ def build_cache(articles_enriched: DataFrame, events: DataFrame, summaries: Data
         .withColumn("live_expires_at", F.col("live_updated_at") + _minutes(LIVE_TTL_MIN))
     c = news.join(live, KEYS, "full")
     return c.select(
-        *KEYS, *LIVE_COLUMNS, "news_articles", "news_summary", "summary_source", "summary_model",
+        *KEYS, *LIVE_COLUMNS, "article_count", "news_summary", "summary_source", "summary_model",
         "summary_fallback_reason", "news_expires_at", "news_summary_expires_at", "news_updated_at",
         F.least("news_updated_at", "live_updated_at").alias("created_at"),
         F.greatest("news_updated_at", "live_updated_at").alias("updated_at"))
@@ -199,14 +210,21 @@ def invalidate(cache: DataFrame, tickers: DataFrame, scopes: list[str], touched_
     return j.select(*sel)
 
 
-def sentiment_over_time(cache: DataFrame, ticker: str | None = None, limit: int | None = 30) -> DataFrame:
+def invalidate_articles(children: DataFrame, tickers: DataFrame, scopes: list[str]) -> DataFrame:
+    """MUT-3 for the child table: the news scope (or all scopes) removes the tickers' articles."""
+    if "news" not in scopes:
+        return children
+    return delete_rows(children, tickers, ["ticker"])
+
+
+def sentiment_over_time(children: DataFrame, ticker: str | None = None, limit: int | None = 30) -> DataFrame:
     """SRV-15: per (ticker, cache_date) averages over the cached articles (NULL → 0), round 4.
 
-    Rows with an empty or NULL article array drop out (inner unnest). ``limit`` keeps the latest
-    ``limit`` dates per ticker.
+    A grouped aggregate over the article child table (cache rows without articles drop out, as an
+    inner unnest does). ``limit`` keeps the latest ``limit`` dates per ticker.
     """
-    c = cache if ticker is None else cache.filter(F.col("ticker") == ticker)
-    a = c.select("ticker", "cache_date", F.explode("news_articles").alias("a"))
+    c = children if ticker is None else children.filter(F.col("ticker") == ticker)
+    a = c.select("ticker", "cache_date", F.struct("sentiment", "impact_score", "source_quality_score").alias("a"))
 
     def avg4(x: Column) -> Column:
         u = (F.coalesce(x.cast("decimal(10,4)"), F.lit(0).cast("decimal(10,4)")) * 10000).cast("decimal(38,0)")
@@ -243,10 +261,11 @@ def refresh(cache: DataFrame, tickers: DataFrame, scopes: list[str], as_of: str,
         out = upsert(out, ch, KEYS, LIVE_COLUMNS, "updated_at", as_of)
         results.append(q.select("ticker", F.lit("live").alias("scope")))
     if "news" in scopes and provider_news is not None:
+        # provider_news: (ticker, article_count); the fetched articles go to the child table
         n = provider_news.join(t, "ticker", "left_semi")
-        ch = n.select("ticker", key_date.alias("cache_date"), "news_articles", now.alias("news_updated_at"),
+        ch = n.select("ticker", key_date.alias("cache_date"), "article_count", now.alias("news_updated_at"),
                       (now + _minutes(NEWS_TTL_MIN)).alias("news_expires_at"))
-        out = upsert(out, ch, KEYS, ["news_articles", "news_updated_at", "news_expires_at"], "updated_at", as_of)
+        out = upsert(out, ch, KEYS, NEWS_COLUMNS, "updated_at", as_of)
         results.append(n.select("ticker", F.lit("news").alias("scope")))
     if "news_summary" in scopes and summaries is not None:
         s = summaries.join(t, "ticker", "left_semi")

@@ -379,9 +379,14 @@ def summary_job(metrics: DataFrame, articles: DataFrame,
     """NWS-14: model summary per ticker, falling back to the template summary on empty output,
     prompt echo (NWS-12) or an error. The summariser runs batched in ``mapInPandas``."""
     summarizer = summarizer or extractive_summarizer
+    # the model sees the prompt and the notes of the first five articles per ticker (bounded by
+    # construction: row_number ≤ 5 is planned as a per-group limit before the shuffle)
     prompts = summary_input(metrics, articles)
-    texts = articles.groupBy("ticker").agg(F.array_join(F.collect_list(F.coalesce("description", F.lit(""))), " ")
-                                           .alias("_text"))
+    rk = F.row_number().over(Window.partitionBy("ticker").orderBy("position"))
+    first5 = articles.withColumn("_r", rk).filter(F.col("_r") <= 5)
+    texts = first5.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("_r", F.coalesce(
+        "description", F.lit("")).alias("d")))).alias("_d")) \
+        .select("ticker", F.array_join(F.transform("_d", lambda x: x["d"]), " ").alias("_text"))
     inp = prompts.join(texts, "ticker", "left")
     schema = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("generated", T.StringType()),
                            T.StructField("error", T.StringType())])
@@ -471,7 +476,7 @@ def resolve_news(provider: DataFrame, cache_latest: DataFrame, as_of: str) -> Da
     row per ticker (with the news columns)."""
     from tidemark.operators.cache import cache_status
     st = cache_status(cache_latest, as_of, "news").select("ticker", "is_stale", "freshness_reason")
-    c = cache_latest.select("ticker", F.coalesce(F.size("news_articles"), F.lit(0)).alias("cached_articles")) \
+    c = cache_latest.select("ticker", F.coalesce(F.col("article_count"), F.lit(0)).alias("cached_articles")) \
         .join(st, "ticker", "left")
     p = provider.select("ticker", F.col("article_count").alias("fetched_articles"), F.lit(True).alias("_ok"))
     j = c.join(p, "ticker", "full")

@@ -426,7 +426,7 @@ def _q_summary_job(c: Ctx):
 
 @register("sentiment_over_time")
 def _q_sentiment(c: Ctx):
-    return CACHE.sentiment_over_time(_cache(c), None, 30)
+    return CACHE.sentiment_over_time(CACHE.cache_articles(_enriched(c)), None, 30)
 
 
 @register("latest_cache_row")
@@ -434,12 +434,12 @@ def _q_latest_cache(c: Ctx):
     r = CACHE.latest_cache_row(_cache(c))
     return r.select("ticker", "cache_date", "live_price", "live_volume", "live_event_time", "live_source",
                     "live_expires_at", "live_updated_at", "news_expires_at", "news_updated_at", "updated_at",
-                    F.coalesce(F.size("news_articles"), F.lit(0)).alias("article_count"))
+                    F.coalesce(F.col("article_count"), F.lit(0)).alias("article_count"))
 
 
 @register("cache_status")
 def _q_cache_status(c: Ctx):
-    latest = CACHE.latest_cache_row(_cache(c)).drop("news_articles")
+    latest = CACHE.latest_cache_row(_cache(c))
     return CACHE.cache_status(latest, CACHE_AS_OF, list(CACHE.SCOPES))
 
 
@@ -463,14 +463,14 @@ def _q_upsert(c: Ctx):
                        F.lit("yfinance_live_api").alias("live_source"),
                        (F.lit(AS_OF).cast("timestamp") + F.expr("INTERVAL 15 MINUTES")).alias("live_expires_at"),
                        F.lit(AS_OF).cast("timestamp").alias("live_updated_at"))
-    up = CACHE.upsert(_cache(c).drop("news_articles"), changes, CACHE.KEYS, CACHE.LIVE_COLUMNS, "updated_at", AS_OF)
+    up = CACHE.upsert(_cache(c), changes, CACHE.KEYS, CACHE.LIVE_COLUMNS, "updated_at", AS_OF)
     return up.select("ticker", "cache_date", *CACHE.LIVE_COLUMNS, "news_updated_at", "updated_at")
 
 
 @register("invalidate")
 def _q_invalidate(c: Ctx):
     t = c.spark.createDataFrame([(x,) for x in INVALIDATE_TICKERS], "ticker string")
-    inv = CACHE.invalidate(_cache(c).drop("news_articles"), t, ["live", "news_summary"], AS_OF)
+    inv = CACHE.invalidate(_cache(c), t, ["live", "news_summary"], AS_OF)
     return inv.select("ticker", "cache_date", *CACHE.LIVE_COLUMNS, "news_summary_expires_at", "news_updated_at",
                       "updated_at", F.col("news_summary").isNull().alias("summary_cleared"))
 
@@ -575,8 +575,7 @@ def _provider_news(c: Ctx) -> DataFrame:
     from tidemark.sources.fixtures import FIXTURE_TICKERS
     ok = [t for i, t in enumerate(FIXTURE_TICKERS[:20]) if i % 2 == 1]
     e = _enriched(c).filter(F.col("ticker").isin(*ok))
-    return e.groupBy("ticker").agg(F.count(F.lit(1)).alias("article_count"),
-                                   F.collect_list(F.struct("title", "url", "sentiment")).alias("news_articles"))
+    return e.groupBy("ticker").agg(F.count(F.lit(1)).alias("article_count"))
 
 
 @register("resolve_news")
@@ -588,7 +587,7 @@ def _q_resolve_news(c: Ctx):
 @register("refresh")
 def _q_refresh(c: Ctx):
     t = c.spark.createDataFrame([(x,) for x in INVALIDATE_TICKERS], "ticker string")
-    cache = _cache(c).drop("news_articles")
+    cache = _cache(c)
     new_cache, res = CACHE.refresh(cache, t, ["live"], AS_OF, provider_quotes=_provider_quotes(c))
     return new_cache.select("ticker", "cache_date", *CACHE.LIVE_COLUMNS, "updated_at")
 
@@ -654,7 +653,7 @@ def _q_prune(c: Ctx):
 @register("invalidate_all")
 def _q_invalidate_all(c: Ctx):
     t = c.spark.createDataFrame([(x,) for x in INVALIDATE_TICKERS], "ticker string")
-    inv = CACHE.invalidate(_cache(c).drop("news_articles"), t, list(CACHE.SCOPES), AS_OF)
+    inv = CACHE.invalidate(_cache(c), t, list(CACHE.SCOPES), AS_OF)
     return inv.select("ticker", "cache_date", "live_price", "news_updated_at", "updated_at")
 
 
