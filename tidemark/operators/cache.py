@@ -155,7 +155,7 @@ def resolve_quotes(provider: DataFrame, cache_latest: DataFrame, profiles: DataF
         F.when(ok, F.lit("yfinance_live_api")).when(cached, F.lit("daily_cache_stale")).alias("source"),
         F.when(~ok & ~cached, F.lit("No market data available")).alias("error"))
     if profiles is not None:
-        out = out.join(F.broadcast(profiles), "ticker", "left")
+        out = out.join(profiles, "ticker", "left")
     return out
 
 

@@ -193,7 +193,7 @@ def replay_then_stream(bars: DataFrame, as_of: str, messages: DataFrame, events_
     """STR-6: backfill history first (batch), then start the live stream; the idempotent append
     makes any overlap between the two harmless."""
     from tidemark.sources.ingest import backfill
-    backfill(bars, as_of, target_path=events_path, session_vocab="mapped").collect()
+    backfill(bars, as_of, target_path=events_path, session_vocab="mapped").write.format("noop").mode("overwrite").save()
     return ingest_stream(messages, events_path, dead_letter_path, checkpoint, trigger)
 
 
