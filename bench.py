@@ -47,7 +47,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     from tidemark.session import get_spark
-    spark = get_spark(f"local[{cpus}]", app="tidemark-bench", shuffle_partitions=int(cpus) * 2,
+    spark = get_spark(f"local[{cpus}]", app="tidemark-bench", shuffle_partitions=int(cpus),
                       extra={"spark.driver.memory": "16g"})
     from tidemark.plans.catalog import REGISTRY
     from tidemark.plans import marts as M

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import ensure_parallelism
+
 # The validator's vocabularies and messages.
 REQUIRED_EVENT_FIELDS = ["ticker", "price", "volume", "event_time", "source"]
 ALLOWED_EVENT_KINDS = ["historical_bar", "intraday_bar", "live_snapshot"]
@@ -101,6 +103,8 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
     """
     keep = keep if keep is not None else [c for c in messages.columns if c != value_col]
     c = F.col
+    if not messages.isStreaming:
+        messages = ensure_parallelism(messages)
     # stage 1: parse once
     s1 = messages.select(*keep, c(value_col).alias("payload"), F.try_parse_json(c(value_col)).alias("_v"))
     # stage 2: presence, JSON type and text of each field

@@ -33,3 +33,11 @@ def assert_schema(df: DataFrame, contract: T.StructType | list[str], check_types
     if want != have:
         raise AssertionError(f"schema mismatch:\n want {want}\n have {have}")
     return df
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a source yields fewer partitions than the cluster has
+    cores (few large files, few topic partitions) ahead of CPU-heavy per-row work. With many input
+    splits — the normal case at scale — the frame is returned unchanged (no shuffle)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
