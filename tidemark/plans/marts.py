@@ -100,8 +100,13 @@ def _benchmark_rows(df: DataFrame, bms: list[str]) -> DataFrame:
     return df.filter(F.col("ticker").isin(*bms))
 
 
-def daily_stock_summary(stg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
-    """MART-1: one row per ticker × New York trade date (closed session excluded)."""
+DAILY_AGGREGATE_COLUMNS = ["ticker", "trade_date", "event_count", "avg_price", "min_price", "max_price",
+                           "total_volume", "last_updated_at", "open_price", "close_price"]
+
+
+def daily_aggregates(stg: DataFrame) -> DataFrame:
+    """AG-1/AG-2: the per (ticker, New York trade date) aggregates of MART-1 — the only part that
+    reads event volume (one partial + final hash aggregate)."""
     base = coalesce_ohlc(drop_closed(stg)).select(
         "ticker", ny_date(F.col("event_time")).alias("trade_date"), "price", "volume",
         "open_price", "high_price", "low_price", "close_price", "inserted_at",
@@ -116,11 +121,22 @@ def daily_stock_summary(stg: DataFrame, sym: DataFrame, span_days: int = MAX_SPA
         F.min_by("open_price", "_k").alias("open_price"),
         F.max_by("close_price", "_k").alias("close_price"),
     )
+    avg = round_ratio_half_up(F.col("_sum_cents"), F.col("event_count") * 100, 2).cast("decimal(10,2)")
+    return agg.withColumn("avg_price", avg).select(*DAILY_AGGREGATE_COLUMNS)
+
+
+def daily_stock_summary(stg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
+    """MART-1: one row per ticker × New York trade date (closed session excluded)."""
+    return daily_from_aggregates(daily_aggregates(stg), sym, span_days)
+
+
+def daily_from_aggregates(agg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
+    """MART-1 window, dimension and benchmark columns over per-day aggregates (daily grain only,
+    so the incremental refresh can rebuild them from stored aggregates without the events)."""
     w = _by_ticker("trade_date")
     trail = w.rowsBetween(-6, -1)
     enriched = agg.select(
         "*",
-        round_ratio_half_up(F.col("_sum_cents"), F.col("event_count") * 100, 2).cast("decimal(10,2)").alias("avg_price"),
         F.lag("close_price").over(w).alias("previous_close_price"),
         F.sum("total_volume").over(trail).alias("_trail_sum"),
         F.count("total_volume").over(trail).alias("_trail_n"),

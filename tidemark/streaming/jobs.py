@@ -7,8 +7,9 @@
 * ``lake_stream`` (STR-2): the same topic into the raw JSON lake and the dead-letter lake, as its
   own query with its own checkpoint (its own consumer position).
 * ``stream_hourly_bars`` (STR-7): hourly OHLC per ticker with a watermark for late events.
-* ``refresh_marts_stream`` (STR-8) and ``alerts_for_batch`` (STR-9): after each batch, recompute
-  the daily mart for the ticker buckets the batch touched (a late event changes LAG and every
+* ``refresh_marts_stream`` (STR-8) and ``alerts_for_batch`` (STR-9): after each batch, re-aggregate
+  the touched (ticker, day) keys from the partition-pruned events, recompute the window columns of
+  the affected ticker buckets from the stored daily grain (a late event changes LAG and every
   rolling value after it) and evaluate watch-list alerts on the rebuilt rows.
 
 Every writer targets the shared folder (``spark.checkpoint.dir`` or explicit paths): nothing uses
@@ -22,7 +23,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.staging import coalesce_ohlc, drop_closed, stage_stock_prices
 from tidemark.operators.validation import dead_letters, split_valid, validate_events
-from tidemark.plans.marts import SESSION_CODES, daily_stock_summary, order_key
+import datetime as _dt
+
+from tidemark.functions.calendar import ny_date
+from tidemark.plans.marts import (DAILY_AGGREGATE_COLUMNS, SESSION_CODES, daily_aggregates, daily_from_aggregates,
+                                  order_key)
 from tidemark.sources.sinks import EVENT_COLUMNS, dedupe_batch, event_date
 
 TICKER_BUCKETS = 64
@@ -136,31 +141,46 @@ def ticker_bucket(col: str = "ticker") -> F.Column:
     return F.pmod(F.xxhash64(F.col(col)), F.lit(TICKER_BUCKETS)).cast("int")
 
 
-def refresh_marts_batch(spark: SparkSession, touched_tickers: DataFrame, events_path: str, sym: DataFrame,
-                        daily_path: str) -> DataFrame:
-    """STR-8 step: rebuild the daily mart for every ticker bucket the batch touched.
-
-    Tickers whose benchmark was touched are touched too (their relative columns change). The
-    touched-bucket list has at most TICKER_BUCKETS rows, so it is broadcast; the mart is written
-    with dynamic partition overwrite by ``ticker_bucket``, replacing exactly those buckets.
+def refresh_marts_batch(spark: SparkSession, touched: DataFrame, events_path: str, sym: DataFrame,
+                        daily_path: str, staging_path: str) -> DataFrame:
+    """STR-8 step: incrementally rebuild the daily mart after a micro-batch.
+
+    ``touched``: (ticker, trade_date) keys of the events the batch appended. Cost is bounded by the
+    batch, not by history:
+      1. re-aggregate only the touched keys, reading only the event_date partitions that can hold
+         them (a New York trade date spans two UTC dates);
+      2. take every other day's aggregates from the stored mart (daily grain) for the affected
+         ticker buckets — touched tickers plus tickers whose benchmark was touched — and
+         recompute the window and benchmark columns there (LAG, trailing volume and all rolling
+         values after a late event change);
+      3. write the rebuilt buckets to a staging folder, then replace exactly those buckets of the
+         mart (dynamic partition overwrite), so the mart is never read and overwritten in one job.
     """
-    t = touched_tickers.select("ticker").distinct()
+    keys = touched.select("ticker", "trade_date").distinct()
+    trade_dates = [r[0] for r in keys.select("trade_date").distinct().collect()]      # bounded by the batch
+    utc_dates = sorted({d for t in trade_dates for d in (t, t + _dt.timedelta(days=1))})
+    events = spark.read.parquet(events_path).filter(F.col("event_date").isin(*utc_dates))
+    fresh = daily_aggregates(stage_stock_prices(events)).join(keys, ["ticker", "trade_date"], "left_semi")
+
+    tickers = keys.select("ticker").distinct()
     dependents = sym.select("ticker", "benchmark_ticker").join(
-        t.withColumnRenamed("ticker", "benchmark_ticker"), "benchmark_ticker", "left_semi").select("ticker")
-    buckets = t.unionByName(dependents).select(ticker_bucket().alias("ticker_bucket")).distinct()
-    events = spark.read.parquet(events_path)
-    bench = sym.filter(F.col("benchmark_ticker").isNotNull()).select(F.col("benchmark_ticker").alias("ticker")).distinct()
-    scope = events.withColumn("ticker_bucket", ticker_bucket()) \
-        .join(F.broadcast(buckets), "ticker_bucket", "left_semi") \
-        .unionByName(events.join(F.broadcast(bench), "ticker", "left_semi")
-                     .withColumn("ticker_bucket", ticker_bucket())) \
-        .dropDuplicates(["ticker", "event_time", "source", "event_kind", "bar_interval"])
-    stg = stage_stock_prices(scope)
-    daily = daily_stock_summary(stg, sym).withColumn("ticker_bucket", ticker_bucket()) \
+        tickers.withColumnRenamed("ticker", "benchmark_ticker"), "benchmark_ticker", "left_semi").select("ticker")
+    buckets = tickers.unionByName(dependents).select(ticker_bucket().alias("ticker_bucket")).distinct()
+    bms = [r[0] for r in sym.filter(F.col("benchmark_ticker").isNotNull()).select("benchmark_ticker").distinct()
+           .collect()]
+    stored = _read_or_none(spark, daily_path)
+    if stored is None:
+        base = fresh
+    else:
+        prior = stored.filter(F.col("ticker_bucket").isin(*[r[0] for r in buckets.collect()])
+                              | F.col("ticker").isin(*bms)).select(*DAILY_AGGREGATE_COLUMNS)
+        base = prior.join(keys, ["ticker", "trade_date"], "left_anti").unionByName(fresh)
+    rebuilt = daily_from_aggregates(base, sym).withColumn("ticker_bucket", ticker_bucket()) \
         .join(F.broadcast(buckets), "ticker_bucket", "left_semi")
-    daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+    rebuilt.write.mode("overwrite").parquet(staging_path)
+    spark.read.parquet(staging_path).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("ticker_bucket").parquet(daily_path)
-    return daily
+    return spark.read.parquet(staging_path)
 
 
 def alerts_for_batch(daily_rows: DataFrame, watch: DataFrame, sym: DataFrame) -> DataFrame:
@@ -176,10 +196,10 @@ def refresh_marts_stream(messages: DataFrame, events_path: str, dead_letter_path
     def run(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         ingest_batch(batch, batch_id, events_path, dead_letter_path)
-        checked = validate_events(batch)
-        valid, _ = split_valid(checked)
-        touched = valid.select("ticker").distinct()
-        daily = refresh_marts_batch(spark, touched, events_path, sym, daily_path)
+        valid, _ = split_valid(validate_events(batch))
+        touched = drop_closed(valid).select(F.upper(F.trim("ticker")).alias("ticker"),
+                                            ny_date(F.col("event_time")).alias("trade_date")).distinct()
+        daily = refresh_marts_batch(spark, touched, events_path, sym, daily_path, f"{daily_path}_staging/{batch_id}")
         if alerts_path and watch is not None:
             alerts_for_batch(daily, watch, sym).withColumn("batch_id", F.lit(batch_id)) \
                 .write.mode("append").parquet(alerts_path)
