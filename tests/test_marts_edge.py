@@ -2,7 +2,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from tidemark.operators.staging import stage_stock_prices, stage_symbol_reference
 from tidemark.plans import marts as M

@@ -2,7 +2,6 @@
 import tempfile
 
 from tidemark.sources.fixtures import raw_messages_from_events
-from tidemark.sources.sinks import EVENT_COLUMNS
 from tidemark.streaming import jobs as S
 
 SF = "/root/testdata/sf0.001"
@@ -44,7 +43,6 @@ def test_refresh_marts_equals_batch(spark):
     batch = daily_stock_summary(stage_stock_prices(stored), sym)
     assert streamed.count() == batch.count() > 0
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
-    _ = EVENT_COLUMNS
 
 
 def test_lake_stream_and_replay_then_stream(spark):

@@ -353,7 +353,6 @@ def _q_bars(c: Ctx):
 
 
 # ------------------------------------------------------------------ news, cache, quality, metrics
-from functools import reduce as _reduce  # noqa: E402
 
 from tidemark.operators import cache as CACHE  # noqa: E402
 from tidemark.operators import news as NEWS  # noqa: E402

@@ -12,7 +12,6 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.operators.quality import run_checks
 from tidemark.plans import marts as M
@@ -64,5 +63,3 @@ def build_marts(spark: SparkSession, stg: DataFrame, sym: DataFrame, out_dir: st
 def read_marts(spark: SparkSession, out_dir: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{out_dir.rstrip('/')}/{n}") for n in names}
 
-
-__all__ = ["build_marts", "read_marts", "write_table", "F"]

@@ -322,5 +322,3 @@ def focus_ticker(anom: DataFrame, ticker: str) -> DataFrame:
     return anom.filter(F.col("ticker") == ticker).orderBy(F.desc("trade_date"), F.desc("anomaly_severity_score"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")]
-
