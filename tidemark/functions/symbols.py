@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import broadcast_if_small
 from tidemark.sources.symbols import (DEFAULT_BENCHMARK, DEFAULT_BENCHMARK_KIND, DEFAULT_BENCHMARK_NAME,
                                       DEFAULT_SECTOR, LOOKUP_ALIAS_OVERRIDES, SYMBOL_SEED, alias_map,
                                       symbol_lookup)
@@ -21,7 +22,7 @@ def normalize_ticker(df: DataFrame, col: str, out: str = "ticker") -> DataFrame:
     """
     spark = df.sparkSession
     key = F.upper(F.trim(F.coalesce(F.col(col).cast("string"), F.lit(""))))
-    amap = F.broadcast(alias_map(spark).withColumnRenamed("canonical", "_canon"))
+    amap = broadcast_if_small(alias_map(spark).withColumnRenamed("canonical", "_canon"))
     j = df.withColumn("_key", key).join(amap, F.col("_key") == F.col("alias_key"), "left")
     return j.withColumn(out, F.coalesce(F.col("_canon"), F.col("_key"))).drop("_key", "alias_key", "_canon")
 
@@ -34,7 +35,7 @@ def symbol_profile(df: DataFrame, col: str = "ticker", normalize: bool = True) -
     """
     spark = df.sparkSession
     d = normalize_ticker(df, col, "_canonical") if normalize else df.withColumn("_canonical", F.col(col))
-    cat = F.broadcast(symbol_lookup(spark).select(
+    cat = broadcast_if_small(symbol_lookup(spark).select(
         F.col("ticker").alias("_cat_ticker"), F.col("company_name").alias("_cn"), F.col("sector").alias("_sec"),
         F.col("benchmark_ticker").alias("_bt"), F.col("benchmark_name").alias("_bn"),
         F.col("benchmark_kind").alias("_bk"), F.col("aliases").alias("_al"), F.col("is_benchmark").alias("_ib")))
@@ -107,7 +108,7 @@ def match_entities(df: DataFrame, text_col: str, ticker_col: str = "ticker") ->
 
 def attach_symbol_meta(df: DataFrame, sym: DataFrame, col: str = "ticker") -> DataFrame:
     """SYM-6: left join of the dimension; sector defaults to 'Other' (unknown company/benchmark stay NULL)."""
-    meta = F.broadcast(sym.select(F.col("ticker").alias("_mt"), "company_name", "sector", "benchmark_ticker",
+    meta = broadcast_if_small(sym.select(F.col("ticker").alias("_mt"), "company_name", "sector", "benchmark_ticker",
                                   "benchmark_name"))
     j = df.join(meta, F.col(col) == F.col("_mt"), "left").drop("_mt")
     return j.withColumn("sector", F.coalesce("sector", F.lit(DEFAULT_SECTOR)))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import ny_date
+from tidemark.functions.joins import broadcast_if_small
 from tidemark.functions.numeric import cents, pct_change_2, pct_change_4, round_ratio_half_up
 from tidemark.operators.staging import coalesce_ohlc, drop_closed
 
@@ -69,7 +70,7 @@ def _by_ticker(order: str) -> Window:
 
 def _meta(sym: DataFrame) -> DataFrame:
     """Dimension columns used by the marts (the dimension is a 20-row seed: always broadcast)."""
-    return F.broadcast(sym.select("ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name"))
+    return broadcast_if_small(sym.select("ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name"))
 
 
 def benchmark_join(left: DataFrame, right: DataFrame, time_col: str, rows_bound: int) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import broadcast_if_small
 from tidemark.functions.numeric import cents, pct_change_4, round_ratio_half_up
 from tidemark.operators.staging import check_limit
 from tidemark.plans.marts import DEC4, avg_round
@@ -35,7 +36,7 @@ DAILY_COLUMNS = ["ticker", "company_name", "sector", "benchmark_ticker", "benchm
 def latest_date(df: DataFrame, col: str = "trade_date") -> DataFrame:
     """Rows of the latest ``col`` (scalar-subquery filter as a broadcast one-row join)."""
     last = df.agg(F.max(col).alias(col))
-    return df.join(F.broadcast(last), col, "left_semi")
+    return df.join(broadcast_if_small(last), col, "left_semi")
 
 
 def latest_rows(df: DataFrame, key: str, order: str | list[str]) -> DataFrame:
@@ -123,7 +124,7 @@ def ticker_correlation(daily: DataFrame, ticker: str, limit: int = 8) -> DataFra
     target = daily.filter(F.col("ticker") == ticker) \
         .select("trade_date", F.col("price_change_pct").alias("_target"))
     cand = daily.filter(F.col("ticker") != ticker).select("ticker", "trade_date", "price_change_pct")
-    g = cand.join(F.broadcast(target), "trade_date").groupBy("ticker").agg(
+    g = cand.join(broadcast_if_small(target), "trade_date").groupBy("ticker").agg(
         F.round(pearson(F.col("_target").cast("double"), F.col("price_change_pct").cast("double")), 4)
         .cast(DEC4).alias("correlation"),
         F.count(F.lit(1)).alias("overlapping_days"),
@@ -176,7 +177,7 @@ def signal_features(signal: DataFrame, ticker: str, limit: int = 30) -> DataFram
 def watchlist(watch: DataFrame, sym: DataFrame, principal: str | None = None) -> DataFrame:
     """SRV-16: watchlist rows with symbol attributes (all principals when ``principal`` is None)."""
     w = watch if principal is None else watch.filter(F.col("principal_id") == principal)
-    s = F.broadcast(sym.select("ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name"))
+    s = broadcast_if_small(sym.select("ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name"))
     return w.join(s, "ticker", "left").select(
         "principal_id", "ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name",
         "price_alert_threshold", "volume_alert_threshold", "created_at", "updated_at",
@@ -190,7 +191,7 @@ def watchlist_alerts(watch: DataFrame, daily: DataFrame, sym: DataFrame, princip
     w = watch if principal is None else watch.filter(F.col("principal_id") == principal)
     d = daily.select("ticker", "trade_date", "close_price", "relative_price_change_pct", "price_change_pct",
                      "volume_vs_avg_ratio", "anomaly_flag")
-    s = F.broadcast(sym.select("ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name"))
+    s = broadcast_if_small(sym.select("ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name"))
     j = w.select("principal_id", "ticker", "price_alert_threshold", "volume_alert_threshold").join(d, "ticker")
     price_hit = F.abs("price_change_pct") >= F.col("price_alert_threshold")
     vol_hit = F.col("volume_vs_avg_ratio") >= F.col("volume_alert_threshold")

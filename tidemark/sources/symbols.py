@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.tables import literal_frame
+
 # ---------------------------------------------------------------------------------------
 # Fixed values (must equal the reference's seed data): the 20-row symbol dimension.
 # (canonical_ticker, company_name, sector, benchmark_ticker, benchmark_name,
@@ -78,7 +80,7 @@ LOOKUP_SCHEMA = T.StructType([
 
 def symbol_reference(spark: SparkSession, created_at: str = "2024-01-01 00:00:00") -> DataFrame:
     """The dimension table as seeded (20 rows; always small enough to broadcast)."""
-    df = spark.createDataFrame(SYMBOL_SEED, SYMBOL_SCHEMA)
+    df = literal_frame(spark, SYMBOL_SEED, SYMBOL_SCHEMA)
     ts = F.lit(created_at).cast("timestamp")
     return df.withColumns({"created_at": ts, "updated_at": ts})
 
@@ -88,7 +90,7 @@ def symbol_lookup(spark: SparkSession) -> DataFrame:
     rows = []
     for pos, (t, name, sector, bt, bn, kind, aliases, is_bm) in enumerate(SYMBOL_SEED):
         rows.append((t, pos, name, sector, bt, bn, kind, LOOKUP_ALIAS_OVERRIDES.get(t, aliases), is_bm))
-    return spark.createDataFrame(rows, LOOKUP_SCHEMA)
+    return literal_frame(spark, rows, LOOKUP_SCHEMA)
 
 
 def benchmark_tickers() -> list[str]:
@@ -107,4 +109,6 @@ def alias_map(spark: SparkSession) -> DataFrame:
         rows[t] = t
         for a in LOOKUP_ALIAS_OVERRIDES.get(t, _rest[5]):
             rows[a.strip().upper()] = t
-    return spark.createDataFrame(sorted(rows.items()), "alias_key string, canonical string")
+    schema = T.StructType([T.StructField("alias_key", T.StringType(), False),
+                           T.StructField("canonical", T.StringType(), False)])
+    return literal_frame(spark, sorted(rows.items()), schema)

@@ -41,3 +41,16 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     splits — the normal case at scale — the frame is returned unchanged (no shuffle)."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def literal_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small fixed table as a plan-level literal (one-row range + ``inline``): unlike
+    ``createDataFrame`` from Python rows it carries exact size statistics, so the optimiser (and
+    ``broadcast_if_small``) knows it is tiny."""
+    from pyspark.sql import functions as F
+
+    def lit(v, dt):
+        return F.lit(None).cast(dt) if v is None else F.lit(v).cast(dt)
+
+    structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

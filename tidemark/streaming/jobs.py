@@ -26,6 +26,7 @@ from tidemark.operators.validation import dead_letters, split_valid, validate_ev
 import datetime as _dt
 
 from tidemark.functions.calendar import ny_date
+from tidemark.functions.joins import broadcast_if_small
 from tidemark.plans.marts import (DAILY_AGGREGATE_COLUMNS, SESSION_CODES, daily_aggregates, daily_from_aggregates,
                                   order_key)
 from tidemark.sources.sinks import EVENT_COLUMNS, dedupe_batch, event_date
@@ -176,7 +177,7 @@ def refresh_marts_batch(spark: SparkSession, touched: DataFrame, events_path: st
                               | F.col("ticker").isin(*bms)).select(*DAILY_AGGREGATE_COLUMNS)
         base = prior.join(keys, ["ticker", "trade_date"], "left_anti").unionByName(fresh)
     rebuilt = daily_from_aggregates(base, sym).withColumn("ticker_bucket", ticker_bucket()) \
-        .join(F.broadcast(buckets), "ticker_bucket", "left_semi")
+        .join(broadcast_if_small(buckets), "ticker_bucket", "left_semi")
     rebuilt.write.mode("overwrite").parquet(staging_path)
     spark.read.parquet(staging_path).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("ticker_bucket").parquet(daily_path)
