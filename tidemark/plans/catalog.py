@@ -675,3 +675,9 @@ def _q_latest_by_ticker(c: Ctx):
 def _q_clusters(c: Ctx):
     a = _articles(c).withColumn("cluster", NEWS.topic_cluster(NEWS._joined_text("title", "description")))
     return NEWS.cluster_distribution(a, "fetch_batch")
+
+
+@register("valid_tickers")
+def _q_valid_tickers(c: Ctx):
+    from tidemark.operators.staging import valid_tickers
+    return valid_tickers(load_symbol_requests(c.spark, c.sf_dir), "raw_symbol")

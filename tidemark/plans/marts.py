@@ -352,6 +352,8 @@ def market_regime_summary(daily: DataFrame, risk: DataFrame | None = None, dedup
         F.count(F.lit(1)).alias("_n_leaders"),
         F.min_by("benchmark_ticker", F.struct((-F.col("c")).alias("c"), F.col("benchmark_ticker").alias("b")))
         .alias("benchmark_leader"))
+    # one row per trade date on both sides: the leaders side is bounded by the calendar span
+    leaders = F.broadcast(leaders) if MAX_SPAN_DAYS <= MAX_BROADCAST_ROWS else leaders
     out = per_date.join(leaders, "trade_date", "left")
     mult = F.lit(1) if dedupe_leaders else F.greatest(F.coalesce("_n_leaders", F.lit(0)), F.lit(1))
     nn = F.col("_n")
