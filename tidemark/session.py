@@ -43,6 +43,32 @@ def get_spark(master: str | None = None, app: str = "tidemark", shuffle_partitio
     return spark
 
 
+def cluster_conf(executors: int, cores_per_executor: int, executor_memory_gb: int = 16) -> dict[str, str]:
+    """Recommended settings for a large cluster (e.g. 1000 executors reading ~100 TB).
+
+    Shuffle partitions start at ~3 per core and AQE coalesces them to the advisory size, so the
+    event-grain shuffles (already reduced by partial aggregation) neither spill nor create tiny
+    tasks; input splits stay at 256 MB; skewed partitions above 5× the median and 1 GB are split.
+    Pass the result as ``extra`` to ``get_spark`` or to spark-submit ``--conf``.
+    """
+    cores = executors * cores_per_executor
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, 3 * cores)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.executor.memory": f"{executor_memory_gb}g",
+        "spark.executor.cores": str(cores_per_executor),
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

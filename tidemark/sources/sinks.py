@@ -57,7 +57,8 @@ def append_events(valid: DataFrame, target_path: str | None, spark: SparkSession
         target = _read_if_exists(spark, target_path)
     fresh = new_events(batch, target).select(*EVENT_COLUMNS, "event_date")
     if target_path is not None:
-        fresh.write.mode("append").partitionBy("event_date").parquet(target_path)
+        fresh.sortWithinPartitions("event_date", "ticker", "event_time") \
+            .write.mode("append").partitionBy("event_date").parquet(target_path)
     return fresh
 
 
