@@ -28,3 +28,17 @@ def test_query(spark, con, name):
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "ticker" in df.columns
+
+
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+              "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in SQL if not n.startswith("stream_")))
+def test_types_match(spark, con, name):
+    sdf = QUERIES[name](spark, SF)
+    spark_types = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    rel = con.sql(SQL[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
