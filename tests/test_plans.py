@@ -43,8 +43,8 @@ def test_no_python_in_core_marts(spark):
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
-def test_pipeline_matches_lazy_marts(spark, tmp_path):
-    from tidemark.plans.pipeline import build_marts
+def test_materialized_build_matches_lazy_marts(spark, tmp_path):
+    from tidemark.plans.materialize import build_marts
     c = Ctx(spark, SF)
     t = build_marts(spark, c.stg, c.sym, str(tmp_path / "marts"), "2024-02-01 00:00:00", raw=c.raw)
     assert "stock_signal_feature_store" in t
