@@ -442,11 +442,19 @@ def _q_cache_status(c: Ctx):
     return CACHE.cache_status(latest, CACHE_AS_OF, list(CACHE.SCOPES))
 
 
+QUOTE_AS_OF = "2024-01-30 21:00:00"
+QUOTE_WINDOW_MIN = 60
+
+
 def _provider_quotes(c: Ctx) -> DataFrame:
-    """Provider answers for tickers whose last event id is even (the others 'fail')."""
+    """Live-provider answers at QUOTE_AS_OF: the latest trade of every ticker that traded in the
+    hour before (tickers without a recent trade get no quote, as when the provider fails)."""
     from tidemark.plans.queries import latest_rows
-    last = latest_rows(c.raw.select("ticker", "id", "price", "volume", "event_time"), "ticker", ["event_time", "id"])
-    return last.filter(F.pmod("id", F.lit(2)) == 0).drop("id")
+    now = F.lit(QUOTE_AS_OF).cast("timestamp")
+    recent = c.raw.filter((F.col("event_time") > now - F.expr(f"INTERVAL {QUOTE_WINDOW_MIN} MINUTES"))
+                          & (F.col("event_time") <= now))
+    return latest_rows(recent.select("ticker", "id", "price", "volume", "event_time"), "ticker",
+                       ["event_time", "id"]).drop("id")
 
 
 @register("resolve_quotes")
@@ -457,12 +465,12 @@ def _q_resolve(c: Ctx):
 @register("upsert")
 def _q_upsert(c: Ctx):
     q = _provider_quotes(c)
-    changes = q.select("ticker", F.to_date(F.lit(AS_OF)).alias("cache_date"), F.col("price").alias("live_price"),
+    changes = q.select("ticker", F.to_date(F.lit(QUOTE_AS_OF)).alias("cache_date"), F.col("price").alias("live_price"),
                        F.col("volume").alias("live_volume"), F.col("event_time").alias("live_event_time"),
                        F.lit("yfinance_live_api").alias("live_source"),
-                       (F.lit(AS_OF).cast("timestamp") + F.expr("INTERVAL 15 MINUTES")).alias("live_expires_at"),
-                       F.lit(AS_OF).cast("timestamp").alias("live_updated_at"))
-    up = CACHE.upsert(_cache(c), changes, CACHE.KEYS, CACHE.LIVE_COLUMNS, "updated_at", AS_OF)
+                       (F.lit(QUOTE_AS_OF).cast("timestamp") + F.expr("INTERVAL 15 MINUTES")).alias("live_expires_at"),
+                       F.lit(QUOTE_AS_OF).cast("timestamp").alias("live_updated_at"))
+    up = CACHE.upsert(_cache(c), changes, CACHE.KEYS, CACHE.LIVE_COLUMNS, "updated_at", QUOTE_AS_OF)
     return up.select("ticker", "cache_date", *CACHE.LIVE_COLUMNS, "news_updated_at", "updated_at")
 
 
@@ -569,25 +577,30 @@ def _q_sentiment_score(c: Ctx):
     return a.select("article_id", NEWS.sentiment_score(NEWS._joined_text("title", "description")).alias("score"))
 
 
+NEWS_AS_OF = "2024-01-10 15:00:00"
+NEWS_WINDOW_DAYS = 2
+
+
 def _provider_news(c: Ctx) -> DataFrame:
-    """Provider fetch results: tickers whose index in the fixture list is odd answer."""
-    from tidemark.sources.fixtures import FIXTURE_TICKERS
-    ok = [t for i, t in enumerate(FIXTURE_TICKERS[:20]) if i % 2 == 1]
-    e = _enriched(c).filter(F.col("ticker").isin(*ok))
+    """News-provider answers at NEWS_AS_OF: tickers with articles published in the two days before
+    (the count of such articles); the others get nothing back."""
+    now = F.lit(NEWS_AS_OF).cast("timestamp")
+    e = _enriched(c).filter((F.col("published_at") > now - F.make_interval(days=F.lit(NEWS_WINDOW_DAYS)))
+                            & (F.col("published_at") <= now))
     return e.groupBy("ticker").agg(F.count(F.lit(1)).alias("article_count"))
 
 
 @register("resolve_news")
 def _q_resolve_news(c: Ctx):
     latest = CACHE.latest_cache_row(_cache(c))
-    return NEWS.resolve_news(_provider_news(c), latest, "2024-01-10 15:00:00")
+    return NEWS.resolve_news(_provider_news(c), latest, NEWS_AS_OF)
 
 
 @register("refresh")
 def _q_refresh(c: Ctx):
     t = c.spark.createDataFrame([(x,) for x in INVALIDATE_TICKERS], "ticker string")
     cache = _cache(c)
-    new_cache, res = CACHE.refresh(cache, t, ["live"], AS_OF, provider_quotes=_provider_quotes(c))
+    new_cache, res = CACHE.refresh(cache, t, ["live"], QUOTE_AS_OF, provider_quotes=_provider_quotes(c))
     return new_cache.select("ticker", "cache_date", *CACHE.LIVE_COLUMNS, "updated_at")
 
 
