@@ -89,10 +89,18 @@ def benchmark_join(left: DataFrame, right: DataFrame, time_col: str, rows_bound:
         .drop("_bkey", "bm_time")
 
 
+_BENCHMARK_LISTS: dict[int, list[str]] = {}
+
+
 def benchmark_list(sym: DataFrame) -> list[str]:
-    """Distinct benchmark tickers of the dimension (a bounded reference table: 20 seed rows)."""
-    return sorted(r[0] for r in sym.filter(F.col("benchmark_ticker").isNotNull())
-                  .select("benchmark_ticker").distinct().collect())
+    """Distinct benchmark tickers of the dimension (a bounded reference table: 20 seed rows).
+
+    One narrow job per distinct dimension plan (memoised by the plan's semantic hash)."""
+    key = sym._jdf.queryExecution().analyzed().semanticHash()
+    if key not in _BENCHMARK_LISTS:
+        rows = sym.select("benchmark_ticker").collect()
+        _BENCHMARK_LISTS[key] = sorted({r[0] for r in rows if r[0] is not None})
+    return _BENCHMARK_LISTS[key]
 
 
 def _benchmark_rows(df: DataFrame, bms: list[str]) -> DataFrame:

@@ -43,14 +43,28 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
-def literal_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
-    """A small fixed table as a plan-level literal (one-row range + ``inline``): unlike
-    ``createDataFrame`` from Python rows it carries exact size statistics, so the optimiser (and
-    ``broadcast_if_small``) knows it is tiny."""
-    from pyspark.sql import functions as F
+def _sql_literal(v, dt: T.DataType) -> str:
+    if v is None:
+        return f"CAST(NULL AS {dt.simpleString()})"
+    if isinstance(dt, T.ArrayType):
+        inner = ", ".join(_sql_literal(x, dt.elementType) for x in v)
+        return f"CAST(array({inner}) AS {dt.simpleString()})"
+    if isinstance(dt, T.StringType):
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(dt, T.BooleanType):
+        return "true" if v else "false"
+    return f"CAST({v!r} AS {dt.simpleString()})"
 
-    def lit(v, dt):
-        return F.lit(None).cast(dt) if v is None else F.lit(v).cast(dt)
 
-    structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+def literal_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small fixed table as an inline ``VALUES`` relation. Catalyst turns it into a
+    LocalRelation: exact size statistics (so the optimiser and ``broadcast_if_small`` know it is
+    tiny) and no generated code, unlike ``createDataFrame`` from Python rows (an RDD without
+    statistics)."""
+    values = ", ".join("(" + ", ".join(_sql_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")"
+                       for r in rows)
+    names = ", ".join(f.name for f in schema.fields)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.select(*[df[f.name] if have[f.name] == f.dataType.simpleString() else df[f.name].cast(f.dataType)
+                       .alias(f.name) for f in schema.fields])
