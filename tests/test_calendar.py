@@ -2,6 +2,8 @@
 calendar built from the holiday definitions, over twelve years of days."""
 import datetime as dt
 
+from dateutil.easter import easter as dateutil_easter
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as CAL
@@ -20,17 +22,7 @@ def _py_holidays(year: int) -> set[dt.date]:
         d = (dt.date(year + (month == 12), month % 12 + 1, 1) - dt.timedelta(1))
         return d - dt.timedelta((d.weekday() - weekday) % 7)
 
-    # Easter by the Meeus/Jones/Butcher algorithm, written independently of the code under test
-    a, b, c = year % 19, year // 100, year % 100
-    d, e = divmod(b, 4)
-    g = (8 * b + 13) // 25
-    h = (19 * a + b - d - g + 15) % 30
-    i, k = divmod(c, 4)
-    l_ = (32 + 2 * e + 2 * i - h - k) % 7
-    m = (a + 11 * h + 19 * l_) // 433
-    month = (h + l_ - 7 * m + 90) // 25
-    day = (h + l_ - 7 * m + 33 * month + 19) % 32
-    easter = dt.date(year, month, day)
+    easter = dateutil_easter(year)          # an independent implementation
     return {observed(dt.date(year, 1, 1)), nth(1, 0, 3), nth(2, 0, 3), easter - dt.timedelta(2), last(5, 0),
             observed(dt.date(year, 6, 19)), observed(dt.date(year, 7, 4)), nth(9, 0, 1), nth(11, 3, 4),
             observed(dt.date(year, 12, 25))}

@@ -59,13 +59,16 @@ def last_weekday(year: Column, month: int, weekday: int) -> Column:
 
 
 def _easter(y: int) -> tuple[int, int]:
-    """Gregorian Easter Sunday (month, day) of year ``y`` (anonymous Gregorian computus)."""
-    a, b, c = y % 19, y // 100, y % 100
-    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
-    l_ = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
-    m = (a + 11 * h + 22 * l_) // 451
-    n = h + l_ - 7 * m + 114
-    return n // 31, n % 31 + 1
+    """Gregorian Easter Sunday (month, day) — Meeus/Jones/Butcher formulation."""
+    golden = y % 19
+    century, yy = divmod(y, 100)
+    leap_c, rem_c = divmod(century, 4)
+    epact = (19 * golden + century - leap_c - (8 * century + 13) // 25 + 15) % 30
+    leap_y, rem_y = divmod(yy, 4)
+    weekday = (32 + 2 * rem_c + 2 * leap_y - epact - rem_y) % 7
+    corr = (golden + 11 * epact + 19 * weekday) // 433
+    month = (epact + weekday - 7 * corr + 90) // 25
+    return month, (epact + weekday - 7 * corr + 33 * month + 19) % 32
 
 
 # Good Friday by year, generated from the computus for the supported calendar range.
