@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import market_context
 from tidemark.functions.numeric import round_ratio_half_up
 
-# Cache time-to-live per family (minutes), column families.
+# Cache time-to-live per family (minutes), freshness states and reasons, quote sources.
 LIVE_TTL_MIN, NEWS_TTL_MIN, SUMMARY_TTL_MIN = 15, 180, 180
+STATE_MISS, STATE_FRESH, STATE_STALE = "miss", "fresh", "stale"
+REASON_MISS, REASON_CLOSED, REASON_EXPIRED, REASON_FRESH = (
+    "cache_miss", "market_closed_since_last_update", "ttl_expired", "fresh_within_ttl")
+LIVE_PROVIDER_SOURCE, STALE_CACHE_SOURCE = "yfinance_live_api", "daily_cache_stale"
 LIVE_COLUMNS = ["live_price", "live_volume", "live_event_time", "live_source", "live_expires_at", "live_updated_at"]
 NEWS_COLUMNS = ["article_count", "news_expires_at", "news_updated_at"]
 SUMMARY_COLUMNS = ["news_summary", "summary_source", "summary_model", "summary_fallback_reason",
@@ -123,12 +127,12 @@ def cache_status(rows: DataFrame, as_of: str | list[str], scope: str | list[str]
     stale0 = exp.isNull() | (exp <= now)
     closed_ok = stale0 & upd.isNotNull() & ~F.col("_m_is_market_open") & (upd >= F.col("_m_last_session_close_at"))
     stale = stale0 & ~closed_ok
-    reason = F.when(miss, "cache_miss").when(closed_ok, "market_closed_since_last_update") \
-        .when(stale0, "ttl_expired").otherwise("fresh_within_ttl")
+    reason = F.when(miss, REASON_MISS).when(closed_ok, REASON_CLOSED) \
+        .when(stale0, REASON_EXPIRED).otherwise(REASON_FRESH)
     lag = F.when(exp.isNotNull() & stale, F.greatest(F.lit(0), (F.unix_seconds(now) - F.unix_seconds(exp))))
     return d.select(
         "ticker", "scope", "as_of",
-        F.when(miss, "miss").when(stale, "stale").otherwise("fresh").alias("state"),
+        F.when(miss, STATE_MISS).when(stale, STATE_STALE).otherwise(STATE_FRESH).alias("state"),
         (miss | stale).alias("is_stale"),
         F.when(miss, F.lit(None)).otherwise(exp).alias("expires_at"),
         F.when(miss, F.lit(None)).otherwise(upd).alias("updated_at"),
@@ -152,7 +156,7 @@ def resolve_quotes(provider: DataFrame, cache_latest: DataFrame, profiles: DataF
         F.when(ok, F.col("_pp")).when(cached, F.col("live_price")).cast("decimal(10,2)").alias("price"),
         F.when(ok, F.col("_pv")).when(cached, F.coalesce(F.col("live_volume"), F.lit(0))).cast("bigint").alias("volume"),
         F.when(ok, F.col("_pt")).when(cached, F.col("live_event_time")).alias("event_time"),
-        F.when(ok, F.lit("yfinance_live_api")).when(cached, F.lit("daily_cache_stale")).alias("source"),
+        F.when(ok, F.lit(LIVE_PROVIDER_SOURCE)).when(cached, F.lit(STALE_CACHE_SOURCE)).alias("source"),
         F.when(~ok & ~cached, F.lit("No market data available")).alias("error"))
     if profiles is not None:
         out = out.join(profiles, "ticker", "left")
@@ -256,7 +260,7 @@ def refresh(cache: DataFrame, tickers: DataFrame, scopes: list[str], as_of: str,
         q = provider_quotes.join(t, "ticker", "left_semi")
         ch = q.select("ticker", key_date.alias("cache_date"), F.col("price").alias("live_price"),
                       F.col("volume").alias("live_volume"), F.col("event_time").alias("live_event_time"),
-                      F.lit("yfinance_live_api").alias("live_source"),
+                      F.lit(LIVE_PROVIDER_SOURCE).alias("live_source"),
                       (now + _minutes(LIVE_TTL_MIN)).alias("live_expires_at"), now.alias("live_updated_at"))
         out = upsert(out, ch, KEYS, LIVE_COLUMNS, "updated_at", as_of)
         results.append(q.select("ticker", F.lit("live").alias("scope")))

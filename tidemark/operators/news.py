@@ -49,6 +49,15 @@ TOP_ENTITIES_PER_ARTICLE, TOP_ENTITIES_PER_TICKER = 6, 8
 ARTICLE_KEY_TOKENS = 18
 LOW_QUALITY_FRAGMENTS = ["{ticker} market news digest", "Write a concise market-facing summary",
                          "Primary headlines:", "Condensed article notes:", "Headline:", "Article:"]
+SUMMARY_TEMPLATE = ("Recent coverage for %s is %s overall based on %d articles. Impact is %s with source quality "
+                    "averaging %.2f. Key headlines include: %s.")
+NO_ARTICLES_TEMPLATE = "No recent articles were available to summarize for %s."
+FALLBACK_REASON_SUFFIX = " Fallback reason: "
+LOCAL_FALLBACK_SUFFIX = " Local summarizer fallback used because: "
+FALLBACK_SOURCE = "fallback"
+NO_ARTICLES_REASON = "No articles available"
+LOCAL_UNAVAILABLE_REASON = "Local summary unavailable"
+STALE_CACHE_REASON = "Served stale cache because refresh failed"
 
 # Capitalised phrases: a capital letter, 2+ letters, optionally more such words. Word boundaries
 # are spelled out with Unicode letters/digits so they do not depend on the regex engine's \b.
@@ -305,19 +314,17 @@ def template_summary(metrics: DataFrame, headlines: DataFrame | None = None, rea
     avg = F.col("avg_sentiment")
     label = F.when(avg > SUMMARY_SENTIMENT_CUTOFF, "positive").when(avg < -SUMMARY_SENTIMENT_CUTOFF, "negative") \
         .otherwise("mixed")
-    body = F.format_string("Recent coverage for %s is %s overall based on %d articles. Impact is %s with "
-                           "source quality averaging %.2f. Key headlines include: %s.",
-                           F.col("ticker"), label, F.col("article_count"), F.col("impact_label"),
+    body = F.format_string(SUMMARY_TEMPLATE, F.col("ticker"), label, F.col("article_count"), F.col("impact_label"),
                            F.col("avg_source_quality_score").cast("double"), heads)
-    none = F.format_string("No recent articles were available to summarize for %s.", F.col("ticker"))
+    none = F.format_string(NO_ARTICLES_TEMPLATE, F.col("ticker"))
     r = reason if reason is not None else F.lit(None).cast("string")
     text = F.when(F.col("article_count") == 0,
-                  F.when(r.isNotNull(), F.concat(none, F.lit(" Fallback reason: "), r)).otherwise(none)) \
-        .otherwise(F.when(r.isNotNull(), F.concat(body, F.lit(" Local summarizer fallback used because: "), r))
+                  F.when(r.isNotNull(), F.concat(none, F.lit(FALLBACK_REASON_SUFFIX), r)).otherwise(none)) \
+        .otherwise(F.when(r.isNotNull(), F.concat(body, F.lit(LOCAL_FALLBACK_SUFFIX), r))
                    .otherwise(body))
-    fallback = F.coalesce(r, F.when(F.col("article_count") == 0, F.lit("No articles available"))
-                          .otherwise(F.lit("Local summary unavailable")))
-    return m.select(*keys, text.alias("summary"), F.lit("fallback").alias("source"),
+    fallback = F.coalesce(r, F.when(F.col("article_count") == 0, F.lit(NO_ARTICLES_REASON))
+                          .otherwise(F.lit(LOCAL_UNAVAILABLE_REASON)))
+    return m.select(*keys, text.alias("summary"), F.lit(FALLBACK_SOURCE).alias("source"),
                     F.lit(None).cast("string").alias("model"), fallback.alias("fallback_reason"))
 
 
@@ -487,6 +494,5 @@ def resolve_news(provider: DataFrame, cache_latest: DataFrame, as_of: str) -> Da
     return j.select("ticker", source.alias("source"),
                     F.when(fresh | (~ok & has_cache), F.col("cached_articles")).when(ok, F.col("fetched_articles"))
                     .cast("bigint").alias("article_count"),
-                    F.when(~fresh & ~ok & has_cache,
-                           F.lit("Served stale cache because refresh failed")).alias("fallback_reason"),
+                    F.when(~fresh & ~ok & has_cache, F.lit(STALE_CACHE_REASON)).alias("fallback_reason"),
                     F.when(source.isNull(), F.lit("No news available")).alias("error"))

@@ -467,7 +467,7 @@ def _q_upsert(c: Ctx):
     q = _provider_quotes(c)
     changes = q.select("ticker", F.to_date(F.lit(QUOTE_AS_OF)).alias("cache_date"), F.col("price").alias("live_price"),
                        F.col("volume").alias("live_volume"), F.col("event_time").alias("live_event_time"),
-                       F.lit("yfinance_live_api").alias("live_source"),
+                       F.lit(CACHE.LIVE_PROVIDER_SOURCE).alias("live_source"),
                        (F.lit(QUOTE_AS_OF).cast("timestamp") + F.expr("INTERVAL 15 MINUTES")).alias("live_expires_at"),
                        F.lit(QUOTE_AS_OF).cast("timestamp").alias("live_updated_at"))
     up = CACHE.upsert(_cache(c), changes, CACHE.KEYS, CACHE.LIVE_COLUMNS, "updated_at", QUOTE_AS_OF)
