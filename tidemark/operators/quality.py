@@ -296,3 +296,57 @@ def lineage_many(source: DataFrame, marts: dict[str, tuple[DataFrame, str | None
                F.greatest(F.lit(0), F.unix_seconds(now) - F.unix_seconds(F.col("mart_max_timestamp"))))
         .cast("bigint").alias("mart_lag_seconds"),
         F.concat(F.lit(source_name + ","), F.col("_mart")).alias("provenance"))
+
+
+# ------------------------------------------------------------------------------- declared data tests
+# The reference's declared schema tests — not-null columns and the unique key of each
+# table (composite keys are tested as the tuple, which is what the concatenated text key means).
+DATA_TESTS = {
+    "stg_stock_prices": (["id", "ticker", "price", "volume", "event_time", "source", "event_kind", "bar_interval",
+                          "market_session"], ["id"]),
+    "stg_symbol_reference": (["ticker", "company_name", "sector"], ["ticker"]),
+    "daily_stock_summary": (["ticker", "trade_date", "event_count", "avg_price", "min_price", "max_price",
+                             "total_volume", "last_updated_at", "open_price", "close_price", "price_change_pct",
+                             "volume_vs_avg_ratio", "anomaly_flag"], ["ticker", "trade_date"]),
+    "intraday_stock_rollup": (["ticker", "interval_start", "market_session", "open_price", "high_price", "low_price",
+                               "close_price", "bar_count", "total_volume", "last_updated_at"],
+                              ["ticker", "interval_start"]),
+    "stock_drawdown_recovery": (["ticker", "trade_date", "close_price", "rolling_peak_close", "drawdown_pct",
+                                 "days_since_peak", "recovery_status", "last_updated_at"], ["ticker", "trade_date"]),
+    "stock_risk_indicators": (["ticker", "trade_date", "close_price", "price_change_pct", "observed_days",
+                               "last_updated_at"], ["ticker", "trade_date"]),
+    "sector_daily_summary": (["sector", "trade_date", "ticker_count", "avg_price_change_pct",
+                              "avg_relative_price_change_pct", "avg_volume_ratio", "total_volume", "anomaly_count",
+                              "top_ticker", "top_ticker_price_change_pct"], ["sector", "trade_date"]),
+    "benchmark_relative_strength": (["benchmark_ticker", "trade_date", "ticker_count", "avg_relative_price_change_pct",
+                                     "outperformer_count", "underperformer_count", "total_volume", "last_updated_at"],
+                                    ["benchmark_ticker", "trade_date"]),
+    "market_regime_summary": (["trade_date", "regime_label", "avg_relative_move_pct", "avg_volume_ratio",
+                               "risk_off_share", "outperformer_share", "ticker_count", "anomaly_count",
+                               "last_updated_at"], ["trade_date"]),
+    "stock_anomaly_history": (["ticker", "trade_date", "anomaly_flag", "anomaly_severity_score", "price_change_pct",
+                               "volume_vs_avg_ratio", "close_price", "total_volume"], []),
+    "stock_signal_feature_store": (["ticker", "trade_date", "signal_strength_score", "market_regime_label",
+                                    "feature_generated_at"], ["ticker", "trade_date"]),
+}
+
+
+def data_tests(tables: dict[str, DataFrame], spec: dict | None = None) -> DataFrame:
+    """DQ-6/DQ-7 for every table: one aggregate per table for all not-null columns and one
+    duplicate-group count for its unique key. Rows: (table_name, test_name, column_name,
+    failures, status)."""
+    spec = spec or DATA_TESTS
+    parts = []
+    for name, df in tables.items():
+        cols, key = spec[name]
+        nn = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).select(F.explode(F.array(*[
+            F.struct(F.lit("not_null").alias("test_name"), F.lit(c).alias("column_name"),
+                     F.col(c).cast("bigint").alias("failures")) for c in cols])).alias("r")).select("r.*")
+        parts.append(nn.withColumn("table_name", F.lit(name)))
+        if key:
+            dup = duplicate_groups(df, key).agg(F.count(F.lit(1)).cast("bigint").alias("failures"))
+            parts.append(dup.select(F.lit("unique").alias("test_name"), F.lit(",".join(key)).alias("column_name"),
+                                    "failures", F.lit(name).alias("table_name")))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("table_name", "test_name", "column_name", "failures",
+                      F.when(F.col("failures") == 0, "pass").otherwise("fail").alias("status"))

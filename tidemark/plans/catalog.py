@@ -694,3 +694,17 @@ def _q_clusters(c: Ctx):
 def _q_valid_tickers(c: Ctx):
     from tidemark.operators.staging import valid_tickers
     return valid_tickers(load_symbol_requests(c.spark, c.sf_dir), "raw_symbol")
+
+
+@register("mart_data_tests")
+def _q_mart_data_tests(c: Ctx):
+    daily = c.daily
+    tables = {"stg_stock_prices": c.stg, "stg_symbol_reference": c.sym, "daily_stock_summary": daily,
+              "intraday_stock_rollup": c.hourly, "stock_drawdown_recovery": M.stock_drawdown_recovery(daily),
+              "stock_risk_indicators": M.stock_risk_indicators(daily),
+              "sector_daily_summary": M.sector_daily_summary(daily),
+              "benchmark_relative_strength": M.benchmark_relative_strength(daily),
+              "market_regime_summary": M.market_regime_summary(daily),
+              "stock_anomaly_history": M.stock_anomaly_history(daily),
+              "stock_signal_feature_store": M.signal_feature_store(daily, AS_OF)}
+    return DQ.data_tests(tables)
