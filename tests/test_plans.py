@@ -51,3 +51,20 @@ def test_materialized_build_matches_lazy_marts(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "marts" / "stock_signal_feature_store"))
     lazy = M.signal_feature_store(c.daily, "2024-02-01 00:00:00")
     assert stored.exceptAll(lazy).count() == 0 and lazy.exceptAll(stored).count() == 0
+
+
+def test_hot_ticker_is_absorbed_by_partial_aggregation(spark):
+    from pyspark.sql import functions as F
+    from tidemark.operators.staging import stage_stock_prices
+    from tidemark.sources.fixtures import HOT_TICKER, load_stock_prices
+    c = Ctx(spark, SF)
+    stg = stage_stock_prices(load_stock_prices(spark, SF, hot_ticker=True))
+    daily = M.daily_stock_summary(stg, c.sym)
+    p = _plan(daily)
+    assert "SortAggregate" not in p and "HashAggregate" in p
+    counts = {r["ticker"]: r["n"] for r in daily.groupBy("ticker").agg(F.sum("event_count").alias("n")).collect()}
+    assert counts[HOT_TICKER] >= sum(counts.values()) / 3          # the hot ticker really is hot
+    # every open-session event is counted exactly once, whatever the skew
+    open_events = stg.filter(F.col("market_session") != "closed").count()
+    assert sum(counts.values()) == open_events
+    assert daily.groupBy("ticker", "trade_date").count().filter("count > 1").count() == 0

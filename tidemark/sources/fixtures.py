@@ -30,15 +30,23 @@ def _pick(items: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in items]), (index + 1).cast("int"))
 
 
-def fixture_ticker(event_id: Column, scale_tickers: bool = False, user_id: Column | None = None) -> Column:
+# Skew scenario: the share of all events given to one hot ticker.
+HOT_TICKER, HOT_SHARE_DENOMINATOR = "AAPL", 3
+
+
+def fixture_ticker(event_id: Column, scale_tickers: bool = False, user_id: Column | None = None,
+                   hot_ticker: bool = False) -> Column:
     t = _pick(FIXTURE_TICKERS, F.pmod(event_id, F.lit(len(FIXTURE_TICKERS))))
+    if hot_ticker:
+        # a third of all events (on top of its normal share) belong to one ticker
+        t = F.when(F.pmod(F.xxhash64(event_id), F.lit(HOT_SHARE_DENOMINATOR)) == 0, F.lit(HOT_TICKER)).otherwise(t)
     if scale_tickers and user_id is not None:
         # Bench variant: half of the rows go to per-user tickers, so window partitions grow.
         return F.when(F.pmod(event_id, F.lit(2)) == 1, F.concat(F.lit("T"), user_id.cast("string"))).otherwise(t)
     return t
 
 
-def stock_prices_from_events(events: DataFrame, scale_tickers: bool = False) -> DataFrame:
+def stock_prices_from_events(events: DataFrame, scale_tickers: bool = False, hot_ticker: bool = False) -> DataFrame:
     """events → raw ``stock_prices`` rows (FIXTURES.md 2.1).
 
     ``ts`` is a wall-clock TIMESTAMP_NTZ in the file; it is read as a UTC instant.
@@ -52,7 +60,7 @@ def stock_prices_from_events(events: DataFrame, scale_tickers: bool = False) ->
     dec = lambda c: c.cast("decimal(10,2)")
     return events.select(
         eid.alias("id"),
-        fixture_ticker(eid, scale_tickers, F.col("user_id")).alias("ticker"),
+        fixture_ticker(eid, scale_tickers, F.col("user_id"), hot_ticker).alias("ticker"),
         price.alias("price"),
         ((F.lit(100) + k * 100) * spike).cast("bigint").alias("volume"),
         ts.alias("event_time"),
@@ -68,9 +76,10 @@ def stock_prices_from_events(events: DataFrame, scale_tickers: bool = False) ->
     )
 
 
-def load_stock_prices(spark: SparkSession, sf_dir: str, scale_tickers: bool = False) -> DataFrame:
+def load_stock_prices(spark: SparkSession, sf_dir: str, scale_tickers: bool = False,
+                      hot_ticker: bool = False) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value", "props"])
-    return stock_prices_from_events(ev, scale_tickers)
+    return stock_prices_from_events(ev, scale_tickers, hot_ticker)
 
 
 def watchlists_from_customers(customer: DataFrame, created_at: str = "2024-01-01 00:00:00") -> DataFrame:
