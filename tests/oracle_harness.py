@@ -1,6 +1,7 @@
 """Side-by-side check of registered queries against their DuckDB oracle SQL.
 
-Mirrors the driver: row count, column names, and an order-insensitive comparison of values.
+Mirrors the driver: row count, column names, and an order-insensitive, exact comparison of values
+(doubles compared bit for bit — both sides compute the same exact decimals before the final cast).
 Run as a script: ``python tests/oracle_harness.py [sf_dir] [name ...]``.
 """
 
@@ -37,9 +38,9 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9)
+        return v
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 9)
+        return float(v)
     if hasattr(v, "to_pydatetime"):
         v = v.to_pydatetime()
     if isinstance(v, dt.datetime):
