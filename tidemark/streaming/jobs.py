@@ -187,6 +187,47 @@ def refresh_marts_batch(spark: SparkSession, touched: DataFrame, events_path: st
     return spark.read.parquet(staging_path)
 
 
+PER_TICKER_MARTS = ["stock_risk_indicators", "stock_drawdown_recovery", "stock_anomaly_history",
+                    "stock_signal_feature_store"]
+PER_DATE_MARTS = ["sector_daily_summary", "benchmark_relative_strength", "market_regime_summary"]
+
+
+def refresh_dependent_marts(spark: SparkSession, rebuilt: DataFrame, touched: DataFrame, daily_path: str,
+                            marts_dir: str, as_of: str) -> None:
+    """STR-8, second half: the marts that derive from the daily mart.
+
+    Per-ticker marts are recomputed for the rebuilt ticker buckets (their windows need each
+    ticker's whole history, which ``rebuilt`` holds) and replace those buckets. Market-wide marts
+    (one row per date or sector/benchmark × date) are recomputed for every date from the earliest
+    touched date on — a late event moves LAG and the rolling values of the following days — and
+    replace those date partitions. Each mart is written from inputs stored at other paths, so no
+    job reads the partitions it overwrites.
+    """
+    from tidemark.plans import marts as M
+    out = marts_dir.rstrip("/")
+
+    def write(df: DataFrame, name: str, part: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part) \
+            .parquet(f"{out}/{name}")
+
+    per_ticker = {"stock_risk_indicators": M.stock_risk_indicators,
+                  "stock_drawdown_recovery": M.stock_drawdown_recovery,
+                  "stock_anomaly_history": M.stock_anomaly_history,
+                  "stock_signal_feature_store": lambda d: M.signal_feature_store(d, as_of)}
+    base = rebuilt.drop("ticker_bucket")
+    for name, fn in per_ticker.items():
+        write(fn(base).withColumn("ticker_bucket", ticker_bucket()), name, "ticker_bucket")
+    first = touched.agg(F.min("trade_date")).collect()[0][0]
+    if first is None:
+        return
+    daily = spark.read.parquet(daily_path).drop("ticker_bucket").filter(F.col("trade_date") >= F.lit(first))
+    risk = spark.read.parquet(f"{out}/stock_risk_indicators").drop("ticker_bucket") \
+        .filter(F.col("trade_date") >= F.lit(first))
+    write(M.sector_daily_summary(daily), "sector_daily_summary", "trade_date")
+    write(M.benchmark_relative_strength(daily), "benchmark_relative_strength", "trade_date")
+    write(M.market_regime_summary(daily, risk), "market_regime_summary", "trade_date")
+
+
 def alerts_for_batch(daily_rows: DataFrame, watch: DataFrame, sym: DataFrame) -> DataFrame:
     """STR-9: watch-list alerts evaluated on rebuilt daily rows (all principals, no limit)."""
     from tidemark.plans.queries import watchlist_alerts
@@ -195,8 +236,10 @@ def alerts_for_batch(daily_rows: DataFrame, watch: DataFrame, sym: DataFrame) ->
 
 def refresh_marts_stream(messages: DataFrame, events_path: str, dead_letter_path: str, daily_path: str,
                          sym: DataFrame, checkpoint: str, alerts_path: str | None = None,
-                         watch: DataFrame | None = None, trigger: dict | None = None):
-    """STR-8/9: ingest, then rebuild the touched mart buckets and (optionally) append alerts."""
+                         watch: DataFrame | None = None, trigger: dict | None = None,
+                         marts_dir: str | None = None, as_of: str | None = None):
+    """STR-8/9: ingest, rebuild the touched daily buckets, then (with ``marts_dir``) the dependent
+    marts, and (with ``alerts_path``) append watch-list alerts on the rebuilt rows."""
     def run(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         ingest_batch(batch, batch_id, events_path, dead_letter_path)
@@ -204,6 +247,9 @@ def refresh_marts_stream(messages: DataFrame, events_path: str, dead_letter_path
         touched = drop_closed(valid).select(F.upper(F.trim("ticker")).alias("ticker"),
                                             ny_date(F.col("event_time")).alias("trade_date")).distinct()
         daily = refresh_marts_batch(spark, touched, events_path, sym, daily_path, f"{daily_path}_staging/{batch_id}")
+        if marts_dir is not None:
+            refresh_dependent_marts(spark, daily, touched, daily_path, marts_dir,
+                                    as_of or "1970-01-01 00:00:00")
         if alerts_path and watch is not None:
             alerts_for_batch(daily, watch, sym).withColumn("batch_id", F.lit(batch_id)) \
                 .write.mode("append").parquet(alerts_path)
