@@ -55,3 +55,12 @@ def pct_change_4(close: Column, prev: Column) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
+
+
+def event_order_key(ts: str = "event_time", ident: str = "id") -> Column:
+    """Total order of events (time in µs, then id) as one DECIMAL(38,0) value.
+
+    A single fixed-width key keeps ``min_by``/``max_by`` inside a hash aggregate (a struct key
+    would force a sort-based aggregate)."""
+    big = "decimal(38,0)"
+    return (F.unix_micros(F.col(ts)).cast(big) * F.lit(str(10 ** 19)).cast(big) + F.col(ident).cast(big))

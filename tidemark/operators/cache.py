@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import market_context
-from tidemark.functions.numeric import round_ratio_half_up
+from tidemark.functions.numeric import event_order_key, round_ratio_half_up
 
 # Cache time-to-live per family (minutes), freshness states and reasons, quote sources.
 LIVE_TTL_MIN, NEWS_TTL_MIN, SUMMARY_TTL_MIN = 15, 180, 180
@@ -73,8 +73,7 @@ def build_cache(articles_enriched: DataFrame, events: DataFrame, summaries: Data
                                  "summary_source": F.lit(None).cast("string"),
                                  "summary_model": F.lit(None).cast("string"),
                                  "summary_fallback_reason": F.lit(None).cast("string")})
-    key = (F.unix_micros("event_time").cast("decimal(38,0)") * F.lit(str(10 ** 19)).cast("decimal(38,0)")
-           + F.col("id").cast("decimal(38,0)"))
+    key = event_order_key()
     live = events.withColumn("cache_date", F.to_date("event_time")).groupBy("ticker", "cache_date").agg(
         F.max_by(F.struct(F.col("price").alias("live_price"), F.col("volume").alias("live_volume"),
                           F.col("event_time").alias("live_event_time"), F.col("source").alias("live_source"),

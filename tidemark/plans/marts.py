@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import ny_date
 from tidemark.functions.joins import broadcast_if_small
-from tidemark.functions.numeric import cents, pct_change_2, pct_change_4, round_ratio_half_up
+from tidemark.functions.numeric import cents, event_order_key, pct_change_2, pct_change_4, round_ratio_half_up
 from tidemark.operators.staging import coalesce_ohlc, drop_closed
 
 # Anomaly, drawdown, volatility and regime thresholds; signal weights.
@@ -53,8 +53,7 @@ DEC4 = "decimal(14,4)"
 
 def order_key(ts: str = "event_time", ident: str = "id") -> Column:
     """Total event order (time in µs, then id) as one DECIMAL(38,0) — a hash-aggregatable key."""
-    return (F.unix_micros(F.col(ts)).cast("decimal(38,0)") * F.lit(str(10 ** 19)).cast("decimal(38,0)")
-            + F.col(ident).cast("decimal(38,0)"))
+    return event_order_key(ts, ident)
 
 
 def avg_round(col: Column, scale_in: int, digits: int, count: Column | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import infer_session
+from tidemark.functions.numeric import event_order_key
 from tidemark.sources.tables import read_table
 
 # Fixture ticker list, indexed by event_id % 22 (the last two are unknown
@@ -198,8 +199,7 @@ def bars_from_events(events: DataFrame) -> DataFrame:
     NULL close on days ≡ 0 mod 7, open 0 on days ≡ 0 mod 5, NULL volume on days ≡ 0 mod 6."""
     sp = stock_prices_from_events(events)
     day = F.to_date("event_time")
-    key = (F.unix_micros("event_time").cast("decimal(38,0)") * F.lit(str(10 ** 19)).cast("decimal(38,0)")
-           + F.col("id").cast("decimal(38,0)"))
+    key = event_order_key()
     b = sp.groupBy("ticker", day.alias("day")).agg(
         F.min_by("price", key).alias("Open"), F.max("price").alias("High"), F.min("price").alias("Low"),
         F.max_by("price", key).alias("Close"), F.sum("volume").alias("Volume"))
