@@ -95,7 +95,9 @@ def test_refresh_dependent_marts_equal_batch(spark):
                                    f"{base}/daily", sym, f"{base}/ck{i}", marts_dir=f"{base}/marts", as_of=as_of)
         q.awaitTermination()
     daily = M.daily_stock_summary(stage_stock_prices(spark.read.parquet(f"{base}/events")), sym)
+    stg = stage_stock_prices(spark.read.parquet(f"{base}/events"))
     expected = {
+        "intraday_stock_rollup": M.intraday_stock_rollup(stg, sym),
         "stock_risk_indicators": M.stock_risk_indicators(daily),
         "stock_drawdown_recovery": M.stock_drawdown_recovery(daily),
         "stock_anomaly_history": M.stock_anomaly_history(daily),

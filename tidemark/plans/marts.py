@@ -181,8 +181,13 @@ def daily_from_aggregates(agg: DataFrame, sym: DataFrame, span_days: int = MAX_S
     )
 
 
-def intraday_stock_rollup(stg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
-    """MART-2: one row per ticker × hour (UTC hour = New York hour for open sessions)."""
+HOURLY_AGGREGATE_COLUMNS = ["ticker", "interval_start", "market_session", "open_price", "high_price", "low_price",
+                            "close_price", "bar_count", "total_volume", "last_updated_at"]
+
+
+def hourly_aggregates(stg: DataFrame) -> DataFrame:
+    """AG-2/AG-3: per (ticker, hour) OHLC, count, volume and first session of MART-2 — one partial +
+    final hash aggregate (the session travels as an integer code)."""
     codes = F.array(*[F.lit(s) for s in SESSION_CODES])
     base = coalesce_ohlc(drop_closed(stg)).select(
         "ticker", F.date_trunc("hour", F.col("event_time")).alias("interval_start"),
@@ -199,12 +204,22 @@ def intraday_stock_rollup(stg: DataFrame, sym: DataFrame, span_days: int = MAX_S
         F.max_by("close_price", "_k").alias("close_price"),
         F.min_by("_session", "_k").alias("_session"),
     )
+    return agg.withColumn("market_session", F.element_at(codes, F.col("_session"))) \
+        .select(*HOURLY_AGGREGATE_COLUMNS)
+
+
+def intraday_stock_rollup(stg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
+    """MART-2: one row per ticker × hour (UTC hour = New York hour for open sessions)."""
+    return intraday_from_aggregates(hourly_aggregates(stg), sym, span_days)
+
+
+def intraday_from_aggregates(agg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
+    """MART-2 LAG, dimension and benchmark columns over stored hourly aggregates."""
     w = _by_ticker("interval_start")
     pc = F.col("previous_close_price")
     change = F.when(pc.isNull() | (pc == 0), F.lit(None).cast(DEC4)) \
         .otherwise(pct_change_4(F.col("close_price"), pc)).cast(DEC4)
     feats = agg.withColumns({
-        "market_session": F.element_at(codes, F.col("_session")),
         "previous_close_price": F.lag("close_price").over(w),
     }).withColumn("_change", change).join(_meta(sym), "ticker", "left") \
         .withColumn("sector", F.coalesce("sector", F.lit("Other")))

@@ -27,8 +27,9 @@ import datetime as _dt
 
 from tidemark.functions.calendar import ny_date
 from tidemark.functions.joins import broadcast_if_small
-from tidemark.plans.marts import (DAILY_AGGREGATE_COLUMNS, SESSION_CODES, daily_aggregates, daily_from_aggregates,
-                                  order_key)
+from tidemark.plans.marts import (DAILY_AGGREGATE_COLUMNS, HOURLY_AGGREGATE_COLUMNS, SESSION_CODES,
+                                  daily_aggregates, daily_from_aggregates, hourly_aggregates,
+                                  intraday_from_aggregates, order_key)
 from tidemark.sources.sinks import EVENT_COLUMNS, dedupe_batch, event_date
 
 TICKER_BUCKETS = 64
@@ -187,6 +188,35 @@ def refresh_marts_batch(spark: SparkSession, touched: DataFrame, events_path: st
     return spark.read.parquet(staging_path)
 
 
+def refresh_hourly_batch(spark: SparkSession, touched_hours: DataFrame, events_path: str, sym: DataFrame,
+                         hourly_path: str, staging_path: str) -> DataFrame:
+    """STR-8 for MART-2: re-aggregate the touched (ticker, hour) keys from the event_date partitions
+    that hold them, take every other hour from the stored mart, recompute LAG and benchmark
+    columns for the affected ticker buckets, and replace those buckets (via a staging folder)."""
+    keys = touched_hours.select("ticker", "interval_start").distinct()
+    dates = sorted({r[0] for r in keys.select(F.to_date("interval_start")).distinct().collect()})
+    events = spark.read.parquet(events_path).filter(F.col("event_date").isin(*dates))
+    fresh = hourly_aggregates(stage_stock_prices(events)).join(keys, ["ticker", "interval_start"], "left_semi")
+    tickers = keys.select("ticker").distinct()
+    dependents = sym.select("ticker", "benchmark_ticker").join(
+        tickers.withColumnRenamed("ticker", "benchmark_ticker"), "benchmark_ticker", "left_semi").select("ticker")
+    buckets = tickers.unionByName(dependents).select(ticker_bucket().alias("ticker_bucket")).distinct()
+    bms = [r[0] for r in sym.select("benchmark_ticker").collect() if r[0] is not None]
+    stored = _read_or_none(spark, hourly_path)
+    if stored is None:
+        base = fresh
+    else:
+        prior = stored.filter(F.col("ticker_bucket").isin(*[r[0] for r in buckets.collect()])
+                              | F.col("ticker").isin(*bms)).select(*HOURLY_AGGREGATE_COLUMNS)
+        base = prior.join(keys, ["ticker", "interval_start"], "left_anti").unionByName(fresh)
+    rebuilt = intraday_from_aggregates(base, sym).withColumn("ticker_bucket", ticker_bucket()) \
+        .join(broadcast_if_small(buckets), "ticker_bucket", "left_semi")
+    rebuilt.write.mode("overwrite").parquet(staging_path)
+    spark.read.parquet(staging_path).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("ticker_bucket").parquet(hourly_path)
+    return spark.read.parquet(staging_path)
+
+
 PER_TICKER_MARTS = ["stock_risk_indicators", "stock_drawdown_recovery", "stock_anomaly_history",
                     "stock_signal_feature_store"]
 PER_DATE_MARTS = ["sector_daily_summary", "benchmark_relative_strength", "market_regime_summary"]
@@ -250,6 +280,10 @@ def refresh_marts_stream(messages: DataFrame, events_path: str, dead_letter_path
         if marts_dir is not None:
             refresh_dependent_marts(spark, daily, touched, daily_path, marts_dir,
                                     as_of or "1970-01-01 00:00:00")
+            hours = drop_closed(valid).select(F.upper(F.trim("ticker")).alias("ticker"),
+                                              F.date_trunc("hour", F.col("event_time")).alias("interval_start"))
+            refresh_hourly_batch(spark, hours, events_path, sym, f"{marts_dir}/intraday_stock_rollup",
+                                 f"{marts_dir}/_hourly_staging/{batch_id}")
         if alerts_path and watch is not None:
             alerts_for_batch(daily, watch, sym).withColumn("batch_id", F.lit(batch_id)) \
                 .write.mode("append").parquet(alerts_path)
