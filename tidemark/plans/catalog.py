@@ -626,7 +626,7 @@ def _q_search(c: Ctx):
 
 @register("sort_rows")
 def _q_sort(c: Ctx):
-    return Q.sort_rows(Q.latest_by_ticker(c.daily), "volume_vs_avg_ratio", "desc", ["ticker"]).limit(10)
+    return Q.sort_rows(c.daily, "volume_vs_avg_ratio", "desc", ["ticker", "trade_date"])
 
 
 @register("move_class")
