@@ -103,3 +103,28 @@ def test_cache_article_arrays_for_one_ticker(spark):
     assert len(served["news_articles"]) == served["article_count"]
     positions = [a["position"] for a in served["news_articles"]]
     assert positions == sorted(positions)
+
+
+def test_summary_job_fallback_reasons(spark):
+    from tidemark.plans.catalog import Ctx, _enriched
+    c = Ctx(spark, "/root/testdata/sf0.001")
+    page = N.provider_page(_enriched(c)).drop("_r")
+    metrics = N.news_metrics(page)
+
+    def echo(texts):
+        return ["AAPL market news digest: " + t for t in texts]
+
+    def empty_final(texts):
+        return [t if t.startswith("Headline:") else "" for t in texts]
+
+    def boom(texts):
+        raise RuntimeError("model unavailable")
+
+    for fn, reason in [(echo, N.REASON_PROMPT_ECHO), (empty_final, N.REASON_EMPTY_SUMMARY), (boom, "model unavailable"),
+                       (lambda texts: ["" for _ in texts], N.REASON_EMPTY_NOTES)]:
+        rows = N.summary_job(metrics, page, fn).filter(F.col("ticker") == "AAPL").collect()
+        assert len(rows) == 1 and rows[0]["source"] == N.FALLBACK_SOURCE
+        assert rows[0]["fallback_reason"] == reason
+        assert rows[0]["summary"].endswith(N.LOCAL_FALLBACK_SUFFIX.strip() + " " + reason)
+    ok = N.summary_job(metrics, page).filter(F.col("ticker") == "AAPL").collect()[0]
+    assert ok["source"] == N.MODEL_SOURCE and ok["fallback_reason"] is None

@@ -58,6 +58,18 @@ FALLBACK_SOURCE = "fallback"
 NO_ARTICLES_REASON = "No articles available"
 LOCAL_UNAVAILABLE_REASON = "Local summary unavailable"
 STALE_CACHE_REASON = "Served stale cache because refresh failed"
+PROVIDER_PAGE_SIZE = 8                     # articles per provider fetch (one summary covers one page)
+PROMPT_TITLES, PROMPT_CLUSTERS, PROMPT_ENTITIES = 5, 4, 6
+NOTE_INPUT_TEMPLATE = "Headline: {title}\nArticle: {content}"
+PROMPT_TEMPLATE = ("Ticker: {ticker}\nOverall sentiment: {sentiment}\nAverage impact: {impact}\n"
+                   "Dominant clusters: {clusters}\nNamed entities: {entities}\nTop headlines:\n{titles}\n"
+                   "Article summaries:\n{notes}\n"
+                   "Summarize the main drivers, risks, and likely market impact in 2-3 sentences.")
+REASON_EMPTY_TEXT = "Article text was empty"
+REASON_EMPTY_NOTES = "Local summarizer returned empty article notes"
+REASON_EMPTY_SUMMARY = "Local summarizer returned an empty final summary"
+REASON_PROMPT_ECHO = "Local summarizer echoed the prompt instead of generating a summary"
+MODEL_SOURCE = "local_model"
 
 # Capitalised phrases: a capital letter, 2+ letters, optionally more such words. Word boundaries
 # are spelled out with Unicode letters/digits so they do not depend on the regex engine's \b.
@@ -348,79 +360,125 @@ def low_quality_summary(summary: Column, ticker: Column) -> Column:
     return (norm == "") | hit
 
 
-def summary_input(metrics: DataFrame, articles: DataFrame) -> DataFrame:
-    """NWS-15: prompt text per ticker from metrics, article notes and titles (≤ 5), clusters (≤ 4),
-    entities (≤ 6)."""
+def provider_page(articles: DataFrame) -> DataFrame:
+    """The first PROVIDER_PAGE_SIZE articles of each ticker in arrival order (one provider page;
+    ``row_number ≤ k`` runs as a per-group limit before the shuffle)."""
     rk = F.row_number().over(Window.partitionBy("ticker").orderBy("position"))
-    t = articles.withColumn("_r", rk).filter(F.col("_r") <= 5)
-    notes = t.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct(
-        "_r", F.concat(F.lit("Headline: "), F.coalesce("title", F.lit("")), F.lit(". Article: "),
-                       F.coalesce("description", F.lit(""))).alias("note")))).alias("_n"))
-    notes = notes.select("ticker", F.array_join(F.transform("_n", lambda x: x["note"]), "\n").alias("notes"))
-    m = metrics.join(notes, "ticker", "left")
-    clusters = F.array_join(F.slice(F.split(F.coalesce("clusters", F.lit("")), r"\|"), 1, 4), ", ")
-    ents = F.array_join(F.slice(F.split(F.coalesce("top_entities", F.lit("")), r"\|"), 1, 6), ", ")
-    prompt = F.concat_ws("\n",
-                         F.concat(F.col("ticker"), F.lit(" market news digest")),
-                         F.lit("Write a concise market-facing summary."),
-                         F.format_string("Average sentiment %.4f, impact %s, source quality %.4f.",
-                                         F.col("avg_sentiment").cast("double"), F.col("impact_label"),
-                                         F.col("avg_source_quality_score").cast("double")),
-                         F.concat(F.lit("Primary headlines:\n"), F.coalesce("notes", F.lit(""))),
-                         F.concat(F.lit("Clusters: "), clusters), F.concat(F.lit("Entities: "), ents))
-    return m.select("ticker", prompt.alias("prompt"))
-
-
-def extractive_summarizer(prompts, texts):
-    """Default summariser for ``summary_job``: the first two sentences of the article notes."""
+    return articles.withColumn("_r", rk).filter(F.col("_r") <= PROVIDER_PAGE_SIZE)
+
+
+def summary_input(metrics: DataFrame, articles: DataFrame) -> DataFrame:
+    """NWS-15: per ticker the pieces of the summary prompt — sentiment and impact labels, top
+    clusters (≤ 4) and entities (≤ 6), headlines of the first 5 usable articles, and the note inputs
+    ("Headline: …\\nArticle: …") of the usable articles of the page (bounded arrays)."""
+    content = F.coalesce(F.col("content"), F.col("description")) if "content" in articles.columns \
+        else F.col("description")
+    page = provider_page(articles).withColumn("_content", F.trim(F.coalesce(content, F.lit(""))))
+    usable = page.filter(F.col("_content") != "")
+    note_in = F.concat(F.lit("Headline: "), F.trim(F.coalesce("title", F.lit(""))), F.lit("\nArticle: "),
+                       F.col("_content"))
+    per = usable.groupBy("ticker").agg(
+        F.sort_array(F.collect_list(F.struct("_r", note_in.alias("n"), F.col("title").alias("t")))).alias("_a"))
+    per = per.select("ticker", F.transform("_a", lambda x: x["n"]).alias("note_inputs"),
+                     F.transform(F.filter(F.slice("_a", 1, PROMPT_TITLES), lambda x: F.coalesce(x["t"], F.lit("")) != ""),
+                                 lambda x: F.concat(F.lit("- "), F.trim(x["t"]))).alias("titles"))
+    avg = F.col("avg_sentiment")
+    label = F.when(avg > SUMMARY_SENTIMENT_CUTOFF, "positive").when(avg < -SUMMARY_SENTIMENT_CUTOFF, "negative") \
+        .otherwise("mixed")
+    clusters = F.slice(F.split(F.coalesce("clusters", F.lit("")), r"\|"), 1, PROMPT_CLUSTERS)
+    clusters = F.array_join(F.transform(F.filter(clusters, lambda c: c != ""), lambda c: F.concat(
+        F.substring_index(c, ":", 1), F.lit(" ("), F.substring_index(c, ":", -1), F.lit(")"))), ", ")
+    ents = F.slice(F.split(F.coalesce("top_entities", F.lit("")), r"\|"), 1, PROMPT_ENTITIES)
+    ents = F.array_join(F.transform(F.filter(ents, lambda e: e != ""), lambda e: F.substring_index(e, ":", 1)), ", ")
+    return metrics.join(per, "ticker", "left").select(
+        "ticker", label.alias("sentiment_label"), "impact_label", clusters.alias("clusters_block"),
+        ents.alias("entities_block"), F.coalesce("note_inputs", F.array().cast("array<string>")).alias("note_inputs"),
+        F.array_join(F.coalesce("titles", F.array().cast("array<string>")), "\n").alias("titles_block"))
+
+
+def extractive_summarizer(texts):
+    """Default summariser for ``summary_job`` (no model runtime): the first two sentences of the
+    article text of a note input, or of the article notes of a summary prompt."""
     import re
     out = []
     for t in texts:
-        sentences = re.split(r"(?<=[.!?])\s+", (t or "").strip())
-        out.append(" ".join(s for s in sentences[:2] if s))
+        t = t or ""
+        if "Article summaries:\n" in t:
+            lines = t.split("Article summaries:\n", 1)[1].split("\n")[:-1]     # drop the instruction
+            body = " ".join(ln[2:] if ln.startswith("- ") else ln for ln in lines)
+        elif "\nArticle: " in t:
+            body = t.split("\nArticle: ", 1)[1]
+        else:
+            body = t
+        sentences = re.split(r"(?<=[.!?])\s+", body.strip())
+        out.append(" ".join(x for x in sentences[:2] if x))
     return out
 
 
-def summary_job(metrics: DataFrame, articles: DataFrame,
-                summarizer: Callable | None = None) -> DataFrame:
-    """NWS-14: model summary per ticker, falling back to the template summary on empty output,
-    prompt echo (NWS-12) or an error. The summariser runs batched in ``mapInPandas``."""
+def summary_job(metrics: DataFrame, articles: DataFrame, summarizer: Callable | None = None,
+                model_name: str = "extractive") -> DataFrame:
+    """NWS-14: per ticker, notes for each usable article of the page, then a summary of the
+    prompt built from the notes; on no usable text, empty notes, an empty summary, a prompt echo
+    (NWS-12) or an error the template summary (NWS-11) is used with the reference's reason.
+
+    The model is a pluggable batched callable ``summarizer(list[str]) -> list[str]``, run inside
+    ``mapInPandas`` on bounded per-ticker arrays (at most one page of notes per ticker)."""
     summarizer = summarizer or extractive_summarizer
-    # the model sees the prompt and the notes of the first five articles per ticker (bounded by
-    # construction: row_number ≤ 5 is planned as a per-group limit before the shuffle)
-    prompts = summary_input(metrics, articles)
-    rk = F.row_number().over(Window.partitionBy("ticker").orderBy("position"))
-    first5 = articles.withColumn("_r", rk).filter(F.col("_r") <= 5)
-    texts = first5.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("_r", F.coalesce(
-        "description", F.lit("")).alias("d")))).alias("_d")) \
-        .select("ticker", F.array_join(F.transform("_d", lambda x: x["d"]), " ").alias("_text"))
-    inp = prompts.join(texts, "ticker", "left")
+    inp = summary_input(metrics, articles)
     schema = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("generated", T.StringType()),
-                           T.StructField("error", T.StringType())])
+                           T.StructField("reason", T.StringType())])
+    fragments = LOW_QUALITY_FRAGMENTS
 
     def run(batches):
+        import re
         import pandas as pd
         for pdf in batches:
-            try:
-                gen = list(summarizer(list(pdf["prompt"]), list(pdf["_text"])))
-                err = [None] * len(pdf)
-            except Exception as e:  # noqa: BLE001 - reported as the fallback reason
-                gen, err = [None] * len(pdf), [str(e)] * len(pdf)
-            yield pd.DataFrame({"ticker": pdf["ticker"], "generated": gen, "error": err})
-
-    gen = inp.select("ticker", "prompt", "_text").mapInPandas(run, schema)
-    fb = template_summary(metrics, first_headlines(articles))
-    j = gen.join(fb, "ticker", "right")
-    bad = low_quality_summary(F.col("generated"), F.col("ticker"))
-    use_model = F.col("error").isNull() & F.col("generated").isNotNull() & ~bad
-    reason = F.when(F.col("error").isNotNull(), F.col("error")) \
-        .when(F.col("generated").isNull() | bad, F.lit("Generated summary was empty or echoed the prompt"))
-    return j.select("ticker",
-                    F.when(use_model, normalize_whitespace(F.col("generated"))).otherwise(F.col("summary")).alias("summary"),
-                    F.when(use_model, F.lit("local_model")).otherwise(F.lit("fallback")).alias("source"),
-                    F.when(use_model, F.lit("extractive")).alias("model"),
-                    F.when(use_model, F.lit(None)).otherwise(F.coalesce(reason, F.col("fallback_reason")))
-                    .alias("fallback_reason"))
+            tickers, gens, reasons = [], [], []
+            for row in pdf.itertuples(index=False):
+                tickers.append(row.ticker)
+                try:
+                    inputs = [x for x in (row.note_inputs if row.note_inputs is not None else [])]
+                    if not inputs:
+                        gens.append(None)
+                        reasons.append(REASON_EMPTY_TEXT)
+                        continue
+                    notes = [n for n in summarizer(inputs) if n]
+                    if not notes:
+                        gens.append(None)
+                        reasons.append(REASON_EMPTY_NOTES)
+                        continue
+                    prompt = PROMPT_TEMPLATE.format(
+                        ticker=row.ticker, sentiment=row.sentiment_label, impact=row.impact_label,
+                        clusters=row.clusters_block or "", entities=row.entities_block or "",
+                        titles=row.titles_block or "", notes="\n".join(f"- {n}" for n in notes))
+                    text = summarizer([prompt])[0]
+                    norm = re.sub(r"\s+", " ", text or "").strip()
+                    if not norm:
+                        gens.append(None)
+                        reasons.append(REASON_EMPTY_SUMMARY)
+                    elif any(f.replace("{ticker}", row.ticker).lower() in norm.lower() for f in fragments):
+                        gens.append(None)
+                        reasons.append(REASON_PROMPT_ECHO)
+                    else:
+                        gens.append(text)
+                        reasons.append(None)
+                except Exception as e:  # noqa: BLE001 - reported as the fallback reason
+                    gens.append(None)
+                    reasons.append(str(e))
+            yield pd.DataFrame({"ticker": tickers, "generated": gens, "reason": reasons})
+
+    gen = inp.mapInPandas(run, schema)
+    page = provider_page(articles).drop("_r")
+    fb = template_summary(metrics.join(gen.select("ticker", "reason"), "ticker", "left"),
+                          first_headlines(page), reason=F.col("reason"))
+    ok = gen.filter(F.col("reason").isNull() & F.col("generated").isNotNull())
+    return fb.join(ok.select("ticker", "generated"), "ticker", "left").select(
+        "ticker",
+        F.coalesce(F.col("generated"), F.col("summary")).alias("summary"),
+        F.when(F.col("generated").isNotNull(), F.lit(MODEL_SOURCE)).otherwise(F.col("source")).alias("source"),
+        F.when(F.col("generated").isNotNull(), F.lit(model_name)).alias("model"),
+        F.when(F.col("generated").isNotNull(), F.lit(None).cast("string")).otherwise(F.col("fallback_reason"))
+        .alias("fallback_reason"))
 
 
 def article_content(articles: DataFrame, pages: DataFrame | None = None, id_col: str = "article_id",

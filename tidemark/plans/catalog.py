@@ -420,7 +420,9 @@ def _q_news_metrics(c: Ctx):
 @register("summary_job")
 def _q_summary_job(c: Ctx):
     enriched = _enriched(c)
-    return NEWS.summary_job(NEWS.news_metrics(enriched), enriched)
+    # like the reference, one summary covers one provider page of articles per ticker
+    page = NEWS.provider_page(enriched).drop("_r")
+    return NEWS.summary_job(NEWS.news_metrics(page), page)
 
 
 @register("sentiment_over_time")
