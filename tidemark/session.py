@@ -24,11 +24,16 @@ def get_spark(master: str | None = None, app: str = "tidemark", shuffle_partitio
     """Build (or reuse) a session with the engine's defaults.
 
     On a cluster the master, memory and ``spark.checkpoint.dir`` come from the submit
-    configuration; locally the master defaults to ``local[*]``.
+    configuration (add ``cluster_conf(...)`` as ``extra``); locally the master defaults to
+    ``local[*]``.
     """
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
+    if master:
+        builder = builder.master(master)
+    elif "PYSPARK_GATEWAY_PORT" not in os.environ:
+        # standalone Python process: run locally. Under spark-submit the gateway already exists and
+        # the cluster's master (and the rest of the submit configuration) is kept as given.
+        builder = builder.master("local[*]")
     conf = dict(_DEFAULTS)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
