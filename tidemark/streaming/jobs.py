@@ -273,7 +273,14 @@ def refresh_marts_stream(messages: DataFrame, events_path: str, dead_letter_path
     def run(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         ingest_batch(batch, batch_id, events_path, dead_letter_path)
-        valid, _ = split_valid(validate_events(batch))
+        # the batch's valid events feed several small actions below: validate once per batch
+        valid = split_valid(validate_events(batch))[0].select("ticker", "event_time", "market_session").persist()
+        try:
+            _refresh_after_ingest(spark, valid, batch_id)
+        finally:
+            valid.unpersist()
+
+    def _refresh_after_ingest(spark: SparkSession, valid: DataFrame, batch_id: int):
         touched = drop_closed(valid).select(F.upper(F.trim("ticker")).alias("ticker"),
                                             ny_date(F.col("event_time")).alias("trade_date")).distinct()
         daily = refresh_marts_batch(spark, touched, events_path, sym, daily_path, f"{daily_path}_staging/{batch_id}")
