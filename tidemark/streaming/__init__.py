@@ -1,0 +1 @@
+"""Structured Streaming jobs: ingest, lake, hourly bars, incremental mart refresh, alerts."""
