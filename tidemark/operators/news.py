@@ -70,6 +70,7 @@ REASON_EMPTY_NOTES = "Local summarizer returned empty article notes"
 REASON_EMPTY_SUMMARY = "Local summarizer returned an empty final summary"
 REASON_PROMPT_ECHO = "Local summarizer echoed the prompt instead of generating a summary"
 MODEL_SOURCE = "local_model"
+FRESH_CACHE_SOURCE, NEWS_PROVIDER_SOURCE, STALE_NEWS_SOURCE = "daily_cache", "newsapi", "daily_cache_stale"
 
 # Capitalised phrases: a capital letter, 2+ letters, optionally more such words. Word boundaries
 # are spelled out with Unicode letters/digits so they do not depend on the regex engine's \b.
@@ -535,7 +536,7 @@ def sentiment_score(text: Column, lexicon: dict[str, float] | None = None) -> Co
 
 def resolve_news(provider: DataFrame, cache_latest: DataFrame, as_of: str) -> DataFrame:
     """FRS-3: per ticker: fresh cached articles → 'daily_cache'; else provider articles →
-    'newsapi'; else stale cached articles → 'daily_cache_stale'; else an error row.
+    the provider label; else stale cached articles → 'daily_cache_stale'; else an error row.
 
     ``provider``: (ticker, article_count) of a successful fetch; ``cache_latest``: latest cache
     row per ticker (with the news columns)."""
@@ -548,7 +549,7 @@ def resolve_news(provider: DataFrame, cache_latest: DataFrame, as_of: str) -> Da
     has_cache = F.coalesce(F.col("cached_articles"), F.lit(0)) > 0
     fresh = has_cache & ~F.coalesce(F.col("is_stale"), F.lit(True))
     ok = F.coalesce(F.col("_ok"), F.lit(False))
-    source = F.when(fresh, "daily_cache").when(ok, "newsapi").when(has_cache, "daily_cache_stale")
+    source = F.when(fresh, FRESH_CACHE_SOURCE).when(ok, NEWS_PROVIDER_SOURCE).when(has_cache, STALE_NEWS_SOURCE)
     return j.select("ticker", source.alias("source"),
                     F.when(fresh | (~ok & has_cache), F.col("cached_articles")).when(ok, F.col("fetched_articles"))
                     .cast("bigint").alias("article_count"),

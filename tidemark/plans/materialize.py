@@ -3,7 +3,7 @@
 ``daily_stock_summary`` feeds seven marts; recomputing it from the event table for each of them
 would scan the events seven times. The build writes it once to the output folder (shared
 storage), reads it back, and derives the other marts from the stored copy — the same cut a
-dbt-style build makes with a materialised table. Every mart is written with overwrite semantics
+build with materialised tables makes. Every mart is written with overwrite semantics
 (full refresh); STR-8 covers the incremental path.
 """
 
