@@ -131,19 +131,30 @@ def run_checks(raw: DataFrame, daily: DataFrame, as_of: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------ lineage
-# LIN-2 (fixed values): which source and mart tables back each served query.
+# LIN-2 (fixed values): source and mart table, mart time and date columns, and provenance of each
+# served query that reads the event table.
 LINEAGE_BINDINGS = {
-    "market_summary": ("stock_prices", "daily_stock_summary", "last_updated_at", "trade_date"),
-    "top_movers": ("stock_prices", "daily_stock_summary", "last_updated_at", "trade_date"),
-    "intraday_candles": ("stock_prices", "intraday_stock_rollup", "last_updated_at", "interval_start"),
-    "market_volatility": ("stock_prices", "daily_stock_summary", "last_updated_at", "trade_date"),
-    "drawdown_latest": ("stock_prices", "stock_drawdown_recovery", "last_updated_at", "trade_date"),
-    "risk_latest": ("stock_prices", "stock_risk_indicators", "last_updated_at", "trade_date"),
-    "sector_performance": ("stock_prices", "sector_daily_summary", "trade_date", "trade_date"),
-    "benchmark_strength": ("stock_prices", "benchmark_relative_strength", "last_updated_at", "trade_date"),
-    "regimes": ("stock_prices", "market_regime_summary", "last_updated_at", "trade_date"),
-    "anomalies": ("stock_prices", "stock_anomaly_history", "trade_date", "trade_date"),
-    "signal_features": ("stock_prices", "stock_signal_feature_store", "feature_generated_at", "trade_date"),
+    "market_summary": ("daily_stock_summary", "last_updated_at", "trade_date",
+                       ["stock_prices", "daily_stock_summary"]),
+    "stock_summary": ("daily_stock_summary", "last_updated_at", "trade_date", ["stock_prices", "daily_stock_summary"]),
+    "intraday_candles": ("intraday_stock_rollup", "last_updated_at", None, ["stock_prices", "intraday_stock_rollup"]),
+    "intraday_movers": ("intraday_stock_rollup", "last_updated_at", None, ["stock_prices", "intraday_stock_rollup"]),
+    "top_movers": ("daily_stock_summary", "last_updated_at", "trade_date", ["stock_prices", "daily_stock_summary"]),
+    "market_volatility": ("daily_stock_summary", "last_updated_at", "trade_date",
+                          ["stock_prices", "daily_stock_summary"]),
+    "ticker_correlation": ("daily_stock_summary", "last_updated_at", "trade_date",
+                           ["stock_prices", "daily_stock_summary"]),
+    "drawdown_latest": ("stock_drawdown_recovery", "last_updated_at", "trade_date",
+                        ["stock_prices", "stock_drawdown_recovery"]),
+    "risk_latest": ("stock_risk_indicators", "last_updated_at", "trade_date", ["stock_prices", "stock_risk_indicators"]),
+    "sector_performance": ("sector_daily_summary", "trade_date", "trade_date", ["stock_prices", "sector_daily_summary"]),
+    "anomalies": ("stock_anomaly_history", "trade_date", "trade_date", ["stock_prices", "stock_anomaly_history"]),
+    "signal_features": ("stock_signal_feature_store", "feature_generated_at", "trade_date",
+                        ["stock_prices", "stock_signal_feature_store"]),
+    "benchmark_strength": ("benchmark_relative_strength", "last_updated_at", "trade_date",
+                           ["stock_prices", "daily_stock_summary", "benchmark_relative_strength"]),
+    "regimes": ("market_regime_summary", "last_updated_at", "trade_date",
+                ["stock_prices", "stock_risk_indicators", "market_regime_summary"]),
 }
 
 
@@ -261,41 +272,50 @@ def stale_fallback_total(rollup: DataFrame) -> DataFrame:
         .agg(F.coalesce(F.sum("value"), F.lit(0)).cast("decimal(20,2)").alias("stale_fallback_total"))
 
 
-def lineage_many(source: DataFrame, marts: dict[str, tuple[DataFrame, str | None, str | None]], as_of: str,
-                 source_name: str, bindings: dict[str, str], event_col: str = "event_time",
+def lineage_many(source: DataFrame, marts: dict[str, DataFrame], as_of: str, source_name: str,
+                 bindings: dict | None = None, event_col: str = "event_time",
                  inserted_col: str = "inserted_at") -> DataFrame:
     """LIN-1 for many served queries at once: one grouped aggregate over the tagged union of the
-    source and every mart (each mart read once), then one row per binding query → mart."""
+    source and every (mart, time column, date column) binding (each mart read once per binding
+    kind), then one row per query. ``marts`` maps mart name → frame; ``bindings`` defaults to
+    LINEAGE_BINDINGS."""
+    bindings = bindings or LINEAGE_BINDINGS
     ts0, d0 = F.lit(None).cast("timestamp"), F.lit(None).cast("date")
-    parts = [source.select(F.lit(None).cast("string").alias("_mart"), F.col(event_col).cast("timestamp").alias("_e"),
+    parts = [source.select(F.lit(None).cast("string").alias("_tag"), F.col(event_col).cast("timestamp").alias("_e"),
                            F.col(inserted_col).cast("timestamp").alias("_i"), ts0.alias("_m"), d0.alias("_d"))]
-    for name, (df, ts_col, date_col) in marts.items():
-        parts.append(df.select(F.lit(name).alias("_mart"), ts0.alias("_e"), ts0.alias("_i"),
-                               (F.col(ts_col).cast("timestamp") if ts_col else ts0).alias("_m"),
-                               (F.col(date_col).cast("date") if date_col else d0).alias("_d")))
-    agg = reduce(DataFrame.unionByName, parts).groupBy("_mart").agg(
+    tags = {}
+    for mart, ts_col, date_col, _ in bindings.values():
+        tag = f"{mart}|{ts_col}|{date_col}"
+        if tag in tags:
+            continue
+        tags[tag] = True
+        parts.append(marts[mart].select(F.lit(tag).alias("_tag"), ts0.alias("_e"), ts0.alias("_i"),
+                                        F.col(ts_col).cast("timestamp").alias("_m"),
+                                        (F.col(date_col).cast("date") if date_col else d0).alias("_d")))
+    agg = reduce(DataFrame.unionByName, parts).groupBy("_tag").agg(
         F.max("_e").alias("_e"), F.max("_i").alias("_i"), F.max("_m").alias("_m"), F.max("_d").alias("_d"))
-    # spread the source row onto every mart row without a join: a window over the whole (tiny) result
+    # spread the source row onto every binding row without a join: a window over the tiny result
     from pyspark.sql import Window
     w = Window.partitionBy(F.lit(1))
-    spread = agg.select("_mart", F.max("_e").over(w).alias("source_max_event_time"),
+    spread = agg.select("_tag", F.max("_e").over(w).alias("source_max_event_time"),
                         F.max("_i").over(w).alias("source_max_inserted_at"),
                         F.col("_m").alias("mart_max_timestamp"), F.col("_d").alias("latest_data_date")) \
-        .filter(F.col("_mart").isNotNull())
-    qmap = F.create_map(*[F.lit(x) for kv in bindings.items() for x in kv])
-    keys = F.map_keys(qmap)
-    rows = spread.withColumn("query", F.explode(F.filter(keys, lambda k: F.element_at(qmap, k) == F.col("_mart"))))
+        .filter(F.col("_tag").isNotNull())
+    rows = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(f"{m}|{t}|{d}").alias("tag"), F.lit(m).alias("mart"),
+                              F.lit(",".join(prov)).alias("prov"))
+                     for q, (m, t, d, prov) in bindings.items()])
+    per_query = spread.withColumn("_b", F.explode(F.filter(rows, lambda b: b["tag"] == F.col("_tag"))))
     now = F.lit(as_of).cast("timestamp")
     src_t = F.coalesce("source_max_event_time", "source_max_inserted_at")
-    return rows.select(
-        "query", F.lit(source_name).alias("source_table"), F.col("_mart").alias("mart_table"), "source_max_event_time",
-        "source_max_inserted_at", "mart_max_timestamp", "latest_data_date",
+    return per_query.select(
+        F.col("_b.query").alias("query"), F.lit(source_name).alias("source_table"), F.col("_b.mart").alias("mart_table"),
+        "source_max_event_time", "source_max_inserted_at", "mart_max_timestamp", "latest_data_date",
         F.when(src_t.isNotNull(), F.greatest(F.lit(0), F.unix_seconds(now) - F.unix_seconds(src_t)))
         .cast("bigint").alias("source_lag_seconds"),
         F.when(F.col("mart_max_timestamp").isNotNull(),
                F.greatest(F.lit(0), F.unix_seconds(now) - F.unix_seconds(F.col("mart_max_timestamp"))))
         .cast("bigint").alias("mart_lag_seconds"),
-        F.concat(F.lit(source_name + ","), F.col("_mart")).alias("provenance"))
+        F.col("_b.prov").alias("provenance"))
 
 
 # ------------------------------------------------------------------------------- declared data tests

@@ -506,10 +506,7 @@ def _q_lineage(c: Ctx):
              "market_regime_summary": M.market_regime_summary(daily),
              "stock_anomaly_history": M.stock_anomaly_history(daily),
              "stock_signal_feature_store": M.signal_feature_store(daily, AS_OF)}
-    used = {}
-    for q, (src, mart, ts_col, date_col) in DQ.LINEAGE_BINDINGS.items():
-        used[mart] = (marts[mart], ts_col, date_col)
-    return DQ.lineage_many(c.raw, used, AS_OF, "stock_prices", {q: b[1] for q, b in DQ.LINEAGE_BINDINGS.items()})
+    return DQ.lineage_many(c.raw, marts, AS_OF, "stock_prices")
 
 
 def _events(c: Ctx) -> DataFrame:
