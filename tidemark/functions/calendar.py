@@ -24,7 +24,7 @@ AFTER_HOURS_CLOSE_MIN = 20 * 60
 EARLY_AFTER_HOURS_CLOSE_MIN = 17 * 60
 
 # Weekday numbers as returned by F.weekday: Monday = 0 … Sunday = 6.
-MON, THU, SAT, SUN = 0, 3, 5, 6
+MON, THU = 0, 3
 
 # Longest run of non-trading days is 4 (holiday next to a weekend); 7 is a safe search bound.
 _SEARCH_DAYS = 7
@@ -38,26 +38,6 @@ def _idiv(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("int")
 
 
-def observed(day: Column) -> Column:
-    """Saturday holidays are observed on Friday, Sunday holidays on Monday."""
-    wd = F.weekday(day)
-    return (F.when(wd == SAT, F.date_sub(day, 1))
-            .when(wd == SUN, F.date_add(day, 1))
-            .otherwise(day))
-
-
-def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
-    first = F.make_date(year, F.lit(month), F.lit(1))
-    shift = F.pmod(F.lit(weekday) - F.weekday(first), F.lit(7))
-    return F.date_add(first, shift + F.lit(7 * (n - 1)))
-
-
-def last_weekday(year: Column, month: int, weekday: int) -> Column:
-    last = F.last_day(F.make_date(year, F.lit(month), F.lit(1)))
-    back = F.pmod(F.weekday(last) - F.lit(weekday), F.lit(7))
-    return F.date_sub(last, back)
-
-
 def _easter(y: int) -> tuple[int, int]:
     """Gregorian Easter Sunday (month, day) — Meeus/Jones/Butcher formulation."""
     golden = y % 19
