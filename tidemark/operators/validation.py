@@ -61,7 +61,7 @@ def _py_repr(s: Column) -> Column:
     return F.concat(F.lit("'"), s, F.lit("'"))
 
 
-def _float_parse(jtype: Column, text: Column, field: str) -> tuple[Column, Column]:
+def _float_parse(jtype: Column, text: Column) -> tuple[Column, Column]:
     """Python ``float(x)``: (double value, error message or NULL)."""
     is_num = jtype.startswith("DECIMAL") | jtype.isin("BIGINT", "DOUBLE", "FLOAT", "INT")
     is_bool = jtype == "BOOLEAN"
@@ -77,7 +77,7 @@ def _float_parse(jtype: Column, text: Column, field: str) -> tuple[Column, Colum
     return val, err
 
 
-def _price_value(jtype: Column, text: Column) -> Column:
+def _price_value(text: Column) -> Column:
     """Price rounded to 2 places (half up on the decimal text) as DECIMAL(10,2)."""
     # DECIMAL(18,8) keeps the arithmetic in 64-bit longs; anything wider overflows DECIMAL(10,2) anyway
     t = F.translate(F.trim(text), "_", "")
@@ -115,7 +115,7 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
     s2 = s1.select(*cols2, c("_v").isNull().alias("_not_json"))
 
     # stage 3: typed values and rule inputs
-    price_d, price_err = _float_parse(c("_t_price"), c("_x_price"), "price")
+    price_d, price_err = _float_parse(c("_t_price"), c("_x_price"))
     vo_t, vo_x = c("_t_volume"), c("_x_volume")
     vol_is_int = vo_t == "BIGINT"
     vol_is_frac = vo_t.startswith("DECIMAL") | vo_t.isin("DOUBLE", "FLOAT")
@@ -153,7 +153,7 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
         (c("_t_ticker") == "VOID").alias("_ticker_null"),
         F.upper(F.trim(c("_x_ticker"))).alias("ticker"),
         price_d.alias("_price_d"), price_err.alias("_price_err"),
-        _price_value(c("_t_price"), c("_x_price")).alias("price"),
+        _price_value(c("_x_price")).alias("price"),
         volume.alias("volume"), vol_err.alias("_vol_err"),
         et_text.alias("_et_text"),
         F.when(et_x.rlike(ISO_DATETIME), et_text.try_cast("timestamp")).alias("_et_ts"),
@@ -163,8 +163,8 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
     ]
     for n in _OHLC:
         given = c(f"_p_{n}") & (c(f"_t_{n}") != "VOID")
-        d, perr = _float_parse(c(f"_t_{n}"), c(f"_x_{n}"), n)
-        cols3 += [given.alias(f"_g_{n}"), F.when(given, _price_value(c(f"_t_{n}"), c(f"_x_{n}"))).alias(n),
+        d, perr = _float_parse(c(f"_t_{n}"), c(f"_x_{n}"))
+        cols3 += [given.alias(f"_g_{n}"), F.when(given, _price_value(c(f"_x_{n}"))).alias(n),
                   F.when(given & perr.isNotNull(), perr)
                   .when(given & ~_finite_nonneg(F.round(d, 2)), F.lit(f"{MSG_PREFIX} {n} must be a finite "
                                                                      f"non-negative number.")).alias(f"_e_{n}")]
