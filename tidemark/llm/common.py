@@ -11,8 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.session import scratch_path
 
 
+#: Arrow batches handed to Python stay small, whatever the length of the texts.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,7 +40,3 @@ def text_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     """The named columns of an Arrow batch as Python tuples."""
     return zip(*(batch.column(n).to_pylist() for n in names))
 
-
-def buckets(df: DataFrame, rows_per_task: int = 20_000) -> int:
-    """Shuffle width in force for this session (at least one)."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -27,7 +27,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(read_token_files(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op4_token_files)}
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import jaccard_digest
+    return jaccard_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op4_token_files, op5_ngram_join)}
 
 
 def oracles() -> dict[str, str]:

@@ -6,61 +6,115 @@ chunks, one after the other, as long as no cut falls inside a word; repeated chu
 bounded cache. Cuts are made only where that holds:
 
 * ``word``: at runs of white space, which this vocabulary drops;
-* ``byte``: before a single space with a non-space on both sides, where a new word always begins.
+* ``byte``: before a single space with a non-space on both sides, where a new word always begins,
+  and around a single line break.
 """
 
 from __future__ import annotations
 
+import os
 import re
-
-import numpy as np
+from array import array
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _TWO_SPACES = re.compile(r"\s\s")
+# letters (a byte-level chunk has a space first) and punctuation that belongs to no contraction
+_PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:#$%&*]*)")
+
+
+def _shown_bytes() -> dict[int, str]:
+    """How byte-level vocabularies show a byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SHOWN = _shown_bytes()
 _CLEAN_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class ChunkEncoder:
     """ids of a text as little-endian unsigned 32-bit integers, in one ``bytes`` object."""
 
-    def __init__(self, path: str, kind: str, cache_entries: int = 200_000):
+    def __init__(self, path: str, kind: str, cache_entries: int = 150_000):
         from tokenizers import Tokenizer
         if kind not in ("word", "byte"):
             raise ValueError(kind)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind
-        self.cache: dict[str, bytes] = {}
         self.cache_entries = cache_entries
+        self.young: dict[str, bytes] = {}  # two generations: what is used again outlives the older one
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
 
     def _encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return array("I", ids).tobytes()
+
+    def _new(self, chunk: str) -> tuple[str, bytes, bytes]:
+        """The part of a chunk worth keeping, its ids, and the ids of the punctuation after it."""
+        m = _PLAIN.fullmatch(chunk)
+        if m is None:
+            return chunk, self._encode(chunk), b""
+        tail = m[3]
+        word = m[1] + m[2]
+        ids = self.young.get(word) if tail else None
+        if ids is None:
+            # letters only: one word to both tokenizers, so the model alone is asked
+            shown = word.lower() if self.kind == "word" else word
+            shown = shown.encode().decode("latin-1").translate(_SHOWN)
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if not tail:
+            return word, ids, b""
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._encode(tail)
+        return word, ids, self.tails[tail]
 
     def _chunks(self, text: str) -> list[str]:
         if self.kind == "word":
             return [text] if _SEPARATORS.search(text) else text.split()
         if _TWO_SPACES.search(text):
             return _CLEAN_CUT.split(text)
-        head, *rest = text.split(" ")
-        return ([head] if head else []) + [" " + x for x in rest]
+        out: list[str] = []
+        for line in text.split("\n"):  # here every white space stands alone
+            out.append("\n")
+            head, *rest = line.split(" ")
+            if head:
+                out.append(head)
+            out += [" " + x for x in rest]
+        return out[1:]
 
     def encode(self, text: str) -> bytes:
         chunks = self._chunks(text)
-        cache = self.cache
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(cache) > self.cache_entries:
-            cache.clear()
-        out = []
-        for c in chunks:
-            ids = cache.get(c)
-            if ids is None:
-                ids = self._encode(c)
-                if len(c) <= 64:
-                    cache[c] = ids
-            out.append(ids)
+        out = list(map(self.young.get, chunks))
+        if None not in out:
+            return b"".join(out)
+        if len(self.young) > self.cache_entries:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        for i, found in enumerate(out):
+            if found is None:
+                c = chunks[i]
+                ids = young.get(c)
+                if ids is None:
+                    ids = old.get(c)
+                    if ids is not None:
+                        young[c] = ids
+                    elif c[-1] in ",." and (base := young.get(c[:-1])) is not None and c[-2].isascii() and c[-2].isalpha():
+                        # a mark after a letter is a word of its own
+                        if c[-1] not in self.tails:
+                            self.tails[c[-1]] = self._encode(c[-1])
+                        ids = base + self.tails[c[-1]]
+                    else:
+                        word, ids, tail = self._new(c)
+                        if len(word) <= 64:
+                            young[word] = ids
+                        ids += tail
+                out[i] = ids
         return b"".join(out)
 
 
