@@ -32,7 +32,28 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op4_token_files, op5_ngram_join)}
+def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.extraction import extraction_digest
+    return extraction_digest(table(spark, sf_dir, "pages"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprints import fingerprint_digest
+    return fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language_id import language_digest
+    return language_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import derivatives_digest
+    return derivatives_digest(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op4_token_files, op5_ngram_join, op6_extraction,
+                                   op8_fingerprints, op9_language_id, op10_warc)}
 
 
 def oracles() -> dict[str, str]:
