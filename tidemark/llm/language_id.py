@@ -26,8 +26,8 @@ from tidemark.llm.common import text_rows
 PROFILE = 300
 ROWS_PER_LANGUAGE = 4000
 UNKNOWN = "und"
-#: Characters of texts handled at once (a longer text is handled alone).
-SLICE = 1 << 20
+#: A document with less in common with every language is rejected by ``keep_known``.
+LEAST_SCORE = 0.1
 
 _BITS = 21  # of a code point
 _LETTER: list[np.ndarray] = []
@@ -106,26 +106,45 @@ def distances(found: np.ndarray, sorted_profiles: list[tuple[np.ndarray, np.ndar
     return out
 
 
+def _judge(text: str | None, names: list[str], table: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[str, float]:
+    found = profile(ngrams(text or ""), size)
+    if not len(found) or not names:
+        return UNKNOWN, 0.0
+    far = distances(found, table, size)
+    best = min(range(len(far)), key=far.__getitem__)
+    return names[best], 1.0 - far[best] / (size * len(found))
+
+
+def _sorted(profiles: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(codes[order], order) for codes in profiles.values() for order in [np.argsort(codes)]]
+
+
+def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, text_col: str = "text",
+               least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is found with at least the score ``least``; all columns stay."""
+    names, table = list(profiles), _sorted(profiles)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_judge(t, names, table, size) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may clash
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, text_col: str = "text",
             keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred and score (1: in place everywhere, 0: nothing in common)."""
     names = list(profiles)
-    table = [(codes[order], order) for codes in profiles.values() for order in [np.argsort(codes)]]
+    table = _sorted(profiles)
     kept = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = [], []
-            for text in batch.column("text").to_pylist():
-                found = profile(ngrams(text or ""), size)
-                if not len(found) or not names:
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                far = distances(found, table, size)
-                best = min(range(len(far)), key=far.__getitem__)
-                lang.append(names[best])
-                score.append(1.0 - far[best] / (size * len(found)))
+            found = [_judge(t, names, table, size) for t in batch.column("text").to_pylist()]
+            lang, score = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 names=[*kept, "lang_pred", "score"])

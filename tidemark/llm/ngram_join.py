@@ -402,7 +402,7 @@ def _rest_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """doc_id, txt, n_shingles, node, component_id for every row of ``docs``."""
+    """doc_id, txt, n_shingles, label (null: no shingles), component_id for every row of ``docs``."""
     rows = materialize(shingle_sets(docs, words, id_col, text_col), "jaccard-rows")
     classes = rows.where("node IS NOT NULL").groupBy("node", "n").agg(
         F.min(F.struct("doc_id", "txt")).alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"))
@@ -429,10 +429,31 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     final = components(links.unionByName(more))
     by_set = classes.join(final, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = by_set.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_set = by_set.join(least, "label").select("node", "component_id")
+    of_set = by_set.join(least, "label").select("node", "label", "component_id")
     out = rows.join(of_set, "node", "left")
-    return out.select("doc_id", "txt", F.col("n").alias("n_shingles"), "node",
-                      F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "txt", F.col("n").alias("n_shingles"), "label",
+                      F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every component: the smallest id (null last), then the smallest text hash.
+
+    Rows without shingles link with nothing and all stay.
+    """
+    found = materialize(jaccard_components(docs, words, percent, id_col, text_col), "jaccard-found")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "txt")).alias("kept")
+    kept = found.where("label IS NOT NULL").groupBy("label").agg(first).select("kept.doc_id", "kept.txt")
+    # equal rows are one row of their component; those without shingles come back as often as they are
+    kept = kept.withColumn("one", F.lit(True)).unionByName(
+        found.where("label IS NULL").select("doc_id", "txt").distinct().withColumn("one", F.lit(False)))
+    kept = materialize(kept.select(F.xxhash64("doc_id").alias("__i"), F.col("txt").alias("__t"), "one"), "jaccard-kept")
+    rows = docs.withColumn("__i", F.xxhash64(id_col)).withColumn("__t", F.xxhash64(text_col)).join(kept, ["__i", "__t"])
+    copies = materialize(rows.where("one").groupBy("__i", "__t").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-copies")
+    if not copies.take(1):
+        return rows.select(*docs.columns)
+    rest = rows.join(copies, ["__i", "__t"], "left_anti").select(*docs.columns)
+    return rest.unionByName(rows.join(copies, ["__i", "__t"], "left_semi").dropDuplicates(["__i", "__t"]).select(*docs.columns))
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:

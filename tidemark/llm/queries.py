@@ -20,6 +20,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import pii_digest
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_files import read_token_files, token_digest, write_token_files
     path = scratch_path(spark, f"llm-token-files-{uuid.uuid4().hex}")
@@ -37,6 +42,11 @@ def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction_digest(table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontamination import leaks_digest
+    return leaks_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.fingerprints import fingerprint_digest
     return fingerprint_digest(table(spark, sf_dir, "documents"))
@@ -52,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives_digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op4_token_files, op5_ngram_join, op6_extraction,
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_pii, op4_token_files, op5_ngram_join, op6_extraction, op7_decontamination,
                                    op8_fingerprints, op9_language_id, op10_warc)}
 
 
