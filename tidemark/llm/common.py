@@ -40,3 +40,15 @@ def text_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     """The named columns of an Arrow batch as Python tuples."""
     return zip(*(batch.column(n).to_pylist() for n in names))
 
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` under neutral names c0, c1 ..., with the row key (i, t): hashes of the id and of the text.
+
+    Whatever extra columns are called, nothing clashes; ``unkeyed`` restores names and order.
+    """
+    rows = docs.withColumns({f"key {uuid.uuid4().hex}": F.xxhash64(id_col)}).withColumns({f"key {uuid.uuid4().hex}": F.xxhash64(text_col)})
+    return rows.toDF(*[f"c{i}" for i in range(len(docs.columns))], "i", "t")
+
+
+def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import materialize, text_rows
+from tidemark.llm.common import keyed, materialize, text_rows, unkeyed
 
 WINDOW, STRIDE = 32, 16
 LEAST_WORDS = 6
@@ -305,9 +305,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     found = leaks(docs, benchmark, id_col, text_col)
-    found = materialize(found.select(F.xxhash64("doc_id").alias("__i"), F.col("txt").alias("__t")).distinct(), "leak-rows")
-    rows = docs.withColumn("__i", F.xxhash64(id_col)).withColumn("__t", F.xxhash64(text_col))
-    return rows.join(found, ["__i", "__t"], "left_anti").select(*docs.columns)
+    found = materialize(found.select(F.xxhash64("doc_id").alias("i"), F.col("txt").alias("t")).distinct(), "leak-rows")
+    return unkeyed(keyed(docs, id_col, text_col).join(found, ["i", "t"], "left_anti"), docs)
 
 
 def leaks_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -43,14 +43,14 @@ def _letters() -> np.ndarray:
 def ngrams(text: str) -> np.ndarray:
     """Codes of all n-grams of one to three characters that lie inside a word or touch its ends."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = np.where(_letters()[c], c, 0).astype(np.int64)
-    if not c.any():
+    c = np.where(_letters()[c], c, 1).astype(np.int64)  # 1 marks what is no letter
+    if not (c > 1).any():
         return c[:0]
-    c = np.concatenate(([0], c, [0]))
-    c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]  # one mark between words
+    c = np.concatenate(([1], c, [1]))
+    c = c[np.r_[True, (c[1:] != 1) | (c[:-1] != 1)]]  # one mark between words
     two = (c[:-1] << _BITS) | c[1:]
     three = (two[:-1] << _BITS) | c[2:]
-    return np.concatenate((c[c > 0], two, three[c[1:-1] > 0]))
+    return np.concatenate((c[c > 1], two, three[c[1:-1] > 1]))
 
 
 def profile(codes: np.ndarray, size: int = PROFILE) -> np.ndarray:

@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import materialize, text_rows
+from tidemark.llm.common import keyed, materialize, text_rows, unkeyed
 from tidemark.llm.components import components
 
 WORDS = 4
@@ -230,8 +230,8 @@ def _index(docs: DataFrame, starts: list[int], plans: dict[int, tuple], n_bucket
            id_col: str, text_col: str) -> DataFrame:
     """Signature entries packed per bucket, and the hub pairs found inside the map task.
 
-    Rows (bucket, entries): ``entries`` holds signatures, then nodes. Bucket -1: pairs already made
-    (signature, member, hub).
+    Rows (bucket, entries): ``entries`` holds signatures, then nodes; under a negative bucket pairs already
+    made, as signatures, members and hubs.
     """
     edges = np.array(starts)
 
@@ -249,9 +249,9 @@ def _index(docs: DataFrame, starts: list[int], plans: dict[int, tuple], n_bucket
             ends = np.r_[at[1:], len(bucket)]
             ids = [int(bucket[a]) for a in at]
             blobs = [sig[a:b].tobytes() + node[a:b].tobytes() for a, b in zip(at, ends)]
-            for a in range(0, len(member), 100_000):
-                b = a + 100_000
-                ids.append(-1 - a // 100_000)
+            for a in range(0, len(member), 20_000):
+                b = a + 20_000
+                ids.append(-1 - int(msig[a] % _U(n_buckets)))  # spread like the rest
                 blobs.append(msig[a:b].tobytes() + member[a:b].tobytes() + hub[a:b].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())],
                                               names=["bucket", "entries"])
@@ -297,22 +297,14 @@ def _pairs_batch(sig, x, hub) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(x), pa.array(hub)], names=["sig", "x", "hub"])
 
 
-def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column("entries"):
-            a = np.frombuffer(blob.as_buffer(), dtype=np.int64).reshape(3, -1)
-            yield _pairs_batch(a[0], a[1], a[2])
-
-
 def _meet(t: pa.Table) -> pa.Table:
-    """Members of one bucket of signatures against the hub of their signature."""
-    sigs, nodes = [], []
-    for chunk in t.column("entries").chunks:
-        for blob in chunk:
-            a = np.frombuffer(blob.as_buffer(), dtype=_U).reshape(2, -1)
-            sigs.append(a[0])
-            nodes.append(a[1].view(np.int64))
-    _, _, member, hub, msig = _star(np.concatenate(sigs), np.concatenate(nodes))
+    """Members of one bucket of signatures against the hub of their signature; pairs already made as they are."""
+    blobs = [np.frombuffer(blob.as_buffer(), dtype=np.int64) for chunk in t.column("entries").chunks for blob in chunk]
+    if t.column("bucket")[0].as_py() < 0:
+        sig, member, hub = (np.concatenate(x) for x in zip(*(b.reshape(3, -1) for b in blobs)))
+        return pa.Table.from_batches([_pairs_batch(sig, member, hub)])
+    sig, node = (np.concatenate(x) for x in zip(*(b.reshape(2, -1) for b in blobs)))
+    _, _, member, hub, msig = _star(sig.view(_U), node)
     return pa.Table.from_batches([_pairs_batch(msig, member, hub)])
 
 
@@ -341,10 +333,8 @@ def hub_pairs(docs: DataFrame, sizes: DataFrame, words: int, percent: int, id_co
                 total += rows * (n + n1 if n2 == 0 else n1 * math.comb(n2, k))
     wide = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     n_buckets = max(4 * wide, total // BUCKET_ENTRIES + 1)
-    index = materialize(_index(docs, starts, plans, n_buckets, words, percent, id_col, text_col), "jaccard-index")
-    made = index.where("bucket < 0").mapInArrow(_made, _PAIRS)
-    met = index.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, _PAIRS)
-    return materialize(made.unionByName(met), "jaccard-pairs")
+    index = _index(docs, starts, plans, n_buckets, words, percent, id_col, text_col)
+    return materialize(index.groupBy("bucket").applyInArrow(_meet, _PAIRS), "jaccard-pairs")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -397,7 +387,8 @@ def _rest_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     need = f"({percent} * (na + nb) + {100 + percent - 1}) DIV {100 + percent}"
     return (a.join(b, "t").where("a < b AND la <> lb")
             .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            .where(f"least(na - pa, nb - pb) + least(pa, pb) >= {need}").select("a", "b").distinct())
+            # the first token a linked pair shares leaves room for the whole overlap behind it
+            .where(f"least(na - pa, nb - pb) >= {need}").select("a", "b").distinct())
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
@@ -447,13 +438,13 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col
     # equal rows are one row of their component; those without shingles come back as often as they are
     kept = kept.withColumn("one", F.lit(True)).unionByName(
         found.where("label IS NULL").select("doc_id", "txt").distinct().withColumn("one", F.lit(False)))
-    kept = materialize(kept.select(F.xxhash64("doc_id").alias("__i"), F.col("txt").alias("__t"), "one"), "jaccard-kept")
-    rows = docs.withColumn("__i", F.xxhash64(id_col)).withColumn("__t", F.xxhash64(text_col)).join(kept, ["__i", "__t"])
-    copies = materialize(rows.where("one").groupBy("__i", "__t").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-copies")
-    if not copies.take(1):
-        return rows.select(*docs.columns)
-    rest = rows.join(copies, ["__i", "__t"], "left_anti").select(*docs.columns)
-    return rest.unionByName(rows.join(copies, ["__i", "__t"], "left_semi").dropDuplicates(["__i", "__t"]).select(*docs.columns))
+    kept = materialize(kept.select(F.xxhash64("doc_id").alias("i"), F.col("txt").alias("t"), "one"), "jaccard-kept")
+    rows = keyed(docs, id_col, text_col).join(kept, ["i", "t"])
+    copies = materialize(rows.where("one").groupBy("i", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-copies")
+    if copies.take(1):
+        rest = rows.join(copies, ["i", "t"], "left_anti")
+        rows = rest.unionByName(rows.join(copies, ["i", "t"], "left_semi").dropDuplicates(["i", "t"]))
+    return unkeyed(rows, docs)
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:

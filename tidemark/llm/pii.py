@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import materialize, text_rows
+from tidemark.llm.common import keyed, materialize, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -241,11 +241,9 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all spans masked; the columns stay as they are. Base spans are found again in place, so only
     the few rows with added spans are joined."""
-    hits = found.where("added IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("txt").alias("__txt"), F.col("added").alias("__added"))
-    hits = hits.dropDuplicates(["__id", "__txt"])
-    rows = docs.withColumn("__t", F.xxhash64(text_col))
-    rows = rows.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__txt")), "left")
-    rows = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("__added").alias("added"))
+    hits = found.where("added IS NOT NULL").select(F.xxhash64("doc_id").alias("i"), F.col("txt").alias("t"), "added")
+    rows = keyed(docs, id_col, text_col).join(hits.dropDuplicates(["i", "t"]), ["i", "t"], "left")
+    rows = rows.select(*[f"c{i}" for i in range(len(docs.columns))], "added")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

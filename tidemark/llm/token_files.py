@@ -91,14 +91,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 def read_token_files(spark: SparkSession, path: str, tokens: bool = True) -> DataFrame:
     """The dataset with ``start``: the number of ids before the document over all files.
 
-    Totals per file come from the counters alone; the list column is read only on request.
+    Totals per file come from the counters alone (one row per file, so that table is broadcast); the
+    list column is read only on request.
     """
     from pyspark.sql import Window
     data = spark.read.schema(SCHEMA).parquet(path)
     totals = data.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per file
     base = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    out = data.join(base, "shard").withColumn("start", F.col("base") + F.col("start_in_shard"))
+    out = data.join(F.broadcast(base), "shard").withColumn("start", F.col("base") + F.col("start_in_shard"))
     keep = ["doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens")]
     return out.select(*keep, "tokens") if tokens else out.select(*keep)
 

@@ -18,8 +18,8 @@ from array import array
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _TWO_SPACES = re.compile(r"\s\s")
-# letters (a byte-level chunk has a space first) and punctuation that belongs to no contraction
-_PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:#$%&*]*)")
+# letters and punctuation that belongs to no contraction
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:#$%&*]*)")
 
 
 def _shown_bytes() -> dict[int, str]:
@@ -36,7 +36,7 @@ _CLEAN_CUT = re.compile(r"(?<=\S)(?= \S)")
 class ChunkEncoder:
     """ids of a text as little-endian unsigned 32-bit integers, in one ``bytes`` object."""
 
-    def __init__(self, path: str, kind: str, cache_entries: int = 150_000):
+    def __init__(self, path: str, kind: str, cache_entries: int = 200_000):
         from tokenizers import Tokenizer
         if kind not in ("word", "byte"):
             raise ValueError(kind)
@@ -48,73 +48,90 @@ class ChunkEncoder:
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.model = self.tokenizer.model
+        self.spaced = kind == "byte"
+        self.line = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return array("I", ids).tobytes()
 
-    def _new(self, chunk: str) -> tuple[str, bytes, bytes]:
-        """The part of a chunk worth keeping, its ids, and the ids of the punctuation after it."""
-        m = _PLAIN.fullmatch(chunk)
-        if m is None:
-            return chunk, self._encode(chunk), b""
-        tail = m[3]
-        word = m[1] + m[2]
-        ids = self.young.get(word) if tail else None
-        if ids is None:
-            # letters only: one word to both tokenizers, so the model alone is asked
-            shown = word.lower() if self.kind == "word" else word
-            shown = shown.encode().decode("latin-1").translate(_SHOWN)
-            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        if not tail:
-            return word, ids, b""
-        if tail not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            self.tails[tail] = self._encode(tail)
-        return word, ids, self.tails[tail]
-
-    def _chunks(self, text: str) -> list[str]:
+    def _model(self, word: str, spaced: bool) -> bytes:
+        """ids of a run of letters (after a space): one word to the tokenizer, so its model alone is asked."""
+        if self.kind == "word":
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_SHOWN)
+        if spaced:
+            word = _SHOWN[32] + word
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _new(self, key: str) -> bytes:
+        """ids of a chunk not seen lately; ``key`` as made by ``_keys``."""
+        spaced, before, word = self.spaced, b"", key
+        if spaced and key[:1] == "\n":
+            if key[1:2] == "\n":
+                return self._encode(key[2:])
+            spaced, before, word = False, self.line, key[1:]
+        if word.isascii() and word.isalpha():
+            ids = before + self._model(word, spaced)
+        elif (m := _PLAIN.fullmatch(word)) is not None:
+            letters, tail = m[1], m[2]
+            ids = None if before else self.young.get(letters) or self.old.get(letters)
+            if ids is None:
+                ids = before + self._model(letters, spaced)
+                if not before:
+                    self.young[letters] = ids
+            if tail:  # punctuation after letters is a word of its own
+                if tail not in self.tails:
+                    if len(self.tails) > 10_000:
+                        self.tails.clear()
+                    self.tails[tail] = self._encode(tail)
+                ids += self.tails[tail]
+        else:
+            ids = before + self._encode(" " + word if spaced else word)
+        if len(key) <= 64:
+            self.young[key] = ids
+        return ids
+
+    def _keys(self, text: str) -> list[str]:
+        """Cache keys of a text's chunks.
+
+        Word kind: the chunks. Byte kind: a bare word stands for itself after a space, a word after one
+        line break for both, and after two for a chunk as it is.
+        """
         if self.kind == "word":
             return [text] if _SEPARATORS.search(text) else text.split()
         if _TWO_SPACES.search(text):
-            return _CLEAN_CUT.split(text)
-        out: list[str] = []
-        for line in text.split("\n"):  # here every white space stands alone
-            out.append("\n")
-            head, *rest = line.split(" ")
-            if head:
-                out.append(head)
-            out += [" " + x for x in rest]
-        return out[1:]
+            return [c[1:] if c[0] == " " and c[1:].isalpha() else "\n\n" + c for c in _CLEAN_CUT.split(text)]
+        first, *lines = text.split("\n")  # here every white space stands alone
+        head, *out = first.split(" ")
+        out.insert(0, "\n\n" + head)
+        for line in lines:
+            at = len(out)
+            out += line.split(" ")
+            out[at] = "\n" + out[at]
+        return out
 
     def encode(self, text: str) -> bytes:
-        chunks = self._chunks(text)
+        chunks = self._keys(text)
         out = list(map(self.young.get, chunks))
         if None not in out:
             return b"".join(out)
         if len(self.young) > self.cache_entries:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        for i, found in enumerate(out):
-            if found is None:
-                c = chunks[i]
-                ids = young.get(c)
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            c = chunks[at]
+            ids = young.get(c)
+            if ids is None:
+                ids = old.get(c)
                 if ids is None:
-                    ids = old.get(c)
-                    if ids is not None:
-                        young[c] = ids
-                    elif c[-1] in ",." and (base := young.get(c[:-1])) is not None and c[-2].isascii() and c[-2].isalpha():
-                        # a mark after a letter is a word of its own
-                        if c[-1] not in self.tails:
-                            self.tails[c[-1]] = self._encode(c[-1])
-                        ids = base + self.tails[c[-1]]
-                    else:
-                        word, ids, tail = self._new(c)
-                        if len(word) <= 64:
-                            young[word] = ids
-                        ids += tail
-                out[i] = ids
+                    ids = self._new(c)
+                else:
+                    young[c] = ids
+            out[at] = ids
         return b"".join(out)
 
 
