@@ -90,3 +90,15 @@ def test_sessions_and_dst(spark):
     for r, (_, s) in zip(ctx, cases):
         assert r["session"] == s
         assert r["is_market_open"] == (s != "closed")
+
+
+def test_years_outside_living_memory(spark):
+    from dateutil.easter import easter
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from tidemark.functions.calendar import good_friday, is_trading_day
+    years = [1584, 1700, 1850, 1899, 2200, 2300, 2999]
+    rows = spark.createDataFrame([(y,) for y in years], "y int").select("y", good_friday(F.col("y")).alias("g")).collect()
+    assert {r["y"]: r["g"] for r in rows} == {y: easter(y) - dt.timedelta(days=2) for y in years}
+    days = spark.sql("SELECT explode(sequence(DATE'2200-01-01', DATE'2200-12-31')) AS d")
+    assert days.where(is_trading_day(F.col("d")).isNull()).count() == 0

@@ -1,14 +1,15 @@
 """Helpers the scale design relies on: size-checked broadcast, literal frames, cluster settings,
-parallelism guard, exact rounding."""
+reading what exists, exact rounding and event order."""
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.joins import broadcast_if_small, estimated_bytes
-from tidemark.functions.numeric import round_ratio_half_up
+from tidemark.functions.numeric import event_order_key, round_ratio_half_up
 from tidemark.session import cluster_conf
-from tidemark.sources.tables import ensure_parallelism, literal_frame, read_table
+from tidemark.sources.tables import literal_frame, read_if_exists, read_table
 
 
 def _plan(df):
@@ -41,11 +42,24 @@ def test_cluster_conf_scales_with_cores():
     assert c["spark.sql.adaptive.enabled"] == "true" and c["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 
-def test_parallelism_guard(spark):
-    one = spark.range(100).coalesce(1)
-    assert ensure_parallelism(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(100).repartition(8)
-    assert ensure_parallelism(many, 4) is many
+def test_only_a_missing_table_counts_as_empty(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert read_if_exists(spark, path) is None
+    spark.range(3).write.parquet(path)
+    assert read_if_exists(spark, path).count() == 3
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):
+        read_if_exists(spark, str(broken)).count()
+
+
+def test_order_key_follows_time_for_ids_of_both_signs(spark):
+    ids = [-2 ** 63, -1, 0, 1, 2 ** 63 - 1]
+    rows = [(f"2024-01-02 03:04:05.{us:06d}", i) for us in (0, 1, 2) for i in ids]
+    df = spark.createDataFrame(rows, "ts string, id long").withColumn("event_time", F.to_timestamp("ts"))
+    got = [(r["ts"], r["id"]) for r in df.orderBy(event_order_key()).collect()]
+    assert got == sorted(rows)
 
 
 def test_exact_half_away_from_zero(spark):

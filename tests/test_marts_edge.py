@@ -97,3 +97,23 @@ def test_signal_store_matches_marts(spark):
         assert s["rolling_volatility_7d"] == risk[d]["rolling_volatility_7d"]
         assert s["drawdown_pct"] == dd[d]["drawdown_pct"]
         assert s["anomaly_severity_score"] == (an[d]["anomaly_severity_score"] if d in an else 0)
+
+
+def test_the_dimension_is_read_anew_and_large_moves_fit(spark):
+    from pyspark.sql import functions as F
+    from tidemark.plans import marts as M
+
+    def sym(benchmark):
+        return spark.createDataFrame([("AAA", "a", "s", benchmark, benchmark)],
+                                     "ticker string, company_name string, sector string, benchmark_ticker string, benchmark_name string")
+
+    rows = [(t, f"2024-01-0{d}", 1, p, p, p, 10, p, p) for t in ("AAA", "XLK", "SPY") for d, p in ((2, "0.01"), (3, "99999999.99"))]
+    agg = spark.createDataFrame(rows, "ticker string, d string, event_count long, a string, b string, c string, total_volume long, e string, f string")
+    agg = agg.select("ticker", F.to_date("d").alias("trade_date"), "event_count", *[F.col(x).cast("decimal(10,2)").alias(y) for x, y in (
+        ("a", "avg_price"), ("b", "min_price"), ("c", "max_price"))], "total_volume", F.current_timestamp().alias("last_updated_at"),
+        F.col("e").cast("decimal(10,2)").alias("open_price"), F.col("f").cast("decimal(10,2)").alias("close_price"))
+    for benchmark in ("XLK", "SPY"):
+        out = M.daily_from_aggregates(agg, sym(benchmark)).where("ticker = 'AAA'").orderBy("trade_date").collect()
+        assert [r["benchmark_ticker"] for r in out] == [benchmark] * 2
+        assert float(out[1]["benchmark_close_price"]) == 99999999.99
+        assert float(out[1]["price_change_pct"]) == 999999999800.0

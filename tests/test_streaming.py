@@ -111,3 +111,67 @@ def test_refresh_dependent_marts_equal_batch(spark):
         got = got.select(*want.columns)
         assert got.count() == want.count(), name
         assert got.exceptAll(want).count() == 0, name
+
+
+def test_nothing_is_lost_or_stored_twice(spark, tmp_path):
+    """Rejected messages and alerts: a replay adds none, and no cap holds any back; an unreadable table raises."""
+    import pytest
+    from pyspark.sql import functions as F
+    from tidemark.plans.queries import watchlist_alerts
+    from tidemark.sources.fixtures import load_raw_messages
+    base = str(tmp_path)
+    batch = load_raw_messages(spark, SF)
+    one = S.ingest_batch(batch, 0, f"{base}/events", f"{base}/dead", counters_path=f"{base}/counters")
+    two = S.ingest_batch(batch, 1, f"{base}/events", f"{base}/dead", counters_path=f"{base}/counters")
+    assert one["events_persisted"] > 0 and one["dead_letter_written"] == one["invalid_event"] > 0
+    assert two["events_persisted"] == 0 and two["dead_letter_written"] == 0
+    assert spark.read.parquet(f"{base}/dead").count() == one["invalid_event"]
+    stored = {(r["batch_id"], r["metric_name"]): r["value"] for r in spark.read.parquet(f"{base}/counters").collect()}
+    assert stored[(0, "pipeline.invalid_event")] == one["invalid_event"] and (1, "pipeline.last_offset") in stored
+
+    sym = spark.createDataFrame([("T", "c", "s", None, None)],
+                                "ticker string, company_name string, sector string, benchmark_ticker string, benchmark_name string")
+    watch = spark.createDataFrame([(f"p{i}", "T", 1.0, 9.0) for i in range(3)],
+                                  "principal_id string, ticker string, price_alert_threshold double, volume_alert_threshold double")
+    daily = spark.range(200).select(F.lit("T").alias("ticker"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))
+                                    .alias("trade_date"), F.lit(1.0).alias("close_price"), F.lit(2.0).alias("relative_price_change_pct"),
+                                    F.lit(2.0).alias("price_change_pct"), F.lit(1.0).alias("volume_vs_avg_ratio"),
+                                    F.lit("normal").alias("anomaly_flag"))
+    assert S.alerts_for_batch(daily, watch, sym).count() == 600
+    top = watchlist_alerts(watch, daily, sym, None, 50)
+    assert {r["count"] for r in top.groupBy("principal_id").count().collect()} == {50}
+
+    broken = tmp_path / "daily"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"unreadable")
+    touched = spark.createDataFrame([("T", None)], "ticker string, trade_date date").where("trade_date IS NULL").limit(0)
+    with pytest.raises(Exception):
+        S.refresh_marts_batch(spark, touched, f"{base}/events", sym, str(broken), f"{base}/staging")
+    assert (broken / "part-0.parquet").read_bytes() == b"unreadable"
+
+
+def test_late_events_correct_their_hour(spark, tmp_path):
+    from tidemark.operators.staging import stage_stock_prices
+    from tidemark.sources.fixtures import load_stock_prices
+    events = stage_stock_prices(load_stock_prices(spark, SF))
+    half = events.where("id % 3 = 0")
+    path = str(tmp_path / "bars")
+    for k, part in enumerate((half, events.where("id % 3 <> 0"), half)):
+        if k < 2:  # the second batch is all late; a repeated batch overwrites its own folder
+            S.hourly_bars(part).write.mode("overwrite").parquet(f"{path}/batch_id={k}")
+        else:
+            S.hourly_bars(part).write.mode("overwrite").parquet(f"{path}/batch_id=0")
+    got = S.current_bars(spark, path)
+    S.hourly_bars(events).write.parquet(str(tmp_path / "all/batch_id=0"))
+    want = S.current_bars(spark, str(tmp_path / "all"))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_backfill_sets_rejected_bars_aside(spark, tmp_path):
+    from tidemark.sources.fixtures import load_bars
+    from tidemark.sources.ingest import backfill
+    events, dead = str(tmp_path / "events"), str(tmp_path / "dead")
+    for _ in range(2):
+        counts = backfill(load_bars(spark, SF), "2024-02-01 00:00:00", target_path=events, dead_letter_path=dead).collect()
+    rejected = sum(r["dead_letter_count"] for r in counts)
+    assert rejected > 0 and spark.read.parquet(dead).count() == rejected

@@ -69,3 +69,26 @@ def test_split_is_complete(spark):
     msgs = load_raw_messages(spark, "/root/testdata/sf0.001")
     valid, invalid = split_valid(validate_events(msgs))
     assert valid.count() + invalid.count() == msgs.count()
+
+
+def test_values_that_fit_no_column_are_rejected(spark):
+    ok = "{" + BASE + "}"
+    bodies = [ok.replace("101.5", "123456789.5"), ok.replace("101.5", '"-nan"'), ok.replace("101.5", '"+NaN"'), ok.replace("101.5", "1e400"),
+              ok.replace('"volume": 10', '"volume": 1e20'), ok.replace('"volume": 10', '"volume": 100000000000000000000'),
+              ok.replace('"volume": 10', '"volume": "100000000000000000000"'), ok.replace('"volume": 10', '"volume": -1e20'),
+              "{" + BASE + ', "open_price": 1, "high_price": 999999999, "low_price": 1, "close_price": 1}',
+              ok.replace("101.5", "99999999.99"), ok.replace("101.5", "99999999.999")]
+    price, volume = "Kafka message price is out of range.", "Kafka message volume is out of range."
+    finite = "Kafka message price must be a finite non-negative number."
+    assert _check(spark, bodies) == [price, finite, finite, finite, volume, volume, volume, "Kafka message volume must be non-negative.",
+                                     "Kafka message high_price is out of range.", None, price]
+
+
+def test_defaults_stand_in_for_empty_values_by_json_type(spark):
+    def body(v):
+        return "{" + BASE + f', "event_kind": {v}' + "}"
+
+    falsy, texts = ["null", '""', "0", "0.0", "false", "{}", "[]", '"  "'], ['"0"', '"false"', "1", "true"]
+    got = _check(spark, [body(v) for v in falsy + texts])
+    error = "Kafka message event_kind must be one of: historical_bar, intraday_bar, live_snapshot."
+    assert got == [None] * len(falsy) + [error] * len(texts)

@@ -38,32 +38,15 @@ def _idiv(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("int")
 
 
-def _easter(y: int) -> tuple[int, int]:
-    """Gregorian Easter Sunday (month, day) — Meeus/Jones/Butcher formulation."""
-    golden = y % 19
-    century, yy = divmod(y, 100)
-    leap_c, rem_c = divmod(century, 4)
-    epact = (19 * golden + century - leap_c - (8 * century + 13) // 25 + 15) % 30
-    leap_y, rem_y = divmod(yy, 4)
-    weekday = (32 + 2 * rem_c + 2 * leap_y - epact - rem_y) % 7
-    corr = (golden + 11 * epact + 19 * weekday) // 433
-    month = (epact + weekday - 7 * corr + 90) // 25
-    return month, (epact + weekday - 7 * corr + 33 * month + 19) % 32
-
-
-# Good Friday by year, generated from the computus for the supported calendar range.
-CALENDAR_YEARS = (1900, 2199)
-_GOOD_FRIDAY_DOY = {}
-for _y in range(CALENDAR_YEARS[0], CALENDAR_YEARS[1] + 1):
-    import datetime as _dt
-    _mo, _d = _easter(_y)
-    _GOOD_FRIDAY_DOY[_y] = (_dt.date(_y, _mo, _d) - _dt.timedelta(days=2)).timetuple().tm_yday
-
-
 def good_friday(year: Column) -> Column:
-    """Good Friday of a year column via a literal year → day-of-year map (one lookup per row)."""
-    doy = F.element_at(F.create_map(*[F.lit(x) for kv in _GOOD_FRIDAY_DOY.items() for x in kv]), year)
-    return F.date_add(F.make_date(year, F.lit(1), F.lit(1)), doy - 1)
+    """Good Friday of a year column: two days before Gregorian Easter (Meeus/Jones/Butcher), any year."""
+    golden, century, yy = F.pmod(year, F.lit(19)), _idiv(year, 100), F.pmod(year, F.lit(100))
+    epact = F.pmod(19 * golden + century - _idiv(century, 4) - _idiv(8 * century + 13, 25) + 15, F.lit(30))
+    weekday = F.pmod(32 + 2 * F.pmod(century, F.lit(4)) + 2 * _idiv(yy, 4) - epact - F.pmod(yy, F.lit(4)), F.lit(7))
+    corr = _idiv(golden + 11 * epact + 19 * weekday, 433)
+    month = _idiv(epact + weekday - 7 * corr + 90, 25)
+    day = F.pmod(epact + weekday - 7 * corr + 33 * month + 19, F.lit(32))
+    return F.date_sub(F.make_date(year, month, day), 2)
 
 
 def _holiday_rule(day: Column, gf: Column) -> Column:

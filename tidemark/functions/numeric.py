@@ -38,11 +38,6 @@ def exact_div(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast(_BIG)
 
 
-def avg_cents_rounded(sum_cents: Column, n: Column) -> Column:
-    """ROUND(AVG(price), 2) from a sum of cents and a count, as DECIMAL(10,2)."""
-    return round_ratio_half_up(sum_cents, n * 100, 2).cast("decimal(10,2)")
-
-
 def pct_change_2(close: Column, prev: Column) -> Column:
     """ROUND((close − prev) / prev · 100, 2) on DECIMAL(10,2) inputs, exact; prev > 0."""
     return round_ratio_half_up((cents(close) - cents(prev)) * 100, cents(prev), 2)
@@ -53,14 +48,10 @@ def pct_change_4(close: Column, prev: Column) -> Column:
     return round_ratio_half_up((cents(close) - cents(prev)) * 100, cents(prev), 4)
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
-
-
 def event_order_key(ts: str = "event_time", ident: str = "id") -> Column:
     """Total order of events (time in µs, then id) as one DECIMAL(38,0) value.
 
     A single fixed-width key keeps ``min_by``/``max_by`` inside a hash aggregate (a struct key
-    would force a sort-based aggregate)."""
-    big = "decimal(38,0)"
-    return (F.unix_micros(F.col(ts)).cast(big) * F.lit(str(10 ** 19)).cast(big) + F.col(ident).cast(big))
+    would force a sort-based aggregate). Ids take a whole signed 64-bit range within a microsecond."""
+    time = F.unix_micros(F.col(ts)).cast("decimal(17,0)") * F.lit(str(2 ** 64)).cast("decimal(20,0)")
+    return (time + F.col(ident).cast("decimal(20,0)")).cast(_BIG)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import ensure_parallelism
+from tidemark.sources.tables import EVENT_COLUMNS
 
 # The validator's vocabularies and messages.
 REQUIRED_EVENT_FIELDS = ["ticker", "price", "volume", "event_time", "source"]
@@ -32,6 +32,8 @@ MSG_TICKER_EMPTY = "Kafka message ticker must not be empty."
 MSG_TICKER_LONG = "Kafka message ticker must be 10 characters or fewer."
 MSG_PRICE = "Kafka message price must be a finite non-negative number."
 MSG_VOLUME = "Kafka message volume must be non-negative."
+# Own messages: values that pass the rules above but fit no column.
+MSG_RANGE = "Kafka message {} is out of range."
 MSG_TZ = "Kafka message event_time must include timezone information."
 MSG_HIGH = "Kafka message high_price must be greater than or equal to open/close/low."
 MSG_LOW = "Kafka message low_price must be less than or equal to open/close/high."
@@ -44,6 +46,7 @@ ISO_DATETIME = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?"
 TZ_SUFFIX = r"(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)$"
 INT_TEXT = r"^\s*[+-]?\d+(_\d+)*\s*$"
 FLOAT_TEXT = r"^\s*[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][+-]?\d+)?|nan|inf|infinity)\s*$"
+NAN_TEXT = r"^\s*[+-]?nan\s*$"
 
 DEC = "decimal(10,2)"
 
@@ -66,9 +69,10 @@ def _float_parse(jtype: Column, text: Column) -> tuple[Column, Column]:
     is_num = jtype.startswith("DECIMAL") | jtype.isin("BIGINT", "DOUBLE", "FLOAT", "INT")
     is_bool = jtype == "BOOLEAN"
     txt_ok = F.lower(text).rlike(FLOAT_TEXT)
-    val = (F.when(is_num, text.cast("double"))
+    val = (F.when(is_num, text.try_cast("double"))
            .when(is_bool, F.when(text == "true", 1.0).otherwise(0.0))
-           .when((jtype == "STRING") & txt_ok, F.translate(F.trim(text), "_", "").cast("double")))
+           .when((jtype == "STRING") & F.lower(text).rlike(NAN_TEXT), F.lit(float("nan")))
+           .when((jtype == "STRING") & txt_ok, F.translate(F.trim(text), "_", "").try_cast("double")))
     err = (F.when(jtype == "VOID", F.lit("float() argument must be a string or a real number, not 'NoneType'"))
            .when((jtype == "STRING") & ~txt_ok, F.concat(F.lit("could not convert string to float: "), _py_repr(text)))
            .when(jtype.startswith("OBJECT") | jtype.startswith("ARRAY"),
@@ -88,8 +92,7 @@ def _finite_nonneg(d: Column) -> Column:
     return d.isNotNull() & ~F.isnan(d) & (d != float("inf")) & (d != float("-inf")) & (d >= 0)
 
 
-_FIELDS = ["ticker", "price", "volume", "event_time", "source", "open_price", "high_price", "low_price",
-           "close_price", "event_kind", "bar_interval", "market_session"]
+_FIELDS = EVENT_COLUMNS
 _OHLC = ["open_price", "high_price", "low_price", "close_price"]
 
 
@@ -103,8 +106,6 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
     """
     keep = keep if keep is not None else [c for c in messages.columns if c != value_col]
     c = F.col
-    if not messages.isStreaming:
-        messages = ensure_parallelism(messages)
     # stage 1: parse once
     s1 = messages.select(*keep, c(value_col).alias("payload"), F.try_parse_json(c(value_col)).alias("_v"))
     # stage 2: presence, JSON type and text of each field
@@ -121,9 +122,9 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
     vol_is_frac = vo_t.startswith("DECIMAL") | vo_t.isin("DOUBLE", "FLOAT")
     vol_text_ok = vo_x.rlike(INT_TEXT)
     vol_d = vo_x.try_cast("double")
-    volume = (F.when(vol_is_int, vo_x.cast("bigint"))
+    volume = (F.when(vol_is_int, vo_x.try_cast("bigint"))
               .when(vol_is_frac, F.when(vol_d.isNotNull() & ~F.isnan(vol_d) & (F.abs(vol_d) != float("inf")),
-                                        vo_x.try_cast("decimal(38,10)").cast("bigint")))
+                                        F.coalesce(vo_x.try_cast("decimal(38,10)"), vol_d).try_cast("bigint")))
               .when((vo_t == "STRING") & vol_text_ok, F.translate(F.trim(vo_x), "_", "").try_cast("bigint"))
               .when(vo_t == "BOOLEAN", F.when(vo_x == "true", 1).otherwise(0).cast("bigint")))
     vol_err = (F.when(vo_t == "VOID", F.lit("int() argument must be a string, a bytes-like object or a real number, "
@@ -136,8 +137,11 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
     et_text = F.regexp_replace(et_x, "Z", "+00:00")
 
     def opt_text(name: str, default: str) -> Column:
-        x = c(f"_x_{name}")
-        falsy = x.isNull() | (x == "") | (x == "false") | (x == "0")
+        # falsy by JSON type: the texts "0" and "false" are values
+        x, t = c(f"_x_{name}"), c(f"_t_{name}")
+        number = t.startswith("DECIMAL") | t.isin("BIGINT", "DOUBLE", "FLOAT", "INT")
+        falsy = (x.isNull() | (x == "") | ((t == "BOOLEAN") & (x == "false")) | (number & (x.try_cast("double") == 0))
+                 | x.isin("{}", "[]") & (t.startswith("OBJECT") | t.startswith("ARRAY")))
         return F.coalesce(F.nullif(F.trim(F.when(falsy, F.lit(default)).otherwise(x)), F.lit("")), F.lit(default))
 
     kind, interval, session = (opt_text("event_kind", "live_snapshot"), opt_text("bar_interval", "snapshot"),
@@ -154,7 +158,7 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
         F.upper(F.trim(c("_x_ticker"))).alias("ticker"),
         price_d.alias("_price_d"), price_err.alias("_price_err"),
         _price_value(c("_x_price")).alias("price"),
-        volume.alias("volume"), vol_err.alias("_vol_err"),
+        volume.alias("volume"), vol_err.alias("_vol_err"), F.translate(F.trim(vo_x), "_", "").try_cast("double").alias("_vol_d"),
         et_text.alias("_et_text"),
         F.when(et_x.rlike(ISO_DATETIME), et_text.try_cast("timestamp")).alias("_et_ts"),
         et_x.rlike(TZ_SUFFIX).alias("_has_tz"),
@@ -167,7 +171,8 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
         cols3 += [given.alias(f"_g_{n}"), F.when(given, _price_value(c(f"_x_{n}"))).alias(n),
                   F.when(given & perr.isNotNull(), perr)
                   .when(given & ~_finite_nonneg(F.round(d, 2)), F.lit(f"{MSG_PREFIX} {n} must be a finite "
-                                                                     f"non-negative number.")).alias(f"_e_{n}")]
+                                                                     f"non-negative number."))
+                  .when(given & _price_value(c(f"_x_{n}")).isNull(), F.lit(MSG_RANGE.format(n))).alias(f"_e_{n}")]
     s3 = s2.select(*cols3)
 
     # stage 4: the first failing rule wins
@@ -185,8 +190,10 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
         F.when(F.length(c("ticker")) > 10, F.lit(MSG_TICKER_LONG)),
         c("_price_err"),
         F.when(~_finite_nonneg(F.round(c("_price_d"), 2)), F.lit(MSG_PRICE)),
+        F.when(c("price").isNull(), F.lit(MSG_RANGE.format("price"))),
         c("_vol_err"),
-        F.when(c("volume") < 0, F.lit(MSG_VOLUME)),
+        F.when((c("volume") < 0) | (c("volume").isNull() & (c("_vol_d") < 0)), F.lit(MSG_VOLUME)),
+        F.when(c("volume").isNull(), F.lit(MSG_RANGE.format("volume"))),
         F.when(c("_et_ts").isNull(), F.concat(F.lit("Invalid isoformat string: "), _py_repr(c("_et_text")))),
         F.when(~c("_has_tz"), F.lit(MSG_TZ)),
         one_of("event_kind", c("event_kind"), ALLOWED_EVENT_KINDS),
@@ -209,10 +216,6 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
     )
 
 
-EVENT_COLUMNS = ["ticker", "price", "volume", "event_time", "source", "open_price", "high_price", "low_price",
-                 "close_price", "event_kind", "bar_interval", "market_session"]
-
-
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid events, invalid messages) from the output of ``validate_events``."""
     b = F.col("_barrier") >= 0 if "_barrier" in checked.columns else F.lit(True)

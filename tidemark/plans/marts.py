@@ -10,10 +10,9 @@ Plan shape (checked with ``explain``):
 * Every window runs on the daily (or hourly) grain, partitioned by ticker: one row per ticker and
   day, so no window partition grows with event volume. MART-3, 4, 9 reuse that partitioning
   (no further exchange); MART-9 is computed in one pass instead of three self-joins.
-* The benchmark self-join keeps only benchmark tickers on its right side. It is broadcast when its
-  size bound (benchmarks × days) is under the limit; otherwise it is a shuffle join on a key in
-  which NULL benchmarks are replaced by a per-ticker non-matching value, so tickers without a
-  benchmark never pile up in one partition.
+* The benchmark self-join keeps only benchmark tickers on its right side (a semi-join with the
+  dimension). Its strategy is left to the planner and AQE; the key replaces NULL benchmarks by a
+  per-ticker non-matching value, so tickers without a benchmark never pile up in one partition.
 """
 
 from __future__ import annotations
@@ -42,13 +41,9 @@ SIGNAL_WEIGHTS = {"move": "0.45", "volume": "2.25", "severity": "0.35", "sharpe"
 # Session names carried through the hourly aggregate as integer codes.
 SESSION_CODES = ["premarket", "regular", "after_hours", "pre", "post", "closed"]
 
-# Rows on the right side of a broadcast join must stay under this bound.
-MAX_BROADCAST_ROWS = 2_000_000
-# Upper bound on trading days covered by one mart build (50 years of calendar days).
-MAX_SPAN_DAYS = 366 * 50
-
-DEC2 = "decimal(12,2)"
-DEC4 = "decimal(14,4)"
+# Wide enough for any change between two DECIMAL(10,2) prices and any ratio of two BIGINT volumes.
+DEC2 = "decimal(24,2)"
+DEC4 = "decimal(26,4)"
 
 
 def order_key(ts: str = "event_time", ident: str = "id") -> Column:
@@ -72,40 +67,23 @@ def _meta(sym: DataFrame) -> DataFrame:
     return broadcast_if_small(sym.select("ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name"))
 
 
-def benchmark_join(left: DataFrame, right: DataFrame, time_col: str, rows_bound: int) -> DataFrame:
+def benchmark_join(left: DataFrame, right: DataFrame, time_col: str) -> DataFrame:
     """Left join of rows to their benchmark's row at the same time (JN-4).
 
-    ``right`` holds (bm_ticker, time_col, …) of benchmark tickers only.
+    ``right`` holds (bm_ticker, bm_time, …) of benchmark tickers only. The strategy is left to the
+    planner and AQE, which know the sizes; rows without a benchmark get a never-matching key per
+    ticker, so they do not pile up in one partition of a shuffle join.
     """
-    if rows_bound <= MAX_BROADCAST_ROWS:
-        return left.join(F.broadcast(right),
-                         (left["benchmark_ticker"] == right["bm_ticker"]) & (left[time_col] == right["bm_time"]),
-                         "left").drop("bm_ticker", "bm_time")
-    # Shuffle join: NULL benchmarks get a unique, never-matching key so they spread by ticker.
     lk = left.withColumn("_bkey", F.coalesce("benchmark_ticker", F.concat(F.lit("\u0000"), F.col("ticker"))))
     rk = right.withColumnRenamed("bm_ticker", "_bkey")
     return lk.join(rk, (lk["_bkey"] == rk["_bkey"]) & (lk[time_col] == rk["bm_time"]), "left") \
         .drop("_bkey", "bm_time")
 
 
-_BENCHMARK_LISTS: dict[int, list[str]] = {}
-
-
-def benchmark_list(sym: DataFrame) -> list[str]:
-    """Distinct benchmark tickers of the dimension (a bounded reference table: 20 seed rows).
-
-    One narrow job per distinct dimension plan (memoised by the plan's semantic hash)."""
-    key = sym._jdf.queryExecution().analyzed().semanticHash()
-    if key not in _BENCHMARK_LISTS:
-        rows = sym.select("benchmark_ticker").collect()
-        _BENCHMARK_LISTS[key] = sorted({r[0] for r in rows if r[0] is not None})
-    return _BENCHMARK_LISTS[key]
-
-
-def _benchmark_rows(df: DataFrame, bms: list[str]) -> DataFrame:
-    """Rows of benchmark tickers only. A literal IN-list: pushed through the window and the
-    aggregate down to the scan, so the benchmark branch reads only benchmark tickers' events."""
-    return df.filter(F.col("ticker").isin(*bms))
+def _benchmark_rows(df: DataFrame, sym: DataFrame) -> DataFrame:
+    """Rows of the dimension's benchmark tickers only; the semi-join follows the dimension as it is now."""
+    bms = sym.where(F.col("benchmark_ticker").isNotNull()).select(F.col("benchmark_ticker").alias("ticker")).distinct()
+    return df.join(broadcast_if_small(bms), "ticker", "left_semi")
 
 
 DAILY_AGGREGATE_COLUMNS = ["ticker", "trade_date", "event_count", "avg_price", "min_price", "max_price",
@@ -133,12 +111,12 @@ def daily_aggregates(stg: DataFrame) -> DataFrame:
     return agg.withColumn("avg_price", avg).select(*DAILY_AGGREGATE_COLUMNS)
 
 
-def daily_stock_summary(stg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
+def daily_stock_summary(stg: DataFrame, sym: DataFrame) -> DataFrame:
     """MART-1: one row per ticker × New York trade date (closed session excluded)."""
-    return daily_from_aggregates(daily_aggregates(stg), sym, span_days)
+    return daily_from_aggregates(daily_aggregates(stg), sym)
 
 
-def daily_from_aggregates(agg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
+def daily_from_aggregates(agg: DataFrame, sym: DataFrame) -> DataFrame:
     """MART-1 window, dimension and benchmark columns over per-day aggregates (daily grain only,
     so the incremental refresh can rebuild them from stored aggregates without the events)."""
     w = _by_ticker("trade_date")
@@ -158,13 +136,11 @@ def daily_from_aggregates(agg: DataFrame, sym: DataFrame, span_days: int = MAX_S
     final_base = enriched.withColumns({"price_change_pct": pct, "volume_vs_avg_ratio": ratio}) \
         .join(_meta(sym), "ticker", "left") \
         .withColumn("sector", F.coalesce("sector", F.lit("Other")))
-    bms = benchmark_list(sym)
-    bench = _benchmark_rows(final_base, bms).select(
+    bench = _benchmark_rows(final_base, sym).select(
         F.col("ticker").alias("bm_ticker"), F.col("trade_date").alias("bm_time"),
         F.col("close_price").alias("benchmark_close_price"),
         F.col("price_change_pct").alias("benchmark_price_change_pct"))
-    n_bm = max(len(bms), 1)
-    joined = benchmark_join(final_base, bench, "trade_date", n_bm * span_days)
+    joined = benchmark_join(final_base, bench, "trade_date")
     p, b = F.col("price_change_pct"), F.col("benchmark_price_change_pct")
     move = F.abs(F.coalesce(p - b, p))
     flag = (F.when((move >= ANOMALY_MOVE_PCT) & (F.col("volume_vs_avg_ratio") >= ANOMALY_VOLUME_RATIO), "price_and_volume")
@@ -208,12 +184,12 @@ def hourly_aggregates(stg: DataFrame) -> DataFrame:
         .select(*HOURLY_AGGREGATE_COLUMNS)
 
 
-def intraday_stock_rollup(stg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
+def intraday_stock_rollup(stg: DataFrame, sym: DataFrame) -> DataFrame:
     """MART-2: one row per ticker × hour (UTC hour = New York hour for open sessions)."""
-    return intraday_from_aggregates(hourly_aggregates(stg), sym, span_days)
+    return intraday_from_aggregates(hourly_aggregates(stg), sym)
 
 
-def intraday_from_aggregates(agg: DataFrame, sym: DataFrame, span_days: int = MAX_SPAN_DAYS) -> DataFrame:
+def intraday_from_aggregates(agg: DataFrame, sym: DataFrame) -> DataFrame:
     """MART-2 LAG, dimension and benchmark columns over stored hourly aggregates."""
     w = _by_ticker("interval_start")
     pc = F.col("previous_close_price")
@@ -223,13 +199,11 @@ def intraday_from_aggregates(agg: DataFrame, sym: DataFrame, span_days: int = MA
         "previous_close_price": F.lag("close_price").over(w),
     }).withColumn("_change", change).join(_meta(sym), "ticker", "left") \
         .withColumn("sector", F.coalesce("sector", F.lit("Other")))
-    bms = benchmark_list(sym)
-    bench = _benchmark_rows(feats, bms).select(
+    bench = _benchmark_rows(feats, sym).select(
         F.col("ticker").alias("bm_ticker"), F.col("interval_start").alias("bm_time"),
         F.col("close_price").alias("benchmark_close_price"),
         F.col("_change").alias("benchmark_interval_change_pct"))
-    n_bm = max(len(bms), 1)
-    joined = benchmark_join(feats, bench, "interval_start", n_bm * span_days * 24)
+    joined = benchmark_join(feats, bench, "interval_start")
     return joined.select(
         "ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name", "interval_start",
         "market_session", "open_price", "high_price", "low_price", "close_price",
@@ -374,8 +348,7 @@ def market_regime_summary(daily: DataFrame, risk: DataFrame | None = None, dedup
         F.count(F.lit(1)).alias("_n_leaders"),
         F.min_by("benchmark_ticker", F.struct((-F.col("c")).alias("c"), F.col("benchmark_ticker").alias("b")))
         .alias("benchmark_leader"))
-    # one row per trade date on both sides: the leaders side is bounded by the calendar span
-    leaders = F.broadcast(leaders) if MAX_SPAN_DAYS <= MAX_BROADCAST_ROWS else leaders
+    # one row per trade date on both sides
     out = per_date.join(leaders, "trade_date", "left")
     mult = F.lit(1) if dedupe_leaders else F.greatest(F.coalesce("_n_leaders", F.lit(0)), F.lit(1))
     nn = F.col("_n")

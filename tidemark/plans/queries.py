@@ -12,7 +12,7 @@ Every query is a lazy DataFrame over a mart. Patterns used:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import broadcast_if_small
@@ -185,9 +185,13 @@ def watchlist(watch: DataFrame, sym: DataFrame, principal: str | None = None) ->
 
 
 def watchlist_alerts(watch: DataFrame, daily: DataFrame, sym: DataFrame, principal: str | None = None,
-                     limit: int = 50) -> DataFrame:
-    """SRV-17: daily rows of watched tickers that trip a price/volume threshold or are anomalous."""
-    check_limit(limit, 250)
+                     limit: int | None = 50) -> DataFrame:
+    """SRV-17: daily rows of watched tickers that trip a price/volume threshold or are anomalous.
+
+    ``limit`` holds per principal (the latest, then the largest moves); None: every alert.
+    """
+    if limit is not None:
+        check_limit(limit, 250)
     w = watch if principal is None else watch.filter(F.col("principal_id") == principal)
     d = daily.select("ticker", "trade_date", "close_price", "relative_price_change_pct", "price_change_pct",
                      "volume_vs_avg_ratio", "anomaly_flag")
@@ -196,12 +200,16 @@ def watchlist_alerts(watch: DataFrame, daily: DataFrame, sym: DataFrame, princip
     price_hit = F.abs("price_change_pct") >= F.col("price_alert_threshold")
     vol_hit = F.col("volume_vs_avg_ratio") >= F.col("volume_alert_threshold")
     j = j.filter(price_hit | vol_hit | (F.col("anomaly_flag") != "normal")).join(s, "ticker", "left")
+    order = [F.desc("trade_date"), F.abs("price_change_pct").desc(), F.asc("ticker")]
+    if limit is not None:
+        rank = F.row_number().over(Window.partitionBy("principal_id").orderBy(*order))
+        j = j.withColumn("_rank", rank).where(F.col("_rank") <= limit)
     return j.select(
         "principal_id", "ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name", "trade_date",
         "close_price", "relative_price_change_pct", "price_change_pct", "volume_vs_avg_ratio", "anomaly_flag",
         "price_alert_threshold", "volume_alert_threshold", price_hit.alias("triggered_price_alert"),
         vol_hit.alias("triggered_volume_alert"),
-    ).orderBy(F.desc("trade_date"), F.abs("price_change_pct").desc(), "principal_id", "ticker").limit(limit)
+    ).orderBy("principal_id", *order)
 
 
 def sort_rows(df: DataFrame, col: str, direction: str = "asc", tie_breakers: list[str] | None = None) -> DataFrame:
@@ -266,7 +274,7 @@ def ticker_trend(daily: DataFrame, ticker: str | None = None, last_n: int | None
     d = d.select("ticker", "trade_date", cents(close).alias("_c"),
                  cents(F.coalesce(F.col("benchmark_close_price"), F.lit(0).cast("decimal(10,2)"))).alias("_b"))
     if last_n is not None:
-        from pyspark.sql import Window
+
         rn = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("trade_date")))
         d = d.withColumn("_rn", rn).filter(F.col("_rn") <= last_n).drop("_rn")
     bases = d.groupBy("ticker").agg(

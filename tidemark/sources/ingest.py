@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.calendar import infer_session
 from tidemark.functions.symbols import normalize_ticker, symbol_profile
+from tidemark.sources.tables import EVENT_COLUMNS
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("topic", T.StringType()),
@@ -49,9 +50,9 @@ def read_price_stream(spark: SparkSession, source: str = "kafka", topic: str = "
     return r.json(path)
 
 
-def parse_event_json(messages: DataFrame) -> DataFrame:
+def parse_event_json(messages: DataFrame, value_col: str = "value", out: str = "event") -> DataFrame:
     """SRC-2: bytes/text → parsed object (VARIANT, NULL when the text is not JSON)."""
-    return messages.withColumn("event", F.try_parse_json(F.col("value").cast("string")))
+    return messages.withColumn(out, F.try_parse_json(F.col(value_col).cast("string")))
 
 
 def _with_profile(df: DataFrame) -> DataFrame:
@@ -98,28 +99,39 @@ def bars_to_events(bars: DataFrame, as_of: str, lookback_days: int = 30, interva
 
 
 def backfill(bars: DataFrame, as_of: str, tickers: list[str] | None = None, target_path: str | None = None,
-             lookback_days: int = 30, interval: str = "1h", session_vocab: str = "strict") -> DataFrame:
+             lookback_days: int = 30, interval: str = "1h", session_vocab: str = "strict",
+             dead_letter_path: str | None = None) -> DataFrame:
     """SRC-7: replay bars (all or some tickers) through validation and the idempotent append.
 
-    Returns per-ticker counts of events appended and dead-lettered. With the reference's default
+    Good events go to ``target_path``, rejected ones to ``dead_letter_path``; both writes are idempotent.
+    Returns per-ticker counts of events appended and dead-lettered, counted before the write from one
+    validated copy. With the reference's default
     interval '1h' every bar is dead-lettered (Q2) unless ``session_vocab="mapped"``.
     """
-    from tidemark.operators.validation import split_valid, validate_events
-    from tidemark.sources.sinks import append_events
+    from tidemark.operators.validation import dead_letters, split_valid, validate_events
+    from tidemark.session import materialized
+    from tidemark.sources.sinks import pending_events, write_dead_letters, write_events
 
     ev = bars_to_events(bars, as_of, lookback_days, interval)
     if tickers:
         ev = ev.filter(F.col("ticker").isin(*tickers))
-    cols = ["ticker", "price", "volume", "event_time", "source", "open_price", "high_price", "low_price",
-            "close_price", "event_kind", "bar_interval", "market_session"]
-    msgs = ev.select(F.lit("backfill").alias("topic"), F.lit(0).alias("partition"),
-                     F.monotonically_increasing_id().alias("offset"),
+    # a bar's own key makes the offset, so a repeated backfill meets its earlier dead letters
+    offset = F.shiftrightunsigned(F.xxhash64("ticker", "event_time", "bar_interval"), 1)
+    msgs = ev.select(F.lit("backfill").alias("topic"), F.lit(0).alias("partition"), offset.alias("offset"),
                      F.to_json(F.struct(*[F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-                                          .alias("event_time") if c == "event_time" else F.col(c) for c in cols]))
+                                          .alias("event_time") if c == "event_time" else F.col(c) for c in EVENT_COLUMNS]))
                      .alias("value"), F.col("event_time").alias("timestamp"))
-    valid, invalid = split_valid(validate_events(msgs, session_vocab=session_vocab))
+    checked = validate_events(msgs, session_vocab=session_vocab)
+    if target_path is not None or dead_letter_path is not None:
+        checked = materialized(checked, "backfill")
+    valid, invalid = split_valid(checked)
     spark = bars.sparkSession
-    appended = append_events(valid, target_path, spark)
+    appended = pending_events(valid, target_path, spark)
+    if target_path is not None:
+        appended = materialized(appended, "backfill")
+        write_events(appended, target_path)
+    if dead_letter_path is not None:
+        write_dead_letters(dead_letters(invalid), dead_letter_path)
     a = appended.groupBy("ticker").agg(F.count(F.lit(1)).alias("event_count"))
     bad = invalid.select(F.get_json_object("payload", "$.ticker").alias("ticker")) \
         .groupBy("ticker").agg(F.count(F.lit(1)).alias("dead_letter_count"))

@@ -8,12 +8,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialized
+from tidemark.sources.tables import EVENT_COLUMNS, read_if_exists
+
 IDENTITY = ["ticker", "event_time", "source", "event_kind", "bar_interval"]
-EVENT_COLUMNS = ["ticker", "price", "volume", "event_time", "source", "open_price", "high_price", "low_price",
-                 "close_price", "event_kind", "bar_interval", "market_session"]
+MESSAGE_KEY = ["source_topic", "source_partition", "source_offset"]
 
 
 def event_date(ts: str = "event_time") -> Column:
@@ -45,47 +47,61 @@ def new_events(batch: DataFrame, target: DataFrame | None) -> DataFrame:
     return rows.join(keys, IDENTITY + ["event_date"], "left_anti")
 
 
+def pending_events(valid: DataFrame, target_path: str | None, spark: SparkSession | None = None,
+                   order: list[str] | None = None) -> DataFrame:
+    """Deduplicated rows of a batch whose identity is not stored at ``target_path`` yet."""
+    batch = dedupe_batch(valid, order).select(*EVENT_COLUMNS, *(order or ["partition", "offset"]))
+    target = read_if_exists(spark, target_path) if target_path is not None and spark is not None else None
+    return new_events(batch, target).select(*EVENT_COLUMNS, "event_date")
+
+
+def write_events(fresh: DataFrame, target_path: str) -> None:
+    fresh.sortWithinPartitions("event_date", "ticker", "event_time") \
+        .write.mode("append").partitionBy("event_date").parquet(target_path)
+
+
 def append_events(valid: DataFrame, target_path: str | None, spark: SparkSession | None = None,
                   order: list[str] | None = None) -> DataFrame:
     """SNK-1: deduplicate a batch, drop identities already stored, append the rest.
 
-    Returns the rows that were (or, with ``target_path=None``, would be) appended.
+    Returns the rows that were (or, with ``target_path=None``, would be) appended, from a copy
+    taken before the write.
     """
-    batch = dedupe_batch(valid, order).select(*EVENT_COLUMNS, *[c for c in (order or ["partition", "offset"])])
-    target = None
-    if target_path is not None and spark is not None:
-        target = _read_if_exists(spark, target_path)
-    fresh = new_events(batch, target).select(*EVENT_COLUMNS, "event_date")
+    fresh = pending_events(valid, target_path, spark, order)
     if target_path is not None:
-        fresh.sortWithinPartitions("event_date", "ticker", "event_time") \
-            .write.mode("append").partitionBy("event_date").parquet(target_path)
+        fresh = materialized(fresh, "append")
+        write_events(fresh, target_path)
     return fresh
 
 
-def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first write: nothing stored yet
-        return None
-
-
-def write_raw_lake(df: DataFrame, path: str, ingest_ts: Column | None = None) -> None:
+def write_raw_lake(df: DataFrame, path: str, ingest_ts: Column | None = None, mode: str = "append") -> None:
     """SNK-2: raw JSON lake under date=<ingest UTC date>/ticker=<ticker>; no dedupe."""
     ts = ingest_ts if ingest_ts is not None else F.current_timestamp()
-    df.withColumn("date", F.date_format(ts, "yyyy-MM-dd")).write.mode("append") \
-        .partitionBy("date", "ticker").json(path)
+    # rows of a folder meet first, so a task writes few files; large folders stay split
+    df.withColumn("date", F.date_format(ts, "yyyy-MM-dd")).hint("rebalance", "date", "ticker") \
+        .write.mode(mode).partitionBy("date", "ticker").json(path)
 
 
-def write_dead_letters(invalid: DataFrame, path: str) -> None:
-    """SNK-3: dead-letter table rows (append)."""
-    invalid.write.mode("append").parquet(path)
+def write_dead_letters(letters: DataFrame, path: str) -> int:
+    """SNK-3: dead-letter table rows (append); a message already set aside is not stored again.
+
+    Returns the number of rows written.
+    """
+    stored = read_if_exists(letters.sparkSession, path)
+    if stored is not None:
+        span = letters.agg(F.min("source_offset"), F.max("source_offset")).first()  # one row
+        known = stored.where(F.col("source_offset").between(span[0], span[1])).select(*MESSAGE_KEY)
+        letters = letters.join(known, MESSAGE_KEY, "left_anti")
+    written = Observation()
+    letters.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]
 
 
-def write_dead_letter_lake(invalid: DataFrame, path: str) -> None:
+def write_dead_letter_lake(invalid: DataFrame, path: str, mode: str = "append") -> None:
     """SNK-4: invalid/stocks/date=… JSON with payload, error and time."""
     invalid.select("payload", "validation_error", "created_at",
                    F.date_format("created_at", "yyyy-MM-dd").alias("date")) \
-        .write.mode("append").partitionBy("date").json(path)
+        .hint("rebalance", "date").write.mode(mode).partitionBy("date").json(path)
 
 
 def publish_events(events: DataFrame, path: str | None = None, kafka_options: dict | None = None) -> DataFrame:
@@ -106,6 +122,26 @@ def materialize(df: DataFrame, path: str, partition_col: str | None = "trade_dat
     w.parquet(path)
 
 
+def prune_table(spark: SparkSession, path: str, ts_col: str, days: int, as_of: str) -> int:
+    """SNK-7 on a stored table: removes the expired rows for good; returns how many went.
+
+    The kept rows are written beside the table and swapped in by renaming, so an interrupted run leaves the
+    old table in place.
+    """
+    table = spark.read.parquet(path)
+    kept, fresh, old = prune_retention(table, ts_col, days, as_of), f"{path}.kept", f"{path}.old"
+    before = table.count()
+    kept.write.mode("overwrite").parquet(fresh)
+    after = spark.read.schema(table.schema).parquet(fresh).count()
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.rename(place(path), place(old))
+    fs.rename(place(fresh), place(path))
+    fs.delete(place(old), True)
+    return before - after
+
+
 def prune_retention(df: DataFrame, ts_col: str, days: int, as_of: str) -> DataFrame:
     """SNK-7: rows younger than ``days`` days at ``as_of`` (retention of dead letters, cache, jobs)."""
     limit = F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days))

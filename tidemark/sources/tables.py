@@ -9,6 +9,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+#: Columns of a validated event, in order.
+EVENT_COLUMNS = ["ticker", "price", "volume", "event_time", "source", "open_price", "high_price", "low_price",
+                 "close_price", "event_kind", "bar_interval", "market_session"]
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
@@ -19,6 +24,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where nothing has been written yet.
+
+    Existence is asked of the file system; a table that is there but cannot be read raises.
+    """
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return None
+    files = fs.listFiles(place, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return spark.read.parquet(path)
+    return None
+
+
 def assert_schema(df: DataFrame, contract: T.StructType | list[str], check_types: bool = True) -> DataFrame:
     """Fail fast when a frame's columns (and types) differ from its contract."""
     if isinstance(contract, T.StructType):
@@ -35,14 +57,6 @@ def assert_schema(df: DataFrame, contract: T.StructType | list[str], check_types
     return df
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when a source yields fewer partitions than the cluster has
-    cores (few large files, few topic partitions) ahead of CPU-heavy per-row work. With many input
-    splits — the normal case at scale — the frame is returned unchanged (no shuffle)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def _sql_literal(v, dt: T.DataType) -> str:
     if v is None:
         return f"CAST(NULL AS {dt.simpleString()})"

@@ -2,11 +2,11 @@
 
 * ``ingest_stream`` (STR-1, 3, 4, 5): messages → validation → idempotent append of valid events +
   dead letters, in ``foreachBatch`` with a checkpoint: offsets are committed only after the batch
-  succeeded, and a replayed batch appends nothing twice (identity dedupe + anti-join against the
-  stored rows of the touched dates). Batch counters come from ``observe``.
+  succeeded, and a replayed batch appends nothing twice (events by identity within the touched
+  dates, dead letters by topic, partition and offset). Batch counters are stored as metric rows.
 * ``lake_stream`` (STR-2): the same topic into the raw JSON lake and the dead-letter lake, as its
   own query with its own checkpoint (its own consumer position).
-* ``stream_hourly_bars`` (STR-7): hourly OHLC per ticker with a watermark for late events.
+* ``stream_hourly_bars`` (STR-7): hourly OHLC per ticker as mergeable partials; late events correct their hour.
 * ``refresh_marts_stream`` (STR-8) and ``alerts_for_batch`` (STR-9): after each batch, re-aggregate
   the touched (ticker, day) keys from the partition-pruned events, recompute the window columns of
   the affected ticker buckets from the stored daily grain (a late event changes LAG and every
@@ -18,7 +18,7 @@ machine-local state, so a lost executor only re-runs tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.staging import coalesce_ohlc, drop_closed, stage_stock_prices
@@ -30,74 +30,105 @@ from tidemark.functions.joins import broadcast_if_small
 from tidemark.plans.marts import (DAILY_AGGREGATE_COLUMNS, HOURLY_AGGREGATE_COLUMNS, SESSION_CODES,
                                   daily_aggregates, daily_from_aggregates, hourly_aggregates,
                                   intraday_from_aggregates, order_key)
-from tidemark.sources.sinks import EVENT_COLUMNS, dedupe_batch, event_date
+from tidemark.sources.sinks import (IDENTITY, dedupe_batch, event_date, write_dead_letter_lake, write_dead_letters,
+                                    write_raw_lake)
+from tidemark.sources.tables import EVENT_COLUMNS, read_if_exists
 
 TICKER_BUCKETS = 64
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
+def arrival_key() -> Column:
+    """Arrival order of a message as the event's id: partition, then offset."""
+    return F.shiftleft(F.col("partition").cast("bigint"), 48) + F.col("offset")
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, events_path: str, dead_letter_path: str,
-                 session_vocab: str = "strict") -> dict:
+                 session_vocab: str = "strict", counters_path: str | None = None) -> dict:
     """One micro-batch of STR-1: validate, dedupe, anti-join against stored identities, append.
 
-    Returns the batch counters (STR-5) gathered with ``Observation`` during the writes.
+    Returns the batch counters (STR-5) and, with ``counters_path``, stores them as metric rows.
     """
-    from pyspark.sql import Observation
-    spark = batch.sparkSession
-    obs_ok, obs_bad = Observation(f"ingest_{batch_id}"), Observation(f"dead_{batch_id}")
     checked = validate_events(batch, session_vocab=session_vocab).persist()
     try:
-        valid, invalid = split_valid(checked)
-        fresh = dedupe_batch(valid).select(*EVENT_COLUMNS).withColumn("event_date", event_date())
-        stored = _read_or_none(spark, events_path)
-        if stored is not None:
-            # the dates a batch touches are few (bounded by its time span): a literal partition
-            # filter, so only those event_date partitions of the stored table are read
-            dates = [r[0] for r in fresh.select("event_date").distinct().collect()]
-            keys = stored.filter(F.col("event_date").isin(*dates)) \
-                .select("ticker", "event_time", "source", "event_kind", "bar_interval", "event_date")
-            fresh = fresh.join(keys, ["ticker", "event_time", "source", "event_kind", "bar_interval", "event_date"],
-                               "left_anti")
-        fresh = fresh.withColumns({"id": F.xxhash64("ticker", "event_time", "source", "event_kind", "bar_interval"),
-                                   "inserted_at": F.current_timestamp()}) \
-            .observe(obs_ok, F.count(F.lit(1)).alias("events_persisted"))
+        return ingest_checked(checked, batch_id, events_path, dead_letter_path, counters_path)
+    finally:
+        checked.unpersist()
+
+
+def ingest_checked(checked: DataFrame, batch_id: int, events_path: str, dead_letter_path: str,
+                   counters_path: str | None = None) -> dict:
+    """``ingest_batch`` for an already validated (and persisted) batch.
+
+    Both writes are idempotent: events by identity, dead letters by topic, partition and offset. A write
+    that fails fails the batch, which the checkpoint repeats; its counter is stored first.
+    """
+    spark = checked.sparkSession
+    valid, invalid = split_valid(checked)
+    counters = checked.agg(F.count(F.lit(1)).alias("messages"),
+                           F.count_if(F.col("validation_error").isNotNull()).alias("invalid_event"),
+                           F.max("offset").alias("last_offset")).first().asDict()
+    counters |= {"batch_id": batch_id, "events_persisted": 0, "persist_failed": 0, "dead_letter_written": 0,
+                 "dead_letter_failed": 0}
+    fresh = dedupe_batch(valid).select(*EVENT_COLUMNS, arrival_key().alias("id")).withColumn("event_date", event_date())
+    stored = read_if_exists(spark, events_path)
+    if stored is not None:
+        # the dates a batch touches are few (bounded by its time span): a literal partition
+        # filter, so only those event_date partitions of the stored table are read
+        dates = [r[0] for r in fresh.select("event_date").distinct().collect()]
+        keys = stored.filter(F.col("event_date").isin(*dates)).select(*IDENTITY, "event_date")
+        fresh = fresh.join(keys, IDENTITY + ["event_date"], "left_anti")
+    seen = Observation()
+    fresh = fresh.withColumn("inserted_at", F.current_timestamp()).observe(seen, F.count(F.lit(1)).alias("n"))
+    try:
         # one file per task and date, rows clustered by ticker: ticker filters (benchmark branch,
         # single-ticker queries) skip row groups through the parquet min/max statistics
+        step = "persist_failed"
         fresh.sortWithinPartitions("event_date", "ticker", "event_time") \
             .write.mode("append").partitionBy("event_date").parquet(events_path)
-        dl = dead_letters(invalid).observe(obs_bad, F.count(F.lit(1)).alias("dead_letter_written"))
-        dl.write.mode("append").parquet(dead_letter_path)
+        counters["events_persisted"] = seen.get["n"]
+        step = "dead_letter_failed"
+        letters = dead_letters(invalid)
+        if counters["invalid_event"]:
+            counters["dead_letter_written"] = write_dead_letters(letters, dead_letter_path)
+    except Exception:
+        counters[step] = 1
+        raise
     finally:
-        checked.unpersist()
-    return {"batch_id": batch_id, **obs_ok.get, **obs_bad.get}
+        if counters_path:
+            write_counters(spark, counters, counters_path)
+    return counters
+
+
+def write_counters(spark: SparkSession, counters: dict, path: str) -> None:
+    """STR-5: a batch's counters as metric rows (metric_name, value, batch_id), one folder per batch."""
+    batch_id = counters["batch_id"]
+    rows = [(f"pipeline.{k}", float(v)) for k, v in counters.items() if k != "batch_id" and v is not None]
+    spark.createDataFrame(rows, "metric_name string, value double").coalesce(1) \
+        .write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
 def ingest_stream(messages: DataFrame, events_path: str, dead_letter_path: str, checkpoint: str,
-                  trigger: dict | None = None, session_vocab: str = "strict"):
+                  trigger: dict | None = None, session_vocab: str = "strict", counters_path: str | None = None):
     """STR-1: start the ingest query (returns the StreamingQuery)."""
-    w = messages.writeStream.option("checkpointLocation", checkpoint) \
-        .foreachBatch(lambda df, bid: ingest_batch(df, bid, events_path, dead_letter_path, session_vocab))
-    return w.trigger(**(trigger or {"availableNow": True})).start()
+    def run(batch: DataFrame, batch_id: int):
+        ingest_batch(batch, batch_id, events_path, dead_letter_path, session_vocab, counters_path)
+
+    return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run) \
+        .trigger(**(trigger or {"availableNow": True})).start()
 
 
 def lake_stream(messages: DataFrame, raw_path: str, invalid_path: str, checkpoint: str,
                 trigger: dict | None = None):
-    """STR-2: raw lake (valid events as JSON under date=/ticker=) and dead-letter lake, no dedupe."""
+    """STR-2: raw lake (valid events as JSON under date=/ticker=) and dead-letter lake, no dedupe.
+
+    Each batch owns a folder (``batch_id=``) that a repeated batch overwrites, so a retry adds nothing.
+    """
     def run(batch: DataFrame, batch_id: int):
         checked = validate_events(batch).persist()
         try:
             valid, invalid = split_valid(checked)
-            valid.select(*EVENT_COLUMNS, F.date_format(F.current_timestamp(), "yyyy-MM-dd").alias("date")) \
-                .write.mode("append").partitionBy("date", "ticker").json(raw_path)
-            dead_letters(invalid).select("payload", "validation_error", "created_at",
-                                         F.date_format("created_at", "yyyy-MM-dd").alias("date")) \
-                .write.mode("append").partitionBy("date").json(invalid_path)
+            write_raw_lake(valid.select(*EVENT_COLUMNS), f"{raw_path.rstrip('/')}/batch_id={batch_id}", mode="overwrite")
+            write_dead_letter_lake(dead_letters(invalid), f"{invalid_path.rstrip('/')}/batch_id={batch_id}", mode="overwrite")
         finally:
             checked.unpersist()
 
@@ -105,41 +136,50 @@ def lake_stream(messages: DataFrame, raw_path: str, invalid_path: str, checkpoin
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
-def hourly_bars(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    """STR-7: streaming hourly OHLC per ticker (open/close by event order, first session)."""
+def hourly_bars(events: DataFrame) -> DataFrame:
+    """STR-7: mergeable hourly partials per ticker: OHLC and first session with the order keys that decide them."""
     codes = F.array(*[F.lit(s) for s in SESSION_CODES])
     base = coalesce_ohlc(drop_closed(events)).withColumn("_k", order_key()) \
-        .withColumn("_s", F.array_position(codes, F.col("market_session")).cast("int")) \
-        .withWatermark("event_time", watermark)
-    g = base.groupBy("ticker", F.window("event_time", "1 hour").alias("w")).agg(
+        .withColumn("_s", F.array_position(codes, F.col("market_session")).cast("int"))
+    return base.groupBy("ticker", F.date_trunc("hour", F.col("event_time")).alias("interval_start")).agg(
+        F.min("_k").alias("first_key"), F.max("_k").alias("last_key"),
         F.min_by("open_price", "_k").alias("open_price"), F.max("high_price").alias("high_price"),
         F.min("low_price").alias("low_price"), F.max_by("close_price", "_k").alias("close_price"),
         F.count(F.lit(1)).alias("bar_count"), F.sum("volume").alias("total_volume"),
-        F.min_by("_s", "_k").alias("_s"))
-    return g.select("ticker", F.col("w.start").alias("interval_start"),
-                    F.element_at(codes, F.col("_s")).alias("market_session"), "open_price", "high_price",
-                    "low_price", "close_price", "bar_count", "total_volume")
+        F.min_by("_s", "_k").alias("session_code"))
 
 
-def stream_hourly_bars(events: DataFrame, out_path: str, checkpoint: str, watermark: str = "2 hours",
-                       trigger: dict | None = None):
-    """STR-7 sink: update mode into ``foreachBatch``; every emitted version of a window is appended
-    with its batch id, so the newest version per (ticker, interval) is the current bar and late
-    events inside the watermark correct it."""
+def stream_hourly_bars(events: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None):
+    """STR-7 sink: every batch stores the partials of the hours it touched, in its own folder (a repeated
+    batch overwrites it). Partials merge exactly, so an event corrects its hour however late it comes: no
+    watermark, no state, nothing dropped."""
     def run(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        hourly_bars(batch).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
-    return hourly_bars(events, watermark).writeStream.outputMode("update") \
-        .option("checkpointLocation", checkpoint).foreachBatch(run) \
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run) \
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _merged(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("ticker", "interval_start").agg(
+        F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"),
+        F.min_by("open_price", "first_key").alias("open_price"), F.max("high_price").alias("high_price"),
+        F.min("low_price").alias("low_price"), F.max_by("close_price", "last_key").alias("close_price"),
+        F.sum("bar_count").alias("bar_count"), F.sum("total_volume").alias("total_volume"),
+        F.min_by("session_code", "first_key").alias("session_code"))
+
+
 def current_bars(spark: SparkSession, out_path: str) -> DataFrame:
-    """Newest version of every hourly bar written by ``stream_hourly_bars``."""
-    v = spark.read.parquet(out_path)
-    cols = [c for c in v.columns if c not in ("ticker", "interval_start", "batch_id")]
-    g = v.groupBy("ticker", "interval_start").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_r"))
-    return g.select("ticker", "interval_start", *[F.col(f"_r.{c}").alias(c) for c in cols])
+    """The hourly bars written by ``stream_hourly_bars``, partials merged."""
+    codes = F.array(*[F.lit(s) for s in SESSION_CODES])
+    return _merged(spark.read.parquet(out_path)).select(
+        "ticker", "interval_start", F.element_at(codes, F.col("session_code")).alias("market_session"), "open_price",
+        "high_price", "low_price", "close_price", "bar_count", "total_volume")
+
+
+def compact_bars(spark: SparkSession, out_path: str, compacted_path: str) -> None:
+    """Merge a partial log into one partial per hour, at another place (the next log starts from it)."""
+    _merged(spark.read.parquet(out_path)).write.mode("overwrite").parquet(f"{compacted_path.rstrip('/')}/batch_id=-1")
 
 
 def ticker_bucket(col: str = "ticker") -> F.Column:
@@ -173,7 +213,7 @@ def refresh_marts_batch(spark: SparkSession, touched: DataFrame, events_path: st
     buckets = tickers.unionByName(dependents).select(ticker_bucket().alias("ticker_bucket")).distinct()
     bms = [r[0] for r in sym.filter(F.col("benchmark_ticker").isNotNull()).select("benchmark_ticker").distinct()
            .collect()]
-    stored = _read_or_none(spark, daily_path)
+    stored = read_if_exists(spark, daily_path)
     if stored is None:
         base = fresh
     else:
@@ -201,8 +241,9 @@ def refresh_hourly_batch(spark: SparkSession, touched_hours: DataFrame, events_p
     dependents = sym.select("ticker", "benchmark_ticker").join(
         tickers.withColumnRenamed("ticker", "benchmark_ticker"), "benchmark_ticker", "left_semi").select("ticker")
     buckets = tickers.unionByName(dependents).select(ticker_bucket().alias("ticker_bucket")).distinct()
-    bms = [r[0] for r in sym.select("benchmark_ticker").collect() if r[0] is not None]
-    stored = _read_or_none(spark, hourly_path)
+    bms = [r[0] for r in sym.filter(F.col("benchmark_ticker").isNotNull()).select("benchmark_ticker").distinct()
+           .collect()]
+    stored = read_if_exists(spark, hourly_path)
     if stored is None:
         base = fresh
     else:
@@ -217,11 +258,6 @@ def refresh_hourly_batch(spark: SparkSession, touched_hours: DataFrame, events_p
     return spark.read.parquet(staging_path)
 
 
-PER_TICKER_MARTS = ["stock_risk_indicators", "stock_drawdown_recovery", "stock_anomaly_history",
-                    "stock_signal_feature_store"]
-PER_DATE_MARTS = ["sector_daily_summary", "benchmark_relative_strength", "market_regime_summary"]
-
-
 def refresh_dependent_marts(spark: SparkSession, rebuilt: DataFrame, touched: DataFrame, daily_path: str,
                             marts_dir: str, as_of: str) -> None:
     """STR-8, second half: the marts that derive from the daily mart.
@@ -261,7 +297,7 @@ def refresh_dependent_marts(spark: SparkSession, rebuilt: DataFrame, touched: Da
 def alerts_for_batch(daily_rows: DataFrame, watch: DataFrame, sym: DataFrame) -> DataFrame:
     """STR-9: watch-list alerts evaluated on rebuilt daily rows (all principals, no limit)."""
     from tidemark.plans.queries import watchlist_alerts
-    return watchlist_alerts(watch, daily_rows, sym, None, 250)
+    return watchlist_alerts(watch, daily_rows, sym, None, None)
 
 
 def refresh_marts_stream(messages: DataFrame, events_path: str, dead_letter_path: str, daily_path: str,
@@ -270,30 +306,30 @@ def refresh_marts_stream(messages: DataFrame, events_path: str, dead_letter_path
                          marts_dir: str | None = None, as_of: str | None = None):
     """STR-8/9: ingest, rebuild the touched daily buckets, then (with ``marts_dir``) the dependent
     marts, and (with ``alerts_path``) append watch-list alerts on the rebuilt rows."""
+    if marts_dir is not None and as_of is None:
+        raise ValueError("the dependent marts need as_of")
+
     def run(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        ingest_batch(batch, batch_id, events_path, dead_letter_path)
-        # the batch's valid events feed several small actions below: validate once per batch
-        valid = split_valid(validate_events(batch))[0].select("ticker", "event_time", "market_session").persist()
+        checked = validate_events(batch).persist()  # once per batch
         try:
-            _refresh_after_ingest(spark, valid, batch_id)
+            ingest_checked(checked, batch_id, events_path, dead_letter_path)
+            _refresh_after_ingest(batch.sparkSession, split_valid(checked)[0], batch_id)
         finally:
-            valid.unpersist()
+            checked.unpersist()
 
     def _refresh_after_ingest(spark: SparkSession, valid: DataFrame, batch_id: int):
         touched = drop_closed(valid).select(F.upper(F.trim("ticker")).alias("ticker"),
                                             ny_date(F.col("event_time")).alias("trade_date")).distinct()
         daily = refresh_marts_batch(spark, touched, events_path, sym, daily_path, f"{daily_path}_staging/{batch_id}")
         if marts_dir is not None:
-            refresh_dependent_marts(spark, daily, touched, daily_path, marts_dir,
-                                    as_of or "1970-01-01 00:00:00")
+            refresh_dependent_marts(spark, daily, touched, daily_path, marts_dir, as_of)
             hours = drop_closed(valid).select(F.upper(F.trim("ticker")).alias("ticker"),
                                               F.date_trunc("hour", F.col("event_time")).alias("interval_start"))
             refresh_hourly_batch(spark, hours, events_path, sym, f"{marts_dir}/intraday_stock_rollup",
                                  f"{marts_dir}/_hourly_staging/{batch_id}")
         if alerts_path and watch is not None:
-            alerts_for_batch(daily, watch, sym).withColumn("batch_id", F.lit(batch_id)) \
-                .write.mode("append").parquet(alerts_path)
+            alerts_for_batch(daily, watch, sym) \
+                .write.mode("overwrite").parquet(f"{alerts_path.rstrip('/')}/batch_id={batch_id}")
 
     return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run) \
         .trigger(**(trigger or {"availableNow": True})).start()
@@ -304,7 +340,7 @@ def replay_then_stream(bars: DataFrame, as_of: str, messages: DataFrame, events_
     """STR-6: backfill history first (batch), then start the live stream; the idempotent append
     makes any overlap between the two harmless."""
     from tidemark.sources.ingest import backfill
-    backfill(bars, as_of, target_path=events_path, session_vocab="mapped").write.format("noop").mode("overwrite").save()
+    backfill(bars, as_of, target_path=events_path, session_vocab="mapped", dead_letter_path=dead_letter_path)
     return ingest_stream(messages, events_path, dead_letter_path, checkpoint, trigger)
 
 
