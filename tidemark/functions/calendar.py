@@ -39,14 +39,14 @@ def _idiv(a: Column, b: int) -> Column:
 
 
 def good_friday(year: Column) -> Column:
-    """Good Friday of a year column: two days before Gregorian Easter (Meeus/Jones/Butcher), any year."""
-    golden, century, yy = F.pmod(year, F.lit(19)), _idiv(year, 100), F.pmod(year, F.lit(100))
-    epact = F.pmod(19 * golden + century - _idiv(century, 4) - _idiv(8 * century + 13, 25) + 15, F.lit(30))
-    weekday = F.pmod(32 + 2 * F.pmod(century, F.lit(4)) + 2 * _idiv(yy, 4) - epact - F.pmod(yy, F.lit(4)), F.lit(7))
-    corr = _idiv(golden + 11 * epact + 19 * weekday, 433)
-    month = _idiv(epact + weekday - 7 * corr + 90, 25)
-    day = F.pmod(epact + weekday - 7 * corr + 33 * month + 19, F.lit(32))
-    return F.date_sub(F.make_date(year, month, day), 2)
+    """Good Friday of a year column, any Gregorian year: two days before the first Sunday after the
+    paschal full moon (21 March plus an offset from the golden number and the century's corrections)."""
+    century, golden = _idiv(year, 100), F.pmod(year, F.lit(19))
+    age = F.pmod(century - _idiv(century, 4) - _idiv(8 * century + 13, 25) + 19 * golden + 15, F.lit(30))
+    # the moon is never later than 18 April, and late ones of a cycle's second half a day earlier
+    late = (age == 29) | ((age == 28) & (golden > 10))
+    moon = F.date_add(F.make_date(year, F.lit(3), F.lit(21)), age - late.cast("int"))
+    return F.date_sub(F.next_day(moon, "Sunday"), 2)
 
 
 def _holiday_rule(day: Column, gf: Column) -> Column:
