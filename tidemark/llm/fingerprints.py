@@ -31,7 +31,7 @@ LEVELS = (2, 3, 4)
 #: Ranges of ids a table is dealt into: this many per shuffle partition, and at most.
 RANGES_PER_PARTITION, MOST_RANGES = 8, 4096
 #: Characters parsed at once (a longer text is parsed alone).
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
