@@ -36,7 +36,7 @@ _CLEAN_CUT = re.compile(r"(?<=\S)(?= \S)")
 class ChunkEncoder:
     """ids of a text as little-endian unsigned 32-bit integers, in one ``bytes`` object."""
 
-    def __init__(self, path: str, kind: str, cache_entries: int = 200_000):
+    def __init__(self, path: str, kind: str, cache_entries: int = 400_000):
         from tokenizers import Tokenizer
         if kind not in ("word", "byte"):
             raise ValueError(kind)
