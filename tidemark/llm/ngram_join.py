@@ -46,9 +46,9 @@ PERCENT = 85
 SEEDS = 3
 #: Length scale (shingles) of passages that unrelated documents share, and the share of a band they may reach.
 PASSAGE = 60
-RELATED = 0.01
+RELATED = 0.001
 #: Index entries held by a map task before it writes them, and expected per bucket.
-FLUSH = 1_000_000
+FLUSH = 500_000
 BUCKET_ENTRIES = 500_000
 
 _U = np.uint64
@@ -226,12 +226,29 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     return rows.mapInArrow(run, f"doc_id {kind}, txt long, node long, n long")
 
 
+def _packed(low: np.ndarray, node: np.ndarray) -> bytes:
+    """Entries of one bucket: 32 bits of each signature, places in the list of nodes, and that list."""
+    nodes, place = np.unique(node, return_inverse=True)
+    wide = len(nodes) > 0xFFFF
+    head = np.array([len(low), len(nodes), wide], dtype=np.uint32)
+    return head.tobytes() + nodes.tobytes() + low.tobytes() + place.astype(np.uint32 if wide else np.uint16).tobytes()
+
+
+def _unpacked(blob) -> tuple[np.ndarray, np.ndarray]:
+    n, m, wide = (int(x) for x in np.frombuffer(blob, dtype=np.uint32, count=3))
+    nodes = np.frombuffer(blob, dtype=np.int64, count=m, offset=12)
+    low = np.frombuffer(blob, dtype=np.uint32, count=n, offset=12 + 8 * m)
+    place = np.frombuffer(blob, dtype=np.uint32 if wide else np.uint16, count=n, offset=12 + 8 * m + 4 * n)
+    return low, nodes[place]
+
+
 def _index(docs: DataFrame, starts: list[int], plans: dict[int, tuple], n_buckets: int, words: int, percent: int,
            id_col: str, text_col: str) -> DataFrame:
     """Signature entries packed per bucket, and the hub pairs found inside the map task.
 
-    Rows (bucket, entries): ``entries`` holds signatures, then nodes; under a negative bucket pairs already
-    made, as signatures, members and hubs.
+    Rows (bucket, entries). A signature is its bucket and 32 more bits: the few that meet by chance
+    are told apart by the check on whole sets. Under a negative bucket: pairs already made, as
+    signatures, members and hubs.
     """
     edges = np.array(starts)
 
@@ -241,14 +258,14 @@ def _index(docs: DataFrame, starts: list[int], plans: dict[int, tuple], n_bucket
 
         def flush():
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            sig, node, member, hub, msig = _star(sig, node)
-            bucket = (sig % _U(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            sig, node, bucket = sig[order], node[order], bucket[order]
+            bucket = sig % _U(n_buckets)
+            sig = (bucket << _U(32)) | ((sig // _U(n_buckets)) & _U(0xFFFFFFFF))
+            sig, node, member, hub, msig = _star(sig, node)  # sorted by bucket now
+            bucket, low = (sig >> _U(32)).astype(np.int64), sig.astype(np.uint32)
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = np.r_[at[1:], len(bucket)]
             ids = [int(bucket[a]) for a in at]
-            blobs = [sig[a:b].tobytes() + node[a:b].tobytes() for a, b in zip(at, ends)]
+            blobs = [_packed(low[a:b], node[a:b]) for a, b in zip(at, ends)]
             for a in range(0, len(member), 20_000):
                 b = a + 20_000
                 ids.append(-1 - int(msig[a] % _U(n_buckets)))  # spread like the rest
@@ -299,12 +316,13 @@ def _pairs_batch(sig, x, hub) -> pa.RecordBatch:
 
 def _meet(t: pa.Table) -> pa.Table:
     """Members of one bucket of signatures against the hub of their signature; pairs already made as they are."""
-    blobs = [np.frombuffer(blob.as_buffer(), dtype=np.int64) for chunk in t.column("entries").chunks for blob in chunk]
-    if t.column("bucket")[0].as_py() < 0:
-        sig, member, hub = (np.concatenate(x) for x in zip(*(b.reshape(3, -1) for b in blobs)))
+    blobs = [blob.as_buffer() for chunk in t.column("entries").chunks for blob in chunk]
+    bucket = t.column("bucket")[0].as_py()
+    if bucket < 0:
+        sig, member, hub = (np.concatenate(x) for x in zip(*(np.frombuffer(b, dtype=np.int64).reshape(3, -1) for b in blobs)))
         return pa.Table.from_batches([_pairs_batch(sig, member, hub)])
-    sig, node = (np.concatenate(x) for x in zip(*(b.reshape(2, -1) for b in blobs)))
-    _, _, member, hub, msig = _star(sig.view(_U), node)
+    low, node = (np.concatenate(x) for x in zip(*map(_unpacked, blobs)))
+    _, _, member, hub, msig = _star((_U(bucket) << _U(32)) | low.astype(_U), node)
     return pa.Table.from_batches([_pairs_batch(msig, member, hub)])
 
 
