@@ -109,7 +109,8 @@ def test_summary_job_fallback_reasons(spark):
     from tidemark.plans.catalog import Ctx, _enriched
     c = Ctx(spark, "/root/testdata/sf0.001")
     page = N.provider_page(_enriched(c)).drop("_r")
-    metrics = N.news_metrics(page)
+    metrics = N.news_metrics(page, keys=N.PAGE_KEYS)
+    batches = page.where("ticker = 'AAPL'").select("fetch_batch").distinct().count()
 
     def echo(texts):
         return ["AAPL market news digest: " + t for t in texts]
@@ -123,8 +124,25 @@ def test_summary_job_fallback_reasons(spark):
     for fn, reason in [(echo, N.REASON_PROMPT_ECHO), (empty_final, N.REASON_EMPTY_SUMMARY), (boom, "model unavailable"),
                        (lambda texts: ["" for _ in texts], N.REASON_EMPTY_NOTES)]:
         rows = N.summary_job(metrics, page, fn).filter(F.col("ticker") == "AAPL").collect()
-        assert len(rows) == 1 and rows[0]["source"] == N.FALLBACK_SOURCE
-        assert rows[0]["fallback_reason"] == reason
-        assert rows[0]["summary"].endswith(N.LOCAL_FALLBACK_SUFFIX.strip() + " " + reason)
+        assert len(rows) == batches > 1 and {r["source"] for r in rows} == {N.FALLBACK_SOURCE}
+        assert {r["fallback_reason"] for r in rows} == {reason}
+        assert all(r["summary"].endswith(N.LOCAL_FALLBACK_SUFFIX.strip() + " " + reason) for r in rows)
     ok = N.summary_job(metrics, page).filter(F.col("ticker") == "AAPL").collect()[0]
     assert ok["source"] == N.MODEL_SOURCE and ok["fallback_reason"] is None
+
+
+def test_refilled_articles_keep_their_ticker(spark):
+    rows = [(1, "AAPL", None, "lower case only", None), (2, "MSFT", "A Title About Azure Growth", "x", None)]
+    a = spark.createDataFrame(rows, "article_id long, ticker string, title string, description string, url string")
+    e = N.extract_entities(a.withColumn("entity_text", N._joined_text("title", "description")))
+    out = {r["article_id"]: r for r in N.article_content(e).collect()}
+    assert out[1]["ticker"] == "AAPL" and out[2]["ticker"] == "MSFT" and out[1]["content"] == "lower case only"
+
+
+def test_entities_come_from_the_whole_text(spark):
+    text = "word " * 5000 + "Shares of Apple Inc. Zurich Insurance Zurich Insurance"
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    from tidemark.sources.fixtures import articles_from_documents
+    out = N.enrich_articles(articles_from_documents(docs)).collect()[0]
+    assert ("Zurich Insurance Zurich Insurance" in {e["name"] for e in out["entities"]})
+    assert out["description"].endswith("Zurich Insurance")

@@ -275,8 +275,8 @@ def refresh(cache: DataFrame, tickers: DataFrame, scopes: list[str], as_of: str,
         ch = s.select("ticker", key_date.alias("cache_date"), F.col("summary").alias("news_summary"),
                       F.col("source").alias("summary_source"), F.col("model").alias("summary_model"),
                       F.col("fallback_reason").alias("summary_fallback_reason"),
-                      (now + _minutes(SUMMARY_TTL_MIN)).alias("news_summary_expires_at"))
-        out = upsert(out, ch, KEYS, SUMMARY_COLUMNS, "updated_at", as_of)
+                      (now + _minutes(SUMMARY_TTL_MIN)).alias("news_summary_expires_at"), now.alias("news_updated_at"))
+        out = upsert(out, ch, KEYS, SUMMARY_COLUMNS + ["news_updated_at"], "updated_at", as_of)
         results.append(s.select("ticker", F.lit("news_summary").alias("scope")))
     from functools import reduce
     res = reduce(DataFrame.unionByName, results) if results else t.select("ticker", F.lit(None).cast("string")

@@ -255,8 +255,9 @@ def enrich_articles(articles: DataFrame, word_boundary: bool = False) -> DataFra
 
 def attach_cluster_counts(articles: DataFrame, batch_col: str = "fetch_batch") -> DataFrame:
     """NWS-8: number of articles of the same cluster in the same batch."""
-    return articles.withColumn("cluster_article_count",
-                               F.count(F.lit(1)).over(Window.partitionBy(batch_col, "cluster")))
+    # counted and joined back: article rows of a large cluster need not meet in one task
+    sizes = articles.groupBy(batch_col, "cluster").agg(F.count(F.lit(1)).alias("cluster_article_count"))
+    return articles.join(sizes, [batch_col, "cluster"]).select(*articles.columns, "cluster_article_count")
 
 
 def cluster_distribution(articles: DataFrame, group_col: str = "fetch_batch") -> DataFrame:
@@ -361,15 +362,18 @@ def low_quality_summary(summary: Column, ticker: Column) -> Column:
     return (norm == "") | hit
 
 
+PAGE_KEYS = ["ticker", "fetch_batch"]
+
+
 def provider_page(articles: DataFrame) -> DataFrame:
-    """The first PROVIDER_PAGE_SIZE articles of each ticker in arrival order (one provider page;
-    ``row_number ≤ k`` runs as a per-group limit before the shuffle)."""
-    rk = F.row_number().over(Window.partitionBy("ticker").orderBy("position"))
+    """The first PROVIDER_PAGE_SIZE articles of each fetch in arrival order (a provider answers a fetch with
+    one page; ``row_number ≤ k`` runs as a per-group limit before the shuffle)."""
+    rk = F.row_number().over(Window.partitionBy(*PAGE_KEYS).orderBy("position"))
     return articles.withColumn("_r", rk).filter(F.col("_r") <= PROVIDER_PAGE_SIZE)
 
 
 def summary_input(metrics: DataFrame, articles: DataFrame) -> DataFrame:
-    """NWS-15: per ticker the pieces of the summary prompt — sentiment and impact labels, top
+    """NWS-15: per fetch (ticker, batch) the pieces of the summary prompt — sentiment and impact labels, top
     clusters (≤ 4) and entities (≤ 6), headlines of the first 5 usable articles, and the note inputs
     ("Headline: …\\nArticle: …") of the usable articles of the page (bounded arrays)."""
     content = F.coalesce(F.col("content"), F.col("description")) if "content" in articles.columns \
@@ -378,9 +382,9 @@ def summary_input(metrics: DataFrame, articles: DataFrame) -> DataFrame:
     usable = page.filter(F.col("_content") != "")
     note_in = F.concat(F.lit("Headline: "), F.trim(F.coalesce("title", F.lit(""))), F.lit("\nArticle: "),
                        F.col("_content"))
-    per = usable.groupBy("ticker").agg(
+    per = usable.groupBy(*PAGE_KEYS).agg(
         F.sort_array(F.collect_list(F.struct("_r", note_in.alias("n"), F.col("title").alias("t")))).alias("_a"))
-    per = per.select("ticker", F.transform("_a", lambda x: x["n"]).alias("note_inputs"),
+    per = per.select(*PAGE_KEYS, F.transform("_a", lambda x: x["n"]).alias("note_inputs"),
                      F.transform(F.filter(F.slice("_a", 1, PROMPT_TITLES), lambda x: F.coalesce(x["t"], F.lit("")) != ""),
                                  lambda x: F.concat(F.lit("- "), F.trim(x["t"]))).alias("titles"))
     avg = F.col("avg_sentiment")
@@ -391,95 +395,85 @@ def summary_input(metrics: DataFrame, articles: DataFrame) -> DataFrame:
         F.substring_index(c, ":", 1), F.lit(" ("), F.substring_index(c, ":", -1), F.lit(")"))), ", ")
     ents = F.slice(F.split(F.coalesce("top_entities", F.lit("")), r"\|"), 1, PROMPT_ENTITIES)
     ents = F.array_join(F.transform(F.filter(ents, lambda e: e != ""), lambda e: F.substring_index(e, ":", 1)), ", ")
-    return metrics.join(per, "ticker", "left").select(
-        "ticker", label.alias("sentiment_label"), "impact_label", clusters.alias("clusters_block"),
+    return metrics.join(per, PAGE_KEYS, "left").select(
+        *PAGE_KEYS, label.alias("sentiment_label"), "impact_label", clusters.alias("clusters_block"),
         ents.alias("entities_block"), F.coalesce("note_inputs", F.array().cast("array<string>")).alias("note_inputs"),
         F.array_join(F.coalesce("titles", F.array().cast("array<string>")), "\n").alias("titles_block"))
 
 
-def extractive_summarizer(texts):
-    """Default summariser for ``summary_job`` (no model runtime): the first two sentences of the
-    article text of a note input, or of the article notes of a summary prompt."""
-    import re
-    out = []
-    for t in texts:
-        t = t or ""
-        if "Article summaries:\n" in t:
-            lines = t.split("Article summaries:\n", 1)[1].split("\n")[:-1]     # drop the instruction
-            body = " ".join(ln[2:] if ln.startswith("- ") else ln for ln in lines)
-        elif "\nArticle: " in t:
-            body = t.split("\nArticle: ", 1)[1]
-        else:
-            body = t
-        sentences = re.split(r"(?<=[.!?])\s+", body.strip())
-        out.append(" ".join(x for x in sentences[:2] if x))
-    return out
+def first_sentences(text: Column, n: int = 2) -> Column:
+    """The first ``n`` sentences (ended by . ! or ? before white space), one space between them."""
+    sentences = F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda x: x != "")
+    return F.array_join(F.slice(sentences, 1, n), " ")
 
 
-def summary_job(metrics: DataFrame, articles: DataFrame, summarizer: Callable | None = None,
-                model_name: str = "extractive") -> DataFrame:
-    """NWS-14: per ticker, notes for each usable article of the page, then a summary of the
-    prompt built from the notes; on no usable text, empty notes, an empty summary, a prompt echo
-    (NWS-12) or an error the template summary (NWS-11) is used with the reference's reason.
+def extractive(inputs: DataFrame) -> DataFrame:
+    """The built-in summariser: a note is the first two sentences of its article, the summary the first
+    two sentences of the notes. Columns ``generated`` and ``reason`` beside PAGE_KEYS."""
+    body = F.transform("note_inputs", lambda x: F.substr(x, F.instr(x, F.lit("\nArticle: ")) + F.length(F.lit("\nArticle: "))))
+    notes = F.filter(F.transform(body, lambda x: first_sentences(x)), lambda x: x != "")
+    d = inputs.withColumn("notes", notes)
+    d = d.withColumn("text", first_sentences(F.regexp_replace(F.array_join("notes", " "), r"\n", " ")))
+    reason = (F.when(F.size("note_inputs") == 0, F.lit(REASON_EMPTY_TEXT)).when(F.size("notes") == 0, F.lit(REASON_EMPTY_NOTES))
+              .when(normalize_whitespace(F.col("text")) == "", F.lit(REASON_EMPTY_SUMMARY))
+              .when(low_quality_summary(F.col("text"), F.col("ticker")), F.lit(REASON_PROMPT_ECHO)))
+    return d.select(*PAGE_KEYS, F.when(reason.isNull(), F.col("text")).alias("generated"), reason.alias("reason"))
 
-    The model is a pluggable batched callable ``summarizer(list[str]) -> list[str]``, run inside
-    ``mapInPandas`` on bounded per-ticker arrays (at most one page of notes per ticker)."""
-    summarizer = summarizer or extractive_summarizer
-    inp = summary_input(metrics, articles)
-    schema = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("generated", T.StringType()),
-                           T.StructField("reason", T.StringType())])
-    fragments = LOW_QUALITY_FRAGMENTS
+
+def called(inputs: DataFrame, summarizer: Callable) -> DataFrame:
+    """Notes and summaries by a batched callable ``summarizer(list[str]) -> list[str]``, on bounded arrays
+    (at most one page of notes per row); an error becomes the row's reason."""
+    schema = ", ".join(f"{k} string" for k in [*PAGE_KEYS, "text", "reason"])
 
     def run(batches):
-        import re
         import pandas as pd
         for pdf in batches:
-            tickers, gens, reasons = [], [], []
+            out = []
             for row in pdf.itertuples(index=False):
-                tickers.append(row.ticker)
+                text = reason = None
                 try:
-                    inputs = [x for x in (row.note_inputs if row.note_inputs is not None else [])]
-                    if not inputs:
-                        gens.append(None)
-                        reasons.append(REASON_EMPTY_TEXT)
-                        continue
-                    notes = [n for n in summarizer(inputs) if n]
-                    if not notes:
-                        gens.append(None)
-                        reasons.append(REASON_EMPTY_NOTES)
-                        continue
-                    prompt = PROMPT_TEMPLATE.format(
-                        ticker=row.ticker, sentiment=row.sentiment_label, impact=row.impact_label,
-                        clusters=row.clusters_block or "", entities=row.entities_block or "",
-                        titles=row.titles_block or "", notes="\n".join(f"- {n}" for n in notes))
-                    text = summarizer([prompt])[0]
-                    norm = re.sub(r"\s+", " ", text or "").strip()
-                    if not norm:
-                        gens.append(None)
-                        reasons.append(REASON_EMPTY_SUMMARY)
-                    elif any(f.replace("{ticker}", row.ticker).lower() in norm.lower() for f in fragments):
-                        gens.append(None)
-                        reasons.append(REASON_PROMPT_ECHO)
+                    inputs_ = list(row.note_inputs) if row.note_inputs is not None else []
+                    notes = [n for n in summarizer(inputs_) if n] if inputs_ else []
+                    if not inputs_:
+                        reason = REASON_EMPTY_TEXT
+                    elif not notes:
+                        reason = REASON_EMPTY_NOTES
                     else:
-                        gens.append(text)
-                        reasons.append(None)
+                        text = summarizer([PROMPT_TEMPLATE.format(
+                            ticker=row.ticker, sentiment=row.sentiment_label, impact=row.impact_label,
+                            clusters=row.clusters_block or "", entities=row.entities_block or "",
+                            titles=row.titles_block or "", notes="\n".join(f"- {n}" for n in notes))])[0]
                 except Exception as e:  # noqa: BLE001 - reported as the fallback reason
-                    gens.append(None)
-                    reasons.append(str(e))
-            yield pd.DataFrame({"ticker": tickers, "generated": gens, "reason": reasons})
+                    reason = str(e)
+                out.append((row.ticker, row.fetch_batch, text, reason))
+            yield pd.DataFrame(out, columns=[*PAGE_KEYS, "text", "reason"])
+
+    made = inputs.mapInPandas(run, schema)
+    reason = F.coalesce("reason", F.when(normalize_whitespace(F.col("text")) == "", F.lit(REASON_EMPTY_SUMMARY))
+                        .when(low_quality_summary(F.col("text"), F.col("ticker")), F.lit(REASON_PROMPT_ECHO)))
+    return made.select(*PAGE_KEYS, F.when(reason.isNull(), F.col("text")).alias("generated"), reason.alias("reason"))
 
-    gen = inp.mapInPandas(run, schema)
+
+def summary_job(metrics: DataFrame, articles: DataFrame, summarizer: Callable | None = None,
+                model_name: str = "extractive") -> DataFrame:
+    """NWS-14: per fetch, notes for each usable article of the page, then a summary of the prompt built
+    from the notes; on no usable text, empty notes, an empty summary, a prompt echo (NWS-12) or an error
+    the template summary (NWS-11) is used with the reference's reason.
+
+    ``metrics`` holds PAGE_KEYS. The built-in summariser is a column expression; a model of one's own is a
+    batched callable (see ``called``)."""
+    inp = summary_input(metrics, articles)
+    gen = extractive(inp) if summarizer is None else called(inp, summarizer)
     page = provider_page(articles).drop("_r")
-    fb = template_summary(metrics.join(gen.select("ticker", "reason"), "ticker", "left"),
-                          first_headlines(page), reason=F.col("reason"))
-    ok = gen.filter(F.col("reason").isNull() & F.col("generated").isNotNull())
-    return fb.join(ok.select("ticker", "generated"), "ticker", "left").select(
-        "ticker",
-        F.coalesce(F.col("generated"), F.col("summary")).alias("summary"),
-        F.when(F.col("generated").isNotNull(), F.lit(MODEL_SOURCE)).otherwise(F.col("source")).alias("source"),
-        F.when(F.col("generated").isNotNull(), F.lit(model_name)).alias("model"),
-        F.when(F.col("generated").isNotNull(), F.lit(None).cast("string")).otherwise(F.col("fallback_reason"))
-        .alias("fallback_reason"))
+    fb = template_summary(metrics.join(gen.select(*PAGE_KEYS, "reason"), PAGE_KEYS, "left"),
+                          first_headlines(page, keys=PAGE_KEYS), reason=F.col("reason"), keys=PAGE_KEYS)
+    ok = gen.filter(F.col("generated").isNotNull()).select(*PAGE_KEYS, "generated")
+    made = F.col("generated").isNotNull()
+    return fb.join(ok, PAGE_KEYS, "left").select(
+        *PAGE_KEYS, F.coalesce("generated", "summary").alias("summary"),
+        F.when(made, F.lit(MODEL_SOURCE)).otherwise(F.col("source")).alias("source"),
+        F.when(made, F.lit(model_name)).alias("model"),
+        F.when(~made, F.col("fallback_reason")).alias("fallback_reason"))
 
 
 def article_content(articles: DataFrame, pages: DataFrame | None = None, id_col: str = "article_id",
@@ -500,12 +494,12 @@ def article_content(articles: DataFrame, pages: DataFrame | None = None, id_col:
         .otherwise(F.coalesce(F.when(F.trim("_page") != "", F.trim("_page")), fallback))
     out = a.withColumn("content", content).drop("_page")
     if "entities" in out.columns:
-        empty = out.filter(F.size("entities") == 0).drop("entities")
-        refilled = extract_entities(empty.withColumn("entity_text", F.col("content"))
-                                    .withColumn("ticker", F.lit("")), "entity_text", id_col, long_text=True) \
-            .drop("entity_text")
-        keep = out.filter(F.size("entities") > 0)
-        out = keep.unionByName(refilled.withColumn("ticker", F.col("ticker")), allowMissingColumns=True)
+        # the content is scanned without a ticker of its own; the article keeps it
+        empty = out.filter(F.size("entities") == 0).drop("entities").withColumnRenamed("ticker", "_ticker")
+        refilled = extract_entities(empty.withColumn("_scanned", F.col("content")).withColumn("ticker", F.lit("")),
+                                    "_scanned", id_col, long_text=True) \
+            .drop("_scanned", "ticker").withColumnRenamed("_ticker", "ticker")
+        out = out.filter(F.size("entities") > 0).unionByName(refilled.select(*out.columns))
     return out
 
 

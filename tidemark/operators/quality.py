@@ -114,20 +114,64 @@ def check_price_bounds(daily: DataFrame) -> DataFrame:
                 F.format_string("%d rows outside min/max", F.col("n")))
 
 
+def _facts(df: DataFrame, key: list[str], **sums: Column) -> DataFrame:
+    """One row: rows, duplicated keys and sums (or ``max_`` maxima) of a table, from one grouped pass."""
+    def agg(name: str, c: Column) -> Column:
+        return F.max(c) if name.startswith("max_") else F.sum(c)
+
+    grouped = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *[agg(k, c).alias(k) for k, c in sums.items()])
+    return grouped.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count_if(F.col("_n") > 1).alias("duplicates"),
+                       *[agg(k, F.col(k)).alias(k) for k in sums])
+
+
+def _check(order: int, name: str, status: Column, value: Column, threshold, detail: Column) -> Column:
+    return F.struct(F.lit(name).alias("check_name"), status.alias("status"), value.cast("double").alias("value"),
+                    F.lit(threshold).cast("double").alias("threshold"), detail.alias("detail"), F.lit(order).alias("check_order"))
+
+
 def run_checks(raw: DataFrame, daily: DataFrame, as_of: str) -> DataFrame:
-    """DQ-9: the ordered suite, one row per check (with its order)."""
-    checks = [
-        check_not_empty(raw),
-        check_freshness(raw, as_of),
-        check_duplicates(raw),
-        check_mart_freshness(daily, as_of),
-        source_freshness(raw, as_of),
-        check_not_null(daily, ["ticker", "trade_date", "close_price", "total_volume"], "daily_stock_summary"),
-        check_unique(daily, ["ticker", "trade_date"], "daily_stock_summary"),
-        check_price_bounds(daily),
-    ]
-    numbered = [c.withColumn("check_order", F.lit(i + 1)) for i, c in enumerate(checks)]
-    return reduce(DataFrame.unionByName, numbered)
+    """DQ-9: the ordered suite, one row per check (with its order).
+
+    The checks of one table share one pass over it, grouped by its key: the same numbers as the single
+    checks above, which stay for use on their own."""
+    needed = ["ticker", "trade_date", "close_price", "total_volume"]
+    r = _facts(raw, EVENT_KEY, max_inserted=F.col("inserted_at"))
+    d = _facts(daily, ["ticker", "trade_date"], max_updated=F.col("last_updated_at"),
+               bounds=((F.col("avg_price") < F.col("min_price")) | (F.col("avg_price") > F.col("max_price"))).cast("long"),
+               **{f"null_{c}": F.col(c).isNull().cast("long") for c in needed})
+    r = r.select("*", F.least("rows", F.lit(1)).alias("present"), F.round(_age(F.col("max_inserted"), as_of, 60), 2).alias("minutes"),
+                 F.round(_age(F.col("max_inserted"), as_of, 3600), 2).alias("hours"))
+    minutes, hours = F.col("minutes"), F.col("hours")
+
+    def none_of(n: Column) -> Column:
+        return F.when(F.coalesce(n, F.lit(0)) == 0, "pass").otherwise("fail")
+
+    raw_rows = r.select(F.explode(F.array(
+        _check(1, "stock_rows_present", F.when(F.col("present") > 0, "pass").otherwise("fail"), F.col("present"), 1,
+               F.when(F.col("present") > 0, "rows present").otherwise("No stock price rows found.")),
+        _check(2, "stock_freshness_minutes", F.when(minutes.isNull() | (minutes > MAX_EVENT_AGE_MINUTES), "fail").otherwise("pass"),
+               minutes, MAX_EVENT_AGE_MINUTES, F.when(minutes.isNull(), "Could not determine stock_prices freshness.")
+               .otherwise(F.format_string("Latest row is %.2f minutes old.", minutes))),
+        _check(3, "stock_duplicate_groups", none_of(F.col("duplicates")), F.col("duplicates"), 0,
+               F.format_string("%d duplicate stock event groups.", F.col("duplicates"))),
+        _check(5, "source_freshness_hours", F.when(hours.isNull() | (hours > SOURCE_ERROR_HOURS), "error")
+               .when(hours > SOURCE_WARN_HOURS, "warn").otherwise("pass"), hours, SOURCE_WARN_HOURS,
+               F.format_string("warn after %d h, error after %d h", F.lit(SOURCE_WARN_HOURS), F.lit(SOURCE_ERROR_HOURS))))).alias("c"))
+    age = F.round(_age(F.col("max_updated"), as_of, 3600), 2)
+    nulls = sum((F.coalesce(f"null_{c}", F.lit(0)) for c in needed), F.lit(0))
+    names = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"null_{c}") > 0, F.lit(c)) for c in needed]))), ",")
+    bounds = F.coalesce("bounds", F.lit(0))
+    daily_rows = d.select(F.explode(F.array(
+        _check(4, "daily_summary_freshness_hours", F.when(age.isNull() | (age > MAX_SUMMARY_AGE_HOURS), "fail").otherwise("pass"),
+               age, MAX_SUMMARY_AGE_HOURS, F.when(age.isNull(), "analytics.daily_stock_summary has no rows to validate.")
+               .otherwise(F.format_string("Latest row is %.2f hours old.", age))),
+        _check(6, "daily_stock_summary_not_null", none_of(nulls), nulls, 0,
+               F.when(nulls == 0, F.lit("no NULLs")).otherwise(F.concat(F.lit("NULLs in "), names))),
+        _check(7, "daily_stock_summary_unique_ticker_trade_date", none_of(F.col("duplicates")), F.col("duplicates"), 0,
+               F.format_string("%d duplicated keys", F.col("duplicates"))),
+        _check(8, "daily_summary_price_bounds", none_of(bounds), bounds, 0,
+               F.format_string("%d rows outside min/max", bounds)))).alias("c"))
+    return raw_rows.unionByName(daily_rows).select("c.*")
 
 
 # ------------------------------------------------------------------------------------------ lineage
@@ -196,9 +240,9 @@ def rollup_metrics(metric_events: DataFrame) -> DataFrame:
 
     Input (name, kind, value, ts, seq). Output one row per (name, kind) with value, count, avg, max.
     """
-    from tidemark.functions.numeric import round_ratio_half_up
+    from tidemark.functions.numeric import event_order_key, round_ratio_half_up
     v = F.col("value")
-    key = F.struct("ts", "seq")
+    key = event_order_key("ts", "seq")  # one number: the aggregate stays hash-based
     g = metric_events.groupBy("name", "kind").agg(
         F.sum(v).alias("_sum"), F.count(F.lit(1)).alias("_n"), F.max(v).alias("_max"),
         F.max_by(v, key).alias("_last"),
@@ -217,26 +261,24 @@ def rollup_metrics(metric_events: DataFrame) -> DataFrame:
 def request_log_metrics(logs: DataFrame) -> DataFrame:
     """MET-2: totals, per-status and per-method error counters, duration stats from request logs.
 
-    Input (request_id, method, path, status_code, duration_ms, client_host, ts). Produces metric
-    events in the shape ``rollup_metrics`` consumes.
+    Input (request_id, method, path, status_code, duration_ms, client_host, ts); no status: the request
+    raised and has no response. A response of any status, 500 included, counts in the total and under its
+    status; only a request without one is an error. One pass: the events of a request are exploded.
     """
-    ok = F.col("status_code") < 500
-    seq = F.col("request_id")
-    base = [
-        logs.select(F.when(ok, F.lit("api.request.total")).otherwise(F.lit("api.request.error")).alias("name"),
-                    F.lit("counter").alias("kind"), F.lit(1).cast("decimal(20,2)").alias("value"), "ts",
-                    seq.alias("seq")),
-        logs.filter(ok).select(F.concat(F.lit("api.request.status."), F.col("status_code").cast("string"))
-                               .alias("name"), F.lit("counter").alias("kind"),
-                               F.lit(1).cast("decimal(20,2)").alias("value"), "ts", seq.alias("seq")),
-        logs.filter(~ok).select(F.concat(F.lit("api.request.error."), F.lower("method")).alias("name"),
-                                F.lit("counter").alias("kind"), F.lit(1).cast("decimal(20,2)").alias("value"),
-                                "ts", seq.alias("seq")),
-        logs.select(F.lit("api.request.duration").alias("name"), F.lit("timing").alias("kind"),
-                    F.round(F.col("duration_ms").cast("decimal(20,4)"), 2).cast("decimal(20,2)").alias("value"),
-                    "ts", seq.alias("seq")),
-    ]
-    return reduce(DataFrame.unionByName, base)
+    one, counter = F.lit(1).cast("decimal(20,2)"), F.lit("counter")
+
+    def event(name: Column, kind: Column, value: Column) -> Column:
+        return F.struct(name.alias("name"), kind.alias("kind"), value.alias("value"))
+
+    took = event(F.lit("api.request.duration"), F.lit("timing"),
+                 F.round(F.col("duration_ms").cast("decimal(20,4)"), 2).cast("decimal(20,2)"))
+    answered = F.array(event(F.lit("api.request.total"), counter, one),
+                       event(F.concat(F.lit("api.request.status."), F.col("status_code").cast("string")), counter, one), took)
+    raised = F.array(event(F.lit("api.request.error"), counter, one),
+                     event(F.concat(F.lit("api.request.error."), F.lower("method")), counter, one), took)
+    events = F.when(F.col("status_code").isNull(), raised).otherwise(answered)
+    return logs.select(F.explode(events).alias("e"), "ts", F.col("request_id").alias("seq")) \
+        .select("e.name", "e.kind", "e.value", "ts", "seq")
 
 
 def sanitize_metric_name(name: Column) -> Column:
@@ -352,21 +394,24 @@ DATA_TESTS = {
 
 
 def data_tests(tables: dict[str, DataFrame], spec: dict | None = None) -> DataFrame:
-    """DQ-6/DQ-7 for every table: one aggregate per table for all not-null columns and one
-    duplicate-group count for its unique key. Rows: (table_name, test_name, column_name,
+    """DQ-6/DQ-7 for every table: one grouped pass per table for all not-null columns and the unique
+    key. Rows: (table_name, test_name, column_name,
     failures, status)."""
     spec = spec or DATA_TESTS
     parts = []
     for name, df in tables.items():
         cols, key = spec[name]
-        nn = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).select(F.explode(F.array(*[
-            F.struct(F.lit("not_null").alias("test_name"), F.lit(c).alias("column_name"),
-                     F.col(c).cast("bigint").alias("failures")) for c in cols])).alias("r")).select("r.*")
-        parts.append(nn.withColumn("table_name", F.lit(name)))
+
+        def test(kind: str, column: str, failures: Column) -> Column:
+            return F.struct(F.lit(kind).alias("test_name"), F.lit(column).alias("column_name"),
+                            F.coalesce(failures, F.lit(0)).cast("bigint").alias("failures"))
+
+        # the nulls are counted within the pass that groups by the key
+        facts = _facts(df, key or cols[:1], **{f"null_{c}": F.col(c).isNull().cast("long") for c in cols})
+        tests = [test("not_null", c, F.col(f"null_{c}")) for c in cols]
         if key:
-            dup = duplicate_groups(df, key).agg(F.count(F.lit(1)).cast("bigint").alias("failures"))
-            parts.append(dup.select(F.lit("unique").alias("test_name"), F.lit(",".join(key)).alias("column_name"),
-                                    "failures", F.lit(name).alias("table_name")))
+            tests.append(test("unique", ",".join(key), F.col("duplicates")))
+        parts.append(facts.select(F.explode(F.array(*tests)).alias("r")).select("r.*").withColumn("table_name", F.lit(name)))
     out = reduce(DataFrame.unionByName, parts)
     return out.select("table_name", "test_name", "column_name", "failures",
                       F.when(F.col("failures") == 0, "pass").otherwise("fail").alias("status"))

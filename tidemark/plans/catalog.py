@@ -19,6 +19,7 @@ from tidemark.plans import queries as Q
 from tidemark.operators.validation import dead_letters, split_valid, validate_events
 from tidemark.sources.fixtures import load_raw_messages, load_stock_prices, load_watchlists
 from tidemark.sources.sinks import EVENT_COLUMNS, append_events
+from tidemark.session import materialized
 from tidemark.sources.symbols import symbol_reference
 
 # Fixed "now" of every registered query (no wall-clock time in a registered query).
@@ -308,9 +309,10 @@ def _q_terms(c: Ctx):
 
 
 def _articles_min(c: Ctx) -> DataFrame:
-    from tidemark.sources.fixtures import FIXTURE_TICKERS, _pick
+    from tidemark.sources.fixtures import article_text, article_ticker
     docs = read_table(c.spark, c.sf_dir, "documents", ["doc_id", "text"])
-    return docs.select("doc_id", _pick(FIXTURE_TICKERS[:20], F.pmod("doc_id", F.lit(20))).alias("ticker"), "text")
+    did = F.col("doc_id")
+    return docs.select("doc_id", article_ticker(did).alias("ticker"), article_text(did, F.col("text")).alias("text"))
 
 
 @register("match_entities")
@@ -372,7 +374,10 @@ def _enriched(c: Ctx) -> DataFrame:
     return NEWS.attach_cluster_counts(NEWS.enrich_articles(_articles(c)))
 
 
-def _cache(c: Ctx) -> DataFrame:
+def _cache(c: Ctx, with_summaries: bool = False) -> DataFrame:
+    """Cache rows; counts and times need only the deduplicated articles, summaries the enriched ones."""
+    if not with_summaries:
+        return CACHE.build_cache(_articles(c), c.raw)
     enriched = _enriched(c)
     keys = ["ticker", "cache_date"]
     e2 = enriched.withColumn("cache_date", F.to_date("published_at"))
@@ -420,9 +425,15 @@ def _q_news_metrics(c: Ctx):
 @register("summary_job")
 def _q_summary_job(c: Ctx):
     enriched = _enriched(c)
-    # like the reference, one summary covers one provider page of articles per ticker
+    # like the reference, one summary covers one provider page of articles
     page = NEWS.provider_page(enriched).drop("_r")
-    return NEWS.summary_job(NEWS.news_metrics(page), page)
+    return NEWS.summary_job(NEWS.news_metrics(page, keys=NEWS.PAGE_KEYS), page)
+
+
+@register("template_summary")
+def _q_template_summary(c: Ctx):
+    enriched = _enriched(c)
+    return NEWS.template_summary(NEWS.news_metrics(enriched), NEWS.first_headlines(enriched))
 
 
 @register("sentiment_over_time")
@@ -479,14 +490,14 @@ def _q_upsert(c: Ctx):
 @register("invalidate")
 def _q_invalidate(c: Ctx):
     t = c.spark.createDataFrame([(x,) for x in INVALIDATE_TICKERS], "ticker string")
-    inv = CACHE.invalidate(_cache(c), t, ["live", "news_summary"], AS_OF)
+    inv = CACHE.invalidate(_cache(c, with_summaries=True), t, ["live", "news_summary"], AS_OF)
     return inv.select("ticker", "cache_date", *CACHE.LIVE_COLUMNS, "news_summary_expires_at", "news_updated_at",
                       "updated_at", F.col("news_summary").isNull().alias("summary_cleared"))
 
 
 @register("dq_checks")
 def _q_dq(c: Ctx):
-    return DQ.run_checks(c.raw, c.daily, AS_OF)
+    return DQ.run_checks(c.raw, materialized(c.daily, "daily"), AS_OF)
 
 
 @register("dq_duplicates")
@@ -497,8 +508,8 @@ def _q_dq_dups(c: Ctx):
 
 @register("lineage")
 def _q_lineage(c: Ctx):
-    daily = c.daily
-    marts = {"daily_stock_summary": daily, "intraday_stock_rollup": c.hourly,
+    daily, hourly = materialized(c.daily, "daily"), materialized(c.hourly, "hourly")
+    marts = {"daily_stock_summary": daily, "intraday_stock_rollup": hourly,
              "stock_drawdown_recovery": M.stock_drawdown_recovery(daily),
              "stock_risk_indicators": M.stock_risk_indicators(daily),
              "sector_daily_summary": M.sector_daily_summary(daily),
@@ -584,7 +595,7 @@ def _provider_news(c: Ctx) -> DataFrame:
     """News-provider answers at NEWS_AS_OF: tickers with articles published in the two days before
     (the count of such articles); the others get nothing back."""
     now = F.lit(NEWS_AS_OF).cast("timestamp")
-    e = _enriched(c).filter((F.col("published_at") > now - F.make_interval(days=F.lit(NEWS_WINDOW_DAYS)))
+    e = _articles(c).filter((F.col("published_at") > now - F.make_interval(days=F.lit(NEWS_WINDOW_DAYS)))
                             & (F.col("published_at") <= now))
     return e.groupBy("ticker").agg(F.count(F.lit(1)).alias("article_count"))
 
@@ -697,9 +708,9 @@ def _q_valid_tickers(c: Ctx):
 
 @register("mart_data_tests")
 def _q_mart_data_tests(c: Ctx):
-    daily = c.daily
+    daily, hourly = materialized(c.daily, "daily"), materialized(c.hourly, "hourly")
     tables = {"stg_stock_prices": c.stg, "stg_symbol_reference": c.sym, "daily_stock_summary": daily,
-              "intraday_stock_rollup": c.hourly, "stock_drawdown_recovery": M.stock_drawdown_recovery(daily),
+              "intraday_stock_rollup": hourly, "stock_drawdown_recovery": M.stock_drawdown_recovery(daily),
               "stock_risk_indicators": M.stock_risk_indicators(daily),
               "sector_daily_summary": M.sector_daily_summary(daily),
               "benchmark_relative_strength": M.benchmark_relative_strength(daily),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import infer_session
 from tidemark.functions.numeric import event_order_key
+from tidemark.sources.symbols import SYMBOL_SEED
 from tidemark.sources.tables import read_table
 
 # Fixture ticker list, indexed by event_id % 22 (the last two are unknown
@@ -217,30 +218,40 @@ def load_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_events(ev)
 
 
+def article_ticker(doc_id: Column) -> Column:
+    return _pick(FIXTURE_TICKERS[:20], F.pmod(doc_id, F.lit(20)))
+
+
+def article_text(doc_id: Column, text: Column) -> Column:
+    """A document's whole text as article text; every 7th one names its company, every 11th its ticker."""
+    names = {t: name for t, name, *_ in SYMBOL_SEED}
+    company = _pick([names[t] for t in FIXTURE_TICKERS[:20]], F.pmod(doc_id, F.lit(20)))
+    mention = F.when(F.pmod(doc_id, F.lit(7)) == 0, F.concat(F.lit("Shares of "), company)) \
+        .when(F.pmod(doc_id, F.lit(11)) == 0, F.concat(F.lit("more on "), F.lower(article_ticker(doc_id))))
+    return F.concat_ws(" ", F.coalesce(text, F.lit("")), mention)
+
+
 def articles_from_documents(documents: DataFrame) -> DataFrame:
-    """documents → news article rows (FIXTURES.md 2.3).
+    """documents → news article rows (FIXTURES.md 2.3, over whole texts).
 
-    title = keyword + first 8 words, description = next 20 words, url on a rated / unrated /
-    missing domain, press-release source every 17th article, published over 30 days, a
+    title = keyword + first 8 words, description = all the rest, url on a rated / unrated / missing domain, press-release source every 17th article, published over 30 days, a
     deterministic sentiment; one fetch batch per (ticker, publication day), arrival = doc_id.
     """
     did = F.col("doc_id")
-    # the first 28 words via an anchored match: the regex stops after them instead of splitting
-    # a text of up to 20,000 words
-    lead = F.regexp_extract(F.coalesce(F.col("text"), F.lit("")), r"^\s*((?:\S+\s+){0,27}\S+)", 1)
-    words = F.split(lead, r"\s+")
+    words = F.trim(F.regexp_replace(article_text(did, F.col("text")), r"\s+", " "))
+    lead = F.regexp_extract(words, r"^((?:\S+ ){0,7}\S+)", 1)
     kw = _pick(ARTICLE_KEYWORDS, F.pmod(did, F.lit(len(ARTICLE_KEYWORDS))))
     kw = F.when(kw == "none", F.lit(None)).otherwise(kw)
     domain = _pick(ARTICLE_DOMAINS, F.pmod(did, F.lit(len(ARTICLE_DOMAINS))))
     published = F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(13), F.lit(0), F.lit(0)) \
         + F.make_interval(days=F.pmod(did, F.lit(30)).cast("int"))
-    ticker = _pick(FIXTURE_TICKERS[:20], F.pmod(did, F.lit(20)))
+    ticker = article_ticker(did)
     return documents.select(
         did.alias("article_id"), ticker.alias("ticker"),
         F.concat(ticker, F.lit(":"), F.date_format(published, "yyyy-MM-dd")).alias("fetch_batch"),
         did.alias("position"),
-        F.concat_ws(" ", kw, F.array_join(F.slice(words, 1, 8), " ")).alias("title"),
-        F.array_join(F.slice(words, 9, 20), " ").alias("description"),
+        F.concat_ws(" ", kw, lead).alias("title"),
+        F.trim(F.substr(words, F.length(lead) + 1)).alias("description"),
         F.when(domain.isNotNull(), F.concat(F.lit("https://www."), domain, F.lit("/news/"), did.cast("string")))
         .alias("url"),
         published.alias("published_at"),
@@ -266,20 +277,24 @@ METRIC_KINDS = ["counter", "gauge", "timing"]
 
 
 def request_logs_from_events(events: DataFrame) -> DataFrame:
-    """events → structured request logs (FIXTURES.md 2.4): status 500 every 20th request."""
+    """events → structured request logs (FIXTURES.md 2.4): status 500 every 20th request; every 33rd request
+    raised and has no response (no status)."""
     methods = F.create_map(*[F.lit(x) for kv in EVENT_METHODS.items() for x in kv])
     return events.select(
         F.col("event_id").alias("request_id"), F.coalesce(F.element_at(methods, F.col("event_type")), F.lit("GET"))
         .alias("method"), F.concat(F.lit("/"), F.col("event_type")).alias("path"),
-        F.when(F.pmod("event_id", F.lit(20)) == 0, 500).otherwise(200).alias("status_code"),
+        F.when(F.pmod("event_id", F.lit(33)) == 7, F.lit(None)).when(F.pmod("event_id", F.lit(20)) == 0, 500).otherwise(200)
+        .cast("int").alias("status_code"),
         F.col("value").alias("duration_ms"), F.col("user_id").cast("string").alias("client_host"),
         F.col("ts").cast("timestamp").alias("ts"))
 
 
 def metric_events_from_events(events: DataFrame) -> DataFrame:
-    """events → metric events (name, kind, value, ts, seq): kind by event_id % 3."""
+    """events → metric events (name, kind, value, ts, seq): kind by event_id % 3; every 12th one counts a stale
+    answer."""
     kind = _pick(METRIC_KINDS, F.pmod("event_id", F.lit(3)))
     return events.select(
-        F.concat(F.lit("api.request."), F.col("event_type")).alias("name"), kind.alias("kind"),
+        F.when(F.pmod("event_id", F.lit(12)) == 0, F.concat(F.lit("api.stale_fallback."), F.col("event_type")))
+        .otherwise(F.concat(F.lit("api.request."), F.col("event_type"))).alias("name"), kind.alias("kind"),
         F.when(kind == "counter", F.lit(1)).otherwise(F.round(F.col("value"), 2)).cast("decimal(20,2)").alias("value"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
