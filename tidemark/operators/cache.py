@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import market_context
+from tidemark.functions.calendar import infer_session, market_context
 from tidemark.functions.numeric import event_order_key, round_ratio_half_up
 
 # Cache time-to-live per family (minutes), freshness states and reasons, quote sources.
@@ -140,7 +140,8 @@ def cache_status(rows: DataFrame, as_of: str | list[str], scope: str | list[str]
         F.col("_m_is_market_open").alias("is_market_open"))
 
 
-def resolve_quotes(provider: DataFrame, cache_latest: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+def resolve_quotes(provider: DataFrame, cache_latest: DataFrame, profiles: DataFrame | None = None,
+                   as_of: str | None = None) -> DataFrame:
     """FRS-2: provider quote wins; else the cached live quote labelled ``daily_cache_stale``; else
     an error row. ``provider``: (ticker, price, volume, event_time); one row per requested ticker
     in ``cache_latest ∪ provider``."""
@@ -157,8 +158,10 @@ def resolve_quotes(provider: DataFrame, cache_latest: DataFrame, profiles: DataF
         F.when(ok, F.col("_pt")).when(cached, F.col("live_event_time")).alias("event_time"),
         F.when(ok, F.lit(LIVE_PROVIDER_SOURCE)).when(cached, F.lit(STALE_CACHE_SOURCE)).alias("source"),
         F.when(~ok & ~cached, F.lit("No market data available")).alias("error"))
-    if profiles is not None:
+    if profiles is not None:  # company, sector, benchmark of the answer
         out = out.join(profiles, "ticker", "left")
+    if as_of is not None:
+        out = out.withColumn("market_session", infer_session(F.lit(as_of).cast("timestamp")))
     return out
 
 
@@ -213,11 +216,23 @@ def invalidate(cache: DataFrame, tickers: DataFrame, scopes: list[str], touched_
     return j.select(*sel)
 
 
-def invalidate_articles(children: DataFrame, tickers: DataFrame, scopes: list[str]) -> DataFrame:
-    """MUT-3 for the child table: the news scope (or all scopes) removes the tickers' articles."""
-    if "news" not in scopes:
-        return children
-    return delete_rows(children, tickers, ["ticker"])
+def upsert_news(cache: DataFrame, children: DataFrame, articles: DataFrame, summaries: DataFrame,
+                as_of: str) -> tuple[DataFrame, DataFrame]:
+    """Store fetched articles and their summary together under today's key: (cache rows, article table).
+
+    ``articles``: enriched articles of the tickers fetched; ``summaries``: one row per ticker. Both families
+    get new times; the tickers' articles of the day are replaced."""
+    today, now = F.to_date(F.lit(as_of)), F.lit(as_of).cast("timestamp")
+    mine = articles.drop("fetch_batch").withColumn("cache_date", today)
+    counts = mine.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("article_count"))
+    changes = counts.join(summaries.select("ticker", "summary", "source", "model", "fallback_reason"), "ticker").select(
+        *KEYS, "article_count", F.col("summary").alias("news_summary"), F.col("source").alias("summary_source"),
+        F.col("model").alias("summary_model"), F.col("fallback_reason").alias("summary_fallback_reason"),
+        (now + _minutes(NEWS_TTL_MIN)).alias("news_expires_at"), (now + _minutes(SUMMARY_TTL_MIN)).alias("news_summary_expires_at"),
+        now.alias("news_updated_at"))
+    columns = [c for c in changes.columns if c not in KEYS]
+    kept = delete_rows(children, counts, KEYS)
+    return upsert(cache, changes, KEYS, columns, "updated_at", as_of), kept.unionByName(mine.select(*children.columns))
 
 
 def sentiment_over_time(children: DataFrame, ticker: str | None = None, limit: int | None = 30) -> DataFrame:

@@ -549,3 +549,31 @@ def resolve_news(provider: DataFrame, cache_latest: DataFrame, as_of: str) -> Da
                     .cast("bigint").alias("article_count"),
                     F.when(~fresh & ~ok & has_cache, F.lit(STALE_CACHE_REASON)).alias("fallback_reason"),
                     F.when(source.isNull(), F.lit("No news available")).alias("error"))
+
+
+def resolve_news_summary(cache_latest: DataFrame, made: DataFrame, as_of: str) -> DataFrame:
+    """FRS-3 for summaries, per ticker: the fresh cached summary unless it is of low quality; else a new
+    one; else the stale cached one (again unless low quality); else the no-articles text.
+
+    ``cache_latest``: latest cache row per ticker with its summary; ``made``: (ticker, summary, source, model,
+    fallback_reason, article_count) of the tickers that could be summarised now."""
+    from tidemark.operators.cache import cache_status
+    st = cache_status(cache_latest, as_of, "news_summary").select("ticker", "is_stale")
+    c = cache_latest.select("ticker", F.col("news_summary").alias("c_summary"), F.col("summary_source").alias("c_source"),
+                            F.col("summary_model").alias("c_model"), F.col("summary_fallback_reason").alias("c_reason"),
+                            F.coalesce(F.col("article_count"), F.lit(0)).alias("c_count")).join(st, "ticker", "left")
+    m = made.select("ticker", *[F.col(x).alias(f"m_{x}") for x in ("summary", "source", "model", "fallback_reason", "article_count")])
+    j = c.join(m, "ticker", "full")
+    usable = F.col("c_summary").isNotNull() & ~low_quality_summary(F.col("c_summary"), F.col("ticker"))
+    fresh = F.coalesce(usable & ~F.coalesce("is_stale", F.lit(True)), F.lit(False))
+    new = ~fresh & F.col("m_summary").isNotNull()
+    stale = ~fresh & ~new & F.coalesce(usable, F.lit(False))
+    none = F.format_string(NO_ARTICLES_TEMPLATE, F.col("ticker"))
+    return j.select(
+        "ticker", F.when(fresh | stale, F.col("c_summary")).when(new, F.col("m_summary")).otherwise(none).alias("summary"),
+        F.when(fresh, F.col("c_source")).when(new, F.col("m_source")).when(stale, F.lit(STALE_NEWS_SOURCE))
+        .otherwise(F.lit(FALLBACK_SOURCE)).alias("source"),
+        F.when(fresh | stale, F.col("c_model")).when(new, F.col("m_model")).alias("model"),
+        F.when(fresh, F.col("c_reason")).when(new, F.col("m_fallback_reason")).when(stale, F.lit(STALE_CACHE_REASON))
+        .otherwise(F.lit(NO_ARTICLES_REASON)).alias("fallback_reason"),
+        F.when(fresh | stale, F.col("c_count")).when(new, F.col("m_article_count")).otherwise(0).cast("bigint").alias("article_count"))

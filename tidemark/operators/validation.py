@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.ingest import parse_event_json
 from tidemark.sources.tables import EVENT_COLUMNS
 
 # The validator's vocabularies and messages.
@@ -107,7 +108,7 @@ def validate_events(messages: DataFrame, value_col: str = "value", session_vocab
     keep = keep if keep is not None else [c for c in messages.columns if c != value_col]
     c = F.col
     # stage 1: parse once
-    s1 = messages.select(*keep, c(value_col).alias("payload"), F.try_parse_json(c(value_col)).alias("_v"))
+    s1 = parse_event_json(messages, value_col, "_v").select(*keep, c(value_col).alias("payload"), "_v")
     # stage 2: presence, JSON type and text of each field
     cols2 = [c(k) for k in keep] + [c("payload"), F.schema_of_variant(c("_v")).alias("_root")]
     for n in _FIELDS:

@@ -472,7 +472,8 @@ def _provider_quotes(c: Ctx) -> DataFrame:
 
 @register("resolve_quotes")
 def _q_resolve(c: Ctx):
-    return CACHE.resolve_quotes(_provider_quotes(c), CACHE.latest_cache_row(_cache(c)))
+    profiles = c.sym.select("ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name")
+    return CACHE.resolve_quotes(_provider_quotes(c), CACHE.latest_cache_row(_cache(c)), profiles, QUOTE_AS_OF)
 
 
 @register("upsert")
@@ -606,6 +607,36 @@ def _q_resolve_news(c: Ctx):
     return NEWS.resolve_news(_provider_news(c), latest, NEWS_AS_OF)
 
 
+SUMMARY_AS_OF = "2024-01-30 14:00:00"
+
+
+def _fresh_summaries(c: Ctx) -> tuple[DataFrame, DataFrame]:
+    """Articles of the two days before SUMMARY_AS_OF, and their template summary per ticker."""
+    now = F.lit(SUMMARY_AS_OF).cast("timestamp")
+    recent = _enriched(c).filter((F.col("published_at") > now - F.make_interval(days=F.lit(NEWS_WINDOW_DAYS)))
+                                 & (F.col("published_at") <= now))
+    metrics = NEWS.news_metrics(recent)
+    made = NEWS.template_summary(metrics, NEWS.first_headlines(recent)).join(metrics.select("ticker", "article_count"), "ticker")
+    return recent, made
+
+
+@register("resolve_news_summary")
+def _q_resolve_news_summary(c: Ctx):
+    rows = _cache(c, with_summaries=True).where("news_summary IS NOT NULL")
+    return NEWS.resolve_news_summary(CACHE.latest_cache_row(rows), _fresh_summaries(c)[1], SUMMARY_AS_OF)
+
+
+@register("upsert_news")
+def _q_upsert_news(c: Ctx):
+    recent, made = _fresh_summaries(c)
+    children = CACHE.cache_articles(_enriched(c))
+    cache, articles = CACHE.upsert_news(_cache(c, with_summaries=True), children, recent, made, SUMMARY_AS_OF)
+    stored = articles.groupBy(*CACHE.KEYS).agg(F.count(F.lit(1)).alias("stored_articles"))
+    return cache.join(stored, CACHE.KEYS, "left").select(
+        *CACHE.KEYS, "article_count", "news_summary", "summary_source", "news_expires_at", "news_summary_expires_at",
+        "news_updated_at", "updated_at", F.coalesce("stored_articles", F.lit(0)).alias("stored_articles"))
+
+
 @register("refresh")
 def _q_refresh(c: Ctx):
     t = c.spark.createDataFrame([(x,) for x in INVALIDATE_TICKERS], "ticker string")

@@ -14,10 +14,29 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.quality import run_checks
+from tidemark.operators.staging import stage_stock_prices, stage_symbol_reference
 from tidemark.plans import marts as M
+from tidemark.plans.queries import DAILY_COLUMNS
+from tidemark.sources.tables import assert_schema
+
+
+#: Columns every stored mart must have, in order.
+CONTRACTS = {
+    "daily_stock_summary": DAILY_COLUMNS,
+    "stock_risk_indicators": ["ticker", "trade_date", "close_price", "price_change_pct", "rolling_return_7d_pct",
+                              "rolling_volatility_7d", "sharpe_like_ratio_7d", "observed_days", "last_updated_at"],
+    "stock_drawdown_recovery": ["ticker", "trade_date", "close_price", "rolling_peak_close", "drawdown_pct",
+                                "days_since_peak", "recovery_status", "last_updated_at"],
+    "market_regime_summary": ["trade_date", "regime_label", "avg_relative_move_pct", "avg_volume_ratio", "avg_volatility_7d",
+                              "risk_off_share", "outperformer_share", "ticker_count", "anomaly_count", "benchmark_leader",
+                              "last_updated_at"],
+}
 
 
 def write_table(df: DataFrame, path: str, partition_col: str | None = None, sort_cols: list[str] | None = None) -> None:
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if name in CONTRACTS:
+        assert_schema(df, CONTRACTS[name])
     w = df.sortWithinPartitions(*sort_cols) if sort_cols else df
     wr = w.write.mode("overwrite")
     if partition_col:
@@ -60,6 +79,8 @@ def build_marts(spark: SparkSession, stg: DataFrame, sym: DataFrame, out_dir: st
     return timings
 
 
-def read_marts(spark: SparkSession, out_dir: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{out_dir.rstrip('/')}/{n}") for n in names}
+def staging_views(spark: SparkSession, raw: DataFrame, symbols: DataFrame) -> None:
+    """The staging layer as session views (nothing is stored): stg_stock_prices, stg_symbol_reference."""
+    stage_stock_prices(raw).createOrReplaceTempView("stg_stock_prices")
+    stage_symbol_reference(symbols).createOrReplaceTempView("stg_symbol_reference")
 
