@@ -178,8 +178,9 @@ def extract_entities(articles: DataFrame, text_col: str = "entity_text", id_col:
     if not long_text:
         cols = articles.columns
         base = articles.withColumn("_text", normalize_whitespace(F.col(text_col)))
-        prof = match_entities(base, "_text", "ticker")
-        return prof.select(*cols, rank_mentions_inline(_mention_array("_text", "ticker")).alias("entities"))
+        # the mentions are a column of their own, so the ranking does not extract them again per mention
+        prof = match_entities(base, "_text", "ticker").withColumn("_mentions", _mention_array("_text", "ticker"))
+        return prof.select(*cols, rank_mentions_inline(F.col("_mentions")).alias("entities"))
     top = top_entities(entity_mentions(articles, text_col, "ticker", id_col), id_col)
     packed = top.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("rank", "name", "count"))).alias("_e"))

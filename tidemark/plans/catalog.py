@@ -371,7 +371,8 @@ def _articles(c: Ctx) -> DataFrame:
 
 
 def _enriched(c: Ctx) -> DataFrame:
-    return NEWS.attach_cluster_counts(NEWS.enrich_articles(_articles(c)))
+    # several aggregates read the enriched articles: they are enriched once
+    return NEWS.attach_cluster_counts(materialized(NEWS.enrich_articles(_articles(c)), "articles"))
 
 
 def _cache(c: Ctx, with_summaries: bool = False) -> DataFrame:
