@@ -575,6 +575,36 @@ def _q_stream_bars(c: Ctx):
 
 
 
+@register("append_events_stored")
+def _q_append_stored(c: Ctx):
+    """Two appends to one table, the second with everything: what is stored already is not stored again."""
+    run = scratch_path(c.spark, f"append-{_uuid.uuid4().hex}")
+    valid, _ = split_valid(materialized(c.checked, "checked"))
+    append_events(valid.where(F.pmod(F.xxhash64("ticker", "event_time"), F.lit(2)) == 0), run, c.spark)
+    append_events(valid, run, c.spark)
+    return c.spark.read.parquet(run).select(*EVENT_COLUMNS)
+
+
+@register("incremental_daily")
+def _q_incremental_daily(c: Ctx):
+    """The daily mart after two refreshes: every other event first, then the rest (late for its days)."""
+    from tidemark.sources.sinks import event_date
+    run = scratch_path(c.spark, f"refresh-{_uuid.uuid4().hex}")
+    raw = c.raw.withColumn("event_date", event_date())
+    for batch in (0, 1):
+        part = raw.where(F.pmod("id", F.lit(2)) == batch)
+        part.write.mode("append").partitionBy("event_date").parquet(f"{run}/events")
+        touched = stage_stock_prices(part).where("market_session <> 'closed'").select(
+            "ticker", CAL.ny_date(F.col("event_time")).alias("trade_date")).distinct()
+        STREAM.refresh_marts_batch(c.spark, touched, f"{run}/events", c.sym, f"{run}/daily", f"{run}/staging/{batch}")
+    return c.spark.read.parquet(f"{run}/daily").select(*Q.DAILY_COLUMNS)
+
+
+@register("stream_alerts")
+def _q_stream_alerts(c: Ctx):
+    return STREAM.alerts_for_batch(c.daily, c.watch, c.sym)
+
+
 @register("article_content")
 def _q_article_content(c: Ctx):
     from tidemark.sources.fixtures import pages_text
