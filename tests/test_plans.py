@@ -68,3 +68,20 @@ def test_hot_ticker_is_absorbed_by_partial_aggregation(spark):
     open_events = stg.filter(F.col("market_session") != "closed").count()
     assert sum(counts.values()) == open_events
     assert daily.groupBy("ticker", "trade_date").count().filter("count > 1").count() == 0
+
+
+def test_check_suites_read_the_events_once(spark):
+    """One pass per table: no suite scans the event table more than twice, none sorts it to aggregate (two small
+    marts of the daily grain pick names by a sort)."""
+    from tidemark.plans.catalog import REGISTRY
+    for name, sorts in (("dq_checks", 0), ("lineage", 0), ("mart_data_tests", 2), ("metrics_rollup", 0), ("request_log_metrics", 0)):
+        p = _plan(REGISTRY[name](spark, SF))
+        scans = sum("events.parquet" in line for line in p.splitlines() if line.startswith("Location"))
+        assert scans <= 2, (name, scans)
+        assert p.split("\n\n")[0].count("SortAggregate") <= sorts, name
+
+
+def test_benchmark_join_follows_sizes_not_constants(spark):
+    """Rows without a benchmark keep a key of their own, whatever join the planner takes."""
+    p = _plan(Ctx(spark, SF).daily)
+    assert "LeftSemi" in p and "coalesce(benchmark_ticker" in p

@@ -452,8 +452,11 @@ def _q_latest_cache(c: Ctx):
 
 @register("cache_status")
 def _q_cache_status(c: Ctx):
-    latest = CACHE.latest_cache_row(_cache(c))
-    return CACHE.cache_status(latest, CACHE_AS_OF, list(CACHE.SCOPES))
+    from tidemark.sources.fixtures import FIXTURE_TICKERS
+    # every requested ticker, one of which was never cached
+    asked = c.spark.createDataFrame([(t,) for t in [*FIXTURE_TICKERS, "NOSUCH"]], "ticker string")
+    rows = asked.join(CACHE.latest_cache_row(_cache(c)), "ticker", "left")
+    return CACHE.cache_status(rows, CACHE_AS_OF, list(CACHE.SCOPES))
 
 
 QUOTE_AS_OF = "2024-01-30 21:00:00"
