@@ -37,7 +37,7 @@ COSINE = 0.4
 #: Shares of an item's words that must follow in the same order: alone, and with the answer.
 COPY, PARAPHRASE = 0.6, 0.5
 #: Rows per piece of the summed matrices.
-PIECE = 512
+PIECE = 64
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?:\n]\s*")

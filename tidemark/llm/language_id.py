@@ -75,7 +75,8 @@ def fit_profiles(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, si
     share = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("rows"))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = (rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
-              .join(counts, "lang").where(F.col("draw") < share).select("lang", "text"))
+              .join(F.broadcast(counts), "lang")  # a row per language, as the profiles
+              .where(F.col("draw") < share).select("lang", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
