@@ -161,6 +161,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                 cols.append(pa.array(blobs, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        enc.rest()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 

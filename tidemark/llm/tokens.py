@@ -135,6 +135,11 @@ class ChunkEncoder:
         return b"".join(out)
 
 
+    def rest(self) -> None:
+        """Give back the older half of the cache at the end of a task (the worker may do other work next)."""
+        self.old = {}
+
+
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 
