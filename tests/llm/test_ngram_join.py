@@ -102,9 +102,12 @@ def test_signatures_miss_no_pair():
                 b = np.unique(np.concatenate((a[drop // 2:], rng.integers(0, 2 ** 63, size=drop - drop // 2, dtype=np.uint64))))
                 common = len(np.intersect1d(a, b))
                 if 100 * common >= 85 * (len(a) + len(b) - common):
-                    x = np.concatenate(J.signatures(a, band, plan))
-                    y = np.concatenate(J.signatures(b, band, plan))
-                    assert len(np.intersect1d(x, y))
+                    # also when some, many or all of the shared shingles are common ones
+                    for often in (0, 0.3, 0.9, 1):
+                        left_out = np.sort(a[rng.random(len(a)) < often])
+                        x = np.concatenate(J.signatures(a, band, plan, common=left_out))
+                        y = np.concatenate(J.signatures(b, band, plan, common=left_out))
+                        assert len(np.intersect1d(x, y))
 
 
 @pytest.mark.parametrize("seed", range(3))

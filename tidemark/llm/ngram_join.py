@@ -8,10 +8,12 @@ Which form a band uses is decided by cost: signatures written, plus the false ca
 from the number of sets in the band and from how likely a signature lies wholly inside a passage
 shared with unrelated texts.
 
-A signature without shingles says nothing and is not indexed. A set with more such empty parts than
+Shingles that many texts share (found on a bounded sample) would make such signatures alike; they
+are left out of the index, which is exact too, since the differences among the other shingles are
+still at most H. A signature without shingles says nothing and is not indexed. A set with more such empty parts than
 the slack is *deficient* there; a pair can be missed only if both are, so deficient sets are
 indexed again under other hash seeds and, deficient under all of them, by the shingles of a prefix
-in hash order, which misses nothing.
+(rarer ones first, then in hash order), which misses nothing.
 
 Sets that share a signature are not paired with each other but with a hub: first inside a map task
 (one row per signature leaves it, however many copies the task holds), then per signature. Linked
@@ -51,6 +53,11 @@ RELATED = 0.001
 FLUSH = 500_000
 BUCKET_ENTRIES = 500_000
 
+#: Rounds of hubs before the remaining pairs are written.
+HUB_TURNS = 2
+#: Documents sampled for common shingles, the share of them that makes one common, and the most kept.
+SAMPLE, COMMON, MOST_COMMON = 5000, 0.001, 100_000
+
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _A = _U(0x9E3779B97F4A7C15)
@@ -66,7 +73,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
-    def __init__(self, words: int = WORDS, cache_entries: int = 300_000):
+    def __init__(self, words: int = WORDS, cache_entries: int = 100_000):
         self.words, self.cache, self.cache_entries = words, {}, cache_entries
 
     def word_hashes(self, text: str) -> np.ndarray:
@@ -100,6 +107,21 @@ class Shingler:
         return np.unique(h)
 
 
+def cell_counts(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each cell of the hash space (two to four per cell on average)."""
+    cells = 1 << max(0, int(len(tokens)).bit_length() - 2)
+    n = np.bincount((tokens & _U(cells - 1)).astype(np.int64), minlength=cells)
+    wide = bool(n.max() > 255) if len(n) else False
+    return bytes([wide]) + n.astype(np.uint32 if wide else np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their cell counts."""
+    x, y = (np.frombuffer(v[1:], dtype=np.uint32 if v[0] else np.uint8).astype(np.int64) for v in (a, b))
+    cells = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, cells).sum(0) - y.reshape(-1, cells).sum(0)).sum())
+
+
 # --- bands and allocation -----------------------------------------------------------------------
 
 def band_starts(largest: int, percent: int = PERCENT) -> list[int]:
@@ -165,10 +187,20 @@ def _named(hi, lo, n, scheme: int, which: np.ndarray) -> np.ndarray:
     return mix(h * _A + which.astype(_U))
 
 
-def signatures(tokens: np.ndarray, band: int, plan: tuple, percent: int = PERCENT) -> list[np.ndarray]:
+def _is_common(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return np.zeros(len(tokens), dtype=bool)
+    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+    return common[at] == tokens
+
+
+def signatures(tokens: np.ndarray, band: int, plan: tuple, percent: int = PERCENT,
+               common: np.ndarray = np.zeros(0, dtype=_U)) -> list[np.ndarray]:
     """Index entries of a set under one band's index."""
     n1, k, n2, slack, _ = plan
     out = []
+    whole, often = tokens, _is_common(tokens, common)
+    tokens = whole[~often]
     for seed in range(SEEDS):
         scheme = band * 8 + seed
         h = mix(tokens + _U((scheme * 2 + 1) * int(_A) & 0xFFFFFFFFFFFFFFFF))
@@ -198,9 +230,10 @@ def signatures(tokens: np.ndarray, band: int, plan: tuple, percent: int = PERCEN
             weak = int((~full).reshape(n1, -1).any(axis=1).sum())
         if weak <= slack:
             return out
-    size = len(tokens)
+    size = len(whole)
     prefix = size - -(-percent * size // 100) + 1
-    h = np.sort(mix(tokens + _A))[:prefix]
+    h = mix(whole + _A)
+    h = h[np.lexsort((h, often))][:prefix]
     out.append(mix(h + _U((band * 8 + 7) * int(_M2) & 0xFFFFFFFFFFFFFFFF)))
     return out
 
@@ -208,22 +241,24 @@ def signatures(tokens: np.ndarray, band: int, plan: tuple, percent: int = PERCEN
 # --- Spark side ---------------------------------------------------------------------------------
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, txt (hash of the text), node (hash of the set, null if empty), n; one row per input row."""
+    """doc_id, txt (hash of the text), node (hash of the set, null if empty), n, cells; one row per input row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            node, size = [], []
+            node, size, cells = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle(text)
                 size.append(len(s))
+                cells.append(cell_counts(s) if len(s) else None)
                 node.append(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("txt"), pa.array(node, pa.int64()),
-                                              pa.array(size, pa.int64())], names=["doc_id", "txt", "node", "n"])
+                                              pa.array(size, pa.int64()), pa.array(cells, pa.binary())],
+                                             names=["doc_id", "txt", "node", "n", "cells"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, txt long, node long, n long")
+    return rows.mapInArrow(run, f"doc_id {kind}, txt long, node long, n long, cells binary")
 
 
 def _packed(low: np.ndarray, node: np.ndarray) -> bytes:
@@ -242,8 +277,33 @@ def _unpacked(blob) -> tuple[np.ndarray, np.ndarray]:
     return low, nodes[place]
 
 
+def common_shingles(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
+    """Shingles of at least ``COMMON`` of a sample of about ``SAMPLE`` documents, sorted (``MOST_COMMON`` at most).
+
+    Only the speed of the join depends on them.
+    """
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_003)) < F.lit(share * 1_000_003)).select(F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for batch in batches:
+            sets = [shingle(t) for t in batch.column("text").to_pylist()]
+            found, n = np.unique(np.concatenate([*sets, np.zeros(0, dtype=_U)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)),
+                                              pa.array(np.zeros(len(found), dtype=bool))], names=["t", "n", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([len(sets)], pa.int64()), pa.array([True])],
+                                             names=["t", "n", "rows"])
+
+    counts = materialize(sample.mapInArrow(run, "t long, n long, rows boolean").groupBy("t", "rows").agg(F.sum("n").alias("n"))
+                         .where("rows OR n > 3"), "jaccard-common")
+    rows = counts.where("rows").agg(F.sum("n")).first()[0] or 0
+    often = counts.where(~F.col("rows") & (F.col("n") >= COMMON * rows)).orderBy(F.desc("n"), "t").limit(MOST_COMMON)
+    return np.sort(np.array([r["t"] for r in often.select("t").collect()], dtype=np.int64).view(_U))
+
+
 def _index(docs: DataFrame, starts: list[int], plans: dict[int, tuple], n_buckets: int, words: int, percent: int,
-           id_col: str, text_col: str) -> DataFrame:
+           text_col: str, common: np.ndarray) -> DataFrame:
     """Signature entries packed per bucket, and the hub pairs found inside the map task.
 
     Rows (bucket, entries). A signature is its bucket and 32 more bits: the few that meet by chance
@@ -282,7 +342,7 @@ def _index(docs: DataFrame, starts: list[int], plans: dict[int, tuple], n_bucket
                 band = int(np.searchsorted(edges, len(s), side="right")) - 1
                 for i in (band - 1, band):
                     if plans.get(i):
-                        for x in signatures(s, i, plans[i], percent):
+                        for x in signatures(s, i, plans[i], percent, common):
                             sigs.append(x)
                             nodes.append(np.full(len(x), node, dtype=np.int64))
                             held += len(x)
@@ -326,7 +386,7 @@ def _meet(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_pairs_batch(msig, member, hub)])
 
 
-def hub_pairs(docs: DataFrame, sizes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def hub_pairs(docs: DataFrame, sizes: DataFrame, words: int, percent: int, text_col: str) -> DataFrame:
     """(sig, x, hub): every member of a signature shared by several sets, tied to a hub of it."""
     # one row per distinct size: bounded by the longest text
     count = {r["n"]: (r["sets"], r["rows"]) for r in sizes.collect()}
@@ -351,19 +411,36 @@ def hub_pairs(docs: DataFrame, sizes: DataFrame, words: int, percent: int, id_co
                 total += rows * (n + n1 if n2 == 0 else n1 * math.comb(n2, k))
     wide = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     n_buckets = max(4 * wide, total // BUCKET_ENTRIES + 1)
-    index = _index(docs, starts, plans, n_buckets, words, percent, id_col, text_col)
+    index = _index(docs, starts, plans, n_buckets, words, percent, text_col, common_shingles(docs, words, text_col))
     return materialize(index.groupBy("bucket").applyInArrow(_meet, _PAIRS), "jaccard-pairs")
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and cell counts leave room for a link."""
+    side = classes.select("node", "n", "cells")
+    both = (pairs.join(side.toDF("a", "na", "ca"), "a").join(side.select("node", "n").toDF("b", "nb"), "b")
+            .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+            .join(side.select("node", "cells").toDF("b", "cb"), "b"))
+    return _within_bounds(both, percent)
+
+
+def _within_bounds(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the rows (a, b, na, nb, ca, cb) whose cell counts differ by no more than a link allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [least_difference(ca, cb) <= max_difference(na, nb, percent)
+                    for na, nb, ca, cb in text_rows(batch, "na", "nb", "ca", "cb")]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that reach the threshold, checked on whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    small = sets.select("node", "n")
-    sized = (pairs.join(small.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-             .join(small.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-             .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
-    both = sized.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
     return both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
@@ -389,52 +466,101 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_c
     return found.mapInArrow(run, "node long, n long, tokens array<long>").dropDuplicates(["node"])
 
 
-def _rest_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Every candidate across components among ``sets``: rarest-first prefix filter with position and size bounds."""
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, n, pos, t: the rarest-first prefix of each set (its shingles that occur in no other set left out)."""
     tokens = sets.select("node", "n", F.explode("tokens").alias("t"))
     often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     per_set = (tokens.join(often, "t").groupBy("node", "n")
                .agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts")))
     first = per_set.withColumn("alone", F.col("n") - F.size("ts")).withColumn(
         "take", F.expr(f"n - ({percent} * n + 99) DIV 100 + 1 - alone")).where("take > 0")
-    prefix = (first.select("node", "n", "alone", F.posexplode(F.expr("slice(ts, 1, CAST(take AS INT))")).alias("i", "ft"))
-              .select("node", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("ft.t").alias("t"))
-              .join(labels, "node"))
-    a = prefix.select("t", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-    b = prefix.select("t", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    return (first.select("node", "n", "alone", F.posexplode(F.expr("slice(ts, 1, CAST(take AS INT))")).alias("i", "ft"))
+            .select("node", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("ft.t").alias("t")))
+
+
+def _prefix_hubs(prefix: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b): every set with the hub it shares most prefix shingles with, if in another component.
+
+    The first ``turn`` takes the set with the fewest rarer shingles before this one, the most central of a
+    family; later turns take other members."""
+    order = F.struct("pos", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+    hubs = prefix.groupBy("t").agg(F.min_by("node", order).alias("hub"))
+    tied = prefix.select("t", "node").join(hubs, "t").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+    best = tied.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select("node", F.col("m.hub").alias("hub"))
+    la = labels.select("node", "label")
+    return (best.join(la, "node").join(la.toDF("hub", "hub_label"), "hub").where("label <> hub_label")
+            .select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
+
+def _rest_pairs(prefix: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Every candidate across components: sets that share a prefix shingle, with position, size and cell bounds."""
+    named = (prefix.join(labels.join(classes.select("node", "cells"), "node"), "node")
+             .select("t", "node", "n", "pos", "label", "cells"))
+    a, b = named.toDF("t", "a", "na", "pa", "la", "ca"), named.toDF("t", "b", "nb", "pb", "lb", "cb")
     need = f"({percent} * (na + nb) + {100 + percent - 1}) DIV {100 + percent}"
-    return (a.join(b, "t").where("a < b AND la <> lb")
-            .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            # the first token a linked pair shares leaves room for the whole overlap behind it
-            .where(f"least(na - pa, nb - pb) >= {need}").select("a", "b").distinct())
+    met = (a.join(b, "t").where("a < b AND la <> lb")
+           .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+           # the first token a linked pair shares leaves room for the whole overlap behind it
+           .where(f"least(na - pa, nb - pb) >= {need}"))
+    return _within_bounds(met, percent).distinct()
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (sig, x, hub) whose ends lie in different components."""
+    lx = label.select(F.col("node").alias("x"), F.col("label").alias("lx"))
+    lh = label.select(F.col("node").alias("hub"), F.col("label").alias("lh"))
+    return (pairs.join(lx, "x", "left").join(lh, "hub", "left")
+            .where("coalesce(lx, x) <> coalesce(lh, hub)").select("sig", "x", "hub"))
+
+
+def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int, id_col: str,
+             text_col: str) -> DataFrame:
+    """The links among candidate ``pairs``: bounds first, then whole sets, read for what is left."""
+    return _verified(docs, classes, _possible(pairs, classes, percent), words, percent, id_col, text_col)
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int, id_col: str,
+              text_col: str) -> DataFrame:
+    left = materialize(pairs, "jaccard-possible")
+    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    sets = materialize(_sets_of(docs, classes.join(nodes, "node"), words, id_col, text_col), "jaccard-sets")
+    return materialize(_linked(left, sets, percent), "jaccard-links")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """doc_id, txt, n_shingles, label (null: no shingles), component_id for every row of ``docs``."""
     rows = materialize(shingle_sets(docs, words, id_col, text_col), "jaccard-rows")
-    classes = rows.where("node IS NOT NULL").groupBy("node", "n").agg(
-        F.min(F.struct("doc_id", "txt")).alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"))
+    classes = materialize(rows.where("node IS NOT NULL").groupBy("node", "n").agg(
+        F.min(F.struct("doc_id", "txt")).alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"),
+        F.max("cells").alias("cells")), "jaccard-classes")
     sizes = classes.groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.sum("rows").alias("rows"))
-    pairs = hub_pairs(docs, sizes, words, percent, id_col, text_col)
-    hubbed = pairs.select(F.col("x").alias("a"), F.col("hub").alias("b")).distinct()
-    involved = pairs.select(F.col("x").alias("node")).union(pairs.select("hub")).distinct()
-    sets = materialize(_sets_of(docs, classes.join(involved, "node"), words, id_col, text_col), "jaccard-sets")
-    links = materialize(_linked(hubbed, sets, percent), "jaccard-links")
+    pairs = hub_pairs(docs, sizes, words, percent, text_col)
+    # the hub a set shares most signatures with is tried first, the others only across components
+    tied = pairs.groupBy(F.col("x").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    best = materialize(tied.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "jaccard-best")
+    links = _checked(docs, classes, best, words, percent, id_col, text_col)
+    others = _apart(pairs, components(links)).select(F.col("x").alias("a"), F.col("hub").alias("b")).distinct()
+    others = others.join(best, ["a", "b"], "left_anti")
+    links = links.unionByName(_checked(docs, classes, others, words, percent, id_col, text_col))
     label = components(links)
     # signatures with members in several components
-    named = involved.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    named = materialize(named, "jaccard-labels")
-    sized = pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))
-    lx = named.select(F.col("node").alias("x"), F.col("label").alias("lx"))
-    lh = named.select(F.col("node").alias("hub"), F.col("label").alias("lh"))
-    apart = pairs.join(lx, "x").join(lh, "hub").where("lx <> lh").select("sig").distinct()
+    apart = _apart(pairs, label).select("sig").distinct()
     # a signature of two sets has had its only pair checked
-    open_sigs = apart.join(sized.where("members > 1"), "sig").select("sig")
-    open_pairs = pairs.join(open_sigs, "sig")
-    open_nodes = open_pairs.select(F.col("x").alias("node")).union(open_pairs.select("hub")).distinct()
-    rest = sets.join(open_nodes, "node")
-    more = materialize(_linked(_rest_pairs(rest, named, percent), sets, percent), "jaccard-links")
+    sized = pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    open_pairs = pairs.join(apart.join(sized, "sig").select("sig"), "sig")
+    open_nodes = materialize(open_pairs.select(F.col("x").alias("node")).union(open_pairs.select("hub")).distinct(), "jaccard-open")
+    rest = _sets_of(docs, classes.join(open_nodes, "node"), words, id_col, text_col)
+    prefix = materialize(_prefixes(rest, percent), "jaccard-prefix")
+
+    def labels() -> DataFrame:
+        return open_nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+    for turn in range(HUB_TURNS):  # again hubs first: most of a family joins without its pairs being written
+        found = _checked(docs, classes, _prefix_hubs(prefix, labels(), turn), words, percent, id_col, text_col)
+        links = links.unionByName(found)
+        label = components(links)
+    more = _verified(docs, classes, _rest_pairs(prefix, labels(), classes, percent), words, percent, id_col, text_col)
     final = components(links.unionByName(more))
     by_set = classes.join(final, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = by_set.groupBy("label").agg(F.min("least_id").alias("component_id"))
