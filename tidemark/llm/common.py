@@ -15,10 +15,14 @@ from tidemark.session import scratch_path
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder."""
+def small_batches(spark: SparkSession) -> None:
     for key, value in ARROW.items():
         spark.conf.set(key, value)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of a data folder."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
