@@ -25,7 +25,6 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import text_rows
 from tidemark.llm.html_tokens import BLOCK, RAW, VOID, Lines, Tag, tokens
 
 FIT_PAGES = 2000

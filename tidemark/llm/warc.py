@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import text_rows
-from tidemark.llm.html_tokens import BLOCK, Lines, Tag, tokens
+from tidemark.llm.html_tokens import BLOCK, Lines, tokens
 
 #: Capture time of pages that come without one.
 DATE = "2024-01-01T00:00:00Z"
