@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.session import scratch_path
 
 
 #: Arrow batches handed to Python stay small, whatever the length of the texts.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -36,8 +36,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def null_safe_text(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def release() -> None:
+    """At the end of a task: give Arrow's freed memory back to the system (Python workers are reused)."""
+    pa.default_memory_pool().release_unused()
 
 
 def text_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:

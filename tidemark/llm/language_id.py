@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import text_rows
+from tidemark.llm.common import release, text_rows
 
 PROFILE = 300
 ROWS_PER_LANGUAGE = 4000
@@ -130,6 +130,7 @@ def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PRO
         for batch in batches:
             found = [_judge(t, names, table, size) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+        release()
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may clash
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

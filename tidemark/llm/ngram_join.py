@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import keyed, materialize, text_rows, unkeyed
+from tidemark.llm.common import keyed, materialize, release, text_rows, unkeyed
 from tidemark.llm.components import components
 
 WORDS = 4
@@ -50,7 +50,7 @@ SEEDS = 3
 PASSAGE = 60
 RELATED = 0.001
 #: Index entries held by a map task before it writes them, and expected per bucket.
-FLUSH = 500_000
+FLUSH = 250_000
 BUCKET_ENTRIES = 500_000
 
 #: Rounds of hubs before the remaining pairs are written.
@@ -351,6 +351,7 @@ def _index(docs: DataFrame, starts: list[int], plans: dict[int, tuple], n_bucket
                     sigs, nodes, held = [], [], 0
         if held:
             yield flush()
+        release()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, entries binary")
 

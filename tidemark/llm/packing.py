@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize, text_rows
+from tidemark.llm.common import materialize, release, text_rows
 from tidemark.llm.tokens import encoder, public_tokenizer
 
 CAPACITY = 4096
@@ -162,6 +162,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
         enc.rest()
+        release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 

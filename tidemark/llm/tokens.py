@@ -136,8 +136,10 @@ class ChunkEncoder:
 
 
     def rest(self) -> None:
-        """Give back the older half of the cache at the end of a task (the worker may do other work next)."""
+        """Give back what a task leaves behind: the worker may do other work next."""
         self.old = {}
+        if len(self.young) > self.cache_entries // 4:
+            self.young = {}
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
