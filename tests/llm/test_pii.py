@@ -72,6 +72,23 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert masked[0] == "some words here card number [CARD] was charged today"
 
 
+def test_contexts_discover_other_forms(spark):
+    rows = [(k, f"please call me at +1 555-01{k:02d}23 before noon") for k in range(12)]
+    rows += [(20 + k, f"please write to some{k}.body@mail{k}.example.org for details") for k in range(12)]
+    cards = [v for v in (f"40000000000000{n:02d}" for n in range(100)) if luhn(v)]
+    rows += [(40 + k, f"debit the account no. {v} every month") for k, v in enumerate(cards)]
+    new = {60: ("please call me at {} before noon", "555-0199", "phone"), 61: ("please call me at {} before noon", "(020) 7946 0018", "phone"),
+           62: ("please call me at {} before noon", "01 23 45 67 89", "phone"), 63: ("please write to {} for details", "root@mailhost", "email"),
+           64: ("please write to {} for details", "jane(at)example.org", "email"), 65: ("debit the account no. {} every month", "AB-7733-19", "card"),
+           66: ("debit the account no. {} every month", "123456", "card")}
+    rows += [(k, t.format(x)) for k, (t, x, _) in new.items()]
+    rows += [(80, "we met at 1800 and in 2019 ate 555 plums"), (81, "the account of 123 people"), (82, "no. 77 in the list @home")]
+    out = {r["doc_id"]: r["spans"] for r in P.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (t, x, kind) in new.items():
+        assert out[k] == f"{kind}:{t.index('{')}:{t.index('{') + len(x)}", (k, out[k])
+    assert not any(out[k] for k in (80, 81, 82))
+
+
 def test_masking():
     assert P.mask("a x@y.z b", [(0, 2, 7)]) == "a [EMAIL] b"
     assert P.mask("0123456789", [(1, 2, 6), (2, 4, 8)]) == "01[IP]89"

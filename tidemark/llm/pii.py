@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base recognisers (email, ip, card, phone) give exact spans and the seeds. Every seed and every other
-identifier-like token of the corpus is an instance; the words around an occurrence, with the
-instance's shape, are lexical patterns. Over the pattern-instance graph Spark alternates: a pattern's
-confidence in a kind is the share of its occurrences held by instances believed to be of that kind
-(with at least ``SUPPORT`` different ones), and an unknown instance's belief is the noisy-or of its
-confident patterns. Instances believed after ``ROUNDS`` rounds add the spans of their occurrences.
+identifier-like token of the corpus (an @, or three digits or more, grouped or not) is an instance;
+the words around an occurrence, with the slot's coarse class (address or number), are lexical
+patterns. Over the pattern-instance graph Spark alternates: a pattern's confidence in a kind is the
+share of its occurrences held by instances believed to be of that kind (with at least ``SUPPORT``
+different ones), and an unknown instance's belief is the noisy-or of its confident patterns times a
+score of its form (short numbers and years prove less). Its exact form is free: a national phone
+number is found in the contexts of international ones. Instances believed after ``ROUNDS`` rounds add
+the spans of their occurrences.
 
 Base spans follow the patterns below, leftmost and non-overlapping per kind; a match that fails its
 check (range, digit count, Luhn) is dropped without a retry. Scans are linear in the text.
@@ -21,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import keyed, materialize, text_rows
 
@@ -38,9 +41,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_HINT = re.compile(r"[0-9]{4}|@")
-_TOKEN = re.compile(r"[A-Za-z0-9._%+@-]*")
-_RUNS = re.compile(r"[0-9]+|[a-z]+|[A-Z]+")
+_AT = re.compile(r"@|[(\[]at[)\]]", re.IGNORECASE)
+_HINT = re.compile(rf"[0-9]|{_AT.pattern}", re.IGNORECASE)
+_TOKEN = re.compile(r"[\w.%+@:/()\[\]-]*")
+_MARKS = "._%+@:/()[]-"
+#: Colon groups of hex digits (IPv6, MAC) stay whole; other tokens end at a colon.
+_HEX = re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,}")
+#: Groups of digits that read as one number.
+_NUMBER = re.compile(r"[0-9]{2}(?:[ ][0-9]{2}){3,}(?![0-9])|[0-9]++\)?(?:[ ]?[()./-][ ]?\(?[0-9]{2,}+|[ ]\(?[0-9]{3,}+)*+")
+_PLAIN = re.compile(r"[0-9().+/-]+")
+_WORD = re.compile(r"\w+")
 
 
 def _luhn(digits: str) -> bool:
@@ -99,44 +109,55 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def shape(instance: str) -> str:
-    """Runs of digits and letters by their class and length class."""
-    return _RUNS.sub(lambda m: ("9" if m[0][0].isdigit() else "a") + str(min(len(m[0]), 24)), instance)[:80]
-
-
 def context_patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: two words before; one before and one after."""
-    form = shape(text[start:end])
-    left = text[max(0, start - REACH):start].lower().split()[-2:]
-    right = text[end:end + REACH].lower().split()[:1]
+    """Lexical patterns around a span: two words before; one before and one after; with the slot's class."""
+    slot = "_@" if _AT.search(text, start, end) else "_9"
+    left = _WORD.findall(text[max(0, start - REACH):start].lower())[-2:]
+    right = _WORD.search(text[end:end + REACH].lower())
     out = []
     if len(left) == 2:
-        out.append(f"{left[0]} {left[1]} _{form}")
+        out.append(f"{left[0]} {left[1]} {slot}")
     if left and right:
-        out.append(f"{left[-1]} _{form} {right[0]}")
+        out.append(f"{left[-1]} {slot} {right[0]}")
     return out
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens (four digits in a row, or an @) outside the base spans."""
+    """Identifier-like tokens (an @, or at least three digits, grouped or not) outside the base spans."""
     out, end = [], 0
     taken = sorted((a, b) for _, a, b in base)
     k = 0
     at = _HINT.search(text)
     while at:
-        start = at.start()
-        while start > end and _TOKEN.fullmatch(text[start - 1]):
+        hint = start = at.start()
+        while start > end and (text[start - 1].isalnum() or text[start - 1] in _MARKS):
             start -= 1
-        stop = _TOKEN.match(text, at.start()).end()
+        stop = _TOKEN.match(text, hint).end()
+        if text.find(":", start, stop) >= 0 and not _HEX.fullmatch(text, start, stop):
+            start = max(start, text.rfind(":", start, hint) + 1)
+            colon = text.find(":", hint, stop)
+            stop = colon if colon >= 0 else stop
         end = max(stop, at.end())
-        while stop > start and text[stop - 1] in ".-%+":
+        while stop > start and text[stop - 1] in ".-%+:/()[]":
             stop -= 1
-        while start < stop and text[start] in ".-%+":
+        while start < stop and text[start] in ".-%+:/()[]":
             start += 1
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if not any(a < stop and b > start for a, b in taken[k:k + 8]) and stop - start >= 5:
-            out.append((start, stop))
+        if _PLAIN.fullmatch(text, start, stop):
+            m = _NUMBER.match(text, start, taken[k][0] if k < len(taken) and taken[k][0] > start else len(text))
+            if m and m.end() > stop:
+                stop = m.end()
+                end = max(end, stop)
+            if start and text[start - 1] == "(" and text.find(")", start, stop) >= 0:
+                start -= 1
+        if not any(a < stop and b > start for a, b in taken[k:k + 8]):
+            if _AT.search(text, start, stop):
+                wide = stop - start >= 5
+            else:
+                wide = len(_DIGIT.findall(text, start, stop)) >= 3 or (_HEX.fullmatch(text, start, stop) and _DIGIT.search(text, start, stop))
+            if wide:
+                out.append((start, stop))
         at = _HINT.search(text, end)
     return out
 
@@ -178,6 +199,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.mapInArrow(run, schema)
 
 
+def form_score(instance: str) -> Column:
+    """How far an instance's own form speaks for an identifier: short numbers and years say little."""
+    digits = F.length(F.regexp_replace(instance, "[^0-9]", ""))
+    return (F.when(F.col(instance).rlike(r"@|[(\[]at[)\]]"), 1.0)
+            .when(F.col(instance).rlike("^(19|20)[0-9]{2}$"), 0.82)
+            .when(digits <= 3, 0.85).when(digits <= 5, 0.92).otherwise(1.0))
+
+
 def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Believed unknown instances: instance, kind, belief. ``occurrences``: instance, kind (-1 unknown), pattern."""
     edges = materialize(occurrences.groupBy("instance", "pattern").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
@@ -198,7 +227,7 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                        F.log(F.greatest(F.lit(1e-3), 1 - F.col(f"s_{w}") / F.col("n")))).otherwise(0.0).alias(f"m_{w}") for w in weights]
         confident = scored.select("pattern", *miss).where(" + ".join(f"m_{w}" for w in weights) + " < 0")
         unknown = (edges.join(confident, "pattern").groupBy("instance")
-                   .agg(*[(1 - F.exp(F.sum(f"m_{w}"))).alias(w) for w in weights])
+                   .agg(*[((1 - F.exp(F.sum(f"m_{w}"))) * form_score("instance")).alias(w) for w in weights])
                    .join(seeds.select("instance"), "instance", "left_anti"))
         belief = materialize(seeds.unionByName(unknown), "pii-belief")
     new = belief.join(seeds.select("instance"), "instance", "left_anti")
