@@ -53,6 +53,23 @@ def test_edited_copies_and_paraphrases(spark):
     assert {(r["doc_id"], r["item_id"]) for r in out} == want
 
 
+def test_long_items_and_unspaced_scripts(spark):
+    rng = random.Random(3)
+    vocabulary = [f"term{i}" for i in range(4000)]
+    noise = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = {k: noise(n) for k, n in enumerate((100, 200, 250, 300, 400, 600, 1000))}
+    items[10] = "".join(chr(rng.randrange(0x4e00, 0x5e00)) for _ in range(40))
+    items[11] = noise(12)
+    part = items[5].split()
+    rows = [(k, f"{noise(70)} {t} {noise(50)}") for k, t in items.items() if k != 10]
+    rows += [(10, "".join(chr(rng.randrange(0x4e00, 0x5e00)) for _ in range(55)) + items[10] + "".join(chr(rng.randrange(0x4e00, 0x5e00)) for _ in range(30))),
+             (20, " ".join(part[:420])), (21, noise(30) + " " + " ".join(part[:200])), (22, noise(1500)), (23, items[10][:15])]
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    out = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(k, k) for k in items} | {(20, 5)}
+    assert all(r["overlap"] == 1 for r in out if r["doc_id"] < 20)
+
+
 def test_latent_space_equals_a_dense_svd(spark, documents):
     benchmark = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     items = D.Items(benchmark)

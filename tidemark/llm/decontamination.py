@@ -8,10 +8,15 @@ passage is compared there with every benchmark item by cosine; the candidates' w
 with the item by longest common subsequence, and items answered in the passage are accepted as
 paraphrases at a lower overlap.
 
-Passages that cannot reach the cosine threshold with any item are dropped before the SVD by an upper
-bound (each term's largest share of an item), which loses nothing. The benchmark is a stated
-query set: it is handled in blocks of ``BLOCK`` items, so term tables and latent vectors stay bounded
-however large it grows; what is kept of the corpus grows with the corpus.
+Items of more than ``LONG`` words are searched by their passages as well (query rows of their own,
+``WINDOW`` words each), for a passage is only a small part of them; alignment is always with the
+whole item, over the item's length on both sides of the passage.
+
+Passages that cannot reach the cosine threshold with any query row are dropped before the SVD by an upper
+bound (each term's largest share of a query row). The benchmark is a stated query set: it is handled in
+blocks of ``BLOCK`` query rows (one item at least), so term tables and latent vectors stay bounded
+however large it grows; what is kept of the corpus grows with the corpus. Scripts written without
+spaces are split into characters.
 
 Edge cases: null texts have no passages; items with fewer than ``LEAST_WORDS`` words prove nothing and
 are not searched; repeated items are separate items; repeated rows and null ids are kept; an empty
@@ -30,6 +35,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import keyed, materialize, text_rows, unkeyed
 
 WINDOW, STRIDE = 32, 16
+#: Longer items are also cut into passages; up to here a passage holds half of the item.
+LONG = 2 * WINDOW
 LEAST_WORDS = 6
 BLOCK = 256
 RANK = 288
@@ -39,8 +46,10 @@ COPY, PARAPHRASE = 0.6, 0.5
 #: Rows per piece of the summed matrices.
 PIECE = 64
 
-_WORD = re.compile(r"\w+")
-_SENTENCE = re.compile(r"[.!?:\n]\s*")
+#: Scripts without spaces: Thai to Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
+_SENTENCE = re.compile(r"[.!?:\n。！？：]\s*")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -73,13 +82,24 @@ def _contains(words: list[str], part: list[str]) -> bool:
     return any(words[i:i + n] == part for i, w in enumerate(words[:len(words) - n + 1]) if w == part[0])
 
 
+def query_rows(words: list[str]) -> list[list[str]]:
+    """The item, and its passages if it is a long one (the last ends with the item)."""
+    if len(words) <= LONG:
+        return [words]
+    starts = [*range(0, len(words) - WINDOW, WINDOW), len(words) - WINDOW]
+    return [words, *(words[a:a + WINDOW] for a in starts)]
+
+
 class Items:
-    """One block of the benchmark: words, answers, terms and weights."""
+    """One block of the benchmark: words, answers, query rows (with the first of each item), terms and weights."""
 
     def __init__(self, rows: list[tuple]):
         self.ids = [i for i, _ in rows]
         self.words = [words_of(t) for _, t in rows]
         self.answers = [answer_of(t) for _, t in rows]
+        rows_of = [query_rows(x) for x in self.words]
+        self.rows = [r for x in rows_of for r in x]
+        self.first = np.cumsum([0, *map(len, rows_of)])[:-1]
         self.terms = {w: k for k, w in enumerate(sorted({w for x in self.words for w in x}))}
         self.weights = np.zeros(len(self.terms))
 
@@ -89,8 +109,8 @@ class Items:
             self.weights[k] = np.log((1 + documents) / (1 + frequency.get(w, 0))) ** 2 + 1e-6
 
     def vectors(self) -> np.ndarray:
-        out = np.zeros((len(self.ids), len(self.terms)))
-        for i, ws in enumerate(self.words):
+        out = np.zeros((len(self.rows), len(self.terms)))
+        for i, ws in enumerate(self.rows):
             for w in ws:
                 out[i, self.terms[w]] += 1
         out *= self.weights
@@ -117,16 +137,28 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset[str], text_col: st
     return found, found.pop(None, 0)
 
 
+def reach_of(item: list[str]) -> int:
+    """Words on each side of a passage among which the item is sought."""
+    return len(item) if len(item) > LONG else LONG // 2
+
+
 def passages(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages that may reach the threshold: doc_id, txt, at (first word), terms, counts, and the words around."""
-    reach = max(map(len, items.words)) // 2
+    reach = max(reach_of(x) for x in items.words)
     terms, weights = items.terms, np.append(items.weights, 0.0)
     share = np.append(items.vectors().max(axis=0), 0.0)  # a term's largest share of an item
     missing = len(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out, size = [[] for _ in range(6)], 0
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(out[0], batch.schema.field("doc_id").type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
+                     pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.list_(pa.int32())), pa.array(out[5], pa.string())],
+                    names=["doc_id", "txt", "at", "terms", "counts", "around"])
+
             for doc, txt, text in text_rows(batch, "doc_id", "txt", "text"):
                 ws = words_of(text)
                 if not ws:
@@ -146,10 +178,11 @@ def passages(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col: st
                         continue
                     for c, v in zip(out, (doc, txt, a, found[keep], n[keep], " ".join(ws[max(0, a - reach):b + reach]))):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], batch.schema.field("doc_id").type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                 pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.list_(pa.int32())), pa.array(out[5], pa.string())],
-                names=["doc_id", "txt", "at", "terms", "counts", "around"])
+                    size += len(out[5][-1])
+                    if size > 4 << 20:  # long items have long surroundings
+                        yield made()
+                        out, size = [[] for _ in range(6)], 0
+            yield made()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
@@ -234,20 +267,23 @@ def latent_space(rows: DataFrame, items: Items, rank: int = RANK, seed: int = 7)
 def matches(rows: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
     """doc_id, txt, item (place in the block), cosine, overlap, answered: verified candidates."""
     latent = items.vectors() @ space
+    reach = max(reach_of(x) for x in items.words)
     sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast((items.weights, space, latent, items.words, items.answers))
+    shared = sc.broadcast((items.weights, space, latent, items.first, items.words, items.answers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, v, q, item_words, answers = shared.value
+        w, v, q, first, item_words, answers = shared.value
         for batch in batches:
-            around = batch.column("around")
+            around, starts = batch.column("around"), batch.column("at")
             out: list[list] = [[], [], [], []]
             places = []
             at = 0
             for x in _dense(batch, w):
-                near = (x @ v) @ q.T
+                near = np.maximum.reduceat((x @ v) @ q.T, first, axis=1)  # the nearest query row of each item
                 for i, j in zip(*np.nonzero(near >= COSINE)):
                     words, item = around[at + int(i)].as_py().split(" "), item_words[j]
+                    lead, own = min(starts[at + int(i)].as_py(), reach), reach_of(item)
+                    words = words[max(0, lead - own):lead + WINDOW + own]
                     overlap = lcs(item, words) / len(item)
                     if overlap < PARAPHRASE:
                         continue
@@ -264,7 +300,7 @@ def matches(rows: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
                 names=["doc_id", "txt", "item", "cosine", "overlap", "answered"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "txt", "terms", "counts", "around").mapInArrow(
+    return rows.select("doc_id", "txt", "at", "terms", "counts", "around").mapInArrow(
         run, f"doc_id {kind}, txt long, item int, cosine double, overlap double, answered boolean")
 
 
@@ -284,16 +320,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         items.weigh(*document_frequency(docs, frozenset(items.terms), text_col))
         kept = materialize(passages(docs, items, id_col, text_col), "leak-passages")
         names = spark.createDataFrame(list(enumerate(items.ids)), f"item int, item_id {item_kind}")
-        hits = matches(kept, items, latent_space(kept, items)).join(F.broadcast(names), "item")  # at most a block
+        hits = matches(kept, items, latent_space(kept, items, max(RANK, len(items.rows) + 32))).join(F.broadcast(names), "item")  # at most a block
         return materialize(hits.groupBy("doc_id", "txt", "item_id").agg(
             F.max("cosine").alias("cosine"), F.max("overlap").alias("overlap"), F.max("answered").alias("answered")), "leaks")
 
+    size = 0
     for r in rows:
-        block.append((r["item_id"], r["text"]))
-        if len(block) == BLOCK:
+        more = len(query_rows(words_of(r["text"])))
+        if block and size + more > BLOCK:
             part = search()
             found = part if found is None else found.unionByName(part)
-            block = []
+            block, size = [], 0
+        block.append((r["item_id"], r["text"]))
+        size += more
     if block:
         part = search()
         found = part if found is None else found.unionByName(part)
