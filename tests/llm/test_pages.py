@@ -49,6 +49,20 @@ def test_unmarked_pages(spark):
             assert E.extract(TEMPLATE % (a, b), weights) == STORY
 
 
+def test_class_names_that_only_mention_a_hint():
+    story = "<p>" + "Long story text here. " * 20 + "</p>"
+    for name in ("content no-sidebar", "post has-sidebar", "entry comments-open", "layout-sidebar-right", "story social-science",
+                 "side-by-side", "sidebar"):
+        for tag in ("div", "article", "section"):
+            page = f'<html><body><{tag} class="{name}">{story}</{tag}><div class="sidebar"><p>Other things</p></div></body></html>'
+            assert E.extract(page, {}) == ("Long story text here. " * 20).strip(), (name, tag)
+    two = '<body><div class="entry comments-open"><p>First entry text here.</p></div><div class="entry has-sidebar"><p>Second one.</p></div></body>'
+    assert E.extract(two, {}) == "First entry text here.\nSecond one."
+    # what was learned of such elements counts
+    assert "Second" not in E.extract(two, {"w:p/hint": -3.0})
+    assert "First" in E.extract('<div class="sidebar">x y</div><div class="sidebar">' + "First " * 9 + "</div>", {})
+
+
 def test_best_run_equals_all_runs():
     import random
     rng = random.Random(4)

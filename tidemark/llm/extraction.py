@@ -9,7 +9,9 @@ Labelled pages are those whose article is marked up (one ``article`` or ``main``
 elements themselves are no features, so pages without them are scored by the rest. Weights are
 fitted on a bounded sample of ``FIT_PAGES`` pages (by a hash of the id); every page is then extracted
 whole. Elements that are never article text (scripts, forms, navigation, adverts, reader comments ...)
-score nothing and give no text, wherever they stand.
+score nothing and give no text, wherever they stand. A class, id or role says so only as a whole word
+('sidebar', not 'no-sidebar'), and never of an article or of an element with most of the page's words;
+a word inside a longer name is a feature of the texts in that element, for the weights to judge.
 
 Edge cases: null and empty html give an empty text; a page without any word or with no labelled
 pages to learn from falls back to the plain scores; unclosed elements end at the next block; repeated
@@ -19,7 +21,7 @@ and null ids are separate rows; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
 import pyarrow as pa
@@ -34,11 +36,13 @@ WORD, TAG, MOST = 1.0, -0.5, 3.0
 #: Elements without article text.
 NEVER = frozenset("""script style head title noscript template iframe nav footer aside form select button textarea
 input svg canvas object menu dialog noembed noframes""".split())
-#: Class, id and role words of such blocks.
-HINTS = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|
+#: Class, id and role words of such blocks: whole, and as part of a longer name.
+_NAMES = r"""(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|
   nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|comments?|reader-comments|disqus|replies|respond|
   related|recommended|share|sharing|social|subscribe|newsletter|signup|login|search|popup|modal|overlay|
-  contentinfo|complementary|alert)(?=$|[\s_-])""", re.IGNORECASE | re.VERBOSE)
+  contentinfo|complementary|alert|(?:cookies?|consent|gdpr)[_-](?:notices?|banner|bar|consent))"""
+HINTS = re.compile(rf"(?:^|\s){_NAMES}(?=$|\s)", re.IGNORECASE | re.VERBOSE)
+PARTS = re.compile(rf"(?:^|[\s_-]){_NAMES}(?=$|[\s_-])", re.IGNORECASE | re.VERBOSE)
 MARKED = ("article", "main")
 #: Tags that more often part an article from its surroundings than its own blocks.
 LAYOUT = frozenset("html body div section table tr td th article main header fieldset".split())
@@ -57,7 +61,15 @@ class Word:
 CUT = Tag("div", True, "")
 
 
-def _excluded(tag: Tag, marked: int) -> bool:
+def _names(tag: Tag) -> str:
+    if not tag.source.strip(" /\n\t>"):
+        return ""
+    a = tag.attributes
+    return " ".join(a.get(k, "") for k in ("class", "id", "role"))
+
+
+def _excluded(tag: Tag, marked: int, most: Callable[[], bool]) -> bool:
+    """``most``: whether the element holds most of the page's words."""
     if tag.name in NEVER:
         return True
     if tag.name == "header":
@@ -65,14 +77,31 @@ def _excluded(tag: Tag, marked: int) -> bool:
     if tag.name in ("main", "body", "html"):
         return False
     if tag.source.strip(" /\n\t>"):
-        a = tag.attributes
-        if a.get("hidden") is not None and "hidden" in a:
+        if "hidden" in tag.attributes:
             return True
-        named = " ".join(a.get(k, "") for k in ("class", "id", "role"))
-        return bool(named.strip()) and HINTS.search(named) is not None
+        return tag.name != "article" and HINTS.search(_names(tag)) is not None and not most()
     return False
 
 
+def _extents(flat: list[Tag | str]) -> tuple[dict[int, int], list[int]]:
+    """Where each element closes (by the place of its tag), and the visible words before each place."""
+    open_: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    words, raw = [0], ""
+    for i, t in enumerate(flat):
+        if isinstance(t, str):
+            words.append(words[-1] + (0 if raw else len(t.split())))
+            continue
+        words.append(words[-1])
+        raw = t.name if not t.closing and t.name in RAW else ""
+        if not t.closing:
+            if t.name not in VOID:
+                open_.setdefault(t.name, []).append(i)
+        elif open_.get(t.name):
+            ends[open_[t.name].pop()] = i
+    return ends, words
+
+
 def scan(html: str) -> list[Word | Tag]:
     """The page without excluded elements; every text knows its surroundings."""
     out: list[Word | Tag] = []
@@ -82,7 +111,18 @@ def scan(html: str) -> list[Word | Tag]:
         if isinstance(t, Tag) and t.closing:
             closes[t.name] = closes.get(t.name, 0) + 1
     block, link, marked, skip, depth = "body", 0, 0, "", 0
-    for t in flat:
+    extents: tuple[dict[int, int], list[int]] | None = None
+    soft: list[int] = []  # where the open elements close whose names hold a hint
+
+    def most(i: int) -> bool:
+        nonlocal extents
+        extents = extents or _extents(flat)
+        ends, words = extents
+        return 2 * (words[ends[i]] - words[i]) > words[-1] if i in ends else False
+
+    for i, t in enumerate(flat):
+        while soft and soft[-1] <= i:
+            soft.pop()
         if isinstance(t, Tag) and t.closing:
             closes[t.name] -= 1
         if skip:
@@ -103,7 +143,7 @@ def scan(html: str) -> list[Word | Tag]:
                 continue
         if isinstance(t, str):
             if t.strip():
-                out.append(Word(t, block + ("/a" if link else ""), marked > 0))
+                out.append(Word(t, block + ("/a" if link else "") + ("/hint" if soft else ""), marked > 0))
             elif out and isinstance(out[-1], Word):
                 out[-1].text += " "
             elif t:
@@ -116,7 +156,7 @@ def scan(html: str) -> list[Word | Tag]:
                 link = max(0, link - 1)
             if t.name in BLOCK:
                 block, link = "body", 0
-        elif _excluded(t, marked):
+        elif _excluded(t, marked, lambda i=i: most(i)):
             if t.name not in VOID:
                 skip, depth = t.name, (1 if closes.get(t.name, 0) > 0 or t.name in RAW else -1)
             if t.name in BLOCK:
@@ -129,6 +169,8 @@ def scan(html: str) -> list[Word | Tag]:
                 link = 1
             if t.name in BLOCK and t.name not in MARKED:
                 block = t.name
+                if PARTS.search(_names(t)) and not most(i) and i in extents[0]:
+                    soft.append(extents[0][i])
         out.append(t)
     return out
 
@@ -206,7 +248,8 @@ def extract(html: str, weights: dict[str, float]) -> str:
     marked = any(isinstance(t, Word) and t.inside for t in page)
     scores = []
     for t in page:
-        w = 0.0 if t is CUT else weights.get(_label(t), 0.0)
+        label = _label(t)
+        w = 0.0 if t is CUT else weights.get(label, weights.get(label.removesuffix("/hint"), 0.0))
         if t is CUT:
             scores.append(0.0)
         elif isinstance(t, Word):
