@@ -63,6 +63,17 @@ def test_class_names_that_only_mention_a_hint():
     assert "First" in E.extract('<div class="sidebar">x y</div><div class="sidebar">' + "First " * 9 + "</div>", {})
 
 
+def test_a_marked_card_does_not_replace_the_text(spark):
+    learned = E.fit_weights(pages(spark))
+    story = " ".join(f"<p>Paragraph {k} of the long main text with some more words in it.</p>" for k in range(12))
+    text = re.sub(r"<[^>]*>", "", story.replace("</p> <p>", "\n"))
+    card = "<article><h3>Teaser</h3><p>A short card text.</p></article>"
+    for weights in (learned, {}):
+        assert text in E.extract(f"<body><div>{story}</div><footer>x</footer>{card}</body>", weights)
+        assert text in E.extract(f"<body>{card}<div>{story}</div></body>", weights)
+        assert E.extract(f"<body><p>Before it.</p><article>{story}</article><p>After it.</p></body>", weights) == text
+
+
 def test_best_run_equals_all_runs():
     import random
     rng = random.Random(4)
