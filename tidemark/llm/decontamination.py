@@ -13,7 +13,9 @@ Items of more than ``LONG`` words are searched by their passages as well (query
 whole item, over the item's length on both sides of the passage.
 
 Passages that cannot reach the cosine threshold with any query row are dropped before the SVD by an upper
-bound (each term's largest share of a query row). The benchmark is a stated query set: it is handled in
+bound on the plain TF-IDF cosine (each term's largest share of a query row). Candidates must therefore
+share words with the item: the latent space is fitted on the passages that pass and ranks only those, and a
+passage near an item by related words alone is not found. The benchmark is a stated query set: it is handled in
 blocks of ``BLOCK`` query rows (one item at least), so term tables and latent vectors stay bounded
 however large it grows; what is kept of the corpus grows with the corpus. Scripts written without
 spaces are split into characters.
