@@ -123,6 +123,16 @@ def test_warc_round_trip(tmp_path, spark):
             assert json.loads(block)["Envelope"]["WARC-Header-Metadata"] == origin
 
 
+def test_heads_without_end():
+    links = [{"path": "LINK@/href", "url": "/c"}, {"path": "A@/href", "url": "/q"}]
+    for end, body in (("", ""), ("</head>", "<body>"), ("", "<body>"), ("</head>", "")):
+        text, about = W.describe(f'<html><head><title>T</title><style>p{{}}</style><link rel=canonical href="/c">\n{end}{body}<p>x y</p><a href="/q">l</a>')
+        assert text == "T\nx y\nl" and about == {"title": "T", "lang": "", "links": links}, (end, body)
+    assert W.describe("<head><meta charset=x>plain text<p>z")[0] == "plain text\nz"
+    assert W.describe("<p>a</p><noscript>b<p>c</p>")[0] == "a\nb\nc" and W.describe("<p>a<template>b<p>c")[0] == "ab\nc"
+    assert W.describe("<head><noscript><p>b</p></noscript><p>a</p><template>h</template>")[0] == "a"
+
+
 def test_conversion_text(spark):
     text, about = W.describe('<html lang=en><head><title>A &amp; b</title></head><body><p>x <b>y</b><br>z</p><a href="/q">l</a><script>no</script>')
     assert text == "A & b\nx y z\nl" and about == {"title": "A & b", "lang": "en", "links": [{"path": "A@/href", "url": "/q"}]}

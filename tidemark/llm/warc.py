@@ -4,7 +4,8 @@ Each response record (built here from a page's url and html) gives two linked re
 a JSON description of the response (its headers, HTTP headers, title, language, links), and
 ``conversion``, the page's visible text. Both name the response in WARC-Refers-To, carry its target
 uri and date over, and keep its block and payload digests beside their own. Identifiers are made
-from content, so a task that runs again writes the same records.
+from content, so a task that runs again writes the same records. A head ends at </head> or at the first
+text or element that cannot stand in one; its link elements are listed with the links.
 
 Edge cases: null html is an empty payload, null url an empty target; repeated rows give repeated
 records with equal identifiers; null ids are kept; line breaks in a url are percent-encoded; an empty
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import text_rows
-from tidemark.llm.html_tokens import BLOCK, Lines, tokens
+from tidemark.llm.html_tokens import BLOCK, RAW, Lines, Tag, tokens
 
 #: Capture time of pages that come without one.
 DATE = "2024-01-01T00:00:00Z"
 #: Elements that are never visible text.
-HIDDEN = frozenset({"script", "style", "template", "noscript", "iframe", "xmp", "noembed", "noframes", "textarea", "head"})
+HIDDEN = frozenset({"script", "style", "template", "noscript", "iframe", "xmp", "noembed", "noframes", "textarea"})
+#: Elements that may stand in a head; any other ends it.
+HEAD = frozenset({"title", "meta", "link", "base", "style", "script", "noscript", "template", "noframes", "basefont", "bgsound"})
 
 Headers = list[tuple[str, str]]
 
@@ -63,14 +66,22 @@ def response(page_id, url: str | None, html: str | None, date: str = DATE) -> tu
 
 def describe(html: str) -> tuple[str, dict]:
     """Visible text of a page (its title first), and title, language and links."""
-    lines, title, links, lang, skip, in_title = Lines(), [], [], "", "", False
-    for t in tokens(html):
+    lines, title, links, lang, skip, in_title, in_head = Lines(), [], [], "", "", False, False
+    flat = list(tokens(html))
+    closes: dict[str, int] = {}
+    for t in flat:
+        if isinstance(t, Tag) and t.closing and t.name in HIDDEN:
+            closes[t.name] = closes.get(t.name, 0) + 1
+    for t in flat:
         if isinstance(t, str):
             if in_title:
                 title.append(t)
-            elif not skip:
+            elif not skip and (not in_head or t.strip()):
+                in_head = False
                 lines.text(t)
             continue
+        if t.closing and t.name in HIDDEN:
+            closes[t.name] -= 1
         if t.name == "title":
             in_title = not t.closing
             continue
@@ -81,7 +92,8 @@ def describe(html: str) -> tuple[str, dict]:
                 skip = ""
             continue
         if not t.closing:
-            if t.name in HIDDEN:
+            in_head = t.name == "head" or (in_head and t.name in HEAD)
+            if t.name in HIDDEN and (t.name in RAW or closes.get(t.name, 0) > 0):  # one never closed hides nothing
                 lines.cut()
                 skip = t.name
                 continue
@@ -91,6 +103,8 @@ def describe(html: str) -> tuple[str, dict]:
                 a = t.attributes
                 if to := a.get("href") or a.get("src"):
                     links.append({"path": f"{t.name.upper()}@/{'href' if 'href' in a else 'src'}", "url": to})
+        elif t.name == "head":
+            in_head = False
         if t.name in BLOCK:
             lines.cut()
         elif t.name == "br":
