@@ -113,3 +113,27 @@ def test_token_files_have_the_stated_layout(tmp_path, spark, documents):
     assert columns["doc_id"].has_offset_index and columns["doc_id"].has_column_index
     plan = TF.read_token_files(spark, path, tokens=False)._jdf.queryExecution().toString()
     assert "tokens:array" not in plan.split("ReadSchema")[-1]
+
+
+def test_packing_branches_over_fillings():
+    import random
+    from functools import lru_cache
+    from tidemark.llm import packing as K
+
+    def fewest(pieces, capacity):
+        @lru_cache(None)
+        def best(left):  # (sequences, room used in the last): subset by subset
+            if not left:
+                return 0, 0
+            return min((n, u + pieces[i]) if u and u + pieces[i] <= capacity else (n + 1, pieces[i])
+                       for i in range(len(pieces)) if left >> i & 1 for n, u in [best(left & ~(1 << i))])
+        return best((1 << len(pieces)) - 1)[0]
+
+    rng = random.Random(8)
+    sets = [[24, 21, 20, 15, 15, 11, 7, 5]] + [[rng.randint(4, 30) for _ in range(rng.randint(7, 10))] for _ in range(150)]
+    for pieces in sets:
+        histogram = {s: pieces.count(s) for s in pieces}
+        made = K.complete_bins(histogram, 40)
+        assert all(sum(x) <= 40 for x, _ in made)
+        assert sorted(s for x, m in made for s in x * m) == sorted(pieces)
+        assert sum(m for _, m in made) == fewest(pieces, 40), pieces

@@ -30,6 +30,8 @@ END_ID = 1
 SALTS = 1024
 #: Search nodes per filling and per tail search; past it the best solution so far stands.
 NODES = 20_000
+#: Sequences a tail search packs anew, fewest first.
+TAILS = (3, 6, 12, 24)
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -101,7 +103,81 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     if sum(m for _, m in by_completion) == bound:
         return by_completion
     by_best_fit = _fill(histogram, capacity, lambda sizes, counts, room: _best_fit(sizes, counts, room))
-    return min((by_completion, by_best_fit), key=lambda x: sum(m for _, m in x))
+    best = min((by_completion, by_best_fit), key=lambda x: sum(m for _, m in x))
+    return _improve(best, capacity, bound)
+
+
+def _improve(packing: list[tuple[list[int], int]], capacity: int, bound: int) -> list[tuple[list[int], int]]:
+    """``packing`` with its last sequences packed anew while that saves one and the lower bound is not reached."""
+    total = sum(m for _, m in packing)
+    at = 0
+    while total > bound and at < len(TAILS):
+        head, tail, room = list(packing), [], TAILS[at]
+        while head and room:
+            filling, times = head.pop()
+            taken = min(times, room)
+            tail += [filling] * taken
+            room -= taken
+            if times > taken:
+                head.append((filling, times - taken))
+        fewer = _tail_search([s for x in tail for s in x], capacity, len(tail))
+        if fewer is None:
+            at += 1
+            continue
+        packing, total = head + [(x, 1) for x in fewer], total - len(tail) + len(fewer)
+    return packing
+
+
+def _tail_search(pieces: list[int], capacity: int, known: int, nodes: int = NODES) -> list[list[int]] | None:
+    """Fewer than ``known`` sequences for ``pieces``, or None: branches over the undominated fillings around the largest piece."""
+    counts: dict[int, int] = {}
+    for s in pieces:
+        counts[s] = counts.get(s, 0) + 1
+    sizes = sorted(counts, reverse=True)
+    budget = [nodes]
+
+    def fillings(i: int, room: int, chosen: list[int]) -> Iterator[list[int]]:
+        """Fillings of the room to which no piece left can be added."""
+        while i < len(sizes) and (sizes[i] > room or counts[sizes[i]] == 0):
+            i += 1
+        budget[0] -= 1
+        if budget[0] <= 0:
+            return
+        if i == len(sizes):
+            if all(counts[s] == 0 or s > room for s in sizes):
+                yield list(chosen)
+            return
+        s = sizes[i]
+        most = min(counts[s], room // s)
+        for k in range(most, -1, -1):
+            counts[s] -= k
+            yield from fillings(i + 1, room - s * k, chosen + [s] * k)
+            counts[s] += k
+
+    def search(left: int, limit: int) -> list[list[int]] | None:
+        """At most ``limit`` sequences for what is left."""
+        if left == 0:
+            return []
+        if left > limit * capacity or budget[0] <= 0:
+            return None
+        largest = next(s for s in sizes if counts[s])
+        counts[largest] -= 1
+        found = sorted(fillings(0, capacity - largest, []), key=lambda x: (-sum(x), len(x)))
+        for filling in found:
+            if left - largest - sum(filling) > (limit - 1) * capacity:
+                break
+            for s in filling:
+                counts[s] -= 1
+            rest = search(left - largest - sum(filling), limit - 1)
+            for s in filling:
+                counts[s] += 1
+            if rest is not None:
+                counts[largest] += 1
+                return [[largest, *filling], *rest]
+        counts[largest] += 1
+        return None
+
+    return search(sum(pieces), known - 1)
 
 
 def _fill(histogram: dict[int, int], capacity: int, fill) -> list[tuple[list[int], int]]:
