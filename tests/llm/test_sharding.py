@@ -62,3 +62,12 @@ def test_written_shards_hold_their_documents(tmp_path, spark, documents):
     S.write_shards(documents, out, str(tmp_path / "shards"))
     back = spark.read.option("basePath", str(tmp_path / "shards")).schema(documents.schema).parquet(str(tmp_path / "shards"))
     assert back.count() == documents.count()
+
+
+def test_written_shards_keep_null_and_repeated_ids(tmp_path, spark, odd):
+    rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(9, "same text again")] * 25, "doc_id long, text string"))
+    out = S.extendible_shards(rows, 60)
+    S.write_shards(rows, out, str(tmp_path / "shards"))
+    back = spark.read.schema("doc_id long, text string, shard string").parquet(str(tmp_path / "shards"))
+    assert Counter(tuple(r) for r in back.select("doc_id", "text").collect()) == Counter(tuple(r) for r in rows.collect())
+    assert Counter(r["shard"] or "" for r in back.collect()) == Counter(r["shard"] for r in out.collect())

@@ -105,13 +105,34 @@ def extendible_shards(docs: DataFrame, limit_bytes: int = SHARD_BYTES, id_col: s
                       "shard_bytes", "shard_docs")
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
+def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``docs`` with one folder per shard (rows of a shard meet in one task, at most a shard's bytes).
 
-    ``id_col`` must be unique here; the assignment table itself has no such need.
+    A row finds its shard by null-safe id and the key's prefix; copies on overflow pages are numbered.
     """
-    keyed = docs.join(shards.select(id_col, "shard"), id_col)
-    keyed.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+    text_md5 = F.coalesce(F.md5(F.col(text_col)), F.lit("-"))
+    unit = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), text_md5))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(id_col)
+    rows = docs.withColumns({"shard key": unit}).toDF(*names, "unit")
+    rows = rows.withColumn("h", F.conv(F.substring("unit", 1, KEY_BITS // 4), 16, 10).cast("long"))
+    pages = (shards.groupBy(F.col(id_col).alias("s_id"), "depth", "prefix", "shard").agg(F.count(F.lit(1)).alias("n"))
+             .withColumn("s_unit", F.regexp_extract("shard", r"-([0-9a-f]{32})\.", 1))
+             .withColumn("base", F.regexp_extract("shard", r"^([^.]*)", 1)))
+    leaves = pages.groupBy("s_id", "depth", "prefix", "s_unit", "base").agg(F.max("n").alias("per_page"))
+    placed = rows.join(leaves, F.col(names[at]).eqNullSafe(F.col("s_id")) & F.expr(f"shiftright(h, {KEY_BITS} - depth) = prefix")
+                       & F.expr("s_unit IN ('', unit)"))
+    placed = materialize(placed.select(*names, "unit", "s_unit", "base", "per_page", F.monotonically_increasing_id().alias("m"))
+                         .withColumn("part", F.shiftright("m", 33)), "shard-rows")
+    # copies are numbered inside each part, after those of the parts before
+    over = placed.where("s_unit <> ''")
+    before = (over.groupBy("unit", "part").agg(F.count(F.lit(1)).alias("k"))
+              .withColumn("before", F.sum("k").over(Window.partitionBy("unit").orderBy("part")) - F.col("k")).drop("k"))
+    over = (over.withColumn("i", F.row_number().over(Window.partitionBy("unit", "part").orderBy("m")) - 1).join(before, ["unit", "part"])
+            .withColumn("shard", F.expr("concat(base, '.', CAST((before + i) DIV per_page AS STRING))")))
+    out = placed.where("s_unit = ''").withColumn("shard", F.col("base")).select(*names, "shard").unionByName(over.select(*names, "shard"))
+    out = out.toDF(*docs.columns, "shard")
+    out.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
 
 
 SQL = f"""
