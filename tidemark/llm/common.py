@@ -26,13 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     """``df`` written as Parquet to the cluster's shared checkpoint folder and read again.
 
     Cuts the lineage: a lost executor costs the tasks that ran on it, never the stages before.
+    ``partitions``: columns by whose values the folder is divided.
     """
     path = scratch_path(df.sparkSession, f"llm-{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -62,10 +62,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives_digest(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence import divergence
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sentencepieces import pieces_digest
+    return pieces_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.va_clustering import clusters_digest
+    return clusters_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_pii, op4_token_files, op5_ngram_join, op6_extraction, op7_decontamination,
-                                   op8_fingerprints, op9_language_id, op10_warc)}
+                                   op8_fingerprints, op9_language_id, op10_warc, op11_source_divergence, op12_sentencepiece,
+                                   op13_centroid_clustering)}
 
 
 def oracles() -> dict[str, str]:
-    from tidemark.llm import sharding
-    return {"op1_sharding": sharding.SQL}
+    from tidemark.llm import divergence, sharding, va_clustering
+    return {"op1_sharding": sharding.SQL, "op11_source_divergence": divergence.SQL,
+            "op13_centroid_clustering": va_clustering.sql()}
