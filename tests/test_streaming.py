@@ -38,7 +38,7 @@ def test_refresh_marts_equals_batch(spark):
         q = S.refresh_marts_stream(raw_messages_from_events(src), f"{base}/events", f"{base}/dead",
                                    f"{base}/daily", sym, f"{base}/ck{i}")
         q.awaitTermination()
-    streamed = spark.read.parquet(f"{base}/daily").drop("ticker_bucket")
+    streamed = spark.read.parquet(f"{base}/daily").drop("block", "ticker_bucket")
     stored = spark.read.parquet(f"{base}/events")
     batch = daily_stock_summary(stage_stock_prices(stored), sym)
     assert streamed.count() == batch.count() > 0
@@ -150,23 +150,6 @@ def test_nothing_is_lost_or_stored_twice(spark, tmp_path):
     assert (broken / "part-0.parquet").read_bytes() == b"unreadable"
 
 
-def test_late_events_correct_their_hour(spark, tmp_path):
-    from tidemark.operators.staging import stage_stock_prices
-    from tidemark.sources.fixtures import load_stock_prices
-    events = stage_stock_prices(load_stock_prices(spark, SF))
-    half = events.where("id % 3 = 0")
-    path = str(tmp_path / "bars")
-    for k, part in enumerate((half, events.where("id % 3 <> 0"), half)):
-        if k < 2:  # the second batch is all late; a repeated batch overwrites its own folder
-            S.hourly_bars(part).write.mode("overwrite").parquet(f"{path}/batch_id={k}")
-        else:
-            S.hourly_bars(part).write.mode("overwrite").parquet(f"{path}/batch_id=0")
-    got = S.current_bars(spark, path)
-    S.hourly_bars(events).write.parquet(str(tmp_path / "all/batch_id=0"))
-    want = S.current_bars(spark, str(tmp_path / "all"))
-    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
-
-
 def test_backfill_sets_rejected_bars_aside(spark, tmp_path):
     from tidemark.sources.fixtures import load_bars
     from tidemark.sources.ingest import backfill

@@ -94,9 +94,10 @@ def _has_col(df: DataFrame, name: str) -> bool:
 def article_key(title: Column, description: Column) -> Column:
     """NWS-1: lower-cased title + description, non [a-z0-9 ] → space, collapsed, first 18 tokens."""
     base = F.lower(F.concat_ws(" ", F.when(title != "", title), F.when(description != "", description)))
-    cleaned = F.trim(F.regexp_replace(F.regexp_replace(base, r"[^a-z0-9\s]", " "), r"\s+", " "))
-    toks = F.split(cleaned, " ")
-    return F.when(cleaned == "", F.lit("")).otherwise(F.array_join(F.slice(toks, 1, ARTICLE_KEY_TOKENS), " "))
+    # tokens are what stands between runs of other characters; the limit ends the search behind the last one
+    # needed (the first part may be empty, the part beyond the limit is the rest of the text)
+    toks = F.filter(F.split(base, "[^a-z0-9]+", ARTICLE_KEY_TOKENS + 2), lambda t: t != "")
+    return F.array_join(F.slice(toks, 1, ARTICLE_KEY_TOKENS), " ")
 
 
 def dedupe_articles(articles: DataFrame, batch_col: str = "fetch_batch", order_col: str = "position") -> DataFrame:
@@ -106,11 +107,10 @@ def dedupe_articles(articles: DataFrame, batch_col: str = "fetch_batch", order_c
     """
     keyed = articles.withColumn("article_key", article_key(F.col("title"), F.col("description"))) \
         .filter(F.col("article_key") != "")
-    # one aggregate with map-side combine: a key copied many times is reduced before the shuffle
-    cols = [c for c in keyed.columns if c not in (batch_col, "article_key")]
-    g = keyed.groupBy(batch_col, "article_key").agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"))
-    return g.select(*[F.col(f"_r.{c}").alias(c) if c in cols else F.col(c) for c in keyed.columns])
+    # rank 1 of a group runs as a limit per group before the shuffle (a key copied many times sends one row a
+    # task), and columns that no one reads later are not carried
+    first = Window.partitionBy(batch_col, "article_key").orderBy(order_col)
+    return keyed.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == 1).drop("_r")
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -131,16 +131,23 @@ def _mention_array(text_col: str, ticker_col: str) -> Column:
         .otherwise(F.concat(F.col("canonical_entity_matches"), mapped))
 
 
-def rank_mentions_inline(mentions: Column, n: int = TOP_ENTITIES_PER_ARTICLE) -> Column:
-    """Top-n (name, count) of a mention array inside the row: count desc, first mention asc.
+def rank_mentions_inline(rows: DataFrame, mentions: str, out: str, n: int = TOP_ENTITIES_PER_ARTICLE) -> DataFrame:
+    """``out``: the top-n (name, count) of a mention array inside the row, by count desc, first mention asc.
 
-    Quadratic in the mentions of one row, so meant for short texts (titles + descriptions);
-    long texts go through ``entity_mentions`` + ``top_entities`` (grouped, linear)."""
-    keyed = F.transform(F.array_distinct(mentions), lambda x: F.struct(
-        (-F.size(F.filter(mentions, lambda y: y == x))).alias("nc"),
-        F.array_position(mentions, x).alias("pos"), x.alias("name")))
-    top = F.slice(F.array_sort(keyed), 1, n)
-    return F.transform(top, lambda e: F.struct(e["name"].alias("name"), (-e["nc"]).cast("bigint").alias("count")))
+    The mentions are sorted by name and place, so equal ones stand together and a name's count is the length of
+    its run: no look-up per mention, whatever the length of the text. Every step is a column of its own.
+    """
+    def name(i):
+        return F.get("_sorted", i)["name"]
+
+    rows = rows.withColumn("_sorted", F.array_sort(F.transform(mentions, lambda x, i: F.struct(x.alias("name"), i.alias("pos")))))
+    starts = F.filter(F.transform("_sorted", lambda x, i: F.when((i == 0) | (x["name"] != name(i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_starts", starts)
+    runs = F.transform("_starts", lambda at, j: F.struct(
+        (at - F.coalesce(F.get("_starts", j + 1), F.size("_sorted"))).alias("nc"),
+        F.get("_sorted", at)["pos"].alias("pos"), name(at).alias("name")))
+    top = F.transform(F.slice(F.array_sort(runs), 1, n), lambda e: F.struct(e["name"].alias("name"), (-e["nc"]).cast("bigint").alias("count")))
+    return rows.withColumn(out, top).drop("_sorted", "_starts")
 
 
 def entity_mentions(articles: DataFrame, text_col: str = "entity_text", ticker_col: str = "ticker",
@@ -172,14 +179,14 @@ def extract_entities(articles: DataFrame, text_col: str = "entity_text", id_col:
                      long_text: bool = False) -> DataFrame:
     """NWS-3: ``entities`` = top 6 (name, count) per article as ARRAY<STRUCT<name, count>>.
 
-    Short texts (default): ranked inside the row — no shuffle, no join. ``long_text=True``:
-    mentions are exploded and counted with a grouped aggregate, then joined back."""
+    Ranked inside the row (default): no shuffle, no join. ``long_text=True``: mentions are exploded and
+    counted with a grouped aggregate, then joined back, for texts too long for a row's arrays."""
     if not long_text:
         cols = articles.columns
         base = articles.withColumn("_text", normalize_whitespace(F.col(text_col)))
         # the mentions are a column of their own, so the ranking does not extract them again per mention
         prof = match_entities(base, "_text", "ticker").withColumn("_mentions", _mention_array("_text", "ticker"))
-        return prof.select(*cols, rank_mentions_inline(F.col("_mentions")).alias("entities"))
+        return rank_mentions_inline(prof, "_mentions", "entities").select(*cols, "entities")
     top = top_entities(entity_mentions(articles, text_col, "ticker", id_col), id_col)
     packed = top.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("rank", "name", "count"))).alias("_e"))
@@ -190,9 +197,11 @@ def extract_entities(articles: DataFrame, text_col: str = "entity_text", id_col:
                                                  F.array().cast("array<struct<name:string,count:bigint>>")))
 
 
-def topic_cluster(text: Column) -> Column:
-    """NWS-4: first cluster whose keyword occurs (substring) in the lower-cased text, else general."""
-    low = F.lower(text)
+def topic_cluster(text: Column, lowered: bool = False) -> Column:
+    """NWS-4: first cluster whose keyword occurs (substring) in the lower-cased text, else general.
+
+    ``lowered``: the text is a lower-cased column already (it is asked once a keyword)."""
+    low = text if lowered else F.lower(text)
     expr = None
     for name, words in CLUSTER_RULES:
         cond = F.lit(False)
@@ -214,12 +223,12 @@ def source_quality(url: Column, source_name: Column) -> Column:
 
 
 def impact_score(text: Column, sentiment: Column, entity_count: Column, quality: Column,
-                 word_boundary: bool = False) -> tuple[Column, Column]:
+                 word_boundary: bool = False, lowered: bool = False) -> tuple[Column, Column]:
     """NWS-6: (score, label). Keywords are substrings (Q16: 'ai' hits 'said') unless word_boundary.
 
     Exact decimal arithmetic, rounded half-up to 2 places (the reference rounds a binary float).
     """
-    low = F.lower(text)
+    low = text if lowered else F.lower(text)
     kw = F.lit(0).cast("decimal(6,4)")
     for words, weight in IMPACT_KEYWORDS:
         if word_boundary:
@@ -244,13 +253,15 @@ def enrich_articles(articles: DataFrame, word_boundary: bool = False) -> DataFra
     content_cols = ["title", "description"] + (["content"] if _has_col(a, "content") else [])
     a = extract_entities(a, "entity_text")
     a = match_entities(a, "entity_text", "ticker")
+    # lower-cased once: a column that many expressions read
+    a = a.withColumn("_low", F.lower(_joined_text(*content_cols)))
     a = a.withColumns({
         "source_quality_score": source_quality(F.col("url"), F.col("source_name")),
-        "cluster": topic_cluster(_joined_text(*content_cols)),
+        "cluster": topic_cluster(F.col("_low"), lowered=True),
     })
-    score, label = impact_score(_joined_text(*content_cols), F.col("sentiment"), F.size("entities"),
-                                F.col("source_quality_score"), word_boundary)
-    return a.withColumns({"impact_score": score, "impact_label": label}).drop("entity_text")
+    score, label = impact_score(F.col("_low"), F.col("sentiment"), F.size("entities"),
+                                F.col("source_quality_score"), word_boundary, lowered=True)
+    return a.withColumns({"impact_score": score, "impact_label": label}).drop("entity_text", "_low")
 
 
 def attach_cluster_counts(articles: DataFrame, batch_col: str = "fetch_batch") -> DataFrame:
@@ -454,16 +465,21 @@ def called(inputs: DataFrame, summarizer: Callable) -> DataFrame:
     return made.select(*PAGE_KEYS, F.when(reason.isNull(), F.col("text")).alias("generated"), reason.alias("reason"))
 
 
-def summary_job(metrics: DataFrame, articles: DataFrame, summarizer: Callable | None = None,
+def summary_job(metrics: DataFrame, articles: DataFrame, summarizer: Callable | str | None = None,
                 model_name: str = "extractive") -> DataFrame:
     """NWS-14: per fetch, notes for each usable article of the page, then a summary of the prompt built
     from the notes; on no usable text, empty notes, an empty summary, a prompt echo (NWS-12) or an error
     the template summary (NWS-11) is used with the reference's reason.
 
-    ``metrics`` holds PAGE_KEYS. The built-in summariser is a column expression; a model of one's own is a
+    ``metrics`` holds PAGE_KEYS. Without a ``summarizer`` the first sentences are taken (a column expression);
+    ``"ranked"`` takes the page's most central sentences (``operators.sentences``); a model of one's own is a
     batched callable (see ``called``)."""
     inp = summary_input(metrics, articles)
-    gen = extractive(inp) if summarizer is None else called(inp, summarizer)
+    if summarizer == "ranked":
+        from tidemark.operators.sentences import ranked
+        gen = ranked(inp)
+    else:
+        gen = extractive(inp) if summarizer is None else called(inp, summarizer)
     page = provider_page(articles).drop("_r")
     fb = template_summary(metrics.join(gen.select(*PAGE_KEYS, "reason"), PAGE_KEYS, "left"),
                           first_headlines(page, keys=PAGE_KEYS), reason=F.col("reason"), keys=PAGE_KEYS)

@@ -400,8 +400,8 @@ def _q_article_entities(c: Ctx):
 
 @register("topic_cluster")
 def _q_topic_cluster(c: Ctx):
-    return _articles(c).select("article_id", NEWS.topic_cluster(NEWS._joined_text("title", "description"))
-                               .alias("cluster"))
+    low = _articles(c).select("article_id", F.lower(NEWS._joined_text("title", "description")).alias("_low"))
+    return low.select("article_id", NEWS.topic_cluster(F.col("_low"), lowered=True).alias("cluster"))
 
 
 @register("source_quality")
@@ -431,6 +431,12 @@ def _q_summary_job(c: Ctx):
     return NEWS.summary_job(NEWS.news_metrics(page, keys=NEWS.PAGE_KEYS), page)
 
 
+@register("summary_ranked")
+def _q_summary_ranked(c: Ctx):
+    page = NEWS.provider_page(_enriched(c)).drop("_r")
+    return NEWS.summary_job(NEWS.news_metrics(page, keys=NEWS.PAGE_KEYS), page, "ranked", "sentence_rank")
+
+
 @register("template_summary")
 def _q_template_summary(c: Ctx):
     enriched = _enriched(c)
@@ -588,24 +594,53 @@ def _q_append_stored(c: Ctx):
     return c.spark.read.parquet(run).select(*EVENT_COLUMNS)
 
 
-@register("incremental_daily")
-def _q_incremental_daily(c: Ctx):
-    """The daily mart after two refreshes: every other event first, then the rest (late for its days)."""
+def _two_batches(c: Ctx, run: str):
+    """Every other event first, then the rest (late for its days); after each, the (ticker, trade date) keys it touched."""
     from tidemark.sources.sinks import event_date
-    run = scratch_path(c.spark, f"refresh-{_uuid.uuid4().hex}")
     raw = c.raw.withColumn("event_date", event_date())
     for batch in (0, 1):
         part = raw.where(F.pmod("id", F.lit(2)) == batch)
         part.write.mode("append").partitionBy("event_date").parquet(f"{run}/events")
-        touched = stage_stock_prices(part).where("market_session <> 'closed'").select(
+        yield batch, stage_stock_prices(part).where("market_session <> 'closed'").select(
             "ticker", CAL.ny_date(F.col("event_time")).alias("trade_date")).distinct()
+
+
+@register("incremental_daily")
+def _q_incremental_daily(c: Ctx):
+    """The daily mart after two refreshes."""
+    run = scratch_path(c.spark, f"refresh-{_uuid.uuid4().hex}")
+    for batch, touched in _two_batches(c, run):
         STREAM.refresh_marts_batch(c.spark, touched, f"{run}/events", c.sym, f"{run}/daily", f"{run}/staging/{batch}")
     return c.spark.read.parquet(f"{run}/daily").select(*Q.DAILY_COLUMNS)
 
 
 @register("stream_alerts")
 def _q_stream_alerts(c: Ctx):
-    return STREAM.alerts_for_batch(c.daily, c.watch, c.sym)
+    """The alerts that stand after two refreshes, as the sum of what each emitted."""
+    run = scratch_path(c.spark, f"alerts-{_uuid.uuid4().hex}")
+    for batch, touched in _two_batches(c, run):
+        done = STREAM.refresh_marts_batch(c.spark, touched, f"{run}/events", c.sym, f"{run}/daily", f"{run}/staging/{batch}")
+        STREAM.emit_alerts(c.spark, done.differing, c.watch, c.sym, f"{run}/alerts", str(batch))
+    return STREAM.current_alerts(c.spark, f"{run}/alerts")
+
+
+@register("correlation_topk")
+def _q_correlation_topk(c: Ctx):
+    from tidemark.operators.correlation import best_partners
+    return best_partners(c.daily, 8)
+
+
+@register("stock_drawdown_segmented")
+def _q_drawdown_segmented(c: Ctx):
+    return M.segmented_drawdown(c.daily)
+
+
+@register("metrics_stream")
+def _q_metrics_stream(c: Ctx):
+    from tidemark.sources.fixtures import metric_events_from_events
+    run = scratch_path(c.spark, f"metrics-{_uuid.uuid4().hex}")
+    STREAM.metrics_stream(metric_events_from_events(_event_stream(c)), f"{run}/metrics", f"{run}/_checkpoint").awaitTermination()
+    return STREAM.current_metrics(c.spark, f"{run}/metrics")
 
 
 @register("article_content")
@@ -622,6 +657,13 @@ def _q_sentiment_score(c: Ctx):
     return a.select("article_id", NEWS.sentiment_score(NEWS._joined_text("title", "description")).alias("score"))
 
 
+@register("sentiment_learned")
+def _q_sentiment_learned(c: Ctx):
+    from tidemark.operators.sentiment import induce_lexicon, scoped_score
+    a = _articles(c).select("article_id", NEWS._joined_text("title", "description").alias("text"))
+    return scoped_score(a, induce_lexicon(a))
+
+
 NEWS_AS_OF = "2024-01-10 15:00:00"
 NEWS_WINDOW_DAYS = 2
 

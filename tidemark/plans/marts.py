@@ -254,6 +254,65 @@ def stock_drawdown_recovery(daily: DataFrame) -> DataFrame:
                     _recovery_status(F.col("drawdown_pct")).alias("recovery_status"), "last_updated_at")
 
 
+def month_block(time: Column) -> Column:
+    """Number of a date's month: the block of a segmented scan at daily grain."""
+    return F.year(time) * 12 + F.month(time)
+
+
+def _close_at(time: str) -> Column:
+    """(close, time), ordered by the close and then by the time; null without a close."""
+    return F.when(F.col("close_price").isNotNull(), F.struct(F.col("close_price").alias("close"), F.col(time).alias("at")))
+
+
+def block_peaks(rows: DataFrame, time: str = "trade_date") -> DataFrame:
+    """WN-3/4, first step: highest close of each (ticker, block) and its latest time (partial aggregation)."""
+    return rows.groupBy("ticker", "block").agg(F.max(_close_at(time)).alias("_top")) \
+        .select("ticker", "block", F.col("_top.close").alias("peak"), F.col("_top.at").alias("peak_at"))
+
+
+def carried_peaks(peaks: DataFrame) -> DataFrame:
+    """Second step: ``peaks`` with the peak carried into each block: the running maximum over the blocks before.
+
+    The only window over a whole ticker, on one row per block.
+    """
+    before = Window.partitionBy("ticker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    top = F.max(F.when(F.col("peak").isNotNull(), F.struct("peak", "peak_at"))).over(before)
+    return peaks.withColumn("_c", top).withColumns({"peak": F.col("_c.peak"), "peak_at": F.col("_c.peak_at")}).drop("_c")
+
+
+def running_peaks(rows: DataFrame, carried: DataFrame, time: str = "trade_date") -> DataFrame:
+    """Third step: ``rows`` with ``rolling_peak_close`` and ``_peak_at``, by a window within each (ticker, block).
+
+    ``carried``: (ticker, block, peak, peak_at), one row per block.
+    """
+    run = Window.partitionBy("ticker", "block").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    c = carried.select("ticker", "block", F.when(F.col("peak").isNotNull(), F.struct(F.col("peak").alias("close"), F.col("peak_at").alias("at")))
+                       .alias("_carried"))
+    joined = rows.join(c, ["ticker", "block"], "left").withColumn("_run", F.max(_close_at(time)).over(run))
+    top = F.greatest("_run", "_carried")  # skips nulls; of equal closes the later
+    return joined.withColumns({"rolling_peak_close": top["close"], "_peak_at": top["at"]}).drop("_run", "_carried")
+
+
+def drawdown_from_peaks(rows: DataFrame) -> DataFrame:
+    """MART-4 columns of daily rows with their running peak."""
+    peak = F.col("rolling_peak_close")
+    dd = F.when(peak == 0, F.lit(0).cast(DEC2)).otherwise(pct_change_2(F.col("close_price"), peak)).cast(DEC2)
+    rows = rows.withColumns({"drawdown_pct": dd, "days_since_peak": F.datediff("trade_date", "_peak_at").cast("bigint")})
+    return rows.select("ticker", "trade_date", "close_price", "rolling_peak_close", "drawdown_pct", "days_since_peak",
+                       _recovery_status(F.col("drawdown_pct")).alias("recovery_status"), "last_updated_at")
+
+
+def segmented_drawdown(daily: DataFrame, block: Column | None = None) -> DataFrame:
+    """MART-4 as a segmented scan: block peaks, a scan over the blocks, a window within each block.
+
+    No task holds a ticker's whole history, whatever its grain; ``block`` is any expression that grows with
+    ``trade_date``, months if not given.
+    """
+    rows = daily.select("ticker", "trade_date", "close_price", "last_updated_at",
+                        (month_block(F.col("trade_date")) if block is None else block).alias("block"))
+    return drawdown_from_peaks(running_peaks(rows, carried_peaks(block_peaks(rows))))
+
+
 def _recovery_status(dd: Column) -> Column:
     return F.when(dd <= DEEP_DRAWDOWN_PCT, "deep_drawdown").when(dd < 0, "underwater").otherwise("recovered")
 
@@ -364,12 +423,14 @@ def market_regime_summary(daily: DataFrame, risk: DataFrame | None = None, dedup
         (F.col("_anomalies") * mult).cast("bigint").alias("anomaly_count"), "benchmark_leader", "last_updated_at")
 
 
-def signal_feature_store(daily: DataFrame, as_of: str) -> DataFrame:
-    """MART-9: daily + risk + drawdown + anomaly severity in one ticker-partitioned pass."""
+def signal_feature_store(daily: DataFrame, as_of: str, peak: str | None = None) -> DataFrame:
+    """MART-9: daily + risk + drawdown + anomaly severity in one ticker-partitioned pass.
+
+    ``peak``: a column with the running peak, where the rows do not hold the whole history.
+    """
     risk = _risk_columns(daily)
-    dd_cols = _drawdown_columns()
     d = daily.select("*", *[c.alias(n) for n, c in risk.items() if n != "observed_days"],
-                     dd_cols["rolling_peak_close"].alias("_peak"))
+                     (_drawdown_columns()["rolling_peak_close"] if peak is None else F.col(peak)).alias("_peak"))
     peak = F.col("_peak")
     d = d.withColumn("drawdown_pct", F.when(peak == 0, F.lit(0).cast(DEC2))
                      .otherwise(pct_change_2(F.col("close_price"), peak)).cast(DEC2))

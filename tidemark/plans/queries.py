@@ -184,32 +184,35 @@ def watchlist(watch: DataFrame, sym: DataFrame, principal: str | None = None) ->
     ).orderBy("principal_id", "ticker")
 
 
+def alert_rows(watch: DataFrame, daily: DataFrame, sym: DataFrame) -> DataFrame:
+    """Daily rows of watched tickers that trip a price/volume threshold or are anomalous, for every principal, in no order."""
+    d = daily.select("ticker", "trade_date", "close_price", "relative_price_change_pct", "price_change_pct",
+                     "volume_vs_avg_ratio", "anomaly_flag")
+    s = broadcast_if_small(sym.select("ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name"))
+    j = watch.select("principal_id", "ticker", "price_alert_threshold", "volume_alert_threshold").join(d, "ticker")
+    price_hit = F.abs("price_change_pct") >= F.col("price_alert_threshold")
+    vol_hit = F.col("volume_vs_avg_ratio") >= F.col("volume_alert_threshold")
+    return j.filter(price_hit | vol_hit | (F.col("anomaly_flag") != "normal")).join(s, "ticker", "left").select(
+        "principal_id", "ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name", "trade_date",
+        "close_price", "relative_price_change_pct", "price_change_pct", "volume_vs_avg_ratio", "anomaly_flag",
+        "price_alert_threshold", "volume_alert_threshold", price_hit.alias("triggered_price_alert"),
+        vol_hit.alias("triggered_volume_alert"))
+
+
 def watchlist_alerts(watch: DataFrame, daily: DataFrame, sym: DataFrame, principal: str | None = None,
                      limit: int | None = 50) -> DataFrame:
-    """SRV-17: daily rows of watched tickers that trip a price/volume threshold or are anomalous.
+    """SRV-17: the alerts as they are served, in order.
 
     ``limit`` holds per principal (the latest, then the largest moves); None: every alert.
     """
     if limit is not None:
         check_limit(limit, 250)
-    w = watch if principal is None else watch.filter(F.col("principal_id") == principal)
-    d = daily.select("ticker", "trade_date", "close_price", "relative_price_change_pct", "price_change_pct",
-                     "volume_vs_avg_ratio", "anomaly_flag")
-    s = broadcast_if_small(sym.select("ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name"))
-    j = w.select("principal_id", "ticker", "price_alert_threshold", "volume_alert_threshold").join(d, "ticker")
-    price_hit = F.abs("price_change_pct") >= F.col("price_alert_threshold")
-    vol_hit = F.col("volume_vs_avg_ratio") >= F.col("volume_alert_threshold")
-    j = j.filter(price_hit | vol_hit | (F.col("anomaly_flag") != "normal")).join(s, "ticker", "left")
+    j = alert_rows(watch if principal is None else watch.filter(F.col("principal_id") == principal), daily, sym)
     order = [F.desc("trade_date"), F.abs("price_change_pct").desc(), F.asc("ticker")]
     if limit is not None:
         rank = F.row_number().over(Window.partitionBy("principal_id").orderBy(*order))
-        j = j.withColumn("_rank", rank).where(F.col("_rank") <= limit)
-    return j.select(
-        "principal_id", "ticker", "company_name", "sector", "benchmark_ticker", "benchmark_name", "trade_date",
-        "close_price", "relative_price_change_pct", "price_change_pct", "volume_vs_avg_ratio", "anomaly_flag",
-        "price_alert_threshold", "volume_alert_threshold", price_hit.alias("triggered_price_alert"),
-        vol_hit.alias("triggered_volume_alert"),
-    ).orderBy("principal_id", *order)
+        j = j.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+    return j.orderBy("principal_id", *order)
 
 
 def sort_rows(df: DataFrame, col: str, direction: str = "asc", tie_breakers: list[str] | None = None) -> DataFrame:

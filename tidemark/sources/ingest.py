@@ -1,7 +1,7 @@
 """SRC-1…4, SRC-7: price-event sources.
 
-* ``read_price_stream`` subscribes to the topic (Kafka when its connector is on the classpath,
-  else a directory of JSON-lines files with the same columns) from the earliest offset.
+* ``read_price_stream`` subscribes to the topic from the earliest offset: Kafka when its connector is on the
+  classpath, the partitioned message log of ``topic_log``, or a directory of JSON-lines files.
 * ``snapshots_to_events`` / ``bars_to_events`` turn quote and bar tables into events, with
   the session from the calendar and the symbol profile columns.
 """
@@ -34,9 +34,14 @@ def read_price_stream(spark: SparkSession, source: str = "kafka", topic: str = "
                       path: str | None = None, **opts) -> DataFrame:
     """SRC-1: the price topic as a streaming frame (topic, partition, offset, value, timestamp).
 
-    ``source="kafka"`` needs ``kafka.bootstrap.servers`` in ``opts``; ``source="files"`` reads
-    JSON lines with the message columns from ``path`` (used in tests: the connector is optional).
+    ``source="kafka"`` needs ``kafka.bootstrap.servers`` in ``opts``; ``source="log"`` reads the topic's message
+    log under ``path`` (``opts``: startingOffsets, groupId …); ``source="files"`` JSON lines with the message
+    columns.
     """
+    if source == "log":
+        from tidemark.sources.topic_log import register
+        register(spark)
+        return spark.readStream.format("topic_log").options(path=path, topic=topic, **opts).load()
     if source == "kafka":
         r = (spark.readStream.format("kafka").option("subscribe", topic)
              .option("startingOffsets", "earliest"))

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialized
+from tidemark.sources.identity import IDENTITY, has_filter, note
 from tidemark.sources.tables import EVENT_COLUMNS, read_if_exists
 
-IDENTITY = ["ticker", "event_time", "source", "event_kind", "bar_interval"]
 MESSAGE_KEY = ["source_topic", "source_partition", "source_offset"]
 
 
@@ -56,6 +56,10 @@ def pending_events(valid: DataFrame, target_path: str | None, spark: SparkSessio
 
 
 def write_events(fresh: DataFrame, target_path: str) -> None:
+    """Append; a table that streams append to has an identity filter, which must know every event first."""
+    if has_filter(fresh.sparkSession, target_path):
+        fresh = materialized(fresh, "events")
+        note(fresh.sparkSession, fresh, target_path)
     fresh.sortWithinPartitions("event_date", "ticker", "event_time") \
         .write.mode("append").partitionBy("event_date").parquet(target_path)
 
@@ -89,8 +93,10 @@ def write_dead_letters(letters: DataFrame, path: str) -> int:
     """
     stored = read_if_exists(letters.sparkSession, path)
     if stored is not None:
-        span = letters.agg(F.min("source_offset"), F.max("source_offset")).first()  # one row
-        known = stored.where(F.col("source_offset").between(span[0], span[1])).select(*MESSAGE_KEY)
+        spans = letters.groupBy("source_topic", "source_partition").agg(
+            F.min("source_offset").alias("lo"), F.max("source_offset").alias("hi"))  # one row a topic partition
+        known = stored.select(*MESSAGE_KEY).join(spans, ["source_topic", "source_partition"]) \
+            .where(F.col("source_offset").between(F.col("lo"), F.col("hi"))).select(*MESSAGE_KEY)
         letters = letters.join(known, MESSAGE_KEY, "left_anti")
     written = Observation()
     letters.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
@@ -104,11 +110,19 @@ def write_dead_letter_lake(invalid: DataFrame, path: str, mode: str = "append")
         .hint("rebalance", "date").write.mode(mode).partitionBy("date").json(path)
 
 
-def publish_events(events: DataFrame, path: str | None = None, kafka_options: dict | None = None) -> DataFrame:
-    """SNK-5: events → JSON messages (``value``), written to Kafka when options are given, else files."""
+def publish_events(events: DataFrame, path: str | None = None, kafka_options: dict | None = None,
+                   topic: str | None = None) -> DataFrame:
+    """SNK-5: events → JSON messages (``value``), keyed by ticker.
+
+    Written to Kafka when options are given; with a ``topic`` to that topic's message log under ``path``
+    (a ticker's events in time order in one partition); with a path alone as lines of text files.
+    """
     msgs = events.select(F.col("ticker").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
     if kafka_options:
         msgs.write.format("kafka").options(**kafka_options).save()
+    elif topic is not None:
+        from tidemark.sources.topic_log import publish
+        publish(msgs.withColumn("_at", F.get_json_object("value", "$.event_time")), path, topic, order="_at")
     elif path is not None:
         msgs.select("value").write.mode("append").text(path)
     return msgs

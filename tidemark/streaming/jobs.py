@@ -2,15 +2,16 @@
 
 * ``ingest_stream`` (STR-1, 3, 4, 5): messages → validation → idempotent append of valid events +
   dead letters, in ``foreachBatch`` with a checkpoint: offsets are committed only after the batch
-  succeeded, and a replayed batch appends nothing twice (events by identity within the touched
-  dates, dead letters by topic, partition and offset). Batch counters are stored as metric rows.
+  succeeded, and a replayed batch appends nothing twice (events by identity: a Bloom filter beside the
+  table names the few that may be stored, see ``sources.identity``; dead letters by topic, partition and
+  offset). Batch counters are stored as metric rows.
 * ``lake_stream`` (STR-2): the same topic into the raw JSON lake and the dead-letter lake, as its
   own query with its own checkpoint (its own consumer position).
-* ``stream_hourly_bars`` (STR-7): hourly OHLC per ticker as mergeable partials; late events correct their hour.
-* ``refresh_marts_stream`` (STR-8) and ``alerts_for_batch`` (STR-9): after each batch, re-aggregate
-  the touched (ticker, day) keys from the partition-pruned events, recompute the window columns of
-  the affected ticker buckets from the stored daily grain (a late event changes LAG and every
-  rolling value after it) and evaluate watch-list alerts on the rebuilt rows.
+* ``stream_hourly_bars`` (STR-7): event-time state, finished hours once, late rows as corrections (``hours``).
+* ``refresh_marts_stream`` (STR-8): after each batch the touched (ticker, day) keys are aggregated again from
+  the partition-pruned events, and the blocks of the marts that they reach are replaced (``blocks``).
+* ``emit_alerts`` (STR-9): new, changed and withdrawn watch-list alerts of the rows that changed.
+* ``metrics_stream`` (MET-1): counters, gauges and timings as a streaming aggregate.
 
 Every writer targets the shared folder (``spark.checkpoint.dir`` or explicit paths): nothing uses
 machine-local state, so a lost executor only re-runs tasks.
@@ -18,23 +19,22 @@ machine-local state, so a lost executor only re-runs tasks.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.staging import coalesce_ohlc, drop_closed, stage_stock_prices
-from tidemark.operators.validation import dead_letters, split_valid, validate_events
-import datetime as _dt
-
 from tidemark.functions.calendar import ny_date
-from tidemark.functions.joins import broadcast_if_small
-from tidemark.plans.marts import (DAILY_AGGREGATE_COLUMNS, HOURLY_AGGREGATE_COLUMNS, SESSION_CODES,
-                                  daily_aggregates, daily_from_aggregates, hourly_aggregates,
-                                  intraday_from_aggregates, order_key)
-from tidemark.sources.sinks import (IDENTITY, dedupe_batch, event_date, write_dead_letter_lake, write_dead_letters,
+from tidemark.operators.staging import drop_closed
+from tidemark.operators.validation import dead_letters, split_valid, validate_events
+from tidemark.session import materialized
+from tidemark.sources.identity import IDENTITY, compact, note, with_possible
+from tidemark.sources.sinks import (dedupe_batch, event_date, write_dead_letter_lake, write_dead_letters,
                                     write_raw_lake)
-from tidemark.sources.tables import EVENT_COLUMNS, read_if_exists
-
-TICKER_BUCKETS = 64
+from tidemark.sources.tables import EVENT_COLUMNS
+from tidemark.streaming.blocks import (DAILY, HOURLY, PARTITION, Refresh, delete, in_partitions, partitions_of, reached, refresh,
+                                       rewrite, summary_path, with_block, written)
+from tidemark.streaming.hours import _ids, current_bars, stream_hourly_bars  # noqa: F401
 
 
 def arrival_key() -> Column:
@@ -63,27 +63,32 @@ def ingest_checked(checked: DataFrame, batch_id: int, events_path: str, dead_let
     that fails fails the batch, which the checkpoint repeats; its counter is stored first.
     """
     spark = checked.sparkSession
+    step = "persist_failed"
     valid, invalid = split_valid(checked)
     counters = checked.agg(F.count(F.lit(1)).alias("messages"),
                            F.count_if(F.col("validation_error").isNotNull()).alias("invalid_event"),
                            F.max("offset").alias("last_offset")).first().asDict()
     counters |= {"batch_id": batch_id, "events_persisted": 0, "persist_failed": 0, "dead_letter_written": 0,
                  "dead_letter_failed": 0}
-    fresh = dedupe_batch(valid).select(*EVENT_COLUMNS, arrival_key().alias("id")).withColumn("event_date", event_date())
-    stored = read_if_exists(spark, events_path)
-    if stored is not None:
-        # the dates a batch touches are few (bounded by its time span): a literal partition
-        # filter, so only those event_date partitions of the stored table are read
-        dates = [r[0] for r in fresh.select("event_date").distinct().collect()]
-        keys = stored.filter(F.col("event_date").isin(*dates)).select(*IDENTITY, "event_date")
-        fresh = fresh.join(keys, IDENTITY + ["event_date"], "left_anti")
-    seen = Observation()
-    fresh = fresh.withColumn("inserted_at", F.current_timestamp()).observe(seen, F.count(F.lit(1)).alias("n"))
+    fresh = dedupe_batch(valid).select(*EVENT_COLUMNS, arrival_key().alias("id"))
+    fresh = with_possible(spark, fresh, events_path).persist()
     try:
+        counters["possible_repeats"] = fresh.where("possible").count()
+        new = fresh.drop("possible").withColumn("event_date", event_date())
+        if counters["possible_repeats"]:
+            # only rows that may be stored are looked for, in the few dates they fall on (a literal partition filter)
+            asked = fresh.where("possible").drop("possible").withColumn("event_date", event_date())
+            dates = [r[0] for r in asked.select("event_date").distinct().collect()]
+            keys = spark.read.parquet(events_path).filter(F.col("event_date").isin(*dates)).select(*IDENTITY, "event_date")
+            new = fresh.where("NOT possible").drop("possible").withColumn("event_date", event_date()) \
+                .unionByName(asked.join(keys, IDENTITY + ["event_date"], "left_anti"))
+        seen = Observation()
+        new = new.withColumn("inserted_at", F.current_timestamp()).observe(seen, F.count(F.lit(1)).alias("n"))
         # one file per task and date, rows clustered by ticker: ticker filters (benchmark branch,
         # single-ticker queries) skip row groups through the parquet min/max statistics
         step = "persist_failed"
-        fresh.sortWithinPartitions("event_date", "ticker", "event_time") \
+        note(spark, fresh.where("NOT possible"), events_path)  # before the events: a stored event is always known
+        new.sortWithinPartitions("event_date", "ticker", "event_time") \
             .write.mode("append").partitionBy("event_date").parquet(events_path)
         counters["events_persisted"] = seen.get["n"]
         step = "dead_letter_failed"
@@ -94,6 +99,7 @@ def ingest_checked(checked: DataFrame, batch_id: int, events_path: str, dead_let
         counters[step] = 1
         raise
     finally:
+        fresh.unpersist()
         if counters_path:
             write_counters(spark, counters, counters_path)
     return counters
@@ -107,12 +113,32 @@ def write_counters(spark: SparkSession, counters: dict, path: str) -> None:
         .write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
+#: Batches after which an event table's identity filter is merged.
+COMPACT_EVERY = 100
+
+
+def without_redelivery(messages: DataFrame, within: str) -> DataFrame:
+    """STR-4: a message (topic, partition, offset) that arrives again ``within`` a time is dropped in the state store.
+
+    The watermark is on the arrival, so no message is ever too late, and keys leave the state after that
+    time. Repeated events under other offsets are the identity filter's part: which of two rows survives
+    here is open, there it is the first by offset.
+    """
+    return messages.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", within) \
+        .dropDuplicatesWithinWatermark(["topic", "partition", "offset"]).drop("_arrival")
+
+
 def ingest_stream(messages: DataFrame, events_path: str, dead_letter_path: str, checkpoint: str,
-                  trigger: dict | None = None, session_vocab: str = "strict", counters_path: str | None = None):
+                  trigger: dict | None = None, session_vocab: str = "strict", counters_path: str | None = None,
+                  redelivered_within: str | None = None):
     """STR-1: start the ingest query (returns the StreamingQuery)."""
     def run(batch: DataFrame, batch_id: int):
         ingest_batch(batch, batch_id, events_path, dead_letter_path, session_vocab, counters_path)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            compact(batch.sparkSession, events_path)
 
+    if redelivered_within:
+        messages = without_redelivery(messages, redelivered_within)
     return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run) \
         .trigger(**(trigger or {"availableNow": True})).start()
 
@@ -136,178 +162,177 @@ def lake_stream(messages: DataFrame, raw_path: str, invalid_path: str, checkpoin
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
-def hourly_bars(events: DataFrame) -> DataFrame:
-    """STR-7: mergeable hourly partials per ticker: OHLC and first session with the order keys that decide them."""
-    codes = F.array(*[F.lit(s) for s in SESSION_CODES])
-    base = coalesce_ohlc(drop_closed(events)).withColumn("_k", order_key()) \
-        .withColumn("_s", F.array_position(codes, F.col("market_session")).cast("int"))
-    return base.groupBy("ticker", F.date_trunc("hour", F.col("event_time")).alias("interval_start")).agg(
-        F.min("_k").alias("first_key"), F.max("_k").alias("last_key"),
-        F.min_by("open_price", "_k").alias("open_price"), F.max("high_price").alias("high_price"),
-        F.min("low_price").alias("low_price"), F.max_by("close_price", "_k").alias("close_price"),
-        F.count(F.lit(1)).alias("bar_count"), F.sum("volume").alias("total_volume"),
-        F.min_by("_s", "_k").alias("session_code"))
+def refresh_marts_batch(spark: SparkSession, touched: DataFrame, events_path: str, sym: DataFrame,
+                        daily_path: str, staging_path: str) -> Refresh:
+    """STR-8 step: bring the daily mart up to date after a micro-batch.
 
+    ``touched``: (ticker, trade_date) keys of the events the batch appended. Only the touched days are
+    aggregated again from their events; the window and benchmark columns are computed again for the months
+    that ``blocks`` finds reached, and only those month folders are replaced. ``staging_path`` names the batch.
+    """
+    return refresh(spark, touched, events_path, sym, daily_path, staging_path, DAILY)
 
-def stream_hourly_bars(events: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None):
-    """STR-7 sink: every batch stores the partials of the hours it touched, in its own folder (a repeated
-    batch overwrites it). Partials merge exactly, so an event corrects its hour however late it comes: no
-    watermark, no state, nothing dropped."""
-    def run(batch: DataFrame, batch_id: int):
-        hourly_bars(batch).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
-    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run) \
-        .trigger(**(trigger or {"availableNow": True})).start()
+def refresh_hourly_batch(spark: SparkSession, touched_hours: DataFrame, events_path: str, sym: DataFrame,
+                         hourly_path: str, staging_path: str) -> Refresh:
+    """STR-8 for MART-2: the same for the touched (ticker, interval_start) keys, in blocks of a day."""
+    return refresh(spark, touched_hours, events_path, sym, hourly_path, staging_path, HOURLY)
 
 
-def _merged(partials: DataFrame) -> DataFrame:
-    return partials.groupBy("ticker", "interval_start").agg(
-        F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"),
-        F.min_by("open_price", "first_key").alias("open_price"), F.max("high_price").alias("high_price"),
-        F.min("low_price").alias("low_price"), F.max_by("close_price", "last_key").alias("close_price"),
-        F.sum("bar_count").alias("bar_count"), F.sum("total_volume").alias("total_volume"),
-        F.min_by("session_code", "first_key").alias("session_code"))
+def refresh_dependent_marts(spark: SparkSession, done: Refresh, daily_path: str, marts_dir: str, as_of: str,
+                            staging_path: str) -> None:
+    """STR-8, second half: the marts that derive from the daily mart, after its refresh ``done``.
 
+    Per-ticker marts are computed again in the changed blocks from the rows their frames need; the running peak
+    also in later blocks into which another peak is carried now. Market-wide marts (one row per date, or
+    sector or benchmark and date) are computed again for the dates of the changed blocks, which are the only
+    ones with other rows. Untouched blocks and dates keep their files.
+    """
+    from tidemark.plans import marts as M
+    out = marts_dir.rstrip("/")
+    changed = done.changed
+    daily = spark.read.parquet(daily_path)
 
-def current_bars(spark: SparkSession, out_path: str) -> DataFrame:
-    """The hourly bars written by ``stream_hourly_bars``, partials merged."""
-    codes = F.array(*[F.lit(s) for s in SESSION_CODES])
-    return _merged(spark.read.parquet(out_path)).select(
-        "ticker", "interval_start", F.element_at(codes, F.col("session_code")).alias("market_session"), "open_price",
-        "high_price", "low_price", "close_price", "bar_count", "total_volume")
+    def rows_of(blocks: DataFrame) -> DataFrame:
+        return daily.where(in_partitions(partitions_of(blocks))).join(blocks, ["ticker", "block"], "left_semi")
 
+    def only(df: DataFrame, blocks: DataFrame) -> DataFrame:
+        return with_block(df, DAILY).join(blocks, ["ticker", "block"], "left_semi")
 
-def compact_bars(spark: SparkSession, out_path: str, compacted_path: str) -> None:
-    """Merge a partial log into one partial per hour, at another place (the next log starts from it)."""
-    _merged(spark.read.parquet(out_path)).write.mode("overwrite").parquet(f"{compacted_path.rstrip('/')}/batch_id=-1")
+    def put(df: DataFrame, blocks: DataFrame, name: str) -> None:
+        rewrite(only(df, blocks), blocks, f"{out}/{name}", f"{staging_path}/{name}")
 
+    near = rows_of(done.read).drop(*PARTITION)
+    put(M.stock_risk_indicators(near), changed, "stock_risk_indicators")
+    put(M.stock_anomaly_history(rows_of(changed).drop(*PARTITION)), changed, "stock_anomaly_history")
 
-def ticker_bucket(col: str = "ticker") -> F.Column:
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(TICKER_BUCKETS)).cast("int")
+    moved = done.carried.where("moved").select("ticker", "block")
+    deep = written(changed.unionByName(moved).distinct(), f"{staging_path}/peaks_changed")
+    before = reached(spark.read.parquet(summary_path(daily_path)), deep, DAILY.look_back, backwards=True)
+    frames = written(before, f"{staging_path}/peaks_read")
+    # tickers reached through their benchmark only have no new peaks: theirs are carried as before
+    summary = spark.read.parquet(summary_path(daily_path)).join(frames.select("ticker").distinct(), "ticker", "left_semi")
+    peaked = written(M.running_peaks(rows_of(frames), M.carried_peaks(summary)), f"{staging_path}/peaked")
+    put(M.drawdown_from_peaks(peaked), deep, "stock_drawdown_recovery")
+    put(M.signal_feature_store(peaked.withColumnRenamed("rolling_peak_close", "peak").drop(*PARTITION, "_peak_at"), as_of, "peak"),
+        deep, "stock_signal_feature_store")
 
+    def by_date(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(f"{out}/{name}")
 
-def refresh_marts_batch(spark: SparkSession, touched: DataFrame, events_path: str, sym: DataFrame,
-                        daily_path: str, staging_path: str) -> DataFrame:
-    """STR-8 step: incrementally rebuild the daily mart after a micro-batch.
-
-    ``touched``: (ticker, trade_date) keys of the events the batch appended. Cost is bounded by the
-    batch, not by history:
-      1. re-aggregate only the touched keys, reading only the event_date partitions that can hold
-         them (a New York trade date spans two UTC dates);
-      2. take every other day's aggregates from the stored mart (daily grain) for the affected
-         ticker buckets — touched tickers plus tickers whose benchmark was touched — and
-         recompute the window and benchmark columns there (LAG, trailing volume and all rolling
-         values after a late event change);
-      3. write the rebuilt buckets to a staging folder, then replace exactly those buckets of the
-         mart (dynamic partition overwrite), so the mart is never read and overwritten in one job.
+    blocks = sorted({b for b, _ in done.parts})
+    dates = F.broadcast(rows_of(changed).select("trade_date").distinct())  # at most the days of the changed months
+    market = daily.where(F.col("block").isin(*blocks)).drop(*PARTITION).join(dates, "trade_date", "left_semi")
+    risk = spark.read.parquet(f"{out}/stock_risk_indicators").where(F.col("block").isin(*blocks)).drop(*PARTITION)
+    by_date(M.sector_daily_summary(market), "sector_daily_summary")
+    by_date(M.benchmark_relative_strength(market), "benchmark_relative_strength")
+    by_date(M.market_regime_summary(market, risk), "market_regime_summary")
+
+
+def alerts_for_batch(daily_rows: DataFrame, watch: DataFrame, sym: DataFrame) -> DataFrame:
+    """STR-9: watch-list alerts on daily rows (all principals, no limit, in no order)."""
+    from tidemark.plans.queries import alert_rows
+    return alert_rows(watch, daily_rows, sym)
+
+
+ALERT_KEY = ["principal_id", "ticker", "trade_date"]
+
+
+def _alert_log(spark: SparkSession, log_path: str) -> list[int]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(log_path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(n[4:]) for n in names if n.startswith("seq="))
+
+
+def _alert_state(log: DataFrame) -> DataFrame:
+    """Each alert's latest entry."""
+    values = [c for c in log.columns if c not in (*ALERT_KEY, "seq")]
+    return log.groupBy(*ALERT_KEY).agg(F.max_by(F.struct(*values), "seq").alias("v")).select(*ALERT_KEY, "v.*").where("change <> 'withdrawn'")
+
+
+def emit_alerts(spark: SparkSession, differing: DataFrame, watch: DataFrame, sym: DataFrame, log_path: str, batch: str) -> DataFrame:
+    """STR-9: what the daily rows that a batch made ``differing`` change in the alerts.
+
+    The keyed state (principal, ticker, date) is the log itself, read for the dates of the batch only. Written
+    and returned are the alerts that are ``new``, ``changed`` or ``withdrawn``; one that stands as it was is not
+    said again. ``batch`` names the batch: repeated, it replaces its own entries.
     """
-    keys = touched.select("ticker", "trade_date").distinct()
-    trade_dates = [r[0] for r in keys.select("trade_date").distinct().collect()]      # bounded by the batch
-    utc_dates = sorted({d for t in trade_dates for d in (t, t + _dt.timedelta(days=1))})
-    events = spark.read.parquet(events_path).filter(F.col("event_date").isin(*utc_dates))
-    fresh = daily_aggregates(stage_stock_prices(events)).join(keys, ["ticker", "trade_date"], "left_semi")
-
-    tickers = keys.select("ticker").distinct()
-    dependents = sym.select("ticker", "benchmark_ticker").join(
-        tickers.withColumnRenamed("ticker", "benchmark_ticker"), "benchmark_ticker", "left_semi").select("ticker")
-    buckets = tickers.unionByName(dependents).select(ticker_bucket().alias("ticker_bucket")).distinct()
-    bms = [r[0] for r in sym.filter(F.col("benchmark_ticker").isNotNull()).select("benchmark_ticker").distinct()
-           .collect()]
-    stored = read_if_exists(spark, daily_path)
-    if stored is None:
-        base = fresh
+    out = log_path.rstrip("/")
+    entries = _alert_log(spark, out)
+    seq = entries[-1] + 1 if entries else 0
+    if entries and (last := spark.read.parquet(f"{out}/seq={entries[-1]}").select("batch").first()) and last[0] == batch:
+        seq = entries.pop()
+    now = alerts_for_batch(differing, watch, sym)
+    values = [c for c in now.columns if c not in ALERT_KEY]
+    keys = differing.select("ticker", "trade_date").distinct()
+    dates = [r[0] for r in keys.select("trade_date").distinct().collect()]  # the dates a batch changes
+    new = now.select(*ALERT_KEY, F.struct(*values).alias("now"))
+    if entries:
+        log = spark.read.parquet(out).where((F.col("seq") < seq) & F.col("trade_date").isin(*dates)).join(keys, ["ticker", "trade_date"], "left_semi")
+        old = _alert_state(log).select(*ALERT_KEY, F.struct(*values).alias("was"))
+        both = new.join(old, ALERT_KEY, "full")
     else:
-        prior = stored.filter(F.col("ticker_bucket").isin(*[r[0] for r in buckets.collect()])
-                              | F.col("ticker").isin(*bms)).select(*DAILY_AGGREGATE_COLUMNS)
-        base = prior.join(keys, ["ticker", "trade_date"], "left_anti").unionByName(fresh)
-    rebuilt = daily_from_aggregates(base, sym).withColumn("ticker_bucket", ticker_bucket()) \
-        .join(broadcast_if_small(buckets), "ticker_bucket", "left_semi")
-    rebuilt.write.mode("overwrite").parquet(staging_path)
-    spark.read.parquet(staging_path).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("ticker_bucket").parquet(daily_path)
-    return spark.read.parquet(staging_path)
+        both = new.withColumn("was", F.lit(None).cast(new.schema["now"].dataType))
+    change = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "withdrawn") \
+        .when(~F.col("now").eqNullSafe(F.col("was")), "changed")
+    found = both.withColumn("change", change).where(F.col("change").isNotNull()) \
+        .select(*ALERT_KEY, F.coalesce("now", "was").alias("v"), "change").select(*ALERT_KEY, "v.*", "change", F.lit(batch).alias("batch"))
+    found = materialized(found, "alerts")
+    if found.isEmpty():
+        if seq in _alert_log(spark, out):
+            delete(spark, f"{out}/seq={seq}")
+    else:
+        found.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("trade_date").parquet(f"{out}/seq={seq}")
+    return found
 
 
-def refresh_hourly_batch(spark: SparkSession, touched_hours: DataFrame, events_path: str, sym: DataFrame,
-                         hourly_path: str, staging_path: str) -> DataFrame:
-    """STR-8 for MART-2: re-aggregate the touched (ticker, hour) keys from the event_date partitions
-    that hold them, take every other hour from the stored mart, recompute LAG and benchmark
-    columns for the affected ticker buckets, and replace those buckets (via a staging folder)."""
-    keys = touched_hours.select("ticker", "interval_start").distinct()
-    dates = sorted({r[0] for r in keys.select(F.to_date("interval_start")).distinct().collect()})
-    events = spark.read.parquet(events_path).filter(F.col("event_date").isin(*dates))
-    fresh = hourly_aggregates(stage_stock_prices(events)).join(keys, ["ticker", "interval_start"], "left_semi")
-    tickers = keys.select("ticker").distinct()
-    dependents = sym.select("ticker", "benchmark_ticker").join(
-        tickers.withColumnRenamed("ticker", "benchmark_ticker"), "benchmark_ticker", "left_semi").select("ticker")
-    buckets = tickers.unionByName(dependents).select(ticker_bucket().alias("ticker_bucket")).distinct()
-    bms = [r[0] for r in sym.filter(F.col("benchmark_ticker").isNotNull()).select("benchmark_ticker").distinct()
-           .collect()]
-    stored = read_if_exists(spark, hourly_path)
-    if stored is None:
-        base = fresh
-    else:
-        prior = stored.filter(F.col("ticker_bucket").isin(*[r[0] for r in buckets.collect()])
-                              | F.col("ticker").isin(*bms)).select(*HOURLY_AGGREGATE_COLUMNS)
-        base = prior.join(keys, ["ticker", "interval_start"], "left_anti").unionByName(fresh)
-    rebuilt = intraday_from_aggregates(base, sym).withColumn("ticker_bucket", ticker_bucket()) \
-        .join(broadcast_if_small(buckets), "ticker_bucket", "left_semi")
-    rebuilt.write.mode("overwrite").parquet(staging_path)
-    spark.read.parquet(staging_path).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("ticker_bucket").parquet(hourly_path)
-    return spark.read.parquet(staging_path)
-
-
-def refresh_dependent_marts(spark: SparkSession, rebuilt: DataFrame, touched: DataFrame, daily_path: str,
-                            marts_dir: str, as_of: str) -> None:
-    """STR-8, second half: the marts that derive from the daily mart.
-
-    Per-ticker marts are recomputed for the rebuilt ticker buckets (their windows need each
-    ticker's whole history, which ``rebuilt`` holds) and replace those buckets. Market-wide marts
-    (one row per date or sector/benchmark × date) are recomputed for every date from the earliest
-    touched date on — a late event moves LAG and the rolling values of the following days — and
-    replace those date partitions. Each mart is written from inputs stored at other paths, so no
-    job reads the partitions it overwrites.
+def current_alerts(spark: SparkSession, log_path: str) -> DataFrame:
+    """All alerts that stand after the last batch: the sum of what the batches emitted."""
+    return _alert_state(spark.read.parquet(log_path)).drop("change", "batch")
+
+
+def metrics_stream(metric_events: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None):
+    """MET-1 as a running stream: counters, gauges and timings per (name, kind).
+
+    Spark's streaming aggregate holds sum, count, maximum and the latest value by (time, seq) in the state
+    store: one row per metric, restart-safe through the checkpoint. Each batch's updated rows replace theirs in
+    a small table with one version per batch; the version before stays until the next is complete.
     """
-    from tidemark.plans import marts as M
-    out = marts_dir.rstrip("/")
+    from tidemark.operators.quality import rollup_metrics
+    out = out_path.rstrip("/")
 
-    def write(df: DataFrame, name: str, part: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part) \
-            .parquet(f"{out}/{name}")
-
-    per_ticker = {"stock_risk_indicators": M.stock_risk_indicators,
-                  "stock_drawdown_recovery": M.stock_drawdown_recovery,
-                  "stock_anomaly_history": M.stock_anomaly_history,
-                  "stock_signal_feature_store": lambda d: M.signal_feature_store(d, as_of)}
-    base = rebuilt.drop("ticker_bucket")
-    for name, fn in per_ticker.items():
-        write(fn(base).withColumn("ticker_bucket", ticker_bucket()), name, "ticker_bucket")
-    first = touched.agg(F.min("trade_date")).collect()[0][0]
-    if first is None:
-        return
-    daily = spark.read.parquet(daily_path).drop("ticker_bucket").filter(F.col("trade_date") >= F.lit(first))
-    risk = spark.read.parquet(f"{out}/stock_risk_indicators").drop("ticker_bucket") \
-        .filter(F.col("trade_date") >= F.lit(first))
-    write(M.sector_daily_summary(daily), "sector_daily_summary", "trade_date")
-    write(M.benchmark_relative_strength(daily), "benchmark_relative_strength", "trade_date")
-    write(M.market_regime_summary(daily, risk), "market_regime_summary", "trade_date")
+    def run(updated: DataFrame, batch_id: int):
+        spark = updated.sparkSession
+        before = [i for i in _ids(spark, out, "batch_id") if i < batch_id]
+        rows = updated
+        if before:
+            old = spark.read.parquet(f"{out}/batch_id={before[-1]}")
+            updated = updated.persist()
+            rows = old.join(updated.select("name", "kind"), ["name", "kind"], "left_anti").unionByName(updated)
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        updated.unpersist()
+        for i in before[:-1]:
+            delete(spark, f"{out}/batch_id={i}")
 
+    return rollup_metrics(metric_events).writeStream.outputMode("update").option("checkpointLocation", checkpoint) \
+        .foreachBatch(run).trigger(**(trigger or {"availableNow": True})).start()
 
-def alerts_for_batch(daily_rows: DataFrame, watch: DataFrame, sym: DataFrame) -> DataFrame:
-    """STR-9: watch-list alerts evaluated on rebuilt daily rows (all principals, no limit)."""
-    from tidemark.plans.queries import watchlist_alerts
-    return watchlist_alerts(watch, daily_rows, sym, None, None)
+
+def current_metrics(spark: SparkSession, out_path: str) -> DataFrame:
+    out = out_path.rstrip("/")
+    return spark.read.parquet(f"{out}/batch_id={_ids(spark, out, 'batch_id')[-1]}")
 
 
 def refresh_marts_stream(messages: DataFrame, events_path: str, dead_letter_path: str, daily_path: str,
                          sym: DataFrame, checkpoint: str, alerts_path: str | None = None,
                          watch: DataFrame | None = None, trigger: dict | None = None,
                          marts_dir: str | None = None, as_of: str | None = None):
-    """STR-8/9: ingest, rebuild the touched daily buckets, then (with ``marts_dir``) the dependent
-    marts, and (with ``alerts_path``) append watch-list alerts on the rebuilt rows."""
+    """STR-8/9: ingest, refresh the reached blocks of the daily mart, then (with ``marts_dir``) the dependent
+    marts, and (with ``alerts_path``) emit what the changed rows change in the watch-list alerts."""
     if marts_dir is not None and as_of is None:
         raise ValueError("the dependent marts need as_of")
+    name = f"{zlib.crc32(checkpoint.encode()):08x}"  # a batch is named by its query and its number
 
     def run(batch: DataFrame, batch_id: int):
         checked = validate_events(batch).persist()  # once per batch
@@ -318,18 +343,17 @@ def refresh_marts_stream(messages: DataFrame, events_path: str, dead_letter_path
             checked.unpersist()
 
     def _refresh_after_ingest(spark: SparkSession, valid: DataFrame, batch_id: int):
-        touched = drop_closed(valid).select(F.upper(F.trim("ticker")).alias("ticker"),
-                                            ny_date(F.col("event_time")).alias("trade_date")).distinct()
-        daily = refresh_marts_batch(spark, touched, events_path, sym, daily_path, f"{daily_path}_staging/{batch_id}")
+        staging = f"{daily_path}_staging/{name}"
+        rows = drop_closed(valid).select(F.upper(F.trim("ticker")).alias("ticker"), "event_time")
+        touched = rows.select("ticker", ny_date(F.col("event_time")).alias("trade_date")).distinct()
+        done = refresh_marts_batch(spark, touched, events_path, sym, daily_path, f"{staging}/{batch_id}/daily")
         if marts_dir is not None:
-            refresh_dependent_marts(spark, daily, touched, daily_path, marts_dir, as_of)
-            hours = drop_closed(valid).select(F.upper(F.trim("ticker")).alias("ticker"),
-                                              F.date_trunc("hour", F.col("event_time")).alias("interval_start"))
-            refresh_hourly_batch(spark, hours, events_path, sym, f"{marts_dir}/intraday_stock_rollup",
-                                 f"{marts_dir}/_hourly_staging/{batch_id}")
+            refresh_dependent_marts(spark, done, daily_path, marts_dir, as_of, f"{staging}/{batch_id}")
+            hours = rows.select("ticker", F.date_trunc("hour", F.col("event_time")).alias("interval_start")).distinct()
+            refresh_hourly_batch(spark, hours, events_path, sym, f"{marts_dir}/intraday_stock_rollup", f"{staging}/{batch_id}/hourly")
         if alerts_path and watch is not None:
-            alerts_for_batch(daily, watch, sym) \
-                .write.mode("overwrite").parquet(f"{alerts_path.rstrip('/')}/batch_id={batch_id}")
+            emit_alerts(spark, done.differing.drop(*PARTITION), watch, sym, alerts_path, f"{name}/{batch_id}")
+        delete(spark, f"{staging}/{batch_id - 1}")  # only the last batch can be repeated
 
     return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run) \
         .trigger(**(trigger or {"availableNow": True})).start()
