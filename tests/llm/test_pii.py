@@ -36,7 +36,8 @@ def test_base_spans_follow_the_patterns(text):
 def test_scans_are_linear():
     import time
     start = time.time()
-    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "a@" * 100_000, "1 " * 150_000):
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "a@" * 100_000, "1 " * 150_000,
+                 "12:xyzq:" * 60_000, "1:" * 150_000, "ab:12:" * 60_000, "a:b@c:1" * 50_000, "(1:2)" * 60_000):
         found = P.base_spans(text)
         P.candidates(text, found)
     assert time.time() - start < 20

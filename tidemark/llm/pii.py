@@ -126,14 +126,17 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """Identifier-like tokens (an @, or at least three digits, grouped or not) outside the base spans."""
     out, end = [], 0
     taken = sorted((a, b) for _, a, b in base)
-    k = 0
+    k, token_end, cut = 0, -1, False
     at = _HINT.search(text)
     while at:
         hint = start = at.start()
         while start > end and (text[start - 1].isalnum() or text[start - 1] in _MARKS):
             start -= 1
-        stop = _TOKEN.match(text, hint).end()
-        if text.find(":", start, stop) >= 0 and not _HEX.fullmatch(text, start, stop):
+        if hint >= token_end:  # a token is read to its end once; what is left behind its first colon is cut as well
+            token_end = _TOKEN.match(text, hint).end()
+            cut = text.find(":", start, token_end) >= 0 and not _HEX.fullmatch(text, start, token_end)
+        stop = token_end
+        if cut:
             start = max(start, text.rfind(":", start, hint) + 1)
             colon = text.find(":", hint, stop)
             stop = colon if colon >= 0 else stop
