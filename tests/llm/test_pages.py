@@ -140,3 +140,17 @@ def test_conversion_text(spark):
     assert out.count() == 2 * pages(spark).count()
     assert out.select("record_id").distinct().count() == out.count()
     assert W.derivatives_digest(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_compound_names_of_boxes_are_no_article_text():
+    story = "<p>The harbour was quiet that morning.</p><p>Later the ships came in, one by one.</p><p>Nobody had told the crews of it.</p>"
+    want = "The harbour was quiet that morning.\nLater the ships came in, one by one.\nNobody had told the crews of it."
+    for box in ('<section class="comment-list"><p>Great read, thanks a lot</p></section>', '<div id="comments-area"><p>First reader says hello</p></div>',
+                '<div class="sidebar-widget"><p>Most read this week here</p></div>', '<div class="adSlot top"><p>Buy two and save now</p></div>',
+                '<ul class="site-nav-menu"><li>Home and more</li></ul>', '<div class="post-share-buttons"><p>Tell a friend today</p></div>'):
+        assert E.extract(f'<html><body><div class="post">{story}</div>{box}</body></html>', {}) == want, box
+    inner = story.replace("</p><p>Later", '</p><div class="ad-slot"><p>Buy two and save now</p></div><p>Later')
+    assert E.extract(f'<html><body><article>{inner}</article></body></html>', {}) == want
+    for name in ("no-sidebar", "has-sidebar", "comments-open", "share-price", "ad-hoc", "without-ads", "ad-free", "search-results-page-one", "side-effects"):
+        kept = story.replace("<p>Later", f'<p class="{name}">Later')
+        assert E.extract(f'<html><body><div class="{name} x">{kept}</div></body></html>', {}) == want, name

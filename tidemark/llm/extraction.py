@@ -9,11 +9,13 @@ Labelled pages are those whose article is marked up (one ``article`` or ``main``
 elements themselves are no learned features, so pages without them are scored by the rest. On a page
 that has them, words outside lose up to ``MARK``, in proportion to the share of the page's words
 inside: a marked article with half of the words outweighs the rest, a marked teaser does not. Weights are
-fitted on a bounded sample of ``FIT_PAGES`` pages (by a hash of the id); every page is then extracted
+fitted on a bounded sample of ``FIT_PAGES`` pages (by a hash of the row); every page is then extracted
 whole. Elements that are never article text (scripts, forms, navigation, adverts, reader comments ...)
-score nothing and give no text, wherever they stand. A class, id or role says so only as a whole word
-('sidebar', not 'no-sidebar'), and never of an article or of an element with most of the page's words;
-a word inside a longer name is a feature of the texts in that element, for the weights to judge.
+score nothing and give no text, wherever they stand. A class, id or role says so as a whole word ('sidebar') or
+in a name whose other parts only say what kind of box it is ('sidebar-widget', 'comment-list'), not in
+one that says something else ('share-price') or denies it ('no-sidebar'), and never of an article or of an
+element with most of the page's words; in all other names such a word is a feature of the texts in that
+element, for the weights to judge.
 
 Edge cases: null and empty html give an empty text; a page without any word or with no labelled
 pages to learn from falls back to the plain scores; unclosed elements end at the next block; repeated
@@ -47,6 +49,12 @@ _NAMES = r"""(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|conse
   contentinfo|complementary|alert|(?:cookies?|consent|gdpr)[_-](?:notices?|banner|bar|consent))"""
 HINTS = re.compile(rf"(?:^|\s){_NAMES}(?=$|\s)", re.IGNORECASE | re.VERBOSE)
 PARTS = re.compile(rf"(?:^|[\s_-]){_NAMES}(?=$|[\s_-])", re.IGNORECASE | re.VERBOSE)
+#: Parts of a name that say what box it is, not what is in it (fixed words).
+BOXES = frozenset("""list item items area slot widget widgets box section wrap wrapper container block inner outer panel content
+body form bar unit zone space holder module region row col column group links link title heading label top bottom left right
+middle center primary secondary main site page post posts article articles entry story stories videos global mobile desktop inline sticky fixed
+toggle tools buttons button icons icon text info count thread level parent children single rail stack""".split())
+NAME = re.compile(rf"{_NAMES}", re.IGNORECASE | re.VERBOSE)
 MARKED = ("article", "main")
 #: Tags that more often part an article from its surroundings than its own blocks.
 LAYOUT = frozenset("html body div section table tr td th article main header fieldset".split())
@@ -72,6 +80,16 @@ def _names(tag: Tag) -> str:
     return " ".join(a.get(k, "") for k in ("class", "id", "role"))
 
 
+def _boxed(names: str) -> bool:
+    """Whether one of the names is made of an excluding word and words for boxes alone."""
+    for name in names.split():
+        parts = [p for p in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if p and not p.isdigit()]
+        hints = sum(NAME.fullmatch(p) is not None for p in parts)
+        if hints and len(parts) > 1 and all(NAME.fullmatch(p) or p.lower() in BOXES for p in parts):
+            return True
+    return False
+
+
 def _excluded(tag: Tag, marked: int, most: Callable[[], bool]) -> bool:
     """``most``: whether the element holds most of the page's words."""
     if tag.name in NEVER:
@@ -83,7 +101,8 @@ def _excluded(tag: Tag, marked: int, most: Callable[[], bool]) -> bool:
     if tag.source.strip(" /\n\t>"):
         if "hidden" in tag.attributes:
             return True
-        return tag.name != "article" and HINTS.search(_names(tag)) is not None and not most()
+        names = _names(tag)
+        return tag.name != "article" and (HINTS.search(names) is not None or _boxed(names)) and not most()
     return False
 
 
@@ -208,7 +227,8 @@ def fit_weights(pages: DataFrame, fit_pages: int = FIT_PAGES, id_col: str = "pag
     """Weight per feature: smoothed log odds of the article against the rest (one row per feature)."""
     total = pages.count()
     share = min(1.0, fit_pages / max(1, total))
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    # also by the page itself: rows of one id are drawn one by one
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(html_col)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = pages.where(draw < share).select(F.col(html_col).alias("html"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
