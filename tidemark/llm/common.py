@@ -58,3 +58,21 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def with_range(rows: DataFrame, col: str, n: int, out: str) -> DataFrame:
+    """``rows`` with ``out``: which of at most ``n`` ranges of ascending ``col`` (a long) a row lies in, nulls in the first.
+
+    The ranges are cut at quantiles, read from the column alone; a row finds its range by binary search.
+    Rows of one value lie in one range.
+    """
+    cuts = rows.agg(F.percentile_approx(col, [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    limits = F.array(*[F.lit(c) for c in cuts]).cast("array<long>")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))]).cast("array<int>")
+
+    def step(found, width):
+        # the number of limits below the value, one bit at a time
+        return F.when(F.coalesce(F.get(limits, found + width - 1) < F.col(col), F.lit(False)), found + width).otherwise(found)
+
+    return rows.withColumn(out, F.aggregate(steps, F.lit(0), step) if cuts else F.lit(0))

@@ -1,12 +1,13 @@
 """Token ids as Parquet list columns, written for selective reads.
 
-Documents are dealt into ranges of ascending id, tokenised there and written by Spark's Parquet
-writer: dictionary pages for the token list (delta encoding from writer version 2 for the counters
+Documents are dealt into ranges of ascending id (cut at quantiles of the ids, for which the ids alone are
+read), tokenised there and written by Spark's Parquet writer: dictionary pages for the token list (delta encoding from writer version 2 for the counters
 and wherever a dictionary grows too large), row groups and pages of a stated size, and the column
 and offset indexes the writer adds. A reader of ``n_tokens`` or of an id range touches only those
 columns, row groups and pages.
 
-Edge cases: null and empty texts are the end id alone; null ids sort first; equal ids are ordered by
+Edge cases: ids are whole numbers (others that do not cast to a long stop the run); null and empty texts are
+the end id alone; null ids sort first; equal ids are ordered by
 their content, equal rows are interchangeable; an empty table gives an empty dataset.
 """
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import text_rows
+from tidemark.llm.common import text_rows, with_range
 from tidemark.llm.tokens import encoder, public_tokenizer
 
 END_ID = 0
@@ -35,8 +36,9 @@ def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
     path = tokenizer or public_tokenizer("byte_bpe_50k.json")
     end = int(end_id).to_bytes(4, "little")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie")
-            .sortWithinPartitions("doc_id", "tie").drop("tie").withColumn("shard", F.spark_partition_id()))
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = (with_range(rows, "doc_id", n, "shard").repartitionById(n, "shard").withColumn("tie", F.xxhash64("text"))
+            .sortWithinPartitions("doc_id", "tie").drop("tie"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
