@@ -52,6 +52,6 @@ def test_stages_keep_the_columns(spark, documents, odd):
 def test_every_operator_is_registered():
     import __spark_entry__ as E
     names = E.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(names)
     assert set(oracles()) <= set(E.oracle_sql())
