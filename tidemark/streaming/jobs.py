@@ -36,6 +36,9 @@ from tidemark.streaming.blocks import (DAILY, HOURLY, PARTITION, Refresh, delete
                                        rewrite, summary_path, with_block, written)
 from tidemark.streaming.hours import _ids, current_bars, stream_hourly_bars  # noqa: F401
 
+#: Batches after which an event table's identity filter is merged.
+COMPACT_EVERY = 100
+
 
 def arrival_key() -> Column:
     """Arrival order of a message as the event's id: partition, then offset."""
@@ -102,6 +105,8 @@ def ingest_checked(checked: DataFrame, batch_id: int, events_path: str, dead_let
         fresh.unpersist()
         if counters_path:
             write_counters(spark, counters, counters_path)
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        compact(spark, events_path)
     return counters
 
 
@@ -113,10 +118,6 @@ def write_counters(spark: SparkSession, counters: dict, path: str) -> None:
         .write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
-#: Batches after which an event table's identity filter is merged.
-COMPACT_EVERY = 100
-
-
 def without_redelivery(messages: DataFrame, within: str) -> DataFrame:
     """STR-4: a message (topic, partition, offset) that arrives again ``within`` a time is dropped in the state store.
 
@@ -134,8 +135,6 @@ def ingest_stream(messages: DataFrame, events_path: str, dead_letter_path: str,
     """STR-1: start the ingest query (returns the StreamingQuery)."""
     def run(batch: DataFrame, batch_id: int):
         ingest_batch(batch, batch_id, events_path, dead_letter_path, session_vocab, counters_path)
-        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-            compact(batch.sparkSession, events_path)
 
     if redelivered_within:
         messages = without_redelivery(messages, redelivered_within)
