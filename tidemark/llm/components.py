@@ -26,9 +26,8 @@ def components(links: DataFrame) -> DataFrame:
             labels = hook.select("node", F.col("parent").alias("label"))
         else:
             step = hook.select(F.col("node").alias("label"), "parent")
-            labels = (labels.join(step, "label", "left")
-                      .select("node", F.coalesce("parent", "label").alias("label")))
-        labels = materialize(labels, "cc-labels")
+            labels = materialize(labels.join(step, "label", "left")
+                                 .select("node", F.coalesce("parent", "label").alias("label")), "cc-labels")
         to_a = hook.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         to_b = hook.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         edges = materialize(edges.join(to_a, "a").join(to_b, "b").where("pa <> pb")

@@ -8,9 +8,10 @@ Which form a band uses is decided by cost: signatures written, plus the false ca
 from the number of sets in the band and from how likely a signature lies wholly inside a passage
 shared with unrelated texts.
 
-Shingles that many texts share (found on a bounded sample) would make such signatures alike; they
-are left out of the index, which is exact too, since the differences among the other shingles are
-still at most H. A signature without shingles says nothing and is not indexed. A set with more such empty parts than
+Shingles that many texts share would make such signatures alike; they are left out of the index, which
+is exact too, since the differences among the other shingles are still at most H. They are found by
+counts over every text, kept per cell of the hash space: a cell with many more shingles than the mean
+is left out whole. A signature without shingles says nothing and is not indexed. A set with more such empty parts than
 the slack is *deficient* there; a pair can be missed only if both are, so deficient sets are
 indexed again under other hash seeds and, deficient under all of them, by the shingles of a prefix
 (rarer ones first, then in hash order), which misses nothing.
@@ -55,8 +56,10 @@ BUCKET_ENTRIES = 500_000
 
 #: Rounds of hubs before the remaining pairs are written.
 HUB_TURNS = 2
-#: Documents sampled for common shingles, the share of them that makes one common, and the most kept.
-SAMPLE, COMMON, MOST_COMMON = 5000, 0.001, 100_000
+#: Cells of the hash space (by its high bits) in which shingles are counted, cells in a block of counts, and the share
+#: of the documents (and least number of them) by which a common cell is above the mean.
+CELL_BITS, BLOCK_BITS = 20, 16
+COMMON, LEAST_COMMON = 0.001, 4
 
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -70,32 +73,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: A number per byte (none for white space), and the longest piece of a text that is hashed at once.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = np.where(_SPACE, _U(0), mix(np.arange(1, 257, dtype=_U) * _A))
+PIECE = 1 << 20
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
-    def __init__(self, words: int = WORDS, cache_entries: int = 100_000):
-        self.words, self.cache, self.cache_entries = words, {}, cache_entries
+    def __init__(self, words: int = WORDS):
+        self.words, self.places = words, np.zeros(0, dtype=_U)
 
     def word_hashes(self, text: str) -> np.ndarray:
-        parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
-        cache = self.cache
-        if len(cache) > self.cache_entries:
-            cache.clear()
-        out = np.empty(len(parts), dtype=_U)
-        for i, w in enumerate(parts):
-            h = cache.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w)
-                if len(w) <= 64:
-                    cache[w] = h
-            out[i] = h
-        return out
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)  # bytes: only A-Z
+        out, at = [], 0
+        while at < len(raw):
+            end = at + PIECE
+            while end < len(raw) and not _SPACE[raw[end]]:
+                end += 1
+            out.append(self.piece_hashes(raw[at:end]))
+            at = end
+        return out[0] if len(out) == 1 else np.concatenate([*out, np.zeros(0, dtype=_U)])
+
+    def piece_hashes(self, raw: np.ndarray) -> np.ndarray:
+        """Per word the sum of its bytes' numbers times an odd number of their place in the word."""
+        space = _SPACE[raw]
+        first = ~space
+        first[1:] &= space[:-1]
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            return np.zeros(0, dtype=_U)
+        raw = raw[starts[0]:]
+        starts = starts - starts[0]
+        place = np.arange(len(raw)) - np.repeat(starts, np.diff(starts, append=len(raw)))
+        if (longest := int(place.max())) >= len(self.places):
+            self.places = mix((np.arange(2 * longest + 64, dtype=_U) + _U(1)) * _M2) | _U(1)
+        return mix(np.add.reduceat(_BYTE[raw] * self.places[place], starts))
 
     def __call__(self, text: str | None) -> np.ndarray:
         w = self.word_hashes(text or "")
         k = self.words
         if len(w) == 0:
-            return w
+            return np.zeros(0, dtype=_U)
         if len(w) < k:
             h = np.array([len(w)], dtype=_U)
             for j in range(len(w)):
@@ -104,7 +124,8 @@ class Shingler:
         h = w[: len(w) - k + 1].copy()
         for j in range(1, k):
             h = mix(h * _A + w[j: len(w) - k + 1 + j] + _U(j))
-        return np.unique(h)
+        h.sort()
+        return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def cell_counts(tokens: np.ndarray) -> bytes:
@@ -187,9 +208,16 @@ def _named(hi, lo, n, scheme: int, which: np.ndarray) -> np.ndarray:
     return mix(h * _A + which.astype(_U))
 
 
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> _U(64 - CELL_BITS)).astype(np.int64)
+
+
 def _is_common(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which ``tokens`` are left out: ``common`` says so of each cell, or lists the shingles in ascending order."""
     if not len(common):
         return np.zeros(len(tokens), dtype=bool)
+    if common.dtype == bool:
+        return common[_cell(tokens)]
     at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
     return common[at] == tokens
 
@@ -241,24 +269,45 @@ def signatures(tokens: np.ndarray, band: int, plan: tuple, percent: int = PERCEN
 # --- Spark side ---------------------------------------------------------------------------------
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, txt (hash of the text), node (hash of the set, null if empty), n, cells; one row per input row."""
+    """doc_id, txt (hash of the text), node (hash of the set, null if empty), n, cells; one row per input row (``part`` 0).
+
+    Under ``part`` 1 the counts of shingles per cell of the hash space, of every set of a task once: ``txt`` is the block
+    of cells, ``n`` how many of them have shingles, ``cells`` their places and counts.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
 
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "txt", "node", "n", "cells", "part"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
+        seen, counts, ids = set(), np.zeros(1 << CELL_BITS, dtype=np.int64), None
         for batch in batches:
-            node, size, cells = [], [], []
+            ids = batch.column("doc_id").type
+            node, size, cells, new = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle(text)
+                h = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 if len(s) else None
                 size.append(len(s))
                 cells.append(cell_counts(s) if len(s) else None)
-                node.append(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 if len(s) else None)
+                node.append(h)
+                if len(s) and h not in seen:
+                    seen.add(h)
+                    new.append(_cell(s))
+            if new:
+                counts += np.bincount(np.concatenate(new), minlength=len(counts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("txt"), pa.array(node, pa.int64()),
-                                              pa.array(size, pa.int64()), pa.array(cells, pa.binary())],
-                                             names=["doc_id", "txt", "node", "n", "cells"])
+                                              pa.array(size, pa.int64()), pa.array(cells, pa.binary()),
+                                              pa.array(np.zeros(len(size), dtype=np.int32))], names=names)
+        for block, of_block in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
+            at = np.flatnonzero(of_block)
+            if len(at):
+                packed = at.astype(np.uint16).tobytes() + of_block[at].astype(np.uint32 if of_block.max() > 0xFFFF else np.uint16).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, ids), pa.array([block], pa.int64()), pa.nulls(1, pa.int64()),
+                                                  pa.array([len(at)], pa.int64()), pa.array([packed], pa.binary()),
+                                                  pa.array([1], pa.int32())], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, txt long, node long, n long, cells binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, txt long, node long, n long, cells binary, part int")
 
 
 def _packed(low: np.ndarray, node: np.ndarray) -> bytes:
@@ -277,29 +326,30 @@ def _unpacked(blob) -> tuple[np.ndarray, np.ndarray]:
     return low, nodes[place]
 
 
-def common_shingles(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
-    """Shingles of at least ``COMMON`` of a sample of about ``SAMPLE`` documents, sorted (``MOST_COMMON`` at most).
+def common_shingles(counts: DataFrame, sets: int, shingles: int) -> np.ndarray:
+    """Which cells of the hash space hold common shingles, from the ``counts`` of all texts (see ``shingle_sets``).
 
-    Only the speed of the join depends on them.
+    A cell is common with ``COMMON`` of the ``sets`` more than its share of all ``shingles``. What reaches the driver is
+    a bit per cell, whatever the input. Only the speed of the join depends on it.
     """
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_003)) < F.lit(share * 1_000_003)).select(F.col(text_col).alias("text"))
+    least = max(LEAST_COMMON, math.ceil(COMMON * sets)) + shingles / (1 << CELL_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            sets = [shingle(t) for t in batch.column("text").to_pylist()]
-            found, n = np.unique(np.concatenate([*sets, np.zeros(0, dtype=_U)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)),
-                                              pa.array(np.zeros(len(found), dtype=bool))], names=["t", "n", "rows"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([len(sets)], pa.int64()), pa.array([True])],
-                                             names=["t", "n", "rows"])
-
-    counts = materialize(sample.mapInArrow(run, "t long, n long, rows boolean").groupBy("t", "rows").agg(F.sum("n").alias("n"))
-                         .where("rows OR n > 3"), "jaccard-common")
-    rows = counts.where("rows").agg(F.sum("n")).first()[0] or 0
-    often = counts.where(~F.col("rows") & (F.col("n") >= COMMON * rows)).orderBy(F.desc("n"), "t").limit(MOST_COMMON)
-    return np.sort(np.array([r["t"] for r in often.select("t").collect()], dtype=np.int64).view(_U))
+            for block, n, packed in text_rows(batch, "txt", "n", "cells"):
+                at = np.frombuffer(packed, dtype=np.uint16, count=n)
+                found = np.frombuffer(packed, dtype=np.uint16 if len(packed) == 4 * n else np.uint32, offset=2 * n)
+                total.setdefault(block, np.zeros(1 << BLOCK_BITS, dtype=np.int64))[at] += found
+        for block, of_block in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(of_block >= least).tobytes()])],
+                                             names=["block", "bits"])
+
+    out = np.zeros(1 << CELL_BITS, dtype=bool)
+    for r in counts.select("txt", "n", "cells").repartition("txt").mapInArrow(run, "block long, bits binary").collect():
+        at = r["block"] << BLOCK_BITS
+        out[at:at + (1 << BLOCK_BITS)] = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8))
+    return out
 
 
 def _index(docs: DataFrame, starts: list[int], plans: dict[int, tuple], n_buckets: int, words: int, percent: int,
@@ -311,10 +361,13 @@ def _index(docs: DataFrame, starts: list[int], plans: dict[int, tuple], n_bucket
     signatures, members and hubs.
     """
     edges = np.array(starts)
+    bits = np.packbits(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
+        common = np.unpackbits(bits).astype(bool)
         sigs, nodes, held = [], [], 0
+        done = set()  # a set's entries are written once a task
 
         def flush():
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
@@ -339,6 +392,9 @@ def _index(docs: DataFrame, starts: list[int], plans: dict[int, tuple], n_bucket
                 if not len(s):
                     continue
                 node = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
+                if node in done:
+                    continue
+                done.add(node)
                 band = int(np.searchsorted(edges, len(s), side="right")) - 1
                 for i in (band - 1, band):
                     if plans.get(i):
@@ -387,7 +443,7 @@ def _meet(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_pairs_batch(msig, member, hub)])
 
 
-def hub_pairs(docs: DataFrame, sizes: DataFrame, words: int, percent: int, text_col: str) -> DataFrame:
+def hub_pairs(docs: DataFrame, sizes: DataFrame, counts: DataFrame, words: int, percent: int, text_col: str) -> DataFrame:
     """(sig, x, hub): every member of a signature shared by several sets, tied to a hub of it."""
     # one row per distinct size: bounded by the longest text
     count = {r["n"]: (r["sets"], r["rows"]) for r in sizes.collect()}
@@ -412,7 +468,8 @@ def hub_pairs(docs: DataFrame, sizes: DataFrame, words: int, percent: int, text_
                 total += rows * (n + n1 if n2 == 0 else n1 * math.comb(n2, k))
     wide = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     n_buckets = max(4 * wide, total // BUCKET_ENTRIES + 1)
-    index = _index(docs, starts, plans, n_buckets, words, percent, text_col, common_shingles(docs, words, text_col))
+    common = common_shingles(counts, sum(sets for sets, _ in count.values()), sum(n * sets for n, (sets, _) in count.items()))
+    index = _index(docs, starts, plans, n_buckets, words, percent, text_col, common)
     return materialize(index.groupBy("bucket").applyInArrow(_meet, _PAIRS), "jaccard-pairs")
 
 
@@ -523,6 +580,8 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int, id_col: str,
               text_col: str) -> DataFrame:
     left = materialize(pairs, "jaccard-possible")
+    if not left.take(1):
+        return left
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
     sets = materialize(_sets_of(docs, classes.join(nodes, "node"), words, id_col, text_col), "jaccard-sets")
     return materialize(_linked(left, sets, percent), "jaccard-links")
@@ -531,39 +590,45 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """doc_id, txt, n_shingles, label (null: no shingles), component_id for every row of ``docs``."""
-    rows = materialize(shingle_sets(docs, words, id_col, text_col), "jaccard-rows")
+    told = materialize(shingle_sets(docs, words, id_col, text_col), "jaccard-rows", "part")
+    rows, counts = told.where("part = 0").drop("part"), told.where("part = 1")
     classes = materialize(rows.where("node IS NOT NULL").groupBy("node", "n").agg(
         F.min(F.struct("doc_id", "txt")).alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"),
         F.max("cells").alias("cells")), "jaccard-classes")
     sizes = classes.groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.sum("rows").alias("rows"))
-    pairs = hub_pairs(docs, sizes, words, percent, text_col)
+    pairs = hub_pairs(docs, sizes, counts, words, percent, text_col)
     # the hub a set shares most signatures with is tried first, the others only across components
     tied = pairs.groupBy(F.col("x").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     best = materialize(tied.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "jaccard-best")
     links = _checked(docs, classes, best, words, percent, id_col, text_col)
-    others = _apart(pairs, components(links)).select(F.col("x").alias("a"), F.col("hub").alias("b")).distinct()
-    others = others.join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(_checked(docs, classes, others, words, percent, id_col, text_col))
     label = components(links)
+
+    def join(found: DataFrame) -> None:
+        nonlocal links, label
+        if found.take(1):
+            links = links.unionByName(found)
+            label = components(links)
+
+    others = _apart(pairs, label).select(F.col("x").alias("a"), F.col("hub").alias("b")).distinct()
+    others = others.join(best, ["a", "b"], "left_anti")
+    join(_checked(docs, classes, others, words, percent, id_col, text_col))
     # signatures with members in several components
     apart = _apart(pairs, label).select("sig").distinct()
     # a signature of two sets has had its only pair checked
     sized = pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     open_pairs = pairs.join(apart.join(sized, "sig").select("sig"), "sig")
     open_nodes = materialize(open_pairs.select(F.col("x").alias("node")).union(open_pairs.select("hub")).distinct(), "jaccard-open")
-    rest = _sets_of(docs, classes.join(open_nodes, "node"), words, id_col, text_col)
-    prefix = materialize(_prefixes(rest, percent), "jaccard-prefix")
-
-    def labels() -> DataFrame:
-        return open_nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-
-    for turn in range(HUB_TURNS):  # again hubs first: most of a family joins without its pairs being written
-        found = _checked(docs, classes, _prefix_hubs(prefix, labels(), turn), words, percent, id_col, text_col)
-        links = links.unionByName(found)
-        label = components(links)
-    more = _verified(docs, classes, _rest_pairs(prefix, labels(), classes, percent), words, percent, id_col, text_col)
-    final = components(links.unionByName(more))
-    by_set = classes.join(final, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
+    if open_nodes.take(1):
+        rest = _sets_of(docs, classes.join(open_nodes, "node"), words, id_col, text_col)
+        prefix = materialize(_prefixes(rest, percent), "jaccard-prefix")
+
+        def labels() -> DataFrame:
+            return open_nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+        for turn in range(HUB_TURNS):  # again hubs first: most of a family joins without its pairs being written
+            join(_checked(docs, classes, _prefix_hubs(prefix, labels(), turn), words, percent, id_col, text_col))
+        join(_verified(docs, classes, _rest_pairs(prefix, labels(), classes, percent), words, percent, id_col, text_col))
+    by_set = classes.join(label, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = by_set.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_set = by_set.join(least, "label").select("node", "label", "component_id")
     out = rows.join(of_set, "node", "left")
