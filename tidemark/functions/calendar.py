@@ -128,10 +128,6 @@ def at_ny_clock(day: Column, minutes: Column | int) -> Column:
     return F.to_utc_timestamp(local, EXCHANGE_TZ)
 
 
-def _minute_of_day(local: Column) -> Column:
-    return (F.hour(local) * 60 + F.minute(local)).cast("double") + F.second(local) / 60.0 \
-        + (F.unix_micros(local) % 1000000) / 60e6
-
 
 def infer_session(ts: Column) -> Column:
     """CAL-4: premarket / regular / after_hours / closed for an event instant.
@@ -140,17 +136,23 @@ def infer_session(ts: Column) -> Column:
     in New York time; closes are 13:00 / 17:00 on early-close days.
     """
     local = ny_local(ts)
-    day = F.to_date(local)
-    mod = _minute_of_day(local)
-    early = is_early_close(day)
-    reg_close = F.when(early, EARLY_REGULAR_CLOSE_MIN).otherwise(REGULAR_CLOSE_MIN)
-    ah_close = F.when(early, EARLY_AFTER_HOURS_CLOSE_MIN).otherwise(AFTER_HOURS_CLOSE_MIN)
-    return (F.when(~is_trading_day(day), "closed")
-            .when(mod < PREMARKET_OPEN_MIN, "closed")
-            .when(mod < REGULAR_OPEN_MIN, "premarket")
-            .when(mod < reg_close, "regular")
-            .when(mod < ah_close, "after_hours")
-            .otherwise("closed"))
+
+    def session(at: Column) -> Column:
+        day, mod = at["day"], at["minute"]
+        early = is_early_close(day)
+        reg_close = F.when(early, EARLY_REGULAR_CLOSE_MIN).otherwise(REGULAR_CLOSE_MIN)
+        ah_close = F.when(early, EARLY_AFTER_HOURS_CLOSE_MIN).otherwise(AFTER_HOURS_CLOSE_MIN)
+        return (F.when(~is_trading_day(day), "closed")
+                .when(mod < PREMARKET_OPEN_MIN, "closed")
+                .when(mod < REGULAR_OPEN_MIN, "premarket")
+                .when(mod < reg_close, "regular")
+                .when(mod < ah_close, "after_hours")
+                .otherwise("closed"))
+
+    # day and minute are worked out once and handed to the rule, which reads them some fifty times; the bounds are
+    # whole minutes, so seconds decide nothing
+    at = F.struct(F.to_date(local).alias("day"), (F.hour(local) * 60 + F.minute(local)).alias("minute"))
+    return F.get(F.transform(F.array(at), session), F.lit(0))
 
 
 def with_calendar(df: DataFrame, day_col: str = "day") -> DataFrame:
