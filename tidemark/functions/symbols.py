@@ -98,12 +98,13 @@ def news_query_terms(df: DataFrame, col: str = "ticker", limit: int = 4) -> Data
 
 def match_entities(df: DataFrame, text_col: str, ticker_col: str = "ticker") -> DataFrame:
     """SYM-5: profile strings contained in the text (case-insensitive), in profile order, duplicates kept."""
-    prof = symbol_profile(df, ticker_col)
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    # lower-cased once, not once a term
+    prof = symbol_profile(df, ticker_col).withColumn("_low_text", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    low = F.col("_low_text")
     cands = F.filter(F.transform(profile_terms(prof), lambda t: F.trim(t)), lambda t: t != "")
     return prof.withColumn("canonical_entity_matches",
                            F.when(low == "", F.array().cast("array<string>"))
-                           .otherwise(F.filter(cands, lambda t: F.instr(low, F.lower(t)) > 0)))
+                           .otherwise(F.filter(cands, lambda t: F.contains(low, F.lower(t))))).drop("_low_text")
 
 
 def attach_symbol_meta(df: DataFrame, sym: DataFrame, col: str = "ticker") -> DataFrame:

@@ -73,7 +73,8 @@ FRESH_CACHE_SOURCE, NEWS_PROVIDER_SOURCE, STALE_NEWS_SOURCE = "daily_cache", "ne
 
 # Capitalised phrases: a capital letter, 2+ letters, optionally more such words. Word boundaries
 # are spelled out with Unicode letters/digits so they do not depend on the regex engine's \b.
-ENTITY_PATTERN = (r"(?<![\p{L}\p{N}_])[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*(?![\p{L}\p{N}_])")
+# The capital letter is asked for first: what stands before it is looked at only there.
+ENTITY_PATTERN = (r"(?=[A-Z])(?<![\p{L}\p{N}_])[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*(?![\p{L}\p{N}_])")
 
 DEC2 = "decimal(10,2)"
 
@@ -105,17 +106,20 @@ def dedupe_articles(articles: DataFrame, batch_col: str = "fetch_batch", order_c
 
     Done before enrichment (the reference enriches first): same survivors, less work.
     """
+    # the row number decides between equal places; a filter is not moved below it, where it would work out
+    # the key (and the texts it is made of) again for every use
     keyed = articles.withColumn("article_key", article_key(F.col("title"), F.col("description"))) \
-        .filter(F.col("article_key") != "")
+        .withColumn("_row", F.monotonically_increasing_id()).filter(F.col("article_key") != "")
     # rank 1 of a group runs as a limit per group before the shuffle (a key copied many times sends one row a
     # task), and columns that no one reads later are not carried
-    first = Window.partitionBy(batch_col, "article_key").orderBy(order_col)
-    return keyed.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == 1).drop("_r")
+    first = Window.partitionBy(batch_col, "article_key").orderBy(order_col, "_row")
+    return keyed.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == 1).drop("_r", "_row")
 
 
 def normalize_whitespace(text: Column) -> Column:
     """Collapse every run of Unicode whitespace to one space and strip."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x{1c}-\x{1f}]+", " "))
+    # single spaces stay as they are
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U) [\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}&&[^ ]][\s\x{1c}-\x{1f}]*", " "))
 
 
 def _mention_array(text_col: str, ticker_col: str) -> Column:
@@ -140,13 +144,13 @@ def rank_mentions_inline(rows: DataFrame, mentions: str, out: str, n: int = TOP_
     def name(i):
         return F.get("_sorted", i)["name"]
 
-    rows = rows.withColumn("_sorted", F.array_sort(F.transform(mentions, lambda x, i: F.struct(x.alias("name"), i.alias("pos")))))
+    rows = rows.withColumn("_sorted", F.sort_array(F.transform(mentions, lambda x, i: F.struct(x.alias("name"), i.alias("pos")))))
     starts = F.filter(F.transform("_sorted", lambda x, i: F.when((i == 0) | (x["name"] != name(i - 1)), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("_starts", starts)
     runs = F.transform("_starts", lambda at, j: F.struct(
         (at - F.coalesce(F.get("_starts", j + 1), F.size("_sorted"))).alias("nc"),
         F.get("_sorted", at)["pos"].alias("pos"), name(at).alias("name")))
-    top = F.transform(F.slice(F.array_sort(runs), 1, n), lambda e: F.struct(e["name"].alias("name"), (-e["nc"]).cast("bigint").alias("count")))
+    top = F.transform(F.slice(F.sort_array(runs), 1, n), lambda e: F.struct(e["name"].alias("name"), (-e["nc"]).cast("bigint").alias("count")))
     return rows.withColumn(out, top).drop("_sorted", "_starts")
 
 
@@ -206,7 +210,7 @@ def topic_cluster(text: Column, lowered: bool = False) -> Column:
     for name, words in CLUSTER_RULES:
         cond = F.lit(False)
         for w in words:
-            cond = cond | (F.instr(low, w) > 0)
+            cond = cond | F.contains(low, F.lit(w))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr.otherwise(F.lit("general"))
 
@@ -236,7 +240,7 @@ def impact_score(text: Column, sentiment: Column, entity_count: Column, quality:
         else:
             hit = F.lit(False)
             for w in words:
-                hit = hit | (F.instr(low, w) > 0)
+                hit = hit | F.contains(low, F.lit(w))
         kw = kw + F.when(hit, _dec(weight)).otherwise(F.lit(0).cast("decimal(6,4)"))
     raw = (F.abs(F.coalesce(sentiment.cast("decimal(10,4)"), F.lit(0).cast("decimal(10,4)"))) * _dec(SENTIMENT_WEIGHT)
            + F.least(entity_count, F.lit(ENTITY_CAP)).cast("decimal(6,0)") * _dec(ENTITY_WEIGHT)

@@ -45,6 +45,13 @@ class Ctx:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` returns, written out: worked out once in a query, however often it is read."""
+        if name not in self._made:
+            self._made[name] = materialized(make(), name)
+        return self._made[name]
 
     @property
     def raw(self) -> DataFrame:
@@ -62,6 +69,11 @@ class Ctx:
     def daily(self) -> DataFrame:
         return M.daily_stock_summary(self.stg, self.sym)
 
+    @property
+    def daily_once(self) -> DataFrame:
+        """``daily`` over aggregates that are written out: the events are read once, however often it is read."""
+        return M.daily_from_aggregates(self.once("daily-aggregates", lambda: M.daily_aggregates(self.stg)), self.sym)
+
     @property
     def hourly(self) -> DataFrame:
         return M.intraday_stock_rollup(self.stg, self.sym)
@@ -175,7 +187,7 @@ def _q_volatility(c: Ctx):
 
 @register("ticker_correlation")
 def _q_correlation(c: Ctx):
-    return Q.ticker_correlation(c.daily, FOCUS_TICKER, 8)
+    return Q.ticker_correlation(c.daily_once, FOCUS_TICKER, 8)
 
 
 @register("drawdown_latest")
@@ -372,7 +384,7 @@ def _articles(c: Ctx) -> DataFrame:
 
 def _enriched(c: Ctx) -> DataFrame:
     # several aggregates read the enriched articles: they are enriched once
-    return NEWS.attach_cluster_counts(materialized(NEWS.enrich_articles(_articles(c)), "articles"))
+    return NEWS.attach_cluster_counts(c.once("articles", lambda: NEWS.enrich_articles(_articles(c))))
 
 
 def _cache(c: Ctx, with_summaries: bool = False) -> DataFrame:
@@ -423,17 +435,21 @@ def _q_news_metrics(c: Ctx):
     return NEWS.news_metrics(_enriched(c), tick)
 
 
+def _page(c: Ctx) -> DataFrame:
+    # metrics, prompts and headlines read the pages: they are cut out once
+    return c.once("page", lambda: NEWS.provider_page(_enriched(c)).drop("_r"))
+
+
 @register("summary_job")
 def _q_summary_job(c: Ctx):
-    enriched = _enriched(c)
     # like the reference, one summary covers one provider page of articles
-    page = NEWS.provider_page(enriched).drop("_r")
+    page = _page(c)
     return NEWS.summary_job(NEWS.news_metrics(page, keys=NEWS.PAGE_KEYS), page)
 
 
 @register("summary_ranked")
 def _q_summary_ranked(c: Ctx):
-    page = NEWS.provider_page(_enriched(c)).drop("_r")
+    page = _page(c)
     return NEWS.summary_job(NEWS.news_metrics(page, keys=NEWS.PAGE_KEYS), page, "ranked", "sentence_rank")
 
 
@@ -660,7 +676,7 @@ def _q_sentiment_score(c: Ctx):
 @register("sentiment_learned")
 def _q_sentiment_learned(c: Ctx):
     from tidemark.operators.sentiment import induce_lexicon, scoped_score
-    a = _articles(c).select("article_id", NEWS._joined_text("title", "description").alias("text"))
+    a = c.once("texts", lambda: _articles(c).select("article_id", NEWS._joined_text("title", "description").alias("text")))
     return scoped_score(a, induce_lexicon(a))
 
 

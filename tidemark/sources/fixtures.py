@@ -238,8 +238,10 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
     deterministic sentiment; one fetch batch per (ticker, publication day), arrival = doc_id.
     """
     did = F.col("doc_id")
-    words = F.trim(F.regexp_replace(article_text(did, F.col("text")), r"\s+", " "))
-    lead = F.regexp_extract(words, r"^((?:\S+ ){0,7}\S+)", 1)
+    # columns of their own: the text is gone through once, however many expressions read them
+    documents = documents.withColumn("_words", F.trim(F.regexp_replace(article_text(did, F.col("text")), r" \s+|[\t\n\x0B\f\r]\s*", " "))) \
+        .withColumn("_lead", F.regexp_extract("_words", r"^((?:\S+ ){0,7}\S+)", 1))
+    words, lead = F.col("_words"), F.col("_lead")
     kw = _pick(ARTICLE_KEYWORDS, F.pmod(did, F.lit(len(ARTICLE_KEYWORDS))))
     kw = F.when(kw == "none", F.lit(None)).otherwise(kw)
     domain = _pick(ARTICLE_DOMAINS, F.pmod(did, F.lit(len(ARTICLE_DOMAINS))))
