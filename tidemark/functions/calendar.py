@@ -128,7 +128,6 @@ def at_ny_clock(day: Column, minutes: Column | int) -> Column:
     return F.to_utc_timestamp(local, EXCHANGE_TZ)
 
 
-
 def infer_session(ts: Column) -> Column:
     """CAL-4: premarket / regular / after_hours / closed for an event instant.
 
